@@ -43,12 +43,6 @@ class AnalysisReport:
     def summary(self) -> DataFrame:
         return summary_or_default(self.ranked, self.dataset_name)
 
-    def from_saved(self, findings: DataFrame) -> AnalysisReport:
-        """The same report over evidence that was written and read back, so that nothing is analysed again."""
-        return AnalysisReport(
-            self.dataset_name, self.question, self.mode, self.model, self.tasks, findings, self.raw_outputs
-        )
-
 
 def run_tasks(
     df: DataFrame, model: SemanticModel, tasks: list[AnalysisTask], profile: list[Row] | None = None
