@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.functions.metrics import column
+from tallyline.functions.small import small_table
 from tallyline.functions.periods import as_timestamp, period_start
 
 # Fixed values.
@@ -112,8 +113,7 @@ def instability(df: DataFrame, time_column: str, dimensions: Sequence[str]) -> D
         for i, name in enumerate(names)
     ]
     if not entries:
-        return df.sparkSession.createDataFrame(
-            [],
+        return small_table(df.sparkSession, [],
             "ordinal int, dimension string, max_count bigint, min_count bigint, "
             "explosion_ratio double, unstable boolean",
         )
@@ -136,7 +136,7 @@ def duplicate_keys(df: DataFrame, key: str | None = None) -> DataFrame:
     if name is None:
         fields = [T.StructField("key", T.StringType()), T.StructField("duplicate_count", T.LongType())]
         schema = T.StructType([*fields, T.StructField("row_count", T.LongType())])
-        return df.sparkSession.createDataFrame([], schema)
+        return small_table(df.sparkSession, [], schema)
     return count_row(df, key=name).select(
         F.lit(name).alias("key"), F.col("duplicates").alias("duplicate_count"), "row_count"
     )

@@ -12,6 +12,7 @@ class FindingText:
     interpretation: str
     confidence: float
     relevance: float
+    module: str
     query_id: str
     caveats: tuple[str, ...] = ()
 
@@ -24,6 +25,7 @@ FINDING_TEXTS = {
         interpretation="High-level baseline metric for executive context.",
         confidence=0.8,
         relevance=0.85,
+        module="overview",
         query_id="overview_metric_{metric}",
     ),
     "date_coverage": FindingText(
@@ -32,6 +34,7 @@ FINDING_TEXTS = {
         interpretation="Useful for framing trend and seasonality confidence.",
         confidence=0.9,
         relevance=0.7,
+        module="overview",
         query_id="overview_date_coverage",
     ),
     "top_concentration": FindingText(
@@ -40,6 +43,7 @@ FINDING_TEXTS = {
         interpretation="Higher concentration can indicate exposure risk.",
         confidence=0.75,
         relevance=0.78,
+        module="overview",
         query_id="overview_top_segments_{metric}_{column}",
         caveats=("Contribution uses top-10 segment preview.",),
     ),
@@ -49,6 +53,7 @@ FINDING_TEXTS = {
         interpretation="Largest positive period-over-period movement.",
         confidence=0.78,
         relevance=0.82,
+        module="trends",
         query_id="trends_{metric}_{grain}",
     ),
     "decrease": FindingText(
@@ -57,6 +62,7 @@ FINDING_TEXTS = {
         interpretation="Largest negative period-over-period movement.",
         confidence=0.78,
         relevance=0.82,
+        module="trends",
         query_id="trends_{metric}_{grain}",
     ),
     "volatility": FindingText(
@@ -65,6 +71,7 @@ FINDING_TEXTS = {
         interpretation="Higher ratios indicate unstable trend behavior.",
         confidence=0.74,
         relevance=0.7,
+        module="trends",
         query_id="trends_{metric}_{grain}",
         caveats=("Computed from visible time series only.",),
     ),
@@ -74,6 +81,7 @@ FINDING_TEXTS = {
         interpretation="Potential change-points requiring diagnostic follow-up.",
         confidence=0.69,
         relevance=0.76,
+        module="trends",
         query_id="trends_{metric}_{grain}",
         caveats=("Anomaly flag is statistical, not causal.",),
     ),
@@ -83,6 +91,7 @@ FINDING_TEXTS = {
         interpretation="Largest contributor segment in current ranking.",
         confidence=0.82,
         relevance=0.85,
+        module="segments",
         query_id="segments_{metric}_{column}",
         caveats=("Based on current grouped aggregation.",),
     ),
@@ -92,6 +101,7 @@ FINDING_TEXTS = {
         interpretation="Higher share implies less concentration among leaders.",
         confidence=0.76,
         relevance=0.74,
+        module="segments",
         query_id="segments_{metric}_{column}",
     ),
     "concentration": FindingText(
@@ -100,6 +110,7 @@ FINDING_TEXTS = {
         interpretation="Higher index means fewer segments dominate results.",
         confidence=0.7,
         relevance=0.72,
+        module="segments",
         query_id="segments_{metric}_{column}",
     ),
     "spread": FindingText(
@@ -108,6 +119,7 @@ FINDING_TEXTS = {
         interpretation="Simple spread view for segment disparity.",
         confidence=0.72,
         relevance=0.79,
+        module="segments",
         query_id="segments_{metric}_{column}",
         caveats=("Loser comparison uses last row in returned segment ordering.",),
     ),
@@ -117,6 +129,7 @@ FINDING_TEXTS = {
         interpretation="{pattern}",
         confidence=0.68,
         relevance=0.81,
+        module="anomalies",
         query_id="anomalies_{metric}_{grain}",
         caveats=("Statistical anomaly does not imply root cause.",),
     ),
@@ -126,6 +139,7 @@ FINDING_TEXTS = {
         interpretation="Series looks relatively stable at selected grain.",
         confidence=0.72,
         relevance=0.55,
+        module="anomalies",
         query_id="anomalies_{metric}_{grain}",
         caveats=("Threshold-based detection can miss subtle anomalies.",),
     ),
@@ -135,6 +149,7 @@ FINDING_TEXTS = {
         interpretation="High null rates can lower confidence in downstream insights.",
         confidence=0.85,
         relevance=0.8,
+        module="diagnostics",
         query_id="diagnostics_missingness",
     ),
     "near_unique": FindingText(
@@ -143,6 +158,7 @@ FINDING_TEXTS = {
         interpretation="High-cardinality dimensions can create unstable segmentation outputs.",
         confidence=0.72,
         relevance=0.7,
+        module="diagnostics",
         query_id="diagnostics_sparse_dims",
     ),
     "instability": FindingText(
@@ -151,6 +167,7 @@ FINDING_TEXTS = {
         interpretation="Can indicate taxonomy drift or noisy identifiers leaking as dimensions.",
         confidence=0.68,
         relevance=0.73,
+        module="diagnostics",
         query_id="diagnostics_category_explosion",
         caveats=("Explosion ratio is month-to-month heuristic.",),
     ),
@@ -160,6 +177,7 @@ FINDING_TEXTS = {
         interpretation="Potential primary-key quality issue.",
         confidence=0.86,
         relevance=0.84,
+        module="diagnostics",
         query_id="diagnostics_duplicates",
     ),
     "no_alerts": FindingText(
@@ -168,6 +186,7 @@ FINDING_TEXTS = {
         interpretation="Dataset passes baseline diagnostic checks.",
         confidence=0.7,
         relevance=0.55,
+        module="diagnostics",
         query_id="diagnostics_summary",
         caveats=("Heuristic diagnostics do not replace full data QA.",),
     ),

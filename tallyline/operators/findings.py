@@ -1,20 +1,22 @@
 """Findings: building, scoring, ranking and the executive summary.
 
-A module reduces its data to a few statistics rows and unfolds each of them into findings, so all findings of a
-module come from one pass over the data.
+A module reduces its data to a few statistics rows. Each row yields facts, which are what was found and the values to
+word it with. The facts of all modules are then joined with the wordings.
 """
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.metrics import column
 from tallyline.functions.ordered import MAX_GROUP_ROWS, ordered_rows
+from tallyline.functions.small import small_table
 from tallyline.functions.text import contains_any, fill
-from tallyline.models import EVIDENCE_TYPE, FINDINGS_SCHEMA
 from tallyline.operators.finding_texts import FINDING_TEXTS
 
 # Weights, thresholds and defaults of the score.
@@ -51,61 +53,93 @@ NO_FOLLOW_UP = "Collect more data to produce actionable findings."
 DATASET_KEY = ("dataset_name",)
 
 
-def strings(*values: Column) -> Column:
-    return F.array(*values).cast("array<string>")
-
-
-def finding(
-    kind: str,
-    module: str,
-    table_name: str,
-    *,
-    dataset_name: Column,
-    task_no: Column,
-    finding_no: int,
-    impact: Column,
-    severity: Column,
-    dimensions: Column,
-    metric: Column | None = None,
-    caveats: Column | None = None,
-    **values: Column,
-) -> Column:
-    """One finding as a struct with the fields of ``FINDINGS_SCHEMA``."""
-    text = FINDING_TEXTS[kind]
-    metric = F.lit(None).cast("string") if metric is None else metric
-    values = {"metric": metric, **values}
-    evidence = F.struct(
-        F.lit(module).alias("module"),
-        fill(text.query_id, **values).alias("query_id"),
-        F.lit(table_name).alias("table_name"),
+@dataclass(frozen=True)
+class Fact:
+    """One possible finding of a statistics row, in SQL over the columns of the row.
+
+    The row has ``metric`` and ``dimensions`` columns; ``values`` fill the places of the wording.
+    """
+
+    kind: str
+    impact: str
+    severity: str
+    when: str = "true"
+    dimensions: str = "dimensions"
+    caveats: str = "null"
+    number: str = "0"
+    values: dict[str, str] = field(default_factory=dict)
+
+    def sql(self) -> str:
+        pairs = "".join(f", '{name}', string({value})" for name, value in self.values.items())
+        return (
+            f"if({self.when}, named_struct('kind', '{self.kind}', 'finding_no', int({self.number}), "
+            f"'metric', metric, 'dimensions', {self.dimensions}, 'impact_score', least(1.0D, double({self.impact})), "
+            f"'severity', {self.severity}, 'own_caveats', cast({self.caveats} AS array<string>), "
+            f"'values', map('metric', metric{pairs})), null)"
+        )
+
+
+def collect_facts(rows: DataFrame, task_no: Column, facts: Sequence[Fact]) -> DataFrame:
+    """The facts that hold for each row, all from one pass over the rows."""
+    made = ", ".join(fact.sql() for fact in facts)
+    return rows.select(task_no.cast("int").alias("task_no"), F.expr(f"inline(filter(array({made}), f -> f is not null))"))
+
+
+def _pieces(template: str) -> list[dict[str, str | None]]:
+    return [
+        {"text": part, "name": None} if place else {"text": None, "name": part}
+        for text, name, _, _ in string.Formatter().parse(template)
+        for place, part in ((True, text), (False, name))
+        if part
+    ]
+
+
+def _texts(spark: SparkSession) -> DataFrame:
+    """The wordings as a table, one row per kind of finding."""
+    pieces = "array<struct<text:string,name:string>>"
+    return small_table(
+        spark,
+        [
+            (
+                kind,
+                _pieces(text.title),
+                _pieces(text.observation),
+                _pieces(text.interpretation),
+                _pieces(text.query_id),
+                text.confidence,
+                text.relevance,
+                text.module,
+                list(text.caveats),
+            )
+            for kind, text in FINDING_TEXTS.items()
+        ],
+        f"kind string, title {pieces}, observation {pieces}, interpretation {pieces}, query_id {pieces}, "
+        "confidence double, relevance double, module string, caveats array<string>",
     )
-    fields = {
-        "dataset_name": dataset_name,
-        "task_no": task_no.cast("int"),
-        "finding_no": F.lit(finding_no),
-        "title": fill(text.title, **values),
-        "observation": fill(text.observation, **values),
-        "interpretation": fill(text.interpretation, **values),
-        "metric": metric,
-        "dimensions": dimensions,
-        "impact_score": F.least(F.lit(1.0), impact.cast("double")),
-        "confidence_score": F.lit(text.confidence),
-        "business_relevance_score": F.lit(text.relevance),
-        "severity": severity,
-        "caveats": strings(*map(F.lit, text.caveats)) if caveats is None else caveats,
-        "evidence": F.array(evidence.cast(EVIDENCE_TYPE)),
-    }
-    return F.struct(*[fields[name].alias(name) for name in FINDINGS_SCHEMA.names])
-
-
-def unfold(rows: DataFrame, entries: Sequence[tuple[Column, Column]]) -> DataFrame:
-    """The findings of each row: ``entries`` pairs a condition with a finding."""
-    none = F.lit(None).cast(FINDINGS_SCHEMA)
-    kept = F.filter(
-        F.array(*[F.when(condition, made.cast(FINDINGS_SCHEMA)).otherwise(none) for condition, made in entries]),
-        lambda made: made.isNotNull(),
+
+
+def _wording(name: str) -> Column:
+    return F.expr(
+        f"array_join(transform({name}, p -> coalesce(p.text, values[p.name], 'None')), '') AS {name}"
+    )
+
+
+def write_out(facts: DataFrame, dataset_name: str, table_name: str) -> DataFrame:
+    """Turn facts into findings. The wordings are a fixed table of a few rows, so they are sent to every task."""
+    return facts.join(F.broadcast(_texts(facts.sparkSession)), "kind").select(
+        F.lit(dataset_name).alias("dataset_name"),
+        "task_no",
+        "finding_no",
+        *map(_wording, ("title", "observation", "interpretation")),
+        "metric",
+        "dimensions",
+        "impact_score",
+        F.col("confidence").alias("confidence_score"),
+        F.col("relevance").alias("business_relevance_score"),
+        "severity",
+        F.coalesce("own_caveats", "caveats").alias("caveats"),
+        F.array(F.struct("module", _wording("query_id"), F.lit(table_name).alias("table_name"))).alias("evidence"),
     )
-    return rows.select(F.inline(kept))
 
 
 def _clamp(value: Column) -> Column:
@@ -201,7 +235,7 @@ def executive_summary(ranked: DataFrame, keys: Sequence[str] = DATASET_KEY) -> D
         F.flatten(in_order(first, "caveats")).alias("caveats"),
     )
     caveats = F.when(F.size("caveats") > 0, F.slice("caveats", 1, SUMMARY_CAVEATS)).otherwise(
-        strings(F.lit(NO_CAVEATS))
+        F.array(F.lit(NO_CAVEATS))
     )
     follow_ups = F.transform(
         F.slice("top_findings", 1, SUMMARY_FOLLOW_UPS), lambda title: fill(FOLLOW_UP, title=title)
@@ -218,7 +252,8 @@ def executive_summary(ranked: DataFrame, keys: Sequence[str] = DATASET_KEY) -> D
 
 def summary_or_default(ranked: DataFrame, dataset_name: str) -> DataFrame:
     """The summary of one data set, with the default texts when it has no findings."""
-    default = ranked.sparkSession.createDataFrame(
+    default = small_table(
+        ranked.sparkSession,
         [(dataset_name, NO_FINDINGS, [], [], [NO_CAVEATS], [NO_FOLLOW_UP])],
         "dataset_name string, headline string, top_findings array<string>, key_risks array<string>, "
         "caveats array<string>, follow_up_questions array<string>",

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.metrics import column
+from tallyline.functions.small import small_table
 from tallyline.functions.text import fill, number_text
 from tallyline.operators.profile import type_class
 
@@ -90,8 +91,7 @@ def top_insight(
         best = F.coalesce(*[F.col(f"best{i}") for i in range(len(metrics))])
         row = numbered.agg(*aggregates).select(best.alias("best")).select("best.*")
     else:
-        row = result.sparkSession.createDataFrame(
-            [(None, None, None, None)], "metric string, value double, value_text string, label string"
+        row = small_table(result.sparkSession, [(None, None, None, None)], "metric string, value double, value_text string, label string"
         )
     lead = F.lit(LEAD.format(question=question, rows=total, ms=duration_ms))
     insight = fill(
@@ -146,7 +146,7 @@ def chart_series(result: DataFrame, has_rows: bool = True) -> DataFrame:
     hint = chart_hint(result.columns, has_rows)
     axes = None if hint is None else chart_axes(result, hint)
     if axes is None:
-        return result.sparkSession.createDataFrame([], "hint string, label string, value double")
+        return small_table(result.sparkSession, [], "hint string, label string, value double")
     label, value = axes
     return result.select(
         F.lit(hint).alias("hint"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.functions.metrics import column, metric_column
+from tallyline.functions.small import small_table
 from tallyline.functions.periods import as_timestamp
 from tallyline.functions.text import number_text
 from tallyline.models import SemanticModel
@@ -42,8 +43,7 @@ def headlines(row: DataFrame, model: SemanticModel) -> DataFrame:
             )
         )
     if not entries:
-        return row.sparkSession.createDataFrame(
-            [], "ordinal int, metric string, value double, value_text string, impact double"
+        return small_table(row.sparkSession, [], "ordinal int, metric string, value double, value_text string, impact double"
         )
     impact = F.least(F.lit(1.0), F.abs(F.coalesce("value", F.lit(0.0))) / HEADLINE_SCALE)
     return row.select(F.inline(F.array(*entries))).withColumn("impact", impact)

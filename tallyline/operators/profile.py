@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.functions.metrics import column
+from tallyline.functions.small import small_table
 from tallyline.functions.periods import as_timestamp, is_time
 from tallyline.functions.quantiles import exact_medians
 
@@ -43,7 +44,7 @@ def type_class(data_type: T.DataType) -> str:
 def _per_column(one_row: DataFrame, fields: list[T.StructField], entries: list[Column]) -> DataFrame:
     """Turn a one-row aggregate into one row per column."""
     if not entries:
-        return one_row.sparkSession.createDataFrame([], T.StructType(fields))
+        return small_table(one_row.sparkSession, [], T.StructType(fields))
     return one_row.select(F.inline(F.array(*entries)))
 
 
@@ -146,7 +147,7 @@ def top_values(df: DataFrame, row_count: int | None = None) -> DataFrame:
     fields = [f for f in df.schema.fields if type_class(f.dataType) != "nested"]
     rows = df.count() if row_count is None else row_count
     if rows > EXACT_DISTINCT_ROWS or not fields:
-        return df.sparkSession.createDataFrame([], "column string, value string, count bigint, place int")
+        return small_table(df.sparkSession, [], "column string, value string, count bigint, place int")
     pairs = [
         F.struct(F.lit(f.name).alias("column"), column(f.name).cast("string").alias("value")) for f in fields
     ]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.metrics import METRIC_PATTERN, metric_column
+from tallyline.functions.small import small_table
 from tallyline.models import Dimension, Metric, SemanticConfig, SemanticModel
 
 # Fixed values.
@@ -116,14 +117,14 @@ def model_from_config(
 
 def metrics_table(df: DataFrame, model: SemanticModel) -> DataFrame:
     rows = [(i, m.name, m.sql, m.description, m.confidence, list(m.caveats)) for i, m in enumerate(model.metrics, 1)]
-    return df.sparkSession.createDataFrame(rows, METRICS_SCHEMA)
+    return small_table(df.sparkSession, rows, METRICS_SCHEMA)
 
 
 def dimensions_table(df: DataFrame, model: SemanticModel) -> DataFrame:
     rows = [
         (i, d.name, d.column, d.grain, d.description, d.confidence) for i, d in enumerate(model.dimensions, 1)
     ]
-    return df.sparkSession.createDataFrame(rows, DIMENSIONS_SCHEMA)
+    return small_table(df.sparkSession, rows, DIMENSIONS_SCHEMA)
 
 
 def semantic_problems(
@@ -162,7 +163,7 @@ def semantic_problems(
     if time_column is not None:
         spark = columns.sparkSession
         bad_time = (
-            spark.createDataFrame([(time_column,)], "name string")
+            small_table(spark, [(time_column,)], "name string")
             .join(known, F.col("name") == F.col("known"), "left_anti")
             .select(*problem("unknown_time_column", F.col("name"), F.col("name")))
         )
@@ -192,8 +193,8 @@ def validate_model(df: DataFrame, model: SemanticModel) -> SemanticModel:
     problems = semantic_problems(
         metrics_table(df, model),
         dimensions_table(df, model),
-        spark.createDataFrame([(name,) for name in df.columns], "column string"),
-        spark.createDataFrame([(rule,) for rule in model.business_rules], "rule string"),
+        small_table(spark, [(name,) for name in df.columns], "column string"),
+        small_table(spark, [(rule,) for rule in model.business_rules], "rule string"),
         model.preferred_time_dimension,
     ).collect()
     if problems:

@@ -1,15 +1,18 @@
-"""The five analyses of a report: statistics and the findings made of them.
+"""The five analyses of a report.
 
-Every function returns ``(findings, raw outputs)``. Tasks that differ only in the metric share one scan.
+Every function returns the facts it found and its raw outputs; the latter are made only when asked for. Tasks that
+differ only in the metric share one scan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from tallyline.functions.periods import ANOMALY_GRAINS, TREND_GRAINS
-from tallyline.functions.text import fixed, percent
+from tallyline.functions.small import small_table
 from tallyline.models import AnalysisTask, SemanticModel
 from tallyline.operators import diagnostics as checks
 from tallyline.operators import overview, segments, series
@@ -20,106 +23,77 @@ from tallyline.operators.finding_texts import (
     NULL_METRIC_CAVEAT,
     QUIET_IMPACT,
 )
-from tallyline.operators.findings import finding, strings, unfold, unless_others
+from tallyline.operators.findings import Fact, collect_facts, unless_others
 
 NumberedTask = tuple[int, AnalysisTask]
-Output = tuple[DataFrame, dict[str, DataFrame]]
+RawOutputs = dict[str, Callable[[], DataFrame]]
+Output = tuple[DataFrame, RawOutputs]
+
+NO_ALERTS = "no_alerts"
+HIGH_VOLATILITY = 0.5
+
 
-NO_ALERTS_NO = 9
+def _two(value: str) -> str:
+    return f"format_string('%.2f', double({value}))"
 
 
-def _level(condition: Column, yes: str, no: str) -> Column:
-    return F.when(condition, yes).otherwise(no)
+def _percent(value: str) -> str:
+    return f"format_string('%.1f%%', 100.0D * {value})"
+
+
+def _named(rows: DataFrame, metric: str | None, dimensions: list[str]) -> DataFrame:
+    """Add the metric and the dimensions the facts of these rows are about."""
+    return rows.withColumns(
+        {
+            "metric": F.lit(metric).cast("string"),
+            "dimensions": F.lit(dimensions) if dimensions else F.array().cast("array<string>"),
+        }
+    )
 
 
 def overview_module(df: DataFrame, model: SemanticModel, task_no: int) -> Output:
-    common = {"dataset_name": F.lit(model.dataset_name), "task_no": F.lit(task_no)}
+    number = F.lit(task_no)
     row = overview.headline_row(df, model)
     headlines = overview.headlines(row, model)
-    raw = {"headline_metrics": headlines}
-    missing = F.col("value").isNull()
-    found = unfold(
-        headlines.withColumn("position", F.col("ordinal")),
-        [
-            (
-                F.lit(True),
-                finding(
-                    "headline",
-                    "overview",
-                    model.table_name,
-                    finding_no=0,
-                    impact=F.col("impact"),
-                    severity=F.lit("medium"),
-                    dimensions=strings(),
-                    metric=F.col("metric"),
-                    caveats=F.when(missing, strings(F.lit(NULL_METRIC_CAVEAT))).otherwise(strings()),
-                    value=F.col("value_text"),
-                    **common,
-                ).withField("finding_no", F.col("position")),
-            )
-        ],
+    raw: RawOutputs = {"headline_metrics": lambda: headlines}
+    shown = headlines.withColumn("dimensions", F.array().cast("array<string>"))
+    headline = Fact(
+        "headline",
+        impact="impact",
+        severity="'medium'",
+        number="ordinal",
+        caveats=f"if(value is null, array('{NULL_METRIC_CAVEAT}'), array())",
+        values={"value": "value_text"},
     )
+    facts = collect_facts(shown, number, [headline])
     if model.preferred_time_dimension:
-        raw["date_coverage"] = row.select("min_date", "max_date")
-        found = found.unionByName(
-            unfold(
-                row,
-                [
-                    (
-                        F.lit(True),
-                        finding(
-                            "date_coverage",
-                            "overview",
-                            model.table_name,
-                            finding_no=overview.HEADLINE_METRICS,
-                            impact=F.lit(DATE_COVERAGE_IMPACT),
-                            severity=F.lit("low"),
-                            dimensions=strings(F.lit(model.preferred_time_dimension)),
-                            min_date=F.col("min_date"),
-                            max_date=F.col("max_date"),
-                            **common,
-                        ),
-                    )
-                ],
-            )
+        raw["date_coverage"] = lambda: row.select("min_date", "max_date")
+        coverage = Fact(
+            "date_coverage",
+            impact=str(DATE_COVERAGE_IMPACT),
+            severity="'low'",
+            number=str(overview.HEADLINE_METRICS),
+            values={"min_date": "min_date", "max_date": "max_date"},
+        )
+        facts = facts.unionByName(
+            collect_facts(_named(row, None, [model.preferred_time_dimension]), number, [coverage])
         )
     if model.metrics and model.dimensions:
         metric, dimension = model.metrics[0], model.dimensions[0]
-        raw["segment_contribution"] = segments.segment_ranking(
+        raw["segment_contribution"] = lambda: segments.segment_ranking(
             df, metric.sql, dimension.column, max_segments=segments.TOP_SEGMENTS
         )
         top = segments.top_concentration(df, metric.sql, dimension.column)
-        found = found.unionByName(
-            unfold(
-                top,
-                [
-                    (
-                        F.lit(True),
-                        finding(
-                            "top_concentration",
-                            "overview",
-                            model.table_name,
-                            finding_no=overview.HEADLINE_METRICS + 1,
-                            impact=F.col("top_share"),
-                            severity=F.col("severity"),
-                            dimensions=strings(F.lit(dimension.name)),
-                            metric=F.lit(metric.name),
-                            dimension=F.lit(dimension.name),
-                            column=F.lit(dimension.column),
-                            share=percent(F.col("top_share")),
-                            **common,
-                        ),
-                    )
-                ],
-            )
+        top = _named(top, metric.name, [dimension.name]).withColumn("column", F.lit(dimension.column))
+        concentration = Fact(
+            "top_concentration",
+            impact="top_share",
+            severity="severity",
+            number=str(overview.HEADLINE_METRICS + 1),
+            values={"dimension": "dimensions[0]", "column": "column", "share": _percent("top_share")},
         )
-    return found, raw
-
-
-def _metric_tasks(df: DataFrame, tasks: list[NumberedTask]) -> DataFrame:
-    """The tasks as a table, one row per metric, so that a metric without data keeps its findings."""
-    rows = [(task.metric, task_no) for task_no, task in tasks]
-    return df.sparkSession.createDataFrame(rows, "metric string, task_no int")
+        facts = facts.unionByName(collect_facts(top, number, [concentration]))
+    return facts, raw
 
 
 def _task_series(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask], grains: tuple[str, ...]) -> DataFrame:
@@ -134,182 +108,132 @@ def _task_series(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask],
     return series.long_series(wide, names)
 
 
+def _per_task(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask], summary: DataFrame) -> DataFrame:
+    """The summary of each task's metric, one row per task, so that a metric without data keeps its findings."""
+    rows = [(task.metric, task_no, task.grain, [model.time_column()]) for task_no, task in tasks]
+    known = small_table(df.sparkSession, rows, "metric string, task_no int, grain string, dimensions array<string>")
+    return known.join(summary, "metric", "left")
+
+
 def trends_module(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask]) -> Output:
     """Trends of several metrics at one grain."""
-    grain = tasks[0][1].grain
     long = _task_series(df, model, tasks, TREND_GRAINS)
-    summary = series.trend_summary(long, by=["metric"])
-    rows = _metric_tasks(df, tasks).join(summary, "metric", "left")
-    ratio = F.coalesce("volatility_ratio", F.lit(0.0))
-
-    def entry(kind: str, number: int, when: Column, **parts) -> tuple[Column, Column]:
-        made = finding(
-            kind,
-            "trends",
-            model.table_name,
-            dataset_name=F.lit(model.dataset_name),
-            task_no=F.col("task_no"),
-            finding_no=number,
-            dimensions=strings(F.lit(model.time_column())),
-            metric=F.col("metric"),
-            grain=F.lit(grain),
-            **parts,
-        )
-        return when, made
-
-    found = unfold(
-        rows,
-        [
-            entry(
-                "increase",
-                0,
-                F.col("max_increase").isNotNull(),
-                impact=F.col("increase_impact"),
-                severity=F.lit("medium"),
-                delta=fixed(F.col("max_increase"), 2),
-                period=F.col("max_increase_period"),
-            ),
-            entry(
-                "decrease",
-                1,
-                F.col("max_decrease").isNotNull(),
-                impact=F.col("decrease_impact"),
-                severity=_level(F.col("max_decrease") < 0, "high", "low"),
-                delta=fixed(F.col("max_decrease"), 2),
-                period=F.col("max_decrease_period"),
-            ),
-            entry(
-                "volatility",
-                2,
-                F.lit(True),
-                impact=ratio,
-                severity=_level(ratio > 0.5, "high", "medium"),
-                ratio=fixed(ratio, 2),
-            ),
-            entry(
-                "spikes",
-                3,
-                F.col("spikes") > 0,
-                impact=F.col("spikes") / F.greatest(F.col("periods"), F.lit(1)),
-                severity=F.lit("medium"),
-                count=F.col("spikes"),
-            ),
-        ],
-    )
+    rows = _per_task(df, model, tasks, series.trend_summary(long, by=["metric"]))
+    ratio = "coalesce(volatility_ratio, 0.0D)"
+    facts = [
+        Fact(
+            "increase",
+            when="max_increase is not null",
+            impact="increase_impact",
+            severity="'medium'",
+            number="0",
+            values={"grain": "grain", "delta": _two("max_increase"), "period": "max_increase_period"},
+        ),
+        Fact(
+            "decrease",
+            when="max_decrease is not null",
+            impact="decrease_impact",
+            severity="if(max_decrease < 0, 'high', 'low')",
+            number="1",
+            values={"grain": "grain", "delta": _two("max_decrease"), "period": "max_decrease_period"},
+        ),
+        Fact(
+            "volatility",
+            impact=ratio,
+            severity=f"if({ratio} > {HIGH_VOLATILITY}, 'high', 'medium')",
+            number="2",
+            values={"grain": "grain", "ratio": _two(ratio)},
+        ),
+        Fact(
+            "spikes",
+            when="spikes > 0",
+            impact="spikes / greatest(periods, 1)",
+            severity="'medium'",
+            number="3",
+            values={"grain": "grain", "count": "spikes"},
+        ),
+    ]
     raw = {
-        "series": long,
-        "deltas": series.trend_deltas(long, ["metric"]),
-        "volatility_ratio": summary.select("metric", "volatility_ratio"),
-        "spike_flags": series.trend_spikes(long, ["metric"]),
+        "series": lambda: long,
+        "deltas": lambda: series.trend_deltas(long, ["metric"]),
+        "volatility_ratio": lambda: series.trend_summary(long, ["metric"]).select("metric", "volatility_ratio"),
+        "spike_flags": lambda: series.trend_spikes(long, ["metric"]),
     }
-    return found, raw
+    return collect_facts(rows, F.col("task_no"), facts), raw
 
 
 def anomalies_module(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask]) -> Output:
     """Anomalies of several metrics at one grain."""
-    grain = tasks[0][1].grain
     long = _task_series(df, model, tasks, ANOMALY_GRAINS)
-    summary = series.anomaly_summary(long, by=["metric"])
-    rows = _metric_tasks(df, tasks).join(summary, "metric", "left")
-    count = F.coalesce("anomalies", F.lit(0))
-    pattern = F.when(count >= series.PERSISTENT_ANOMALIES, ANOMALY_PATTERNS["persistent"]).otherwise(
-        ANOMALY_PATTERNS["one-off"]
-    )
-
-    def entry(kind: str, when: Column, **parts) -> tuple[Column, Column]:
-        made = finding(
-            kind,
+    rows = _per_task(df, model, tasks, series.anomaly_summary(long, by=["metric"]))
+    persistent, once = ANOMALY_PATTERNS["persistent"], ANOMALY_PATTERNS["one-off"]
+    facts = [
+        Fact(
             "anomalies",
-            model.table_name,
-            dataset_name=F.lit(model.dataset_name),
-            task_no=F.col("task_no"),
-            finding_no=0,
-            dimensions=strings(F.lit(model.time_column())),
-            metric=F.col("metric"),
-            grain=F.lit(grain),
-            **parts,
-        )
-        return when, made
-
-    found = unfold(
-        rows,
-        [
-            entry(
-                "anomalies",
-                count > 0,
-                impact=F.col("share"),
-                severity=F.col("severity"),
-                count=count,
-                pattern=pattern,
-            ),
-            entry("no_anomalies", count == 0, impact=F.lit(QUIET_IMPACT), severity=F.lit("low")),
-        ],
-    )
-    return found, {"series": long, "anomalies": series.anomaly_flags(long, ["metric"])}
+            when="anomalies > 0",
+            impact="share",
+            severity="severity",
+            values={
+                "grain": "grain",
+                "count": "anomalies",
+                "pattern": f"if(anomalies >= {series.PERSISTENT_ANOMALIES}, '{persistent}', '{once}')",
+            },
+        ),
+        Fact(
+            "no_anomalies",
+            when="coalesce(anomalies, 0) = 0",
+            impact=str(QUIET_IMPACT),
+            severity="'low'",
+            values={"grain": "grain"},
+        ),
+    ]
+    raw = {"series": lambda: long, "anomalies": lambda: series.anomaly_flags(long, ["metric"])}
+    return collect_facts(rows, F.col("task_no"), facts), raw
 
 
 def segments_module(df: DataFrame, model: SemanticModel, task_no: int, task: AnalysisTask) -> Output:
     metric, dimension = model.metric(task.metric), model.dimension(task.dimension)
     summary = segments.segment_summary(df, metric.sql, dimension.column)
-
-    def entry(kind: str, number: int, **parts) -> tuple[Column, Column]:
-        made = finding(
-            kind,
-            "segments",
-            model.table_name,
-            dataset_name=F.lit(model.dataset_name),
-            task_no=F.lit(task_no),
-            finding_no=number,
-            dimensions=strings(F.lit(dimension.name)),
-            metric=F.lit(metric.name),
-            dimension=F.lit(dimension.name),
-            column=F.lit(dimension.column),
-            **parts,
-        )
-        return F.lit(True), made
-
-    index = F.col("concentration")
-    found = unfold(
-        summary,
-        [
-            entry(
-                "leader",
-                0,
-                impact=F.col("leader_impact"),
-                severity=F.lit("medium"),
-                winner=F.col("winner"),
-                value=F.col("winner_text"),
-            ),
-            entry(
-                "long_tail",
-                1,
-                impact=F.col("long_tail_share"),
-                severity=_level(F.col("long_tail_share") < segments.LOW_TAIL_SHARE, "high", "low"),
-                share=percent(F.col("long_tail_share")),
-            ),
-            entry(
-                "concentration",
-                2,
-                impact=index * segments.CONCENTRATION_IMPACT,
-                severity=_level(index >= segments.HIGH_CONCENTRATION, "high", "medium"),
-                index=fixed(index, 3),
-            ),
-            entry(
-                "spread",
-                3,
-                impact=F.col("spread_impact"),
-                severity=F.lit("medium"),
-                winner=F.col("winner"),
-                loser=F.col("loser"),
-                spread=fixed(F.col("spread"), 2),
-            ),
-        ],
-    )
+    rows = _named(summary, metric.name, [dimension.name]).withColumn("column", F.lit(dimension.column))
+    common = {"dimension": "dimensions[0]", "column": "column"}
+    facts = [
+        Fact(
+            "leader",
+            impact="leader_impact",
+            severity="'medium'",
+            number="0",
+            values={**common, "winner": "winner", "value": "winner_text"},
+        ),
+        Fact(
+            "long_tail",
+            impact="long_tail_share",
+            severity=f"if(long_tail_share < {segments.LOW_TAIL_SHARE}, 'high', 'low')",
+            number="1",
+            values={**common, "share": _percent("long_tail_share")},
+        ),
+        Fact(
+            "concentration",
+            impact=f"concentration * {segments.CONCENTRATION_IMPACT}",
+            severity=f"if(concentration >= {segments.HIGH_CONCENTRATION}, 'high', 'medium')",
+            number="2",
+            values={**common, "index": "format_string('%.3f', concentration)"},
+        ),
+        Fact(
+            "spread",
+            impact="spread_impact",
+            severity="'medium'",
+            number="3",
+            values={**common, "winner": "winner", "loser": "loser", "spread": _two("spread")},
+        ),
+    ]
     raw = {
-        "segment_rows": segments.segment_ranking(df, metric.sql, dimension.column),
-        "summary": summary.select("long_tail_share", "concentration"),
+        "segment_rows": lambda: segments.segment_ranking(df, metric.sql, dimension.column),
+        "top_segments": lambda: segments.segment_ranking(
+            df, metric.sql, dimension.column, max_segments=segments.TOP_SEGMENTS
+        ),
+        "summary": lambda: summary.select("long_tail_share", "concentration"),
     }
-    return found, raw
+    return collect_facts(rows, F.lit(task_no), facts), raw
 
 
 def _counts(df: DataFrame, model: SemanticModel, profile: list[Row] | None, key: str | None) -> DataFrame:
@@ -318,16 +242,30 @@ def _counts(df: DataFrame, model: SemanticModel, profile: list[Row] | None, key:
     if profile is None:
         return checks.count_row(df, df.columns, dimensions, key)
     known = {row["column"]: row for row in profile}
-    nulls = [F.lit(known[name]["null_count"]).alias(f"nulls{i}") for i, name in enumerate(df.columns)]
-    distinct = {name: known[name]["distinct_count"] for name in [*dimensions, *([key] if key else [])]}
-    if None in distinct.values() or not profile:
-        return checks.count_row(df, (), dimensions, key).select("*", *nulls)
+    nulls = {f"nulls{i}": known[name]["null_count"] for i, name in enumerate(df.columns)}
+    distinct = {f"distinct{i}": known[name]["distinct_count"] for i, name in enumerate(dimensions)}
+    keys = {"duplicates": known[key]["distinct_count"]} if key else {}
+    if None in distinct.values() or None in keys.values() or not profile:
+        counted = checks.count_row(df, (), dimensions, key)
+        return counted.withColumns({name: F.lit(count).cast("bigint") for name, count in nulls.items()})
     rows = profile[0]["row_count"]
-    counts = [F.lit(rows).alias("row_count")]
-    counts += [F.lit(distinct[name]).alias(f"distinct{i}") for i, name in enumerate(dimensions)]
-    if key:
-        counts.append(F.lit(rows - distinct[key]).alias("duplicates"))
-    return df.sparkSession.range(1).select(*counts, *nulls)
+    values = {"row_count": rows, **nulls, **distinct, **{name: rows - count for name, count in keys.items()}}
+    fields = ", ".join(f"{name} bigint" for name in values)
+    return small_table(df.sparkSession, [tuple(values.values())], fields)
+
+
+def _shares(prefix: str, names: list[str]) -> str:
+    """SQL for an array of (name, value) with the shares of the rows that ``prefix<i>`` counts."""
+    entries = ", ".join(
+        f"named_struct('ordinal', {i}, 'name', column_names[{i}], "
+        f"'value', if(row_count > 0, {prefix}{i} / row_count, 0.0D))"
+        for i in range(len(names))
+    )
+    return f"array({entries})"
+
+
+def _listed(items: str, value: Callable[[str], str]) -> str:
+    return f"array_join(transform({items}, x -> concat(x.name, ' (', {value('x.value')}, ')')), ', ')"
 
 
 def diagnostics_module(
@@ -338,141 +276,84 @@ def diagnostics_module(
     names = [item.name for item in dimensions]
     counts = _counts(df, model, profile, key)
 
-    def share(part: Column) -> Column:
-        return F.when(F.col("row_count") > 0, part / F.col("row_count")).otherwise(F.lit(0.0))
-
-    def listed(items: Column, value) -> Column:
-        return F.array_join(
-            F.transform(items, lambda item: F.concat(item["name"], F.lit(" ("), value(item["value"]), F.lit(")"))),
-            ", ",
-        )
-
-    # Sorted by rate descending, then by schema order.
-    worst = F.slice(
-        F.array_sort(
-            F.array(
-                *[
-                    F.struct(
-                        (-share(F.col(f"nulls{i}"))).alias("sort"),
-                        F.lit(i).alias("ordinal"),
-                        F.lit(name).alias("name"),
-                        share(F.col(f"nulls{i}")).alias("value"),
-                    )
-                    for i, name in enumerate(df.columns)
-                ]
-            )
-        ),
-        1,
-        checks.WORST_COLUMNS,
+    worst_first = (
+        "(a, b) -> case when a.value > b.value then -1 when a.value < b.value then 1 else a.ordinal - b.ordinal end"
     )
-    ratios = F.array(
-        *[
-            F.struct(F.lit(name).alias("name"), share(F.col(f"distinct{i}")).alias("value"))
-            for i, name in enumerate(names)
-        ]
+    rows = _named(counts, None, []).withColumn("column_names", F.lit(df.columns))
+    rows = rows.withColumn(
+        "worst", F.expr(f"slice(array_sort({_shares('nulls', df.columns)}, {worst_first}), 1, {checks.WORST_COLUMNS})")
     )
-    rows = counts.withColumn("worst", worst).withColumn("worst_rate", F.col("worst")[0]["value"])
-    if names:
-        near_unique = F.filter(ratios, lambda item: item["value"] > checks.CARDINALITY_RATIO)
-    else:
-        near_unique = F.array().cast("array<struct<name:string,value:double>>")
-    rows = rows.withColumn("near_unique", near_unique)
-    rows = rows.withColumn("near_unique_listed", F.slice("near_unique", 1, LISTED_DIMENSIONS))
-
-    def entry(kind: str, number: int, when: Column, **parts) -> tuple[Column, Column]:
-        made = finding(
-            kind,
-            "diagnostics",
-            model.table_name,
-            dataset_name=F.lit(model.dataset_name),
-            task_no=F.lit(task_no),
-            finding_no=number,
-            **parts,
-        )
-        return when, made
-
-    entries = [
-        entry(
+    facts = [
+        Fact(
             "missing",
-            0,
-            F.col("worst_rate") > checks.MISSING_RATE,
-            impact=F.col("worst_rate"),
-            severity=_level(F.col("worst_rate") > checks.MISSING_HIGH_RATE, "high", "medium"),
-            dimensions=F.col("worst")["name"],
-            list=listed(F.col("worst"), percent),
-        ),
-        entry(
-            "near_unique",
-            1,
-            F.size("near_unique") > 0,
-            impact=F.array_max(F.col("near_unique")["value"]),
-            severity=F.lit("medium"),
-            dimensions=F.col("near_unique_listed")["name"],
-            list=listed(F.col("near_unique_listed"), percent),
-        ),
-        entry(
-            "no_alerts",
-            NO_ALERTS_NO,
-            F.lit(True),
-            impact=F.lit(QUIET_IMPACT),
-            severity=F.lit("low"),
-            dimensions=strings(),
+            when=f"worst[0].value > {checks.MISSING_RATE}",
+            impact="worst[0].value",
+            severity=f"if(worst[0].value > {checks.MISSING_HIGH_RATE}, 'high', 'medium')",
+            dimensions="worst.name",
+            number="0",
+            values={"list": _listed("worst", _percent)},
         ),
+        Fact(NO_ALERTS, impact=str(QUIET_IMPACT), severity="'low'", number="4"),
     ]
+    if names:
+        rows = rows.withColumn("column_names", F.lit(names)).withColumn(
+            "near_unique",
+            F.expr(f"filter({_shares('distinct', names)}, x -> x.value > {checks.CARDINALITY_RATIO})"),
+        )
+        some = f"slice(near_unique, 1, {LISTED_DIMENSIONS})"
+        facts.append(
+            Fact(
+                "near_unique",
+                when="size(near_unique) > 0",
+                impact="array_max(near_unique.value)",
+                severity="'medium'",
+                dimensions=f"{some}.name",
+                number="1",
+                values={"list": _listed(some, _percent)},
+            )
+        )
     if key is not None:
-        entries.append(
-            entry(
+        rows = rows.withColumn("key", F.lit(key))
+        facts.append(
+            Fact(
                 "duplicates",
-                3,
-                F.col("duplicates") > 0,
-                impact=F.col("duplicates") / F.greatest(F.col("row_count"), F.lit(1)),
-                severity=F.lit("high"),
-                dimensions=strings(F.lit(key)),
-                count=F.col("duplicates"),
-                key=F.lit(key),
+                when="duplicates > 0",
+                impact="duplicates / greatest(row_count, 1)",
+                severity="'high'",
+                dimensions="array(key)",
+                number="3",
+                values={"count": "duplicates", "key": "key"},
             )
         )
-    found = unfold(rows, entries)
-    raw = {
-        "missingness": checks.missing_table(counts, df.columns),
-        "sparse_dimensions": checks.cardinality_table(counts, names) if names else None,
-        "duplicate_keys": None
-        if key is None
-        else counts.select(F.lit(key).alias("key"), F.col("duplicates").alias("duplicate_count")),
-    }
+    found = collect_facts(rows, F.lit(task_no), facts)
+    raw: RawOutputs = {"missingness": lambda: checks.missing_table(counts, df.columns)}
+    if names:
+        raw["sparse_dimensions"] = lambda: checks.cardinality_table(counts, names)
+    if key is not None:
+        raw["duplicate_keys"] = lambda: counts.selectExpr("duplicates AS duplicate_count").withColumn(
+            "key", F.lit(key)
+        )
 
     if model.preferred_time_dimension and names:
         few = dimensions[: checks.INSTABILITY_DIMENSIONS]
         ranges = checks.instability(df, model.preferred_time_dimension, [item.column for item in few])
-        raw["category_instability"] = ranges
-        unstable = ranges.filter("unstable").agg(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        "ordinal",
-                        F.element_at(F.array(*[F.lit(item.name) for item in few]), F.col("ordinal") + 1).alias("name"),
-                        F.col("explosion_ratio").alias("value"),
-                    )
-                )
-            ).alias("unstable")
-        )
-        top = F.slice("unstable", 1, LISTED_DIMENSIONS)
-        found = found.unionByName(
-            unfold(
-                unstable,
-                [
-                    entry(
-                        "instability",
-                        2,
-                        F.size("unstable") > 0,
-                        impact=F.least(F.lit(1.0), F.array_max(F.col("unstable")["value"]))
-                        / checks.INSTABILITY_SCALE,
-                        severity=F.lit("medium"),
-                        dimensions=top["name"],
-                        list=listed(top, lambda value: F.concat(fixed(value, 2), F.lit("x"))),
-                    )
-                ],
+        raw["category_instability"] = lambda: ranges
+        listed = ranges.withColumn("column_names", F.lit([item.name for item in few]))
+        unstable = listed.filter("unstable").agg(
+            F.expr(
+                "array_sort(collect_list(named_struct("
+                "'ordinal', ordinal, 'name', column_names[ordinal], 'value', explosion_ratio))) AS unstable"
             )
         )
-    found = unless_others(found, F.col("finding_no") == NO_ALERTS_NO, ("dataset_name",))
-    return found, {name: table for name, table in raw.items() if table is not None}
+        some = f"slice(unstable, 1, {LISTED_DIMENSIONS})"
+        explosion = Fact(
+            "instability",
+            when="size(unstable) > 0",
+            impact=f"least(1.0D, array_max(unstable.value)) / {checks.INSTABILITY_SCALE}",
+            severity="'medium'",
+            dimensions=f"{some}.name",
+            number="2",
+            values={"list": _listed(some, lambda value: f"concat({_two(value)}, 'x')")},
+        )
+        found = found.unionByName(collect_facts(_named(unstable, None, []), F.lit(task_no), [explosion]))
+    return unless_others(found, F.col("kind") == NO_ALERTS, ("task_no",)), raw

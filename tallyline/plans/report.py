@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
 
+from tallyline.functions.small import small_table
 from tallyline.models import AnalysisTask, SemanticModel
-from tallyline.operators.findings import rank_findings, summary_or_default
+from tallyline.operators.findings import rank_findings, summary_or_default, write_out
 from tallyline.operators.profile import column_profile
 from tallyline.operators.semantic import build_semantic_model, validate_model
 from tallyline.plans import modules
@@ -20,7 +23,11 @@ TOP_FINDINGS = 3
 
 @dataclass(frozen=True)
 class AnalysisReport:
-    """A planned report. The tables are lazy; ``findings`` has the module scores, ``ranked`` the final ones."""
+    """A planned report.
+
+    The tables are lazy: ``findings`` has the scores of the modules, ``ranked`` the final ones. ``raw_outputs`` has,
+    for every ``module:priority``, functions that make the tables behind the findings.
+    """
 
     dataset_name: str
     question: str
@@ -28,7 +35,7 @@ class AnalysisReport:
     model: SemanticModel
     tasks: list[AnalysisTask]
     findings: DataFrame
-    raw_outputs: dict[str, dict[str, DataFrame]] = field(default_factory=dict)
+    raw_outputs: dict[str, modules.RawOutputs] = field(default_factory=dict)
 
     @property
     def ranked(self) -> DataFrame:
@@ -46,45 +53,45 @@ class AnalysisReport:
 
 def run_tasks(
     df: DataFrame, model: SemanticModel, tasks: list[AnalysisTask], profile: list[Row] | None = None
-) -> tuple[DataFrame, dict[str, dict[str, DataFrame]]]:
-    """The findings of all tasks and the raw outputs by ``module:priority``.
+) -> tuple[DataFrame, dict[str, modules.RawOutputs]]:
+    """The findings of all tasks, and the raw outputs by ``module:priority``.
 
     Trend and anomaly tasks of one grain are analysed together, because they aggregate the same rows to the same
     periods.
     """
     numbered = list(enumerate(tasks, 1))
-    outputs: list[DataFrame] = []
-    raw: dict[str, dict[str, DataFrame]] = {}
-    done: set[int] = set()
+    facts: list[DataFrame] = []
+    raw: dict[str, modules.RawOutputs] = {}
     for task_no, task in numbered:
-        if task_no in done:
+        name = f"{task.module}:{task.priority}"
+        if name in raw:
             continue
-        together = [(task_no, task)]
         if task.module in ("trends", "anomalies"):
             if not task.metric:
                 raise ValueError(f"{task.module} task requires a metric")
-            together = [item for item in numbered if (item[1].module, item[1].grain) == (task.module, task.grain)]
             make = modules.trends_module if task.module == "trends" else modules.anomalies_module
+            together = [item for item in numbered if (item[1].module, item[1].grain) == (task.module, task.grain)]
             found, tables = make(df, model, together)
-        elif task.module == "overview":
-            found, tables = modules.overview_module(df, model, task_no)
+            for _, member in together:
+                raw[f"{member.module}:{member.priority}"] = {
+                    output: partial(_of_metric, table, member.metric) for output, table in tables.items()
+                }
         elif task.module == "segments":
             if not task.metric or not task.dimension:
                 raise ValueError("segments task requires a metric and a dimension")
-            found, tables = modules.segments_module(df, model, task_no, task)
+            found, raw[name] = modules.segments_module(df, model, task_no, task)
+        elif task.module == "overview":
+            found, raw[name] = modules.overview_module(df, model, task_no)
         elif task.module == "diagnostics":
-            found, tables = modules.diagnostics_module(df, model, task_no, profile)
+            found, raw[name] = modules.diagnostics_module(df, model, task_no, profile)
         else:
             raise ValueError(f"Unsupported module: {task.module}")
-        outputs.append(found)
-        for number, member in together:
-            done.add(number)
-            own = {
-                name: table.filter(table["metric"] == member.metric) if "metric" in table.columns else table
-                for name, table in tables.items()
-            }
-            raw[f"{member.module}:{member.priority}"] = own if member.metric and len(together) > 1 else tables
-    return reduce(DataFrame.unionByName, outputs), raw
+        facts.append(found)
+    return write_out(reduce(DataFrame.unionByName, facts), model.dataset_name, model.table_name), raw
+
+
+def _of_metric(table: Callable[[], DataFrame], metric: str) -> DataFrame:
+    return table().filter(F.col("metric") == metric)
 
 
 def run_analysis(
@@ -104,9 +111,10 @@ def run_analysis(
     profile = column_profile(df)
     rows = sorted(profile.collect(), key=lambda row: row["ordinal"])
     if model is None:
-        collected = df.sparkSession.createDataFrame(rows, profile.schema)
+        collected = small_table(df.sparkSession, rows, profile.schema)
         model = build_semantic_model(dataset_name, table_name or dataset_name, collected)
-    validate_model(df, model)
+    else:
+        validate_model(df, model)
     tasks = plan_tasks(mode, model, max_tasks)
     check_tasks(tasks, model)
     findings, raw = run_tasks(df, model, tasks, rows)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.functions.metrics import column
+from tallyline.functions.small import small_table
 from tallyline.operators.profile import type_class
 
 # Fixed values.
@@ -41,7 +42,7 @@ def describe_table(df: DataFrame) -> DataFrame:
         for i in open_columns:
             samples[i].append(row[f"c{i}"])
     rows = [(i, f.name, f.dataType.simpleString(), f.nullable, samples[i]) for i, f in enumerate(fields)]
-    return df.sparkSession.createDataFrame(rows, DESCRIPTION_SCHEMA)
+    return small_table(df.sparkSession, rows, DESCRIPTION_SCHEMA)
 
 
 @dataclass(frozen=True)
