@@ -569,3 +569,139 @@ SELECT name AS session, 'team_' || id || '_review.md' AS file_name,
   row_number() OVER (PARTITION BY name ORDER BY seq) AS turn_no,
   {_note("name", "seq", "text", "reply")} || CASE WHEN mode = 'query' THEN '### SQL' || chr(10) || chr(10) || '```sql'
     || chr(10) || sql || chr(10) || '```' || chr(10) || chr(10) ELSE '' END AS note FROM n"""
+
+# Reports over the line items: every finding with its scores. Metrics are the sums of the first measures.
+
+REPORT_METRICS = ("l_orderkey", "l_partkey", "l_suppkey")
+REPORT_DIMENSIONS = ("l_returnflag", "l_linestatus", "l_shipdate")
+
+
+def _finding(task: int, number: str, title: str, metric: str, dimensions: str, query_id: str, impact: str, scores: str) -> str:
+    confidence, relevance = scores.split()
+    shown = f"'total_{metric}'" if metric else "CAST(NULL AS VARCHAR)"
+    return f"""SELECT {task} AS task_no, {number} AS finding_no, {title} AS title, {shown} AS metric,
+  {dimensions} AS dimensions, '{query_id}' AS query_id, CAST({impact} AS DOUBLE) AS i,
+  CAST({confidence} AS DOUBLE) AS c, CAST({relevance} AS DOUBLE) AS b"""
+
+
+def _overview(task: int) -> list[str]:
+    parts = [
+        _finding(
+            task, str(i), f"'Headline metric: total_{name}'", name, "''", f"overview_metric_total_{name}",
+            f"least(1.0, abs(CAST(sum({name}) AS DOUBLE)) / 1000)", "0.8 0.85",
+        ) + " FROM lineitem"
+        for i, name in enumerate(REPORT_METRICS)
+    ]
+    parts.append(
+        _finding(task, "3", "'Dataset date coverage'", "", "'l_shipdate'", "overview_date_coverage", "0.45", "0.9 0.7")
+    )
+    name, dimension = REPORT_METRICS[0], REPORT_DIMENSIONS[0]
+    top = f"(SELECT CAST(sum({name}) AS DOUBLE) AS v FROM lineitem GROUP BY {dimension} ORDER BY v DESC LIMIT 10)"
+    parts.append(
+        _finding(
+            task, "4", f"'Top segment concentration on total_{name}'", name, f"'{dimension}'",
+            f"overview_top_segments_total_{name}_{dimension}", "max(v) / sum(v)", "0.75 0.78",
+        ) + f" FROM {top}"
+    )
+    return parts
+
+
+def _trends(task: int, name: str, grain: str) -> list[str]:
+    source = f" FROM (WITH {period_series(grain, value=name)} SELECT * FROM a)"
+    query_id = f"trends_total_{name}_{grain}"
+    last = "(abs(arg_max(CAST(v AS DOUBLE), place)) + 1)"
+    spikes = "count(*) FILTER (n > 2 AND sd > 0 AND abs(z) >= 2.0)"
+    entries = (
+        ("0", f"Strongest increase in total_{name}", f"least(1.0, abs(max(d)) / {last})", "0.78 0.82", ""),
+        ("1", f"Strongest decrease in total_{name}", f"least(1.0, abs(min(d)) / {last})", "0.78 0.82", ""),
+        ("2", f"total_{name} volatility", "least(1.0, stddev_pop(v) / abs(avg(v)))", "0.74 0.7", ""),
+        ("3", f"Spike/drop flags for total_{name}", f"{spikes} / count(*)", "0.69 0.76", f" HAVING {spikes} > 0"),
+    )
+    return [
+        _finding(task, number, f"'{title}'", name, "'l_shipdate'", query_id, impact, scores) + source + having
+        for number, title, impact, scores, having in entries
+    ]
+
+
+def _anomalies(task: int, name: str, grain: str) -> list[str]:
+    flags = "count(*) FILTER (n >= 4 AND (abs(z) >= 2.5 OR abs(ms) >= 3.5))"
+    source = f" FROM (WITH {period_series(grain, value=name)} SELECT * FROM a)"
+    query_id = f"anomalies_total_{name}_{grain}"
+    some, none = f"'Anomaly candidates detected for total_{name}'", f"'No strong anomaly signals for total_{name}'"
+    return [
+        _finding(task, "0", some, name, "'l_shipdate'", query_id, f"{flags} / count(*)", "0.68 0.81")
+        + f"{source} HAVING {flags} > 0",
+        _finding(task, "0", none, name, "'l_shipdate'", query_id, "0.2", "0.72 0.55") + f"{source} HAVING {flags} = 0",
+    ]
+
+
+def _segments(task: int, dimension: str) -> list[str]:
+    name = REPORT_METRICS[0]
+    source = f""" FROM (SELECT sum(v) AS total, sum(v) FILTER (place <= 10) AS top, sum(v * v) AS sq, max(v) AS wv,
+    min(v) FILTER (place <= 10) AS lv FROM (SELECT CAST(sum({name}) AS DOUBLE) AS v,
+    row_number() OVER (ORDER BY sum({name}) DESC, {dimension}) AS place FROM lineitem GROUP BY {dimension}
+    QUALIFY place <= 200))"""
+    tail = "CASE WHEN total - top > 0 THEN (total - top) / total ELSE 0.1 END"  # the text then names 10, of 100
+    entries = (
+        ("0", f"Top segment for total_{name}", "least(1.0, wv / (total + 1))", "0.82 0.85"),
+        ("1", f"Long-tail share for {dimension}", tail, "0.76 0.74"),
+        ("2", f"Concentration index for {dimension}", "least(1.0, 4 * sq / (total * total))", "0.7 0.72"),
+        ("3", f"Winner/loser spread on {dimension}", "least(1.0, abs(wv - lv) / (abs(wv) + 1))", "0.72 0.79"),
+    )
+    query_id = f"segments_total_{name}_{dimension}"
+    return [
+        _finding(task, number, f"'{title}'", name, f"'{dimension}'", query_id, impact, scores) + source
+        for number, title, impact, scores in entries
+    ]
+
+
+def _diagnostics(task: int) -> list[str]:
+    ratios = union(
+        [
+            f"""SELECT {i} AS o, '{name}' AS name, max(x) / min(x) AS ratio FROM (
+  SELECT count(DISTINCT {name}) AS x FROM lineitem GROUP BY date_trunc('month', l_shipdate))"""
+            for i, name in enumerate(REPORT_DIMENSIONS)
+        ]
+    )
+    unstable = f" FROM ({ratios}) WHERE ratio >= 3.0"
+    return [
+        _finding(
+            task, "2", "'Category explosion risk'", "", "string_agg(name, ',' ORDER BY o)",
+            "diagnostics_category_explosion", "least(1.0, max(ratio)) / 5", "0.68 0.73",
+        ) + f"{unstable} HAVING count(*) > 0",
+        _finding(
+            task, "4", "'No critical diagnostics alerts'", "", "''", "diagnostics_summary", "0.2", "0.7 0.55"
+        ) + f"{unstable} HAVING count(*) = 0",
+    ]
+
+
+def _report(parts: list[list[str]]) -> str:
+    return f"""
+WITH f AS ({union([part for task in parts for part in task])}),
+s AS (SELECT *, i * CAST(0.45 AS DOUBLE) + c * CAST(0.35 AS DOUBLE) + b * CAST(0.20 AS DOUBLE) AS combined FROM f)
+SELECT row_number() OVER (ORDER BY combined DESC, task_no, finding_no) AS "rank", title, metric, dimensions, query_id,
+  round(i, 6) AS impact_score, round(combined, 6) AS combined_score,
+  CASE WHEN combined >= 0.7 THEN 'high' WHEN combined >= 0.4 THEN 'medium' ELSE 'low' END AS severity FROM s"""
+
+
+_m1, _m2, _m3 = REPORT_METRICS
+_d1, _d2, _ = REPORT_DIMENSIONS
+ORACLE["run_analysis"] = _report(
+    [
+        _overview(1), _trends(2, _m1, "month"), _trends(3, _m2, "month"), _segments(4, _d1), _segments(5, _d2),
+        _diagnostics(6),
+    ]
+)
+ORACLE["run_analysis_overview"] = _report([_overview(1), _diagnostics(2)])
+ORACLE["run_analysis_diagnostic"] = _report(
+    [
+        _trends(1, _m1, "week"), _trends(2, _m2, "week"), _diagnostics(3), _anomalies(4, _m1, "week"),
+        _anomalies(5, _m2, "week"),
+    ]
+)
+ORACLE["run_analysis_deep_dive"] = _report(
+    [
+        _overview(1), _trends(2, _m1, "month"), _anomalies(3, _m1, "week"), _trends(4, _m2, "month"),
+        _anomalies(5, _m2, "week"), _trends(6, _m3, "month"), _anomalies(7, _m3, "week"), _segments(8, _d1),
+    ]
+)
