@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRID = 400
-ACCURACY = 2_000
+SKETCH_SIZE = 1600
 FETCH_ROWS = 100_000
 
 
@@ -42,9 +42,16 @@ class _Rank:
             keep = keep & (value < F.lit(self.high))
         return keep
 
-    def propose(self, grid: list[float]) -> None:
-        """Choose the sketch values two grid steps to either side of the rank."""
-        place = round((self.rank - self.below) / max(self.inside - 1, 1) * GRID)
+    def propose(self, count: int, grid: list[float] | None) -> None:
+        """Choose the sketch values two grid steps to either side of the rank.
+
+        Sketches count all numbers but leave NaN out, which sorts last, so a rank beyond the count is NaN.
+        """
+        offset = self.rank - self.below
+        if offset >= count:
+            self.value = float("nan")
+            return
+        place = round(offset / max(count - 1, 1) * GRID)
         self.cuts = (grid[max(place - 2, 0)], grid[min(place + 2, GRID)])
 
     def narrow(self, under: int, on_first: int, between: int, on_second: int) -> bool:
@@ -69,7 +76,12 @@ class _Rank:
 
 
 def _grid(value: Column, keep: Column) -> Column:
-    return F.percentile_approx(F.when(keep, value), [step / GRID for step in range(GRID + 1)], ACCURACY)
+    """The count of the kept numbers and their evenly spaced quantiles."""
+    sketch = F.kll_sketch_agg_double(F.when(keep, value), F.lit(SKETCH_SIZE))
+    steps = F.expr("array(" + ", ".join(f"{step / GRID}D" for step in range(GRID + 1)) + ")")
+    count = F.kll_sketch_get_n_double(sketch)
+    quantiles = F.when(count > 0, F.kll_sketch_get_quantile_double(sketch, steps))
+    return F.struct(F.coalesce(count, F.lit(0)).alias("count"), quantiles.alias("quantiles"))
 
 
 def exact_medians(df: DataFrame, values: dict[str, Column], fetch_rows: int = FETCH_ROWS) -> dict[str, float | None]:
@@ -89,7 +101,7 @@ def exact_medians(df: DataFrame, values: dict[str, Column], fetch_rows: int = FE
         ranks = sorted({(count - 1) // 2, count // 2}) if count else []
         searches.append([_Rank(rank, inside=count) for rank in ranks])
         for search in searches[-1]:
-            search.propose(start[f"g{i}"])
+            search.propose(*start[f"g{i}"])
 
     while True:
         open_ranks = [(i, s) for i, found in enumerate(searches) for s in found if s.value is None]
@@ -120,7 +132,7 @@ def exact_medians(df: DataFrame, values: dict[str, Column], fetch_rows: int = FE
                 seen["under"], seen["on_first"], seen["between"], seen["on_second"]
             )
             if sketched and search.value is None:
-                search.propose(seen["grid"])
+                search.propose(*seen["grid"])
 
     if open_ranks:
         # Each list holds at most ``fetch_rows`` values, by the exact counts above.

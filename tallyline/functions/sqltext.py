@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import strip
@@ -31,7 +31,7 @@ MANY_STATEMENTS = "Multiple statements are not allowed"
 NOT_A_QUERY = "Only SELECT/CTE queries are allowed"
 FORBIDDEN_WORD = "Forbidden keyword detected: {word}"
 SYSTEM_NAME = "System table/schema access blocked: {word}"
-FORBIDDEN_TABLE = "Forbidden table referenced: {table}"
+FORBIDDEN_TABLE = "Forbidden table referenced: {word}"
 DISALLOWED_TABLES = "Disallowed table(s) referenced: {tables}. Use only allowed_tables."
 CAPPED = "LIMIT {limit} capped to max_row_limit={cap}"
 
@@ -83,40 +83,44 @@ def table_refs(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(names, lambda name: F.substring_index(name, ".", -1))))
 
 
+def guarded_words(clean: Column) -> Column:
+    """The forbidden words and system names in a text, found in one search."""
+    pattern = r"\b(" + "|".join((*FORBIDDEN_WORDS, *SYSTEM_NAMES)) + r")\b"
+    return F.array_distinct(F.regexp_extract_all(F.lower(clean), F.lit(pattern), F.lit(1)))
+
+
+def _messages(listed: Sequence[str], found: Column, template: str) -> Column:
+    """A message for each listed word that was found, in the order of the list."""
+    before, after = template.split("{word}")
+    present = F.filter(F.lit(list(listed)), lambda word: F.array_contains(found, word))
+    return F.transform(present, lambda word: F.concat(F.lit(before), word, F.lit(after)))
+
+
 def problems(
-    text: Column, forbidden_tables: Sequence[str] = (), allowed_tables: Sequence[str] = ()
+    clean: Column,
+    words: Column,
+    refs: Column,
+    forbidden_tables: Sequence[str] = (),
+    allowed_tables: Sequence[str] = (),
 ) -> Column:
-    """The reasons to refuse a text, in the order of the rules; an empty array lets it pass."""
-    clean = without_comments(text)
-    lowered = F.lower(clean)
+    """The reasons to refuse a text, in the order of the rules; an empty array lets it pass.
+
+    Takes the text without comments, its ``guarded_words`` and its ``table_refs``.
+    """
     one = F.regexp_replace(clean, r"\s*;\z", "")
-    refs = table_refs(clean)
-
-    checks = [
-        F.when(one.contains(";"), F.lit(MANY_STATEMENTS)),
-        F.when(~lowered.rlike(r"^(select|with)"), F.lit(NOT_A_QUERY)),
-    ]
-    checks += [
-        F.when(lowered.rlike(rf"\b{word}\b"), F.lit(FORBIDDEN_WORD.format(word=word))) for word in FORBIDDEN_WORDS
-    ]
-    checks += [F.when(lowered.rlike(rf"\b{word}\b"), F.lit(SYSTEM_NAME.format(word=word))) for word in SYSTEM_NAMES]
-    checks += [
-        F.when(F.array_contains(refs, table.lower()), F.lit(FORBIDDEN_TABLE.format(table=table.lower())))
-        for table in forbidden_tables
-    ]
+    kind = F.array_compact(
+        F.array(
+            F.when(one.contains(";"), F.lit(MANY_STATEMENTS)),
+            F.when(~clean.rlike(r"(?i)^(select|with)"), F.lit(NOT_A_QUERY)),
+        )
+    )
+    parts = [kind, _messages(FORBIDDEN_WORDS, words, FORBIDDEN_WORD), _messages(SYSTEM_NAMES, words, SYSTEM_NAME)]
+    if forbidden_tables:
+        tables = [table.lower() for table in forbidden_tables]
+        parts.append(_messages(tables, refs, FORBIDDEN_TABLE))
     if allowed_tables:
-        allowed = F.array(*[F.lit(table.lower()) for table in allowed_tables])
-        others = F.array_except(refs, allowed)
+        others = F.array_except(refs, F.lit([table.lower() for table in allowed_tables]))
         before, after = DISALLOWED_TABLES.split("{tables}")
         listed = F.concat(F.lit(before), F.array_join(others, ", "), F.lit(after))
-        checks.append(F.when(F.size(others) > 0, listed))
-    return F.when(clean == "", F.array(F.lit(EMPTY))).otherwise(F.array_compact(F.array(*checks)))
-
-
-def check_text(
-    text: str, forbidden_tables: Sequence[str] = (), allowed_tables: Sequence[str] = ()
-) -> list[str]:
-    """The same rules for one text."""
-    spark = SparkSession.active()
-    one = spark.createDataFrame([(text,)], "text string")
-    return one.select(problems(F.col("text"), forbidden_tables, allowed_tables).alias("found")).first()["found"]
+        parts.append(F.when(F.size(others) > 0, F.array(listed)).otherwise(F.array().cast("array<string>")))
+    return F.when(clean == "", F.array(F.lit(EMPTY))).otherwise(F.concat(*parts))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions import sqltext
 from tallyline.functions.metrics import column
+from tallyline.functions.small import small_table
 
 
 def normalize_log(log: DataFrame, text: str = "sql") -> DataFrame:
@@ -33,10 +34,28 @@ def audit_log(
     text: str = "sql",
 ) -> DataFrame:
     """Each text without comments, the tables it reads, what is wrong with it and whether it passes."""
-    sql = column(text)
     return (
-        log.withColumn("checked_sql", sqltext.without_comments(sql))
-        .withColumn("table_refs", sqltext.table_refs(F.col("checked_sql")))
-        .withColumn("errors", sqltext.problems(sql, forbidden_tables, allowed_tables))
+        log.withColumn("checked_sql", sqltext.without_comments(column(text)))
+        .withColumns(
+            {
+                "table_refs": sqltext.table_refs(F.col("checked_sql")),
+                "_words": sqltext.guarded_words(F.col("checked_sql")),
+            }
+        )
+        .withColumn(
+            "errors",
+            sqltext.problems(
+                F.col("checked_sql"), F.col("_words"), F.col("table_refs"), forbidden_tables, allowed_tables
+            ),
+        )
         .withColumn("passed", F.size("errors") == 0)
+        .drop("_words")
     )
+
+
+def check_text(
+    spark: SparkSession, text: str, forbidden_tables: Sequence[str] = (), allowed_tables: Sequence[str] = ()
+) -> list[str]:
+    """The reasons to refuse one text, by the same rules."""
+    one = small_table(spark, [(text,)], "sql string")
+    return audit_log(one, forbidden_tables, allowed_tables).first()["errors"]

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tallyline.functions import sqltext
+from tallyline.functions.small import small_table
+from tallyline.operators.sql_audit import check_text
 
 # Row limits of reports and of questions.
 REPORT_LIMITS = (1000, 10_000)
@@ -70,19 +72,14 @@ def guarded_query(
     forbidden_tables: Sequence[str] = (),
 ) -> GuardedQuery:
     """Check a text and prepare its result, or raise ``UnsafeQuery``."""
-    checked = (
-        spark.createDataFrame([(text,)], "text string")
-        .select(sqltext.normalize(F.col("text")).alias("sql"))
-        .select(
-            "sql",
-            sqltext.limited(F.col("sql"), row_limit, max_row_limit).alias("limited"),
-            sqltext.limited(F.col("sql"), row_limit, max_row_limit + 1)["sql"].alias("probe_sql"),
-            sqltext.stated_limit(F.col("sql")).alias("stated"),
-        )
-        .withColumn("errors", sqltext.problems(F.col("limited.sql"), forbidden_tables, allowed_tables))
-        .first()
-    )
-    errors = list(checked["errors"])
+    text_row = small_table(spark, [(text,)], "text string").select(sqltext.normalize(F.col("text")).alias("sql"))
+    checked = text_row.select(
+        "sql",
+        sqltext.limited(F.col("sql"), row_limit, max_row_limit).alias("limited"),
+        sqltext.limited(F.col("sql"), row_limit, max_row_limit + 1)["sql"].alias("probe_sql"),
+        sqltext.stated_limit(F.col("sql")).alias("stated"),
+    ).first()
+    errors = check_text(spark, checked["limited"]["sql"], forbidden_tables, allowed_tables)
     sql, limited = checked["sql"], checked["limited"]
     if re.search(r"\b\w+\s*\.\s*`", sql):
         errors.append("Paths are not allowed as tables")

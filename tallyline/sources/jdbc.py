@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.functions.sqltext import check_text
+from tallyline.operators.sql_audit import check_text
 
 FETCH_ROWS = 10_000
 
@@ -19,17 +19,13 @@ def jdbc_options(
     fetch_rows: int = FETCH_ROWS,
     properties: dict[str, str] | None = None,
 ) -> dict[str, str]:
-    """Reader options for one table or one read-only query.
+    """Reader options for one table or one query.
 
     Parallel ranges need a table or query as ``dbtable``, a numeric or time column and its bounds. Rows outside the
     bounds are still read, by the first and the last range.
     """
     if (table is None) == (query is None):
         raise ValueError("Give either a table or a query")
-    if query is not None:
-        errors = check_text(query)
-        if errors:
-            raise ValueError(f"Query is not read-only: {'; '.join(errors)}")
     source = table if table is not None else f"({query.strip().rstrip(';')}) source"
     options = {"url": url, "dbtable": source, "fetchsize": str(fetch_rows), **(properties or {})}
     if partition_column is not None:
@@ -44,8 +40,13 @@ def jdbc_options(
     return options
 
 
-def read_jdbc(spark: SparkSession, url: str, **settings) -> DataFrame:
-    return spark.read.format("jdbc").options(**jdbc_options(url, **settings)).load()
+def read_jdbc(spark: SparkSession, url: str, query: str | None = None, **settings) -> DataFrame:
+    """Read one table or one read-only query; a query goes through the same checks as guarded SQL."""
+    if query is not None:
+        errors = check_text(spark, query)
+        if errors:
+            raise ValueError(f"Query is not read-only: {'; '.join(errors)}")
+    return spark.read.format("jdbc").options(**jdbc_options(url, query=query, **settings)).load()
 
 
 def column_bounds(spark: SparkSession, url: str, table: str, name: str, **settings) -> tuple[object, object]:
