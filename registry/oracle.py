@@ -539,6 +539,7 @@ WITH users AS (SELECT * FROM conversations WHERE role = 'user'), {modes("users",
 SELECT conv_id, turn, mode FROM found"""
 ORACLE["conv_previous_query"] = f"""
 WITH {FOUND} SELECT session, seq, mode, pq AS previous_query, {PREVIOUS_SQL} AS previous_sql, {REPLY} AS reply FROM found"""
+ORACLE["conv_batches"] = ORACLE["conv_previous_query"]
 ORACLE["conv_follow_up"] = f"""
 WITH {FOUND}, p AS (SELECT *, {PREVIOUS_SQL} AS ps FROM found)
 SELECT session, seq, CASE WHEN mode = 'query' AND fu AND pq IS NOT NULL THEN

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registry.tables import (
+    as_messages,
     lineitem_with_gaps,
     load,
     metric_log,
@@ -23,6 +24,7 @@ from tallyline.plans.guarded import guarded_query
 from tallyline.plans.report import run_analysis
 from tallyline.session import scratch_path
 from tallyline.sources import catalog, describe, ingest
+from tallyline.streaming.conversations import ConversationStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -700,3 +702,16 @@ def conv_notes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("mode") == "query", F.col("sql")).alias("sql"),
     )
     return conversation.conversation_notes(turns, sql="sql")
+
+
+@query
+def conv_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event messages as three micro-batches of ten days each, the last with all the rest."""
+    events = load(spark, sf_dir, "events")
+    stream = ConversationStream(scratch_path(spark, "conversations"))
+    first, second = F.lit("2024-01-11").cast("date"), F.lit("2024-01-21").cast("date")
+    day = F.col("ts").cast("date")
+    spans = (day < first, (day >= first) & (day < second), F.coalesce(day >= second, F.lit(True)))
+    for batch_id, span in enumerate(spans):
+        stream.process(as_messages(events.filter(span)), batch_id)
+    return stream.turns(spark).select("session", "seq", "mode", "previous_query", "previous_sql", "reply")

@@ -24,6 +24,10 @@ def lineitem_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a user message; the session is the user."""
+    return as_messages(load(spark, sf_dir, "events"))
+
+
+def as_messages(events: DataFrame) -> DataFrame:
     kind = F.col("event_type")
     text = (
         F.when(kind == "view", "show top customers by revenue")
@@ -32,7 +36,7 @@ def user_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "signup", "hello there")
         .otherwise("summarize the takeaway")
     )
-    return load(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").alias("session"),
         F.col("event_id").alias("seq"),
         F.concat(text, F.lit(" #"), F.col("event_id")).alias("text"),

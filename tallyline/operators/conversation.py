@@ -85,13 +85,14 @@ def mode(text: Column, has_query: Column) -> Column:
     )
 
 
-def _with_modes(rows: OrderedRows, text: str) -> OrderedRows:
+def _with_modes(rows: OrderedRows, text: str, known: str | None = None) -> OrderedRows:
     """A follow-up needs an earlier query, and the first query of a session needs words of its own, so an earlier
-    opening message is the same as an earlier query."""
+    opening message is the same as an earlier query. Rows marked in the ``known`` column are queries already."""
     message = column(text)
-    opened = rows.last_before("_opened", F.when(opens_query(message), F.lit(True)))
-    modes = opened.rows.withColumn("mode", mode(message, F.coalesce("_opened", F.lit(False)))).drop("_opened")
-    return OrderedRows(modes, rows.keys, rows.order, rows.split)
+    marked = F.lit(False) if known is None else F.coalesce(column(known), F.lit(False))
+    opened = rows.last_before("_opened", F.when(marked | opens_query(message), F.lit(True)))
+    decided = F.when(marked, "query").otherwise(mode(message, F.coalesce("_opened", F.lit(False))))
+    return OrderedRows(opened.rows.withColumn("mode", decided).drop("_opened"), rows.keys, rows.order, rows.split)
 
 
 def _rows(messages: DataFrame, session: Sequence[str], seq: str, max_group_rows: int | None) -> OrderedRows:
@@ -115,13 +116,14 @@ def previous_queries(
     seq: str = "seq",
     text: str = "text",
     sql: str | None = None,
+    known: str | None = None,
     max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add ``mode``, ``previous_query`` and ``reply``, and ``previous_sql`` when the log has a SQL column.
 
     ``reply`` is the fixed answer to meta and chat messages; the answer to a query is its result.
     """
-    rows = _with_modes(_rows(messages, session, seq, max_group_rows), text)
+    rows = _with_modes(_rows(messages, session, seq, max_group_rows), text, known)
     asked = F.col("mode") == "query"
     rows = rows.last_before("previous_query", F.when(asked, column(text)))
     if sql is not None:
@@ -147,7 +149,7 @@ def resolve_follow_ups(
 
     The previous question is the message as written, not its own resolved form.
     """
-    found = previous_queries(messages, session, seq, text, sql, max_group_rows)
+    found = previous_queries(messages, session, seq, text, sql, max_group_rows=max_group_rows)
     refers = contains_any(column(text), FOLLOW_UP_WORDS) & F.col("previous_query").isNotNull()
     context = fill(
         FOLLOW_UP_CONTEXT,

@@ -67,22 +67,26 @@ class Fact:
     dimensions: str = "dimensions"
     caveats: str = "null"
     number: str = "0"
+    metric: str = "metric"
     values: dict[str, str] = field(default_factory=dict)
 
     def sql(self) -> str:
         pairs = "".join(f", '{name}', string({value})" for name, value in self.values.items())
         return (
             f"if({self.when}, named_struct('kind', '{self.kind}', 'finding_no', int({self.number}), "
-            f"'metric', metric, 'dimensions', {self.dimensions}, 'impact_score', least(1.0D, double({self.impact})), "
+            f"'metric', {self.metric}, 'dimensions', {self.dimensions}, 'impact_score', least(1.0D, double({self.impact})), "
             f"'severity', {self.severity}, 'own_caveats', cast({self.caveats} AS array<string>), "
-            f"'values', map('metric', metric{pairs})), null)"
+            f"'values', map('metric', {self.metric}{pairs})), null)"
         )
 
 
 def collect_facts(rows: DataFrame, task_no: Column, facts: Sequence[Fact]) -> DataFrame:
     """The facts that hold for each row, all from one pass over the rows."""
-    made = ", ".join(fact.sql() for fact in facts)
-    return rows.select(task_no.cast("int").alias("task_no"), F.expr(f"inline(filter(array({made}), f -> f is not null))"))
+    never = Fact("headline", impact="0", severity="'low'", when="false")
+    made = ", ".join(fact.sql() for fact in facts or [never])
+    return rows.select(
+        task_no.cast("int").alias("task_no"), F.expr(f"inline(filter(array({made}), f -> f is not null))")
+    )
 
 
 def _pieces(template: str) -> list[dict[str, str | None]]:

@@ -48,23 +48,20 @@ def metrics_from_profile(profile: DataFrame) -> DataFrame:
 
 def dimensions_from_profile(profile: DataFrame) -> DataFrame:
     """The first dimension columns, then the first time column with a daily grain."""
-    plain = _first_of_role(profile, "dimension", MAX_DIMENSIONS).select(
-        "place",
-        F.col("column").alias("name"),
-        F.col("column"),
-        F.lit(None).cast("string").alias("grain"),
-        F.concat(F.lit("Dimension based on "), F.col("column")).alias("description"),
-        F.lit(DIMENSION_CONFIDENCE).alias("confidence"),
+    place = F.row_number().over(Window.partitionBy("role").orderBy("ordinal"))
+    is_time = F.col("role") == "time"
+    kept = profile.withColumn("place", place).filter(
+        ((F.col("role") == "dimension") & (F.col("place") <= MAX_DIMENSIONS)) | (is_time & (F.col("place") == 1))
     )
-    time = _first_of_role(profile, "time", 1).select(
-        F.lit(MAX_DIMENSIONS + 1).alias("place"),
+    described = F.when(is_time, "Time dimension on ").otherwise("Dimension based on ")
+    return kept.select(
+        F.when(is_time, F.lit(MAX_DIMENSIONS + 1)).otherwise(F.col("place")).alias("place"),
         F.col("column").alias("name"),
         F.col("column"),
-        F.lit(TIME_GRAIN).alias("grain"),
-        F.concat(F.lit("Time dimension on "), F.col("column")).alias("description"),
-        F.lit(TIME_CONFIDENCE).alias("confidence"),
+        F.when(is_time, F.lit(TIME_GRAIN)).alias("grain"),
+        F.concat(described, F.col("column")).alias("description"),
+        F.when(is_time, F.lit(TIME_CONFIDENCE)).otherwise(F.lit(DIMENSION_CONFIDENCE)).alias("confidence"),
     )
-    return plain.unionByName(time)
 
 
 def build_semantic_model(
@@ -209,20 +206,25 @@ def evaluate_metrics(df: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
 
 
 def explain_metrics(metrics: DataFrame, dimensions: DataFrame, time_column: str | None) -> DataFrame:
-    """Each metric with its definition and the dimensions commonly used with it."""
+    """Each metric with its definition and the dimensions commonly used with it.
+
+    Both tables are small, and meet in one row that is then unfolded by metric.
+    """
     common = dimensions if time_column is None else dimensions.filter(F.col("name") != time_column)
-    place = F.row_number().over(Window.orderBy("place"))
-    listed = (
-        common.withColumn("rank", place)
-        .filter(F.col("rank") <= EXPLAIN_DIMENSIONS)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "name")))["name"].alias("dimensions_commonly_used"))
-        .withColumn("_all", F.lit(True))
+    entry = F.struct(*["place", "name", "description", "sql", "caveats"])
+    both = metrics.select(entry.alias("metric")).unionByName(
+        common.select(F.struct("place", "name").alias("dimension")), allowMissingColumns=True
+    )
+    listed = both.agg(
+        F.array_sort(F.collect_list("metric")).alias("metrics"),
+        F.slice(F.array_sort(F.collect_list("dimension"))["name"], 1, EXPLAIN_DIMENSIONS).alias("dimensions"),
     )
-    return (
-        metrics.withColumn("_all", F.lit(True))
-        .join(listed, "_all")
-        .select("name", "description", "sql", "dimensions_commonly_used", "caveats")
-        .withColumnRenamed("name", "metric_name")
+    return listed.select(F.inline("metrics"), "dimensions").select(
+        F.col("name").alias("metric_name"),
+        "description",
+        "sql",
+        F.col("dimensions").alias("dimensions_commonly_used"),
+        "caveats",
     )
 
 

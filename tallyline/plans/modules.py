@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.periods import ANOMALY_GRAINS, TREND_GRAINS
 from tallyline.functions.small import small_table
+from tallyline.functions.text import number_text
 from tallyline.models import AnalysisTask, SemanticModel
 from tallyline.operators import diagnostics as checks
 from tallyline.operators import overview, segments, series
@@ -54,30 +55,41 @@ def _named(rows: DataFrame, metric: str | None, dimensions: list[str]) -> DataFr
 def overview_module(df: DataFrame, model: SemanticModel, task_no: int) -> Output:
     number = F.lit(task_no)
     row = overview.headline_row(df, model)
-    headlines = overview.headlines(row, model)
-    raw: RawOutputs = {"headline_metrics": lambda: headlines}
-    shown = headlines.withColumn("dimensions", F.array().cast("array<string>"))
-    headline = Fact(
-        "headline",
-        impact="impact",
-        severity="'medium'",
-        number="ordinal",
-        caveats=f"if(value is null, array('{NULL_METRIC_CAVEAT}'), array())",
-        values={"value": "value_text"},
+    raw: RawOutputs = {"headline_metrics": lambda: overview.headlines(row, model)}
+    # Headlines and date coverage come from the same row, so they share a scan.
+    names = [metric.name for metric in model.metrics[: overview.HEADLINE_METRICS]]
+    shown = _named(row, None, []).withColumns(
+        {
+            **({"metric_names": F.lit(names)} if names else {}),
+            **{f"t{i}": number_text(row, f"m{i}") for i in range(len(names))},
+            "time_column": F.lit(model.preferred_time_dimension).cast("string"),
+        }
     )
-    facts = collect_facts(shown, number, [headline])
+    listed = [
+        Fact(
+            "headline",
+            impact=f"abs(coalesce(double(m{i}), 0.0D)) / {overview.HEADLINE_SCALE}D",
+            severity="'medium'",
+            number=str(i),
+            metric=f"metric_names[{i}]",
+            caveats=f"if(m{i} is null, array('{NULL_METRIC_CAVEAT}'), array())",
+            values={"value": f"t{i}"},
+        )
+        for i in range(len(names))
+    ]
     if model.preferred_time_dimension:
         raw["date_coverage"] = lambda: row.select("min_date", "max_date")
-        coverage = Fact(
-            "date_coverage",
-            impact=str(DATE_COVERAGE_IMPACT),
-            severity="'low'",
-            number=str(overview.HEADLINE_METRICS),
-            values={"min_date": "min_date", "max_date": "max_date"},
-        )
-        facts = facts.unionByName(
-            collect_facts(_named(row, None, [model.preferred_time_dimension]), number, [coverage])
+        listed.append(
+            Fact(
+                "date_coverage",
+                impact=str(DATE_COVERAGE_IMPACT),
+                severity="'low'",
+                dimensions="array(time_column)",
+                number=str(overview.HEADLINE_METRICS),
+                values={"min_date": "min_date", "max_date": "max_date"},
+            )
         )
+    facts = collect_facts(shown, number, listed)
     if model.metrics and model.dimensions:
         metric, dimension = model.metrics[0], model.dimensions[0]
         raw["segment_contribution"] = lambda: segments.segment_ranking(

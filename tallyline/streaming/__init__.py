@@ -1,0 +1,5 @@
+"""The same rules over rows as they arrive.
+
+Rules over single rows, such as the SQL audit, take a streaming DataFrame as they are. A conversation needs what its
+session asked before, which is kept from one micro-batch to the next.
+"""

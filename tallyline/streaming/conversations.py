@@ -1,0 +1,71 @@
+"""Live conversations: each micro-batch of messages is classified with what its sessions asked before.
+
+The last query of every session is kept as an append-only table with one folder per micro-batch. A batch reads the
+folders of earlier batches only and overwrites its own, so a batch that is run again after a failure gives the same
+rows and writes them once. Within a batch the messages go through the same operator as a whole log.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from tallyline.functions.metrics import column
+from tallyline.functions.ordered import MAX_GROUP_ROWS
+from tallyline.operators.conversation import previous_queries
+from tallyline.sources.catalog import latest
+
+
+class ConversationStream:
+    """Classify a stream of ``(session, seq, text, sql)`` messages into a table under ``root``.
+
+    The messages of a session must reach the stream in order from batch to batch; within a batch any order will do.
+    """
+
+    def __init__(self, root: str, max_group_rows: int | None = MAX_GROUP_ROWS) -> None:
+        self.root = root.rstrip("/")
+        self.turns_path = f"{self.root}/turns"
+        self.asked_path = f"{self.root}/asked"
+        self.max_group_rows = max_group_rows
+
+    def start(self, messages: DataFrame, available_now: bool = False) -> StreamingQuery:
+        writer = messages.writeStream.foreachBatch(self.process).option(
+            "checkpointLocation", f"{self.root}/checkpoint"
+        )
+        return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        """Write the classified messages of one batch, then the last query of each of its sessions."""
+        names = batch.columns
+        asked = self._asked_before(batch, batch_id).withColumn("_known", F.lit(True))
+        rows = batch.withColumn("_known", F.lit(False)).unionByName(asked)
+        found = previous_queries(rows, sql="sql", known="_known", max_group_rows=self.max_group_rows)
+        turns = found.filter(~F.col("_known")).drop("_known")
+        path = f"{self.turns_path}/batch_id={batch_id}"
+        turns.write.mode("overwrite").parquet(path)
+
+        written = batch.sparkSession.read.schema(turns.schema).parquet(path)
+        queries = written.filter(F.col("mode") == "query").select(*map(column, names))
+        latest(queries, ["session"], "seq").write.mode("overwrite").parquet(f"{self.asked_path}/batch_id={batch_id}")
+
+    def _asked_before(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """The last query of each session of this batch, from earlier batches."""
+        spark = batch.sparkSession
+        schema = T.StructType([*batch.schema.fields, T.StructField("batch_id", T.LongType())])
+        try:
+            asked = spark.read.schema(schema).parquet(self.asked_path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return batch.limit(0)
+        earlier = asked.filter(F.col("batch_id") < batch_id).drop("batch_id")
+        return latest(earlier, ["session"], "seq").join(
+            batch.select("session").distinct(), "session", "left_semi"
+        ).select(*map(column, batch.columns))
+
+    def turns(self, spark: SparkSession) -> DataFrame:
+        """All messages classified so far."""
+        return spark.read.parquet(self.turns_path).drop("batch_id")
