@@ -13,7 +13,7 @@ from tallyline.models import FINDINGS_SCHEMA, SemanticConfig, SemanticModel
 from tallyline.operators.profile import DatasetProfile
 from tallyline.plans.report import AnalysisReport
 
-PROFILE_SCHEMA = T.StructType.fromDDL(
+PROFILE_SCHEMA = (
     "dataset_name string, ordinal int, column string, data_type string, type_class string, row_count bigint, "
     "null_count bigint, distinct_count bigint, null_rate double, role string, min double, max double, mean double, "
     "median double, stddev double, top_values array<struct<value:string,count:bigint>>, "
