@@ -545,7 +545,7 @@ def rank_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    summary = ranking.executive_summary(ranking.rank_findings(order_findings(spark, sf_dir)))
+    summary = ranking.executive_summary(order_findings(spark, sf_dir))
     return summary.select(
         "dataset_name",
         "headline",
@@ -677,16 +677,16 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conv_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversation.recent_history(_turns(spark, sf_dir), ("conv_id",), "turn").select(
-        "conv_id", "turn", "history"
-    )
+    log = load(spark, sf_dir, "conversations")
+    found = conversation.recent_history(_turns(spark, sf_dir), ("conv_id",), "turn", count_in=log)
+    return found.select("conv_id", "turn", "history")
 
 
 @query
 def conv_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _turns(spark, sf_dir)
-    classified = conversation.conversation_modes(turns, ("conv_id",), "turn", "user")
-    return conversation.conversation_notes(classified, "conv_id", "turn")
+    log = load(spark, sf_dir, "conversations")
+    classified = conversation.conversation_modes(_turns(spark, sf_dir), ("conv_id",), "turn", "user", count_in=log)
+    return conversation.conversation_notes(classified, "conv_id", "turn", count_in=log)
 
 
 @query
@@ -701,7 +701,8 @@ def conv_notes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "mode",
         F.when(F.col("mode") == "query", F.col("sql")).alias("sql"),
     )
-    return conversation.conversation_notes(turns, sql="sql")
+    users = load(spark, sf_dir, "events").select(F.col("user_id").alias("session"))
+    return conversation.conversation_notes(turns, sql="sql", count_in=users)
 
 
 @query

@@ -114,12 +114,15 @@ def ordered_rows(
     keys: Sequence[str],
     order: Sequence[Column],
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    count_in: DataFrame | None = None,
 ) -> OrderedRows:
     """Prepare ``df`` for looking back along ``order`` within ``keys``. The order must have no ties in a group.
 
-    Pass None for ``max_group_rows`` only where the groups are small by construction; the count is then left out.
+    The groups are counted in ``count_in`` when that is cheaper, such as the source of ``df``; its groups must not be
+    smaller. Pass None for ``max_group_rows`` only where groups are small by construction; they are then not counted.
     """
-    if max_group_rows is None or largest_group(df, keys) <= max_group_rows:
+    counted = df if count_in is None else count_in
+    if max_group_rows is None or largest_group(counted, keys) <= max_group_rows:
         return OrderedRows(df.withColumn(BLOCK, F.lit(0)), tuple(keys), tuple(order), split=False)
     spark = df.sparkSession
     shared_folder(spark)

@@ -9,9 +9,10 @@ since only exact counts move the bounds. The last pass fetches the few values th
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 GRID = 400
@@ -84,8 +85,17 @@ def _grid(value: Column, keep: Column) -> Column:
     return F.struct(F.coalesce(count, F.lit(0)).alias("count"), quantiles.alias("quantiles"))
 
 
-def exact_medians(df: DataFrame, values: dict[str, Column], fetch_rows: int = FETCH_ROWS) -> dict[str, float | None]:
-    """The exact median of each double column, nulls skipped; null for a column without values."""
+def exact_medians(
+    df: DataFrame,
+    values: dict[str, Column],
+    fetch_rows: int = FETCH_ROWS,
+    describe: Callable[[Column], Column] | None = None,
+) -> dict[str, tuple[float | None, Row | None]]:
+    """The exact median of each double column, nulls skipped; null for a column without values.
+
+    ``describe`` makes one more aggregate of a column, which is computed in the first pass and returned beside the
+    median.
+    """
     if not values:
         return {}
     names = list(values)
@@ -95,6 +105,7 @@ def exact_medians(df: DataFrame, values: dict[str, Column], fetch_rows: int = FE
     start = data.agg(
         F.array(*[F.count(col) for col in cols]).alias("counts"),
         *[_grid(col, col.isNotNull()).alias(f"g{i}") for i, col in enumerate(cols)],
+        *[describe(col).alias(f"d{i}") for i, col in enumerate(cols) if describe is not None],
     ).first()
     searches: list[list[_Rank]] = []
     for i, count in enumerate(start["counts"]):
@@ -143,6 +154,9 @@ def exact_medians(df: DataFrame, values: dict[str, Column], fetch_rows: int = FE
             search.value = left[i, search.low, search.high][search.rank - search.below]
 
     return {
-        name: (found[0].value + found[-1].value) / 2.0 if found else None
-        for name, found in zip(names, searches, strict=True)
+        name: (
+            (searches[i][0].value + searches[i][-1].value) / 2.0 if searches[i] else None,
+            start[f"d{i}"] if describe is not None else None,
+        )
+        for i, name in enumerate(names)
     }

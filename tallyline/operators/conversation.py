@@ -95,8 +95,14 @@ def _with_modes(rows: OrderedRows, text: str, known: str | None = None) -> Order
     return OrderedRows(opened.rows.withColumn("mode", decided).drop("_opened"), rows.keys, rows.order, rows.split)
 
 
-def _rows(messages: DataFrame, session: Sequence[str], seq: str, max_group_rows: int | None) -> OrderedRows:
-    return ordered_rows(messages, session, [column(seq)], max_group_rows)
+def _rows(
+    messages: DataFrame,
+    session: Sequence[str],
+    seq: str,
+    max_group_rows: int | None,
+    count_in: DataFrame | None = None,
+) -> OrderedRows:
+    return ordered_rows(messages, session, [column(seq)], max_group_rows, count_in)
 
 
 def conversation_modes(
@@ -105,9 +111,10 @@ def conversation_modes(
     seq: str = "seq",
     text: str = "text",
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``mode``: query, meta, chat, or error for a blank message."""
-    return _with_modes(_rows(messages, session, seq, max_group_rows), text).done()
+    return _with_modes(_rows(messages, session, seq, max_group_rows, count_in), text).done()
 
 
 def previous_queries(
@@ -118,12 +125,13 @@ def previous_queries(
     sql: str | None = None,
     known: str | None = None,
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``mode``, ``previous_query`` and ``reply``, and ``previous_sql`` when the log has a SQL column.
 
     ``reply`` is the fixed answer to meta and chat messages; the answer to a query is its result.
     """
-    rows = _with_modes(_rows(messages, session, seq, max_group_rows), text, known)
+    rows = _with_modes(_rows(messages, session, seq, max_group_rows, count_in), text, known)
     asked = F.col("mode") == "query"
     rows = rows.last_before("previous_query", F.when(asked, column(text)))
     if sql is not None:
@@ -179,10 +187,11 @@ def recent_history(
     assistant: str = "assistant",
     n: int = HISTORY_TURNS,
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
-    """Add ``history``: the turns just before, oldest first."""
+    """Add ``history``: the turns just before, oldest first. ``count_in`` is as in ``ordered_rows``."""
     turn = fill(HISTORY_TURN, user=column(user), assistant=column(assistant))
-    rows = _rows(turns, session, seq, max_group_rows).last_n_before("_turns", turn, n)
+    rows = _rows(turns, session, seq, max_group_rows, count_in).last_n_before("_turns", turn, n)
     history = F.when(F.size("_turns") > 0, F.array_join("_turns", "\n")).otherwise(NO_HISTORY)
     return rows.done().withColumn("history", history).drop("_turns")
 
@@ -204,6 +213,7 @@ def conversation_notes(
     sql: str | None = None,
     at: str | None = None,
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
     """One Markdown block per turn: ``file_name, turn_no, note``; the first of a session starts with its heading.
 
@@ -218,7 +228,7 @@ def conversation_notes(
         has_sql = F.coalesce(column(sql), F.lit("")) != ""
         block = F.concat(block, F.when(has_sql, fill(NOTE_SQL, sql=column(sql))).otherwise(""))
     heading = F.when(F.col("turn_no") == 1, fill(NOTE_HEADING, session=column(session), at=stamp)).otherwise("")
-    rows = _rows(turns, [session], seq, max_group_rows).number("turn_no").done()
+    rows = _rows(turns, [session], seq, max_group_rows, count_in).number("turn_no").done()
     return rows.select(
         column(session),
         note_file(column(session)).alias("file_name"),

@@ -219,14 +219,17 @@ def rank_findings(
     return ordered_rows(score_findings(findings), keys, order, max_group_rows).number("rank").done()
 
 
-def executive_summary(ranked: DataFrame, keys: Sequence[str] = DATASET_KEY) -> DataFrame:
+def executive_summary(
+    findings: DataFrame, keys: Sequence[str] = DATASET_KEY, tie: Sequence[str] = ("task_no", "finding_no")
+) -> DataFrame:
     """One row per data set, from its first findings only.
 
     Risks are the first findings of high severity. Ranks follow the score and severity is a threshold on it, so they
-    are the first findings too, and nothing beyond the top rows is collected.
+    are the first findings too. With a limit on the rank every task keeps its own first rows before the shuffle, so a
+    data set may have any number of findings.
     """
     top = max(SUMMARY_FINDINGS, SUMMARY_RISKS)
-    best = ranked.filter(F.col("rank") <= top)
+    best = rank_findings(findings, keys, tie, max_group_rows=None).filter(F.col("rank") <= top)
 
     def in_order(condition: Column, value: str) -> Column:
         return F.array_sort(F.collect_list(F.when(condition, F.struct("rank", value))))[value]
@@ -254,15 +257,16 @@ def executive_summary(ranked: DataFrame, keys: Sequence[str] = DATASET_KEY) -> D
     )
 
 
-def summary_or_default(ranked: DataFrame, dataset_name: str) -> DataFrame:
+def summary_or_default(findings: DataFrame, dataset_name: str) -> DataFrame:
     """The summary of one data set, with the default texts when it has no findings."""
     default = small_table(
-        ranked.sparkSession,
+        findings.sparkSession,
         [(dataset_name, NO_FINDINGS, [], [], [NO_CAVEATS], [NO_FOLLOW_UP])],
         "dataset_name string, headline string, top_findings array<string>, key_risks array<string>, "
         "caveats array<string>, follow_up_questions array<string>",
     )
-    both = executive_summary(ranked).withColumn("_found", F.lit(True)).unionByName(default.withColumn("_found", F.lit(False)))
+    found = executive_summary(findings).withColumn("_found", F.lit(True))
+    both = found.unionByName(default.withColumn("_found", F.lit(False)))
     return unless_others(both, ~F.col("_found"), DATASET_KEY).drop("_found")
 
 

@@ -99,44 +99,46 @@ def role() -> Column:
     )
 
 
+NUMERIC_SCHEMA = "ordinal int, column string, min double, max double, mean double, median double, stddev double"
+
+
+def _moments(value: Column) -> list[Column]:
+    return [
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("stddev"),
+    ]
+
+
 def numeric_profile(df: DataFrame, row_count: int | None = None, approx: bool = False) -> DataFrame:
-    """Min, max, mean, exact median and sample deviation of each numeric column, as doubles."""
+    """Min, max, mean, median and sample deviation of each numeric column, as doubles.
+
+    The median is exact. Above ``EXACT_DISTINCT_ROWS`` rows it takes a few more passes, unless ``approx`` allows an
+    approximate one; the other statistics come from the first pass.
+    """
     rows = df.count() if row_count is None else row_count
-    numeric = [f.name for f in df.schema.fields if type_class(f.dataType) == "numeric"]
-    values = {name: column(name).cast("double") for name in numeric}
-    medians: dict[str, Column] = {}
-    if approx:
-        medians = {name: F.percentile_approx(value, 0.5) for name, value in values.items()}
-    elif rows <= EXACT_DISTINCT_ROWS:
-        medians = {name: F.median(value) for name, value in values.items()}
-    else:
-        found = exact_medians(df, values)
-        medians = {name: F.max(F.lit(found[name]).cast("double")) for name in numeric}
-    aggregates = []
-    for i, name in enumerate(numeric):
-        value = values[name]
-        aggregates += [
-            F.min(value).alias(f"min{i}"),
-            F.max(value).alias(f"max{i}"),
-            F.avg(value).alias(f"mean{i}"),
-            medians[name].alias(f"median{i}"),
-            F.stddev_samp(value).alias(f"stddev{i}"),
+    values = {
+        field.name: column(field.name).cast("double")
+        for field in df.schema.fields
+        if type_class(field.dataType) == "numeric"
+    }
+    if rows > EXACT_DISTINCT_ROWS and not approx:
+        found = exact_medians(df, values, describe=lambda value: F.struct(*_moments(value)))
+        listed = [
+            (i, name, stats["min"], stats["max"], stats["mean"], median, stats["stddev"])
+            for i, (name, (median, stats)) in enumerate(found.items())
         ]
-    statistics = ("min", "max", "mean", "median", "stddev")
-    entries = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(name).alias("column"),
-            *[F.col(f"{statistic}{i}").alias(statistic) for statistic in statistics],
-        )
-        for i, name in enumerate(numeric)
-    ]
-    fields = [
-        T.StructField("ordinal", T.IntegerType()),
-        T.StructField("column", T.StringType()),
-        *[T.StructField(statistic, T.DoubleType()) for statistic in statistics],
-    ]
-    return _per_column(df.agg(*aggregates) if aggregates else df, fields, entries)
+        return small_table(df.sparkSession, listed, NUMERIC_SCHEMA)
+    entries = []
+    for i, (name, value) in enumerate(values.items()):
+        median = F.percentile_approx(value, 0.5) if approx else F.median(value)
+        stats = [F.lit(i).alias("ordinal"), F.lit(name).alias("column"), median.alias("median"), *_moments(value)]
+        entries.append(F.struct(*stats))
+    if not entries:
+        return small_table(df.sparkSession, [], NUMERIC_SCHEMA)
+    statistics = df.agg(F.array(*entries).alias("statistics")).select(F.inline("statistics"))
+    return statistics.select("ordinal", "column", "min", "max", "mean", "median", "stddev")
 
 
 def top_values(df: DataFrame, row_count: int | None = None) -> DataFrame:
@@ -243,9 +245,10 @@ class DatasetProfile:
 def profile_dataset(dataset_name: str, df: DataFrame, approx: bool = False) -> DatasetProfile:
     """Profile a whole table. The roles decide which columns have a date range, so they are read first."""
     rows = df.count()
-    columns = column_profile(df, rows, approx)
-    roles = columns.select("ordinal", "column", "role").orderBy("ordinal").collect()
-    time_columns = [row["column"] for row in roles if row["role"] == "time"]
+    profile = column_profile(df, rows, approx)
+    found = sorted(profile.collect(), key=lambda row: row["ordinal"])
+    columns = small_table(df.sparkSession, found, profile.schema)
+    time_columns = [row["column"] for row in found if row["role"] == "time"]
     return DatasetProfile(
         dataset_name=dataset_name,
         row_count=rows,

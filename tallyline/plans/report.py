@@ -48,7 +48,7 @@ class AnalysisReport:
 
     @property
     def summary(self) -> DataFrame:
-        return summary_or_default(self.ranked, self.dataset_name)
+        return summary_or_default(self.findings, self.dataset_name)
 
 
 def run_tasks(

@@ -15,6 +15,8 @@ def build_session(
 ) -> SparkSession:
     """A session with the settings every operator assumes: UTC and adaptive execution.
 
+    Recording the Python line of every expression is off, since it costs more than building the plans.
+
     Cluster sizing (shuffle partitions, memory, split size) stays with the deployment; pass it in ``settings``
     or set it in the cluster's own defaults.
     """
@@ -25,6 +27,7 @@ def build_session(
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in (settings or {}).items():
         builder = builder.config(name, value)

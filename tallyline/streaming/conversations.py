@@ -62,9 +62,8 @@ class ConversationStream:
                 raise
             return batch.limit(0)
         earlier = asked.filter(F.col("batch_id") < batch_id).drop("batch_id")
-        return latest(earlier, ["session"], "seq").join(
-            batch.select("session").distinct(), "session", "left_semi"
-        ).select(*map(column, batch.columns))
+        wanted = earlier.join(batch.select("session").distinct(), "session", "left_semi")
+        return latest(wanted, ["session"], "seq").select(*map(column, batch.columns))
 
     def turns(self, spark: SparkSession) -> DataFrame:
         """All messages classified so far."""

@@ -276,7 +276,7 @@ def test_scored_example(spark):
 
 
 def test_default_summary(spark, sales):
-    none = run_analysis("sales", sales, mode="overview").ranked.filter(F.lit(False))
+    none = run_analysis("sales", sales, mode="overview").findings.filter(F.lit(False))
     row = findings.summary_or_default(none, "sales").first()
     assert row["headline"] == "No material findings"
     assert row["caveats"] == ["Summary is constrained to deterministic evidence only."]
