@@ -9,10 +9,9 @@ since only exact counts move the bounds. The last pass fetches the few values th
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 GRID = 400
@@ -89,13 +88,8 @@ def exact_medians(
     df: DataFrame,
     values: dict[str, Column],
     fetch_rows: int = FETCH_ROWS,
-    describe: Callable[[Column], Column] | None = None,
-) -> dict[str, tuple[float | None, Row | None]]:
-    """The exact median of each double column, nulls skipped; null for a column without values.
-
-    ``describe`` makes one more aggregate of a column, which is computed in the first pass and returned beside the
-    median.
-    """
+) -> dict[str, float | None]:
+    """The exact median of each double column, nulls skipped; null for a column without values."""
     if not values:
         return {}
     names = list(values)
@@ -105,7 +99,6 @@ def exact_medians(
     start = data.agg(
         F.array(*[F.count(col) for col in cols]).alias("counts"),
         *[_grid(col, col.isNotNull()).alias(f"g{i}") for i, col in enumerate(cols)],
-        *[describe(col).alias(f"d{i}") for i, col in enumerate(cols) if describe is not None],
     ).first()
     searches: list[list[_Rank]] = []
     for i, count in enumerate(start["counts"]):
@@ -119,6 +112,9 @@ def exact_medians(
         wide = [(i, s) for i, s in open_ranks if s.inside > fetch_rows]
         if not wide:
             break
+        # Exact counts compile to fast code and sketches do not, so the counts are taken alone when what lies between
+        # the cuts, some five grid steps at most, should be few enough to fetch.
+        sketching = max(search.inside for _, search in wide) * 5 / GRID > fetch_rows
         aggregates: dict[tuple, Column] = {}  # the two middle ranks mostly share their bounds
         for i, search in wide:
             if search.state(i) in aggregates:
@@ -133,7 +129,7 @@ def exact_medians(
                 F.count_if(keep & (col == first)).alias("on_first"),
                 F.count_if(keep & (col > first) & (col < second)).alias("between"),
                 F.count_if(keep & (col == second) & (first != second)).alias("on_second"),
-                _grid(col, keep & (col > first) & (col < second)).alias("grid"),
+                *([_grid(col, keep & (col > first) & (col < second)).alias("grid")] if sketching else []),
             )
         row = data.agg(*[aggregate.alias(f"a{n}") for n, aggregate in enumerate(aggregates.values())]).first()
         results = dict(zip(aggregates, row, strict=True))
@@ -142,7 +138,7 @@ def exact_medians(
             sketched = search.cuts is None or search.narrow(
                 seen["under"], seen["on_first"], seen["between"], seen["on_second"]
             )
-            if sketched and search.value is None:
+            if sketched and search.value is None and "grid" in seen:
                 search.propose(*seen["grid"])
 
     if open_ranks:
@@ -154,9 +150,6 @@ def exact_medians(
             search.value = left[i, search.low, search.high][search.rank - search.below]
 
     return {
-        name: (
-            (searches[i][0].value + searches[i][-1].value) / 2.0 if searches[i] else None,
-            start[f"d{i}"] if describe is not None else None,
-        )
-        for i, name in enumerate(names)
+        name: (found[0].value + found[-1].value) / 2.0 if found else None
+        for name, found in zip(names, searches, strict=True)
     }

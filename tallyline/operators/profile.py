@@ -102,20 +102,11 @@ def role() -> Column:
 NUMERIC_SCHEMA = "ordinal int, column string, min double, max double, mean double, median double, stddev double"
 
 
-def _moments(value: Column) -> list[Column]:
-    return [
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
-        F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("stddev"),
-    ]
-
-
 def numeric_profile(df: DataFrame, row_count: int | None = None, approx: bool = False) -> DataFrame:
     """Min, max, mean, median and sample deviation of each numeric column, as doubles.
 
-    The median is exact. Above ``EXACT_DISTINCT_ROWS`` rows it takes a few more passes, unless ``approx`` allows an
-    approximate one; the other statistics come from the first pass.
+    The median is exact. Above ``EXACT_DISTINCT_ROWS`` rows it is searched for in a few passes, unless ``approx``
+    allows an approximate one.
     """
     rows = df.count() if row_count is None else row_count
     values = {
@@ -123,22 +114,27 @@ def numeric_profile(df: DataFrame, row_count: int | None = None, approx: bool =
         for field in df.schema.fields
         if type_class(field.dataType) == "numeric"
     }
-    if rows > EXACT_DISTINCT_ROWS and not approx:
-        found = exact_medians(df, values, describe=lambda value: F.struct(*_moments(value)))
-        listed = [
-            (i, name, stats["min"], stats["max"], stats["mean"], median, stats["stddev"])
-            for i, (name, (median, stats)) in enumerate(found.items())
-        ]
-        return small_table(df.sparkSession, listed, NUMERIC_SCHEMA)
-    entries = []
-    for i, (name, value) in enumerate(values.items()):
-        median = F.percentile_approx(value, 0.5) if approx else F.median(value)
-        stats = [F.lit(i).alias("ordinal"), F.lit(name).alias("column"), median.alias("median"), *_moments(value)]
-        entries.append(F.struct(*stats))
-    if not entries:
+    if not values:
         return small_table(df.sparkSession, [], NUMERIC_SCHEMA)
-    statistics = df.agg(F.array(*entries).alias("statistics")).select(F.inline("statistics"))
-    return statistics.select("ordinal", "column", "min", "max", "mean", "median", "stddev")
+    if approx:
+        medians = {name: F.percentile_approx(value, 0.5) for name, value in values.items()}
+    elif rows <= EXACT_DISTINCT_ROWS:
+        medians = {name: F.median(value) for name, value in values.items()}
+    else:
+        medians = {name: F.max(F.lit(found).cast("double")) for name, found in exact_medians(df, values).items()}
+    entries = [
+        F.struct(
+            F.lit(i).alias("ordinal"),
+            F.lit(name).alias("column"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+            F.avg(value).alias("mean"),
+            medians[name].alias("median"),
+            F.stddev_samp(value).alias("stddev"),
+        )
+        for i, (name, value) in enumerate(values.items())
+    ]
+    return df.agg(F.array(*entries).alias("statistics")).select(F.inline("statistics"))
 
 
 def top_values(df: DataFrame, row_count: int | None = None) -> DataFrame:
