@@ -7,6 +7,7 @@ the order, also when a single session holds a large part of the log (see ``funct
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,35 +65,43 @@ NOTE_SQL = "### SQL\n\n```sql\n{sql}\n```\n\n"
 DEFAULT_NOTE = "default"
 
 
-def asks_for_last_sql(text: Column) -> Column:
-    return contains_any(text, SQL_WORDS) & contains_any(text, LAST_SQL_WORDS)
+def _tests(text: Column) -> dict[str, Column]:
+    """What the words of one message say, whatever came before."""
+    return {
+        "_blank": strip(text) == "",
+        "_last_sql": contains_any(text, SQL_WORDS) & contains_any(text, LAST_SQL_WORDS),
+        "_summary": contains_any(text, SUMMARY_WORDS),
+        "_data": contains_any(text, DATA_WORDS),
+        "_refers": contains_any(text, FOLLOW_UP_WORDS),
+    }
 
 
-def opens_query(text: Column) -> Column:
-    """A query by its own words, whatever came before."""
-    return ~asks_for_last_sql(text) & ~contains_any(text, SUMMARY_WORDS) & contains_any(text, DATA_WORDS)
-
-
-def mode(text: Column, has_query: Column) -> Column:
-    """The mode of a message; ``has_query`` says whether an earlier message of the session was a query."""
-    follow_up = contains_any(text, FOLLOW_UP_WORDS) & has_query
+def _mode(has_query: Column) -> Column:
+    """The mode of a message from its tests and from whether an earlier message of the session was a query."""
     return (
-        F.when(strip(text) == "", "error")
-        .when(asks_for_last_sql(text), "meta")
-        .when(contains_any(text, SUMMARY_WORDS), "chat")
-        .when(contains_any(text, DATA_WORDS) | follow_up, "query")
+        F.when(F.col("_blank"), "error")
+        .when(F.col("_last_sql"), "meta")
+        .when(F.col("_summary"), "chat")
+        .when(F.col("_data") | (F.col("_refers") & has_query), "query")
         .otherwise("chat")
     )
 
 
 def _with_modes(rows: OrderedRows, text: str, known: str | None = None) -> OrderedRows:
-    """A follow-up needs an earlier query, and the first query of a session needs words of its own, so an earlier
-    opening message is the same as an earlier query. Rows marked in the ``known`` column are queries already."""
-    message = column(text)
+    """Add the mode, and keep the test of referring back in ``_refers``.
+
+    A follow-up needs an earlier query, and the first query of a session needs words of its own, so an earlier
+    message that is a query by its own words is the same as an earlier query. Rows marked in the ``known`` column are
+    queries already.
+    """
+    tests = _tests(column(text))
+    tested = replace(rows, rows=rows.rows.withColumns(tests))
     marked = F.lit(False) if known is None else F.coalesce(column(known), F.lit(False))
-    opened = rows.last_before("_opened", F.when(marked | opens_query(message), F.lit(True)))
-    decided = F.when(marked, "query").otherwise(mode(message, F.coalesce("_opened", F.lit(False))))
-    return OrderedRows(opened.rows.withColumn("mode", decided).drop("_opened"), rows.keys, rows.order, rows.split)
+    opens = marked | (~F.col("_last_sql") & ~F.col("_summary") & F.col("_data"))
+    opened = tested.last_before("_opened", F.when(opens, F.lit(True)))
+    decided = F.when(marked, "query").otherwise(_mode(F.coalesce("_opened", F.lit(False))))
+    unused = [name for name in tests if name != "_refers"]
+    return replace(opened, rows=opened.rows.withColumn("mode", decided).drop("_opened", *unused))
 
 
 def _rows(
@@ -114,7 +123,7 @@ def conversation_modes(
     count_in: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``mode``: query, meta, chat, or error for a blank message."""
-    return _with_modes(_rows(messages, session, seq, max_group_rows, count_in), text).done()
+    return _with_modes(_rows(messages, session, seq, max_group_rows, count_in), text).done().drop("_refers")
 
 
 def previous_queries(
@@ -131,18 +140,32 @@ def previous_queries(
 
     ``reply`` is the fixed answer to meta and chat messages; the answer to a query is its result.
     """
+    found = _previous_queries(messages, session, seq, text, sql, known, max_group_rows, count_in)
+    return found.drop("_refers")
+
+
+def _previous_queries(
+    messages: DataFrame,
+    session: Sequence[str],
+    seq: str,
+    text: str,
+    sql: str | None,
+    known: str | None,
+    max_group_rows: int | None,
+    count_in: DataFrame | None = None,
+) -> DataFrame:
     rows = _with_modes(_rows(messages, session, seq, max_group_rows, count_in), text, known)
-    asked = F.col("mode") == "query"
-    rows = rows.last_before("previous_query", F.when(asked, column(text)))
-    if sql is not None:
-        rows = rows.last_before("previous_sql", F.when(asked, column(sql)))
+    asked = {"previous_query": column(text), **({"previous_sql": column(sql)} if sql is not None else {})}
+    query = F.struct(*[value.alias(name) for name, value in asked.items()])
+    found = rows.last_before("_previous", F.when(F.col("mode") == "query", query)).done()
+    found = found.withColumns({name: F.col("_previous")[name] for name in asked}).drop("_previous")
     fresh = F.col("previous_query").isNull()
     reply = (
         F.when(F.col("mode") == "meta", F.when(fresh, NO_PREVIOUS_SQL).otherwise(PREVIOUS_SQL))
         .when(F.col("mode") == "chat", F.when(fresh, FIRST_CHAT).otherwise(NEXT_CHAT))
         .otherwise(F.lit(None).cast("string"))
     )
-    return rows.done().withColumn("reply", reply)
+    return found.withColumn("reply", reply)
 
 
 def resolve_follow_ups(
@@ -157,8 +180,8 @@ def resolve_follow_ups(
 
     The previous question is the message as written, not its own resolved form.
     """
-    found = previous_queries(messages, session, seq, text, sql, max_group_rows=max_group_rows)
-    refers = contains_any(column(text), FOLLOW_UP_WORDS) & F.col("previous_query").isNotNull()
+    found = _previous_queries(messages, session, seq, text, sql, None, max_group_rows)
+    refers = F.col("_refers") & F.col("previous_query").isNotNull()
     context = fill(
         FOLLOW_UP_CONTEXT,
         question=F.col("previous_query"),
@@ -166,7 +189,7 @@ def resolve_follow_ups(
         message=column(text),
     )
     resolved = F.when((F.col("mode") == "query") & refers, context).otherwise(column(text))
-    return found.withColumn("resolved", resolved)
+    return found.withColumn("resolved", resolved).drop("_refers")
 
 
 def pair_turns(log: DataFrame, session: str, seq: str, role: str, text: str) -> DataFrame:
