@@ -2,6 +2,7 @@
 
 from tallyline.models import AnalysisTask, Dimension, Metric, SemanticModel
 from tallyline.plans.report import AnalysisReport, run_analysis
+from tallyline.plans.workspace import Workspace
 from tallyline.session import build_session
 
 __all__ = [
@@ -10,6 +11,7 @@ __all__ = [
     "Dimension",
     "Metric",
     "SemanticModel",
+    "Workspace",
     "build_session",
     "run_analysis",
 ]

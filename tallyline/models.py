@@ -44,6 +44,7 @@ DATASET_SCHEMA = T.StructType(
         T.StructField("dataset_name", T.StringType()),
         T.StructField("table_name", T.StringType()),
         T.StructField("source_path", T.StringType()),
+        T.StructField("location", T.StringType()),
         T.StructField("row_count", T.LongType()),
         T.StructField("profile_path", T.StringType()),
         T.StructField("semantic_path", T.StringType()),

@@ -37,6 +37,7 @@ class RegisteredDataset:
     table_name: str
     source_path: str
     row_count: int
+    location: str | None = None
     profile_path: str | None = None
     semantic_path: str | None = None
     created_at: datetime | None = None
