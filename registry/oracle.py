@@ -473,7 +473,7 @@ SELECT id, CASE WHEN n IS NULL THEN regexp_replace(sql, ';+$', '') || ' LIMIT 50
   CAST(n IS NULL OR n > 1000 AS INTEGER) AS rewritten,
   CASE WHEN n > 1000 THEN 'LIMIT ' || n || ' capped to max_row_limit=1000' END AS warning FROM l"""
 ORACLE["sql_table_refs"] = f"WITH {AUDITED} SELECT id, array_to_string(t, ',') AS table_refs FROM refs"
-ORACLE["sql_audit_log"] = f"""
+ORACLE["sql_audit"] = f"""
 WITH {AUDITED}, e AS (SELECT id, q, CASE WHEN q = '' THEN ['SQL is empty']
   ELSE list_filter([{ERRORS}], lambda x: x IS NOT NULL) END AS errors FROM refs)
 SELECT id, q AS checked_sql, array_to_string(errors, '; ') AS errors, CAST(len(errors) = 0 AS INTEGER) AS passed FROM e"""
@@ -693,6 +693,7 @@ ORACLE["run_analysis"] = _report(
         _diagnostics(6),
     ]
 )
+ORACLE["saved_evidence"] = ORACLE["run_analysis"]
 ORACLE["run_analysis_overview"] = _report([_overview(1), _diagnostics(2)])
 ORACLE["run_analysis_diagnostic"] = _report(
     [

@@ -21,9 +21,9 @@ from tallyline.operators import conversation, diagnostics, interpret, overview,
 from tallyline.operators import findings as ranking
 from tallyline.operators import profile as profiles
 from tallyline.plans.guarded import guarded_query
-from tallyline.plans.report import run_analysis
+from tallyline.plans.report import AnalysisReport, run_analysis
 from tallyline.session import scratch_path
-from tallyline.sources import catalog, describe, ingest
+from tallyline.sources import catalog, describe, ingest, store
 from tallyline.streaming.conversations import ConversationStream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -539,7 +539,10 @@ def score_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rank_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = ranking.rank_findings(order_findings(spark, sf_dir))
+    orders = load(spark, sf_dir, "orders").select(
+        F.concat(F.lit("customer "), F.col("o_custkey")).alias("dataset_name")
+    )
+    ranked = ranking.rank_findings(order_findings(spark, sf_dir), count_in=orders)
     return ranked.select("dataset_name", "title", r("combined_score"), F.col("rank").cast("bigint").alias("rank"))
 
 
@@ -556,23 +559,33 @@ def executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _ranked(report: AnalysisReport) -> DataFrame:
+    return report.ranked.select(
+        F.col("rank").cast("bigint").alias("rank"),
+        "title",
+        "metric",
+        F.array_join("dimensions", ",").alias("dimensions"),
+        F.col("evidence")[0]["query_id"].alias("query_id"),
+        r("impact_score"),
+        r("combined_score"),
+        "severity",
+    )
+
+
 def _report(mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        ranked = run_analysis("lineitem", load(spark, sf_dir, "lineitem"), mode=mode).ranked
-        return ranked.select(
-            F.col("rank").cast("bigint").alias("rank"),
-            "title",
-            "metric",
-            F.array_join("dimensions", ",").alias("dimensions"),
-            F.col("evidence")[0]["query_id"].alias("query_id"),
-            r("impact_score"),
-            r("combined_score"),
-            "severity",
-        )
+        return _ranked(run_analysis("lineitem", load(spark, sf_dir, "lineitem"), mode=mode))
 
     return run
 
 
+@query
+def saved_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The executive report over its evidence, written and read back."""
+    report = run_analysis("lineitem", load(spark, sf_dir, "lineitem"))
+    return _ranked(store.write_evidence(report, scratch_path(spark, "state")))
+
+
 QUERIES |= {
     "run_analysis": _report("executive_summary"),
     "run_analysis_overview": _report("overview"),
@@ -600,14 +613,16 @@ def sql_table_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sql_audit.audit_log(query_log(spark, sf_dir)).select("id", joined("table_refs"))
 
 
-@query
-def sql_audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
     audited = sql_audit.audit_log(
         query_log(spark, sf_dir), forbidden_tables=["secret_table"], allowed_tables=["orders", "customer"]
     )
     return audited.select("id", "checked_sql", joined("errors", "; "), F.col("passed").cast("int").alias("passed"))
 
 
+QUERIES["sql_audit"] = _audited
+
+
 TOP_PRICES = (
     "```sql\nSELECT o_custkey, COUNT(*) AS order_count, ROUND(SUM(o_totalprice), 2) AS total_price "
     "FROM checked_orders GROUP BY o_custkey ORDER BY total_price DESC, o_custkey\n```"

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,13 +36,24 @@ def key_candidate(names: Sequence[str]) -> str | None:
     return None
 
 
+def _distinct(name: str, approx: bool) -> Column:
+    return F.approx_count_distinct(column(name)) if approx else F.count_distinct(column(name))
+
+
 def count_row(
-    df: DataFrame, missing: Sequence[str] = (), distinct: Sequence[str] = (), key: str | None = None
+    df: DataFrame,
+    missing: Sequence[str] = (),
+    distinct: Sequence[str] = (),
+    key: str | None = None,
+    approx: bool = False,
 ) -> DataFrame:
-    """One row with the row count, null counts ``nulls<i>``, distinct counts ``distinct<i>`` and key duplicates."""
+    """One row with the row count, null counts ``nulls<i>``, distinct counts ``distinct<i>`` and key duplicates.
+
+    Distinct counts of dimensions are exact unless ``approx`` allows a sketch; that of the key is always exact.
+    """
     aggregates = [F.count(F.lit(1)).alias("row_count")]
     aggregates += [F.count_if(column(name).isNull()).alias(f"nulls{i}") for i, name in enumerate(missing)]
-    aggregates += [F.count_distinct(column(name)).alias(f"distinct{i}") for i, name in enumerate(distinct)]
+    aggregates += [_distinct(name, approx).alias(f"distinct{i}") for i, name in enumerate(distinct)]
     if key is not None:
         aggregates.append((F.count(F.lit(1)) - F.count_distinct(column(key))).alias("duplicates"))
     return df.agg(*aggregates)
@@ -84,13 +95,13 @@ def cardinality_table(counts: DataFrame, names: Sequence[str]) -> DataFrame:
     )
 
 
-def cardinality(df: DataFrame, dimensions: Sequence[str]) -> DataFrame:
+def cardinality(df: DataFrame, dimensions: Sequence[str], approx: bool = False) -> DataFrame:
     """Distinct values of each dimension relative to the rows."""
     names = list(dimensions)[:CARDINALITY_DIMENSIONS]
-    return cardinality_table(count_row(df, distinct=names), names)
+    return cardinality_table(count_row(df, distinct=names, approx=approx), names)
 
 
-def instability(df: DataFrame, time_column: str, dimensions: Sequence[str]) -> DataFrame:
+def instability(df: DataFrame, time_column: str, dimensions: Sequence[str], approx: bool = False) -> DataFrame:
     """How much the number of distinct values of each dimension varies from month to month.
 
     The ratio is that of the largest to the smallest month, or the largest itself when the smallest has none. All
@@ -100,7 +111,7 @@ def instability(df: DataFrame, time_column: str, dimensions: Sequence[str]) -> D
     month = period_start(as_timestamp(time_column, df.schema[time_column].dataType), "month")
     months = (
         df.groupBy(month.alias("period"))
-        .agg(*[F.count_distinct(column(name)).alias(f"distinct{i}") for i, name in enumerate(names)])
+        .agg(*[_distinct(name, approx).alias(f"distinct{i}") for i, name in enumerate(names)])
         .orderBy(F.col("period").asc_nulls_last())
         .limit(INSTABILITY_MONTHS)
     )

@@ -213,10 +213,15 @@ def rank_findings(
     keys: Sequence[str] = DATASET_KEY,
     tie: Sequence[str] = ("task_no", "finding_no"),
     max_group_rows: int | None = MAX_GROUP_ROWS,
+    count_in: DataFrame | None = None,
 ) -> DataFrame:
-    """Score the findings and number them within each data set, best first, equal ones in report order."""
+    """Score the findings and number them within each data set, best first, equal ones in report order.
+
+    ``max_group_rows`` and ``count_in`` are as in ``ordered_rows``.
+    """
     order = [F.col("combined_score").desc(), *map(column, tie)]
-    return ordered_rows(score_findings(findings), keys, order, max_group_rows).number("rank").done()
+    rows = ordered_rows(score_findings(findings), keys, order, max_group_rows, count_in)
+    return rows.number("rank").done()
 
 
 def executive_summary(

@@ -248,17 +248,19 @@ def segments_module(df: DataFrame, model: SemanticModel, task_no: int, task: Ana
     return collect_facts(rows, F.lit(task_no), facts), raw
 
 
-def _counts(df: DataFrame, model: SemanticModel, profile: list[Row] | None, key: str | None) -> DataFrame:
+def _counts(
+    df: DataFrame, model: SemanticModel, profile: list[Row] | None, key: str | None, approx: bool
+) -> DataFrame:
     """Null, distinct and duplicate counts; what the profile has counted already is not counted again."""
     dimensions = [item.column for item in model.dimensions[: checks.CARDINALITY_DIMENSIONS]]
     if profile is None:
-        return checks.count_row(df, df.columns, dimensions, key)
+        return checks.count_row(df, df.columns, dimensions, key, approx)
     known = {row["column"]: row for row in profile}
     nulls = {f"nulls{i}": known[name]["null_count"] for i, name in enumerate(df.columns)}
     distinct = {f"distinct{i}": known[name]["distinct_count"] for i, name in enumerate(dimensions)}
     keys = {"duplicates": known[key]["distinct_count"]} if key else {}
     if None in distinct.values() or None in keys.values() or not profile:
-        counted = checks.count_row(df, (), dimensions, key)
+        counted = checks.count_row(df, (), dimensions, key, approx)
         return counted.withColumns({name: F.lit(count).cast("bigint") for name, count in nulls.items()})
     rows = profile[0]["row_count"]
     values = {"row_count": rows, **nulls, **distinct, **{name: rows - count for name, count in keys.items()}}
@@ -281,12 +283,16 @@ def _listed(items: str, value: Callable[[str], str]) -> str:
 
 
 def diagnostics_module(
-    df: DataFrame, model: SemanticModel, task_no: int, profile: list[Row] | None = None
+    df: DataFrame,
+    model: SemanticModel,
+    task_no: int,
+    profile: list[Row] | None = None,
+    approx: bool = False,
 ) -> Output:
     key = checks.key_candidate(df.columns)
     dimensions = list(model.dimensions[: checks.CARDINALITY_DIMENSIONS])
     names = [item.name for item in dimensions]
-    counts = _counts(df, model, profile, key)
+    counts = _counts(df, model, profile, key, approx)
 
     worst_first = (
         "(a, b) -> case when a.value > b.value then -1 when a.value < b.value then 1 else a.ordinal - b.ordinal end"
@@ -348,7 +354,7 @@ def diagnostics_module(
 
     if model.preferred_time_dimension and names:
         few = dimensions[: checks.INSTABILITY_DIMENSIONS]
-        ranges = checks.instability(df, model.preferred_time_dimension, [item.column for item in few])
+        ranges = checks.instability(df, model.preferred_time_dimension, [item.column for item in few], approx)
         raw["category_instability"] = lambda: ranges
         listed = ranges.withColumn("column_names", F.lit([item.name for item in few]))
         unstable = listed.filter("unstable").agg(

@@ -52,7 +52,11 @@ class AnalysisReport:
 
 
 def run_tasks(
-    df: DataFrame, model: SemanticModel, tasks: list[AnalysisTask], profile: list[Row] | None = None
+    df: DataFrame,
+    model: SemanticModel,
+    tasks: list[AnalysisTask],
+    profile: list[Row] | None = None,
+    approx: bool = False,
 ) -> tuple[DataFrame, dict[str, modules.RawOutputs]]:
     """The findings of all tasks, and the raw outputs by ``module:priority``.
 
@@ -83,7 +87,7 @@ def run_tasks(
         elif task.module == "overview":
             found, raw[name] = modules.overview_module(df, model, task_no)
         elif task.module == "diagnostics":
-            found, raw[name] = modules.diagnostics_module(df, model, task_no, profile)
+            found, raw[name] = modules.diagnostics_module(df, model, task_no, profile, approx)
         else:
             raise ValueError(f"Unsupported module: {task.module}")
         facts.append(found)
@@ -102,11 +106,12 @@ def run_analysis(
     model: SemanticModel | None = None,
     table_name: str | None = None,
     max_tasks: int = MAX_TASKS,
+    approx: bool = False,
 ) -> AnalysisReport:
     """Plan a report over one table.
 
     The column profile is read at once, since it decides the metrics and dimensions; it has one row per column. All
-    else is lazy. Write the findings with ``sources.store.write_evidence`` to use them more than once.
+    else is lazy. ``approx`` lets the diagnostics count the distinct values of dimensions by a sketch. Write the findings with ``sources.store.write_evidence`` to use them more than once.
     """
     profile = column_profile(df)
     rows = sorted(profile.collect(), key=lambda row: row["ordinal"])
@@ -117,5 +122,5 @@ def run_analysis(
         validate_model(df, model)
     tasks = plan_tasks(mode, model, max_tasks)
     check_tasks(tasks, model)
-    findings, raw = run_tasks(df, model, tasks, rows)
+    findings, raw = run_tasks(df, model, tasks, rows, approx)
     return AnalysisReport(dataset_name, question, mode, model, tasks, findings, raw)

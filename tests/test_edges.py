@@ -166,3 +166,19 @@ def test_instability_without_values(spark):
     frame = table(spark, [("2024-01-01", None, 1, None), ("2024-02-01", "a", 1, None), ("2024-02-02", "b", 1, None)])
     row = diagnostics.instability(frame, "day", ["kind"]).first()
     assert (row["max_count"], row["min_count"], row["explosion_ratio"]) == (2, 0, 2.0)
+
+
+def test_approximate_counts(spark):
+    frame = spark.range(2000).select(
+        (F.col("id") % 1900).alias("many"),
+        (F.col("id") % 3).cast("string").alias("few"),
+        F.lit("2024-01-01").cast("date").alias("day"),
+    )
+    exact = diagnostics.cardinality(frame, ["many", "few"]).orderBy("ordinal").collect()
+    rough = diagnostics.cardinality(frame, ["many", "few"], approx=True).orderBy("ordinal").collect()
+    assert [row["distinct_count"] for row in exact] == [1900, 3]
+    assert rough[1]["distinct_count"] == 3
+    assert abs(rough[0]["distinct_count"] - 1900) < 250
+    months = diagnostics.instability(frame, "day", ["few"], approx=True).first()
+    assert months["explosion_ratio"] == 1.0
+    assert run_analysis("rough", frame, approx=True).ranked.count() > 0
