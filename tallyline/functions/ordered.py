@@ -19,6 +19,7 @@ from tallyline.functions.metrics import column
 from tallyline.session import shared_folder
 
 MAX_GROUP_ROWS = 1_000_000
+BLOCK_GROUPS = 10  # a block holds about this many times the rows of the largest group that is left whole
 BLOCK = "_block"
 
 
@@ -103,10 +104,11 @@ class OrderedRows:
         return self.rows.drop(BLOCK)
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group; one pass over the key columns with partial counts before the shuffle."""
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> tuple[int, int]:
+    """Rows of the largest group and of all; one pass over the key columns, counted in part before the shuffle."""
     sizes = df.groupBy(*map(column, keys)).agg(F.count(F.lit(1)).alias("n"))
-    return sizes.agg(F.max("n")).first()[0] or 0
+    largest, total = sizes.agg(F.max("n"), F.sum("n")).first()
+    return largest or 0, total or 0
 
 
 def ordered_rows(
@@ -121,11 +123,11 @@ def ordered_rows(
     The groups are counted in ``count_in`` when that is cheaper, such as the source of ``df``; its groups must not be
     smaller. Pass None for ``max_group_rows`` only where groups are small by construction; they are then not counted.
     """
-    counted = df if count_in is None else count_in
-    if max_group_rows is None or largest_group(counted, keys) <= max_group_rows:
+    largest, total = (0, 0) if max_group_rows is None else group_sizes(df if count_in is None else count_in, keys)
+    if max_group_rows is None or largest <= max_group_rows:
         return OrderedRows(df.withColumn(BLOCK, F.lit(0)), tuple(keys), tuple(order), split=False)
     spark = df.sparkSession
     shared_folder(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (BLOCK_GROUPS * max_group_rows))
     blocks = df.repartitionByRange(parts, *map(column, keys), *order).withColumn(BLOCK, F.spark_partition_id())
     return OrderedRows(blocks.checkpoint(), tuple(keys), tuple(order), split=True)

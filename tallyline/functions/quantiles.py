@@ -143,7 +143,10 @@ def exact_medians(
 
     if open_ranks:
         # Each list holds at most ``fetch_rows`` values, by the exact counts above.
-        lists = {(i, s.low, s.high): F.sort_array(F.collect_list(F.when(s.within(cols[i]), cols[i]))) for i, s in open_ranks}
+        lists = {
+            (i, search.low, search.high): F.sort_array(F.collect_list(F.when(search.within(cols[i]), cols[i])))
+            for i, search in open_ranks
+        }
         row = data.agg(*[values_left.alias(f"a{n}") for n, values_left in enumerate(lists.values())]).first()
         left = dict(zip(lists, row, strict=True))
         for i, search in open_ranks:

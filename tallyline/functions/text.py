@@ -46,14 +46,14 @@ def number_text(df: DataFrame, name: str) -> Column:
     return plain_number(value.cast("double")) if fraction else value.cast("string")
 
 
-def fixed(value: Column, places: int) -> Column:
-    """A number with a fixed count of decimals."""
-    return F.format_string(f"%.{places}f", value.cast("double"))
+def fixed_sql(value: str, places: int) -> str:
+    """SQL for a number with a fixed count of decimals, halves rounded to even."""
+    return f"format_string('%.{places}f', bround(double({value}), {places}))"
 
 
-def percent(value: Column) -> Column:
-    """A ratio as a percentage with one decimal."""
-    return F.concat(fixed(value * 100.0, 1), F.lit("%"))
+def percent_sql(value: str) -> str:
+    """SQL for a ratio as a percentage with one decimal."""
+    return f"concat({fixed_sql(f'100.0D * {value}', 1)}, '%')"
 
 
 def clean_name(name: str) -> str:

@@ -74,7 +74,8 @@ class Fact:
         pairs = "".join(f", '{name}', string({value})" for name, value in self.values.items())
         return (
             f"if({self.when}, named_struct('kind', '{self.kind}', 'finding_no', int({self.number}), "
-            f"'metric', {self.metric}, 'dimensions', {self.dimensions}, 'impact_score', least(1.0D, double({self.impact})), "
+            f"'metric', {self.metric}, 'dimensions', {self.dimensions}, "
+            f"'impact_score', least(1.0D, double({self.impact})), "
             f"'severity', {self.severity}, 'own_caveats', cast({self.caveats} AS array<string>), "
             f"'values', map('metric', {self.metric}{pairs})), null)"
         )

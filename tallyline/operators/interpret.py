@@ -91,8 +91,8 @@ def top_insight(
         best = F.coalesce(*[F.col(f"best{i}") for i in range(len(metrics))])
         row = numbered.agg(*aggregates).select(best.alias("best")).select("best.*")
     else:
-        row = small_table(result.sparkSession, [(None, None, None, None)], "metric string, value double, value_text string, label string"
-        )
+        schema = "metric string, value double, value_text string, label string"
+        row = small_table(result.sparkSession, [(None, None, None, None)], schema)
     lead = F.lit(LEAD.format(question=question, rows=total, ms=duration_ms))
     insight = fill(
         INSIGHT,

@@ -43,8 +43,8 @@ def headlines(row: DataFrame, model: SemanticModel) -> DataFrame:
             )
         )
     if not entries:
-        return small_table(row.sparkSession, [], "ordinal int, metric string, value double, value_text string, impact double"
-        )
+        schema = "ordinal int, metric string, value double, value_text string, impact double"
+        return small_table(row.sparkSession, [], schema)
     impact = F.least(F.lit(1.0), F.abs(F.coalesce("value", F.lit(0.0))) / HEADLINE_SCALE)
     return row.select(F.inline(F.array(*entries))).withColumn("impact", impact)
 

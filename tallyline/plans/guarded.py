@@ -14,8 +14,7 @@ from tallyline.functions import sqltext
 from tallyline.functions.small import small_table
 from tallyline.operators.sql_audit import check_text
 
-# Row limits of reports and of questions.
-REPORT_LIMITS = (1000, 10_000)
+# The default and the largest row limit of a question.
 QUESTION_LIMITS = (100, 1000)
 
 

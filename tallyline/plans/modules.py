@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyline.functions.periods import ANOMALY_GRAINS, TREND_GRAINS
 from tallyline.functions.small import small_table
-from tallyline.functions.text import number_text
+from tallyline.functions.text import fixed_sql, number_text, percent_sql
 from tallyline.models import AnalysisTask, SemanticModel
 from tallyline.operators import diagnostics as checks
 from tallyline.operators import overview, segments, series
@@ -34,14 +34,6 @@ NO_ALERTS = "no_alerts"
 HIGH_VOLATILITY = 0.5
 
 
-def _two(value: str) -> str:
-    return f"format_string('%.2f', double({value}))"
-
-
-def _percent(value: str) -> str:
-    return f"format_string('%.1f%%', 100.0D * {value})"
-
-
 def _named(rows: DataFrame, metric: str | None, dimensions: list[str]) -> DataFrame:
     """Add the metric and the dimensions the facts of these rows are about."""
     return rows.withColumns(
@@ -102,7 +94,7 @@ def overview_module(df: DataFrame, model: SemanticModel, task_no: int) -> Output
             impact="top_share",
             severity="severity",
             number=str(overview.HEADLINE_METRICS + 1),
-            values={"dimension": "dimensions[0]", "column": "column", "share": _percent("top_share")},
+            values={"dimension": "dimensions[0]", "column": "column", "share": percent_sql("top_share")},
         )
         facts = facts.unionByName(collect_facts(top, number, [concentration]))
     return facts, raw
@@ -139,7 +131,7 @@ def trends_module(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask]
             impact="increase_impact",
             severity="'medium'",
             number="0",
-            values={"grain": "grain", "delta": _two("max_increase"), "period": "max_increase_period"},
+            values={"grain": "grain", "delta": fixed_sql("max_increase", 2), "period": "max_increase_period"},
         ),
         Fact(
             "decrease",
@@ -147,14 +139,14 @@ def trends_module(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask]
             impact="decrease_impact",
             severity="if(max_decrease < 0, 'high', 'low')",
             number="1",
-            values={"grain": "grain", "delta": _two("max_decrease"), "period": "max_decrease_period"},
+            values={"grain": "grain", "delta": fixed_sql("max_decrease", 2), "period": "max_decrease_period"},
         ),
         Fact(
             "volatility",
             impact=ratio,
             severity=f"if({ratio} > {HIGH_VOLATILITY}, 'high', 'medium')",
             number="2",
-            values={"grain": "grain", "ratio": _two(ratio)},
+            values={"grain": "grain", "ratio": fixed_sql(ratio, 2)},
         ),
         Fact(
             "spikes",
@@ -221,21 +213,21 @@ def segments_module(df: DataFrame, model: SemanticModel, task_no: int, task: Ana
             impact="long_tail_share",
             severity=f"if(long_tail_share < {segments.LOW_TAIL_SHARE}, 'high', 'low')",
             number="1",
-            values={**common, "share": _percent("long_tail_share")},
+            values={**common, "share": percent_sql("long_tail_share")},
         ),
         Fact(
             "concentration",
             impact=f"concentration * {segments.CONCENTRATION_IMPACT}",
             severity=f"if(concentration >= {segments.HIGH_CONCENTRATION}, 'high', 'medium')",
             number="2",
-            values={**common, "index": "format_string('%.3f', concentration)"},
+            values={**common, "index": fixed_sql("concentration", 3)},
         ),
         Fact(
             "spread",
             impact="spread_impact",
             severity="'medium'",
             number="3",
-            values={**common, "winner": "winner", "loser": "loser", "spread": _two("spread")},
+            values={**common, "winner": "winner", "loser": "loser", "spread": fixed_sql("spread", 2)},
         ),
     ]
     raw = {
@@ -309,7 +301,7 @@ def diagnostics_module(
             severity=f"if(worst[0].value > {checks.MISSING_HIGH_RATE}, 'high', 'medium')",
             dimensions="worst.name",
             number="0",
-            values={"list": _listed("worst", _percent)},
+            values={"list": _listed("worst", percent_sql)},
         ),
         Fact(NO_ALERTS, impact=str(QUIET_IMPACT), severity="'low'", number="4"),
     ]
@@ -327,7 +319,7 @@ def diagnostics_module(
                 severity="'medium'",
                 dimensions=f"{some}.name",
                 number="1",
-                values={"list": _listed(some, _percent)},
+                values={"list": _listed(some, percent_sql)},
             )
         )
     if key is not None:
@@ -371,7 +363,7 @@ def diagnostics_module(
             severity="'medium'",
             dimensions=f"{some}.name",
             number="2",
-            values={"list": _listed(some, lambda value: f"concat({_two(value)}, 'x')")},
+            values={"list": _listed(some, lambda value: f"concat({fixed_sql(value, 2)}, 'x')")},
         )
         found = found.unionByName(collect_facts(_named(unstable, None, []), F.lit(task_no), [explosion]))
     return unless_others(found, F.col("kind") == NO_ALERTS, ("task_no",)), raw

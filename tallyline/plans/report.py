@@ -17,7 +17,7 @@ from tallyline.operators.semantic import build_semantic_model, validate_model
 from tallyline.plans import modules
 from tallyline.plans.tasks import MAX_TASKS, check_tasks, plan_tasks
 
-PLAN_REASON = "Plan built from analysis mode and validated against semantic model constraints."
+REASON = "Plan built from analysis mode and validated against semantic model constraints."
 TOP_FINDINGS = 3
 
 
@@ -36,6 +36,14 @@ class AnalysisReport:
     tasks: list[AnalysisTask]
     findings: DataFrame
     raw_outputs: dict[str, modules.RawOutputs] = field(default_factory=dict)
+    reason: str = REASON
+
+    @property
+    def plan(self) -> DataFrame:
+        """The tasks in running order."""
+        rows = [(task.module, task.metric, task.dimension, task.grain, task.priority) for task in self.tasks]
+        schema = "module string, metric string, dimension string, grain string, priority int"
+        return small_table(self.findings.sparkSession, rows, schema)
 
     @property
     def ranked(self) -> DataFrame:
@@ -111,7 +119,8 @@ def run_analysis(
     """Plan a report over one table.
 
     The column profile is read at once, since it decides the metrics and dimensions; it has one row per column. All
-    else is lazy. ``approx`` lets the diagnostics count the distinct values of dimensions by a sketch. Write the findings with ``sources.store.write_evidence`` to use them more than once.
+    else is lazy. ``approx`` lets the diagnostics count the distinct values of dimensions by a sketch. Write the
+    findings with ``sources.store.write_evidence`` to use them more than once.
     """
     profile = column_profile(df)
     rows = sorted(profile.collect(), key=lambda row: row["ordinal"])

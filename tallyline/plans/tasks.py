@@ -18,6 +18,8 @@ def _in_sequence(tasks: list[AnalysisTask]) -> list[AnalysisTask]:
 
 def plan_tasks(mode: str, model: SemanticModel, max_tasks: int = MAX_TASKS) -> list[AnalysisTask]:
     """The tasks of a mode in running order, cut to ``max_tasks``."""
+    if mode not in MODES:
+        raise ValueError(f"Unsupported analysis mode: {mode}")
     metrics = [metric.name for metric in model.metrics]
     dimensions = [dimension.name for dimension in model.dimensions]
     overview, diagnostics = AnalysisTask("overview"), AnalysisTask("diagnostics")
@@ -37,14 +39,12 @@ def plan_tasks(mode: str, model: SemanticModel, max_tasks: int = MAX_TASKS) -> l
             for module, grain in (("trends", "month"), ("anomalies", "week"))
         ]
         tasks = _in_sequence([overview, *pairs, *segments(3), diagnostics])
-    elif mode == "diagnostic":
+    else:
         trends = _in_sequence([AnalysisTask("trends", name, grain="week") for name in metrics[:2]])
         anomalies = [
             replace(task, module="anomalies", priority=task.priority + ANOMALY_PRIORITY_OFFSET) for task in trends
         ]
         tasks = [*trends, *anomalies, replace(diagnostics, priority=len(trends) + len(anomalies) + 1)]
-    else:
-        raise ValueError(f"Unsupported analysis mode: {mode}")
     return sorted(tasks, key=lambda task: task.priority)[:max_tasks]
 
 

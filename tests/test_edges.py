@@ -7,12 +7,10 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from tallyline.functions.text import fixed_sql, percent_sql, plain_number
 from tallyline.operators import diagnostics, profile, segments, series
 from tallyline.plans.report import run_analysis
 
-SCHEMA = "day date, kind string, amount int, note string"
-
-
 def table(spark, rows):
     return spark.createDataFrame(rows, "day string, kind string, amount int, note string").withColumn(
         "day", F.col("day").cast("date")
@@ -182,3 +180,16 @@ def test_approximate_counts(spark):
     months = diagnostics.instability(frame, "day", ["few"], approx=True).first()
     assert months["explosion_ratio"] == 1.0
     assert run_analysis("rough", frame, approx=True).ranked.count() > 0
+
+
+def test_rounded_halves(spark):
+    row = spark.range(1).selectExpr(
+        f"{percent_sql('0.0625D')} AS a", f"{percent_sql('0.1875D')} AS b", f"{fixed_sql('0.125D', 2)} AS c"
+    ).first()
+    assert tuple(row) == (f"{0.0625:.1%}", f"{0.1875:.1%}", f"{0.125:.2f}")
+
+
+def test_plain_numbers(spark):
+    values = [0.0, -1.5, 15309876.0, 1e15, 0.0001, 123456.789, 1234567890.125, -98765432.1]
+    frame = spark.createDataFrame([(value,) for value in values], "v double")
+    assert [row[0] for row in frame.select(plain_number(F.col("v"))).collect()] == [repr(value) for value in values]

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tallyline.functions.ordered import largest_group, ordered_rows
+from tallyline.functions.ordered import group_sizes, ordered_rows
 from tallyline.operators import conversation
 from tallyline.operators.findings import rank_findings
 
@@ -53,9 +53,15 @@ def test_looking_back(frame, rows, limit):
     assert got == brute(rows)
 
 
-def test_largest_group(frame):
-    assert largest_group(frame, ["key"]) == 200
-    assert largest_group(frame.limit(0), ["key"]) == 0
+def test_group_sizes(frame):
+    assert group_sizes(frame, ["key"]) == (200, 600)
+    assert group_sizes(frame.limit(0), ["key"]) == (0, 0)
+
+
+def test_more_blocks_for_more_rows(frame, rows):
+    found = ordered_rows(frame, ["key"], [F.col("seq")], 5).number("place")
+    assert found.rows.select("_block").distinct().count() > 8
+    assert {row["seq"]: row["place"] for row in found.done().collect()} == {k: v[2] for k, v in brute(rows).items()}
 
 
 def test_ranks_of_a_split_group(spark):

@@ -187,6 +187,7 @@ def test_report(sales):
     assert summary["follow_up_questions"] == [f"Validate drivers behind: {row['title']}" for row in ranked[:2]]
     assert [row["title"] for row in report.top_findings.orderBy("rank").collect()] == summary["top_findings"]
 
+    assert [tuple(row) for row in report.plan.collect()][1] == ("trends", "total_revenue", None, "month", 2)
     assert set(report.raw_outputs) == {
         "overview:1",
         "trends:2",
