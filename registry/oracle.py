@@ -198,14 +198,14 @@ ORACLE["semantic_validate"] = r"""
 WITH m AS (SELECT 'total_' || event_id AS name, CASE event_id % 7 WHEN 0 THEN 'SUM(value)' WHEN 1 THEN 'avg( value )'
              WHEN 2 THEN 'COUNT(*)' WHEN 3 THEN 'SUM(nothing)' WHEN 4 THEN 'MEDIAN(value)'
              WHEN 5 THEN 'SUM(value) + 1' ELSE 'max(*)' END AS sql, event_id FROM events),
-     words AS (SELECT DISTINCT rule, word FROM (
-       SELECT rule, unnest(regexp_extract_all(rule, '\b[a-zA-Z_][a-zA-Z0-9_]*\b')) AS word FROM (
+     words AS (SELECT DISTINCT word FROM (
+       SELECT unnest(regexp_extract_all(rule, '\b[a-zA-Z_][a-zA-Z0-9_]*\b')) AS word FROM (
          SELECT 'Prefer total_' || event_id * 2 || ' over dim_d' || event_id * 3 || ' and total' AS rule FROM events)))
 SELECT 'unsafe_metric' AS kind, name, sql AS detail FROM m WHERE event_id % 7 IN (4, 5, 6)
 UNION ALL SELECT 'unknown_metric_column', name, 'nothing' FROM m WHERE event_id % 7 = 3
 UNION ALL SELECT 'unknown_dimension_column', 'd' || event_id, 'missing' FROM events WHERE event_type = 'error'
 UNION ALL SELECT 'unknown_time_column', 'ts', 'ts'
-UNION ALL SELECT 'unknown_rule_reference', word, rule FROM words
+UNION ALL SELECT 'unknown_rule_reference', word, word FROM words
   WHERE (starts_with(word, 'total_') AND word NOT IN (SELECT name FROM m))
      OR (starts_with(word, 'dim_') AND substr(word, 6) NOT IN (SELECT CAST(event_id AS VARCHAR) FROM events))"""
 ORACLE["metric_sum"] = "SELECT round(sum(l_quantity), 6) AS metric_value FROM lineitem"

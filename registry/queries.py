@@ -253,9 +253,7 @@ def semantic_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("d"), F.col("event_id")).alias("name"),
         F.when(F.col("event_type") == "error", F.lit("missing")).otherwise(F.col("event_type")).alias("column"),
     )
-    columns = spark.createDataFrame(
-        [(name,) for name in ("value", "view", "click", "purchase", "signup")], "column string"
-    )
+    columns = ["value", "view", "click", "purchase", "signup"]
     rules = events.select(
         F.concat(
             F.lit("Prefer total_"),

@@ -6,7 +6,9 @@ size of the data.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.metrics import METRIC_PATTERN, metric_column
@@ -127,71 +129,56 @@ def dimensions_table(df: DataFrame, model: SemanticModel) -> DataFrame:
 def semantic_problems(
     metrics: DataFrame,
     dimensions: DataFrame,
-    columns: DataFrame,
+    columns: Sequence[str],
     rules: DataFrame | None = None,
     time_column: str | None = None,
 ) -> DataFrame:
     """Everything that makes a model unusable: one row ``(kind, name, detail)`` per problem.
 
-    ``columns`` has the known names in ``column``; ``rules`` has the business rules in ``rule``.
+    ``columns`` are the names of the table's columns; ``rules`` has the business rules in ``rule``. Rules are reduced
+    to their distinct words before these are looked up, so a word that most rules use is looked up once.
     """
-    known = columns.select(F.col("column").alias("known")).distinct()
 
-    def problem(kind: str, name: Column, detail: Column) -> list[Column]:
-        return [F.lit(kind).alias("kind"), name.alias("name"), detail.alias("detail")]
+    def found(rows: DataFrame, kind: str, name: str, detail: str) -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(detail).alias("detail"))
 
-    formed = F.col("sql").rlike(METRIC_PATTERN)
-    target = F.regexp_extract("sql", METRIC_PATTERN, 2)
-    starred = F.regexp_extract(F.lower("sql"), METRIC_PATTERN, 1) != "count"
-    bad_form = metrics.filter(~formed | ((target == "*") & starred)).select(
-        *problem("unsafe_metric", F.col("name"), F.col("sql"))
-    )
-    bad_column = (
-        metrics.filter(formed & (target != "*"))
-        .withColumn("target", target)
-        .join(known, F.col("target") == F.col("known"), "left_anti")
-        .select(*problem("unknown_metric_column", F.col("name"), F.col("target")))
+    parsed = metrics.withColumns(
+        {
+            "formed": F.coalesce(F.col("sql").rlike(METRIC_PATTERN), F.lit(False)),
+            "function": F.lower(F.regexp_extract("sql", METRIC_PATTERN, 1)),
+            "target": F.regexp_extract("sql", METRIC_PATTERN, 2),
+        }
     )
-    bad_dimension = dimensions.join(known, F.col("column") == F.col("known"), "left_anti").select(
-        *problem("unknown_dimension_column", F.col("name"), F.col("column"))
+    starred = F.col("target") == "*"
+    unsafe = parsed.filter(~F.col("formed") | (starred & (F.col("function") != "count")))
+    lost = parsed.filter(F.col("formed") & ~starred & ~F.col("target").isin(*columns))
+    astray = dimensions.filter(F.col("column").isNull() | ~F.col("column").isin(*columns))
+    problems = (
+        found(unsafe, "unsafe_metric", "name", "sql")
+        .unionByName(found(lost, "unknown_metric_column", "name", "target"))
+        .unionByName(found(astray, "unknown_dimension_column", "name", "column"))
     )
-    problems = bad_form.unionByName(bad_column).unionByName(bad_dimension)
-
-    if time_column is not None:
-        spark = columns.sparkSession
-        bad_time = (
-            small_table(spark, [(time_column,)], "name string")
-            .join(known, F.col("name") == F.col("known"), "left_anti")
-            .select(*problem("unknown_time_column", F.col("name"), F.col("name")))
-        )
-        problems = problems.unionByName(bad_time)
-
+    if time_column is not None and time_column not in columns:
+        row = small_table(metrics.sparkSession, [(time_column,)], "name string")
+        problems = problems.unionByName(found(row, "unknown_time_column", "name", "name"))
     if rules is not None:
-        words = rules.select(
-            "rule",
-            F.explode(F.regexp_extract_all("rule", F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), F.lit(0))).alias("word"),
-        ).distinct()
-        totals = words.filter(F.col("word").startswith("total_")).join(
-            metrics.select(F.col("name").alias("known")), F.col("word") == F.col("known"), "left_anti"
-        )
-        dims = words.filter(F.col("word").startswith("dim_")).join(
-            dimensions.select(F.concat(F.lit("dim_"), F.col("name")).alias("known")),
-            F.col("word") == F.col("known"),
-            "left_anti",
-        )
-        unknown = totals.unionByName(dims).select(*problem("unknown_rule_reference", F.col("word"), F.col("rule")))
-        problems = problems.unionByName(unknown)
+        word = F.explode(F.regexp_extract_all("rule", F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_]*\b"), F.lit(0)))
+        words = rules.select(word.alias("word")).distinct()
+        words = words.filter(F.col("word").startswith("total_") | F.col("word").startswith("dim_"))
+        known = metrics.select(F.col("name").alias("known")).filter(F.col("known").startswith("total_"))
+        known = known.unionByName(dimensions.select(F.concat(F.lit("dim_"), F.col("name")).alias("known")))
+        unknown = words.join(known, F.col("word") == F.col("known"), "left_anti")
+        problems = problems.unionByName(found(unknown, "unknown_rule_reference", "word", "word"))
     return problems
 
 
 def validate_model(df: DataFrame, model: SemanticModel) -> SemanticModel:
     """Return the model, or fail with everything that is wrong with it."""
-    spark = df.sparkSession
     problems = semantic_problems(
         metrics_table(df, model),
         dimensions_table(df, model),
-        small_table(spark, [(name,) for name in df.columns], "column string"),
-        small_table(spark, [(rule,) for rule in model.business_rules], "rule string"),
+        df.columns,
+        small_table(df.sparkSession, [(rule,) for rule in model.business_rules], "rule string"),
         model.preferred_time_dimension,
     ).collect()
     if problems:
