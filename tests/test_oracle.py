@@ -7,9 +7,10 @@ from compare import connect, differences, duck_table, spark_table
 from conftest import SF_DIR
 
 import __spark_entry__ as entry_points
+from registry import oracle, queries
 
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+QUERIES = queries.QUERIES
+ORACLE = oracle.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -27,6 +28,11 @@ def test_query(spark, duck, name):
     assert not differences(ours, duck_table(duck, ORACLE[name]))
 
 
+def test_all_are_registered():
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(ORACLE) <= set(entry_points.oracle_sql())
+
+
 def test_entry(spark):
     report = entry_points.entry(spark)
     assert report.columns[:2] == ["rank", "title"]
