@@ -29,5 +29,22 @@ FROM split s
 LEFT JOIN (SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id) USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS items
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM hits) GROUP BY doc_id) USING (doc_id)
+""",
+    "op8_substring_dedup": """
+WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+places AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 49], ' ') AS run
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 49)) AS i FROM split WHERE len(w) >= 50)),
+firsts AS (SELECT run, min(doc_id) AS least FROM places GROUP BY run HAVING min(doc_id) < max(doc_id)),
+covered AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(i, i + 49)) AS place
+  FROM places JOIN firsts USING (run) WHERE least < doc_id),
+gone AS (SELECT doc_id, list(place ORDER BY place) AS places, count(*) AS n FROM covered GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM split),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY place) AS kept
+  FROM words ANTI JOIN covered USING (doc_id, place) GROUP BY doc_id)
+SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM split s LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, near_dedup
+from tallyline.llm import decontamination, near_dedup, substring_dedup
 from tallyline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -41,7 +41,21 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without passages of 50 words that stand in earlier documents."""
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    found = F.col("found")
+    spans = F.aggregate(found["spans"], F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["begin"])
+    return substring_dedup.remove_repeats(documents).select(
+        "row.doc_id",
+        found["n_words"].alias("n_words"),
+        spans.alias("n_removed"),
+        F.sha2(found["kept"].cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op8_substring_dedup": op8_substring_dedup,
 }
