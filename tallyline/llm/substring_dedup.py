@@ -248,7 +248,7 @@ def answers(bodies: DataFrame, window: int, crowd: int) -> DataFrame:
     least = cut.groupBy("one", "two").agg(F.min("low").alias("least"))
     found = cut.join(least, ["one", "two"]).where("least < high").select("body_key", F.struct("nth", "least").alias("hit"))
     last = found.groupBy("body_key").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
-    none = F.lit(np.iinfo(np.int64).max.item())
+    none = F.lit(np.iinfo(np.int64).max)
     filled = F.transform(
         F.sequence(F.lit(0).cast("long"), F.element_at("hits", -1)["nth"]),
         lambda nth: F.coalesce(F.try_element_at(F.map_from_entries("hits"), nth), none),
