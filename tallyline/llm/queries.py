@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, near_dedup, substring_dedup
+from tallyline.llm import decontamination, near_dedup, quality_rules, substring_dedup
 from tallyline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -41,6 +41,13 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of the quality rules."""
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return quality_rules.judge(documents).select("row.doc_id", *counts, "base_failed", "kept")
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words that stand in earlier documents."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -57,5 +64,6 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
 }
