@@ -29,6 +29,16 @@ FROM split s
 LEFT JOIN (SELECT doc_id, count(*) AS n_hit FROM covered GROUP BY doc_id) USING (doc_id)
 LEFT JOIN (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS items
   FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS name FROM hits) GROUP BY doc_id) USING (doc_id)
+""",
+    "op4_warc": """
+WITH page AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+led AS (
+  SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS leader FROM page)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+  CASE WHEN leader <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN leader <> page_id THEN leader END AS refers_to
+FROM led
 """,
     "op8_substring_dedup": """
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

@@ -38,10 +38,10 @@ COMMON_WORDS = {
 }
 MIN_WORDS = 50
 MOST_REPEATED_PERCENT = 50
-MIN_CHARS = 500
-MIN_COMMON_WORDS = 100
-MOST_CLASS_DISTANCE = 0.24
-MOST_WORD_DISTANCE = 0.36
+MIN_CHARS = 600
+MIN_COMMON_WORDS = 120
+MOST_CLASS_DISTANCE = 0.23
+MOST_WORD_DISTANCE = 0.3
 SPACE = r"[\x20\x09-\x0D]+"
 NO_SYMBOL = r"[^#*$%&|<>]+"
 

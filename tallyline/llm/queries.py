@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, near_dedup, quality_rules, substring_dedup
+from tallyline.llm import decontamination, near_dedup, quality_rules, substring_dedup, warc
 from tallyline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -41,6 +41,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written to a web archive and read back."""
+    return warc.round_trip(load(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -64,6 +69,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_warc": op4_warc,
     "op6_quality_rules": op6_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
 }
