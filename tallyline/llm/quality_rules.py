@@ -113,7 +113,7 @@ def histograms(documents: DataFrame, lang: str, text: str, min_chars: int, min_w
     common = F.lit(None).cast("array<string>")
     for name, words in COMMON_WORDS.items():
         common = F.when(F.col("lang") == name, F.array(*map(F.lit, words))).otherwise(common)
-    apart = F.concat(F.lit(" "), F.regexp_replace(F.lower("text"), r"\P{L}+", "  "), F.lit(" "))
+    apart = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", "  ")), F.lit(" "))
     tokens = (F.length("apart") - F.length(F.replace("apart", F.lit("  "), F.lit("")))) / 2 + 1
     frame = (
         frame.withColumn("key", key)
