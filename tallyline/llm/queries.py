@@ -7,16 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, near_dedup, quality_rules, substring_dedup, warc
+from tallyline.llm import decontamination, near_dedup, quality_rules, substring_dedup, token_files, warc
 from tallyline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
 
+TOKENIZER = "byte_bpe_50k.json"
+
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that stand in 10-word windows of benchmark items."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -66,10 +74,17 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of documents written to files and read back."""
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.round_trip(documents, tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_warc": op4_warc,
     "op6_quality_rules": op6_quality_rules,
     "op8_substring_dedup": op8_substring_dedup,
+    "op10_token_files": op10_token_files,
 }
