@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyline.llm.frames import whole_rows
+from tallyline.llm.frames import written
 
 # Frequent words of four languages.
 COMMON_WORDS = {
@@ -42,6 +42,8 @@ MIN_CHARS = 600
 MIN_COMMON_WORDS = 120
 MOST_CLASS_DISTANCE = 0.23
 MOST_WORD_DISTANCE = 0.3
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+MARKS = ".,;:!?()\"\t\n\v\f\r"
 SPACE = r"[\x20\x09-\x0D]+"
 NO_SYMBOL = r"[^#*$%&|<>]+"
 
@@ -93,7 +95,7 @@ def class_counts(text: Column) -> Column:
 
 
 def word_counts(text: Column, common: Column) -> Column:
-    """How often each common word stands in a text whose words are set apart by two spaces."""
+    """How often each common word stands in a text whose words are set apart by two spaces or more."""
     return F.transform(
         common,
         lambda word: (F.octet_length(text) - F.octet_length(F.replace(text, F.concat(F.lit(" "), word, F.lit(" ")), F.lit(""))))
@@ -105,28 +107,31 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda sum_, more: sum_ + more)
 
 
-def histograms(documents: DataFrame, lang: str, text: str, min_chars: int, min_words: int) -> DataFrame:
-    """Each document as ``row`` with its language key and both histograms, null where the text is too short."""
-    frame = whole_rows(documents, lang=lang, text=text).withColumn("text", F.coalesce("text", F.lit("")))
-    listed = F.col("lang").isin(list(COMMON_WORDS))
-    key = F.when(listed, F.col("lang")).otherwise(F.lit(""))
+def described(documents: DataFrame, keep: list[str] | None, lang: str, text: str, min_chars: int, min_words: int) -> DataFrame:
+    """Each document as ``row`` with its counts, its language key and both histograms, null where the text is too short."""
+    kept = documents.columns if keep is None else keep
+    frame = documents.select(
+        F.struct(*[F.col(f"`{name}`") for name in kept]).alias("row"),
+        F.col(f"`{lang}`").alias("lang"),
+        F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
+    )
     common = F.lit(None).cast("array<string>")
     for name, words in COMMON_WORDS.items():
         common = F.when(F.col("lang") == name, F.array(*map(F.lit, words))).otherwise(common)
-    apart = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), r"\P{L}+", "  ")), F.lit(" "))
-    tokens = (F.length("apart") - F.length(F.replace("apart", F.lit("  "), F.lit("")))) / 2 + 1
+    apart = F.replace(F.translate(F.lower("text"), MARKS, " " * len(MARKS)), F.lit(" "), F.lit("  "))
+    listed = F.col("lang").isin(list(COMMON_WORDS))
     frame = (
-        frame.withColumn("key", key)
+        with_words(frame)
+        .withColumn("key", F.when(listed, F.col("lang")).otherwise(F.lit("")))
         .withColumn("chars", F.when(F.length("text") >= min_chars, class_counts(F.col("text"))))
-        .withColumn("apart", F.when(listed, apart))
-        .withColumn("tokens", tokens)
-        .withColumn("common", F.when(F.col("tokens") >= min_words, word_counts(F.col("apart"), common)))
+        .withColumn("apart", F.when(listed & (F.col("n_words") >= min_words), F.concat(F.lit(" "), apart, F.lit(" "))))
+        .withColumn("common", F.when(F.col("apart").isNotNull(), word_counts(F.col("apart"), common)))
     )
-    rest = F.greatest(F.col("tokens") - total(F.col("common")), F.lit(0.0))
+    rest = F.greatest(F.col("n_words") - total(F.col("common")), F.lit(0.0))
     return frame.select(
         "row",
-        "text",
         "key",
+        *COUNTS,
         shares(F.transform("chars", lambda count: count.cast("double"))).alias("chars"),
         shares(F.concat("common", F.array(rest))).alias("common"),
     )
@@ -160,6 +165,7 @@ def distance(own: Column, other: Column) -> Column:
 
 def judge(
     documents: DataFrame,
+    keep: list[str] | None = None,
     lang: str = "lang",
     text: str = "text",
     min_chars: int = MIN_CHARS,
@@ -169,11 +175,12 @@ def judge(
 ) -> DataFrame:
     """Each document as ``row`` with its counts, ``base_failed``, both distances and ``kept``.
 
-    A distance is null where the text is too short or its language has no list, and then isn't judged.
+    ``keep`` names the columns of ``row``, all by default. The counts and histograms are written with them to the shared
+    folder, so that the texts are read once. A distance is null where the text is too short or its language has no list,
+    and then isn't judged.
     """
-    described = histograms(documents, lang, text, min_chars, min_words)
-    known = references(described.select("key", "chars", "common"))
-    judged = described.join(F.broadcast(known), "key", "left").withColumns(
+    found = written(described(documents, keep, lang, text, min_chars, min_words), "histograms")
+    judged = found.join(F.broadcast(references(found)), "key", "left").withColumns(
         {
             "class_distance": distance(F.col("chars"), F.col("all_chars")),
             "word_distance": distance(F.col("common"), F.col("all_common")),
@@ -184,10 +191,9 @@ def judge(
     far = F.coalesce(F.col("class_distance") > most_class_distance, F.lit(False)) | F.coalesce(
         F.col("word_distance") > most_word_distance, F.lit(False)
     )
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return with_words(judged.select("row", "text", "class_distance", "word_distance")).select(
+    return judged.select(
         "row",
-        *[F.col(name).cast("long").alias(name) for name in counts],
+        *[F.col(name).cast("long").alias(name) for name in COUNTS],
         failed.alias("base_failed"),
         "class_distance",
         "word_distance",

@@ -57,8 +57,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return quality_rules.judge(documents).select("row.doc_id", *counts, "base_failed", "kept")
+    judged = quality_rules.judge(documents, keep=["doc_id"])
+    return judged.select("row.doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,10 +43,12 @@ def described(text: str | None, lang: str | None) -> tuple:
     if len(text) >= rules.MIN_CHARS:
         classes = [sum(kind(c) == k for c in text) / len(text) for k in range(7)]
     if lang in rules.COMMON_WORDS:
-        words = re.findall(r"[^\W\d_]+", text.lower())
-        if len(words) >= rules.MIN_COMMON_WORDS:
-            counts = [words.count(w) / len(words) for w in rules.COMMON_WORDS[lang]]
-            common = [*counts, 1 - sum(counts)]
+        number = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+        if number >= rules.MIN_COMMON_WORDS:
+            words = text.lower().translate(dict.fromkeys(map(ord, rules.MARKS), " ")).split(" ")
+            counts = [words.count(w) for w in rules.COMMON_WORDS[lang]]
+            counts.append(max(0, number - sum(counts)))
+            common = [count / sum(counts) for count in counts]
     return classes, common
 
 
@@ -109,5 +111,7 @@ def test_empty_table(spark):
 
 
 def test_no_python_in_the_plan(spark):
-    plan = rules.judge(load(spark, "documents"))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+    documents = load(spark, "documents")
+    for frame in (rules.judge(documents), rules.described(documents, None, "lang", "text", 600, 120)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
