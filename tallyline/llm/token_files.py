@@ -53,9 +53,10 @@ def arrays(head: bytes) -> Iterator[bytes]:
 def file_bytes(partition: int, number: int, ids: list[int | None], texts: list[bytes]) -> bytes:
     """A file of these documents, without its line end."""
     tokens = np.frombuffer(b"".join(texts), "<u4")
-    symbols, coded, counts = np.unique(tokens, return_inverse=True, return_counts=True)
-    frequencies = rans.scaled(counts)
-    blocks = rans.encode(coded, frequencies)
+    counts = np.bincount(tokens)
+    symbols = np.flatnonzero(counts)
+    frequencies = rans.scaled(counts[symbols])
+    blocks = rans.encode((np.cumsum(counts > 0) - 1)[tokens], frequencies)
     sizes = [len(block) for block in blocks]
     head = zlib.compress(
         b"".join(
@@ -64,7 +65,7 @@ def file_bytes(partition: int, number: int, ids: list[int | None], texts: list[b
                 array_bytes(np.array([0 if ident is None else ident for ident in ids], dtype=np.int64), "<i8"),
                 array_bytes(np.array([ident is None for ident in ids]), "u1"),
                 array_bytes(np.array([len(text) // 4 for text in texts]), "<u8"),
-                array_bytes(np.diff(symbols.astype(np.int64), prepend=0), "<u4"),
+                array_bytes(np.diff(symbols, prepend=0), "<u4"),
                 array_bytes(frequencies, "<u4"),
                 array_bytes(np.cumsum([0, *sizes[:-1]]) if sizes else np.zeros(0), "<u8"),
                 array_bytes(block_sizes(len(tokens)), "<u4"),

@@ -23,7 +23,7 @@ from tallyline.llm import words as W
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 400_000
+REMEMBERED = 500_000
 TEXT_BYTES = 2 << 20
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -70,12 +70,16 @@ class Encoder:
         return [pack(one.ids) for one in encoded]
 
     def piece(self, text: str) -> bytes:
-        """Ids of one piece of a text, as the tokenizer's pattern cuts it."""
-        known = self.pieces.get(text)
-        if known is None:
-            written = text.replace(" ", SPACE) if text.isascii() else text.encode().decode("latin-1").translate(LETTERS)
-            known = self.pieces[text] = pack([token.id for token in self.model.tokenize(written)])
-        return known
+        """Ids of one piece of a text, as the tokenizer's pattern cuts it; those after a space are remembered as parts."""
+        known, name = (self.young, text[1:]) if text[0] == " " else (self.pieces, text)
+        found = known.get(name)
+        if found is None:
+            found = self.old.get(name) if known is self.young else None
+            if found is None:
+                letters = text.replace(" ", SPACE) if text.isascii() else text.encode().decode("latin-1").translate(LETTERS)
+                found = pack([token.id for token in self.model.tokenize(letters)])
+            known[name] = found
+        return found
 
     def learn(self, parts: set[str]) -> set[str]:
         """Remembers the ids of the parts that stand after a space; returns the parts that mustn't be cut off."""
@@ -85,7 +89,7 @@ class Encoder:
             if part in old:
                 young[part] = old[part]
             elif LATIN.fullmatch(part):
-                young[part] = self.piece(f" {part}")
+                self.piece(f" {part}")
             elif not part or part[0].isspace() or part[-1].isspace():
                 unsafe.add(part)
             else:
