@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, near_dedup, quality_rules, substring_dedup, token_files, warc
+from tallyline.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup, token_files, warc
 from tallyline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -25,6 +25,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def packed_documents(documents: DataFrame) -> DataFrame:
+    """The pieces of documents with their places in sequences; their ids as a checksum."""
+    pieces = packing.pieces(documents.select("doc_id", "text"), tokenizer_path()).select(
+        "row.doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
+    )
+    return packing.pack(pieces).select("row.*", "sequence_id", "offset")
+
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents packed into sequences of at most 1,024 tokens."""
+    return packed_documents(load(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that stand in 10-word windows of benchmark items."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -81,6 +94,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontamination": op2_decontamination,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_warc": op4_warc,
