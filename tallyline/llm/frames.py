@@ -34,10 +34,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def joined(left: DataFrame, right: DataFrame, on, how: str, most_rows: int) -> DataFrame:
-    """A join that broadcasts the right side only if its counted rows are at most ``most_rows``.
+def joined(left: DataFrame, right: DataFrame, on, how: str, most: int, weight=None) -> DataFrame:
+    """A join that broadcasts the right side only if its rows, or the sum of their ``weight``, are at most ``most``.
 
-    The right side must be a written table, so that counting it costs nothing.
+    The right side must be a written table, so that counting it costs little.
     """
-    small = right.count() <= most_rows
-    return left.join(F.broadcast(right) if small else right.hint("merge"), on, how)
+    count = right.agg(F.sum(F.lit(1) if weight is None else weight + 1)).first()[0] or 0
+    return left.join(F.broadcast(right) if count <= most else right.hint("merge"), on, how)

@@ -39,6 +39,33 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN leader <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN leader <> page_id THEN leader END AS refers_to
 FROM led
+""",
+    "op7_line_dedup": """
+WITH line AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS place
+  FROM documents),
+judged AS (
+  SELECT * FROM (
+    SELECT doc_id, place, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\\x20\\x09-\\x0D]+') AS w FROM line) WHERE len(w) >= 5),
+firsts AS (SELECT w, min({'doc': doc_id, 'place': place}) AS spot FROM judged GROUP BY w),
+variant AS (
+  SELECT w, spot, i, list_concat(w[:i - 1], w[i + 1:]) AS v
+  FROM (SELECT w, spot, unnest(generate_series(1, len(w))) AS i FROM firsts)),
+near AS (
+  SELECT w, spot FROM firsts
+  UNION ALL SELECT a.w, b.spot FROM variant a JOIN variant b ON a.v = b.v AND a.i = b.i
+  UNION ALL SELECT a.w, b.spot FROM variant a JOIN firsts b ON a.v = b.w
+  UNION ALL SELECT b.w, a.spot FROM variant a JOIN firsts b ON a.v = b.w),
+least AS (SELECT w, min(spot) AS spot FROM near GROUP BY w),
+gone AS (
+  SELECT DISTINCT doc_id, place FROM judged JOIN least USING (w) WHERE {'doc': doc_id, 'place': place} > spot),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY place) AS kept FROM line ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(string_split(text, chr(10))), 0)::BIGINT AS n_lines, coalesce(n, 0)::BIGINT AS n_removed,
+  sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept USING (doc_id)
+LEFT JOIN (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id) USING (doc_id)
 """,
     "op8_substring_dedup": """
 WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),

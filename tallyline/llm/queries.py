@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, near_dedup, packing, quality_rules, substring_dedup, token_files, warc
+from tallyline.llm import decontamination, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_files, warc
 from tallyline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -74,6 +74,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("row.doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier line but for one word."""
+    found = F.col("found")
+    return line_dedup.remove_lines(load(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "row.doc_id",
+        found["n_lines"].alias("n_lines"),
+        F.size(found["removed"]).cast("long").alias("n_removed"),
+        F.sha2(F.coalesce(found["kept"], F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without passages of 50 words that stand in earlier documents."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -99,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_warc": op4_warc,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
     "op10_token_files": op10_token_files,
 }

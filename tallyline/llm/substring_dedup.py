@@ -40,6 +40,9 @@ CROWD = 2000
 BLOCK_WINDOWS = 1 << 13
 BUCKET_BYTES = 8 << 20
 BROADCAST_ROWS = 500_000
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+RESULT = pa.struct([("n_words", pa.int64()), ("spans", SPANS), ("kept", pa.string())])
+SQL_RESULT = "struct<n_words:bigint,spans:array<struct<begin:bigint,end:bigint>>,kept:string>"
 SECOND = np.uint64(0x2545F4914F6CDD1D)
 
 
@@ -245,7 +248,8 @@ def answers(bodies: DataFrame, window: int, crowd: int) -> DataFrame:
         ),
         "windows",
     )
-    least = cut.groupBy("one", "two").agg(F.min("low").alias("least"))
+    least = cut.groupBy("one", "two").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most")
+    least = written(least.drop("most"), "least")
     found = cut.join(least, ["one", "two"]).where("least < high").select("body_key", F.struct("nth", "least").alias("hit"))
     last = found.groupBy("body_key").agg(F.array_sort(F.collect_list("hit")).alias("hits"))
     none = F.lit(np.iinfo(np.int64).max)
@@ -257,7 +261,7 @@ def answers(bodies: DataFrame, window: int, crowd: int) -> DataFrame:
 
 
 def removed_spans(places: DataFrame, least: DataFrame, window: int) -> DataFrame:
-    """Word spans to remove by (doc_id, text_key)."""
+    """Merged word spans to remove by (doc_id, text_key)."""
     hits = places.join(least, "body_key").select(
         "doc_id",
         "text_key",
@@ -268,21 +272,21 @@ def removed_spans(places: DataFrame, least: DataFrame, window: int) -> DataFrame
             lambda start: start.isNotNull(),
         ).alias("starts"),
     )
-    return (
+    gathered = (
         hits.where(F.size("starts") > 0)
         .groupBy("doc_id", "text_key")
         .agg(F.flatten(F.collect_set("starts")).alias("starts"))
     )
 
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(n, 500) for n in range(0, batch.num_rows, 500)):
+                spans = [covered(starts, window) for starts in part.column("starts").to_pylist()]
+                rows = [[{"begin": begin, "end": end} for begin, end in own] for own in spans]
+                columns = [part.column("doc_id"), part.column("text_key"), pa.array(rows, SPANS)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_key", "spans"])
 
-RESULT = pa.struct(
-    [
-        ("n_words", pa.int64()),
-        ("spans", pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))),
-        ("kept", pa.string()),
-    ]
-)
-SQL_RESULT = "struct<n_words:bigint,spans:array<struct<begin:bigint,end:bigint>>,kept:string>"
+    return gathered.mapInArrow(merge, "doc_id bigint, text_key bigint, spans array<struct<begin:bigint,end:bigint>>")
 
 
 def covered(starts: list[int], window: int) -> list[tuple[int, int]]:
@@ -295,29 +299,20 @@ def covered(starts: list[int], window: int) -> list[tuple[int, int]]:
     return spans
 
 
-def remover(window: int):
-    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.slices(batch, "text"):
-                rows = []
-                texts = part.column("text").cast(pa.large_binary())
-                for text, starts in zip(texts, part.column("starts").to_pylist(), strict=True):
-                    words = (text.as_py() or b"").split()
-                    spans, kept, done = covered(starts or [], window), [], 0
-                    for begin, end in spans:
-                        kept += words[done:begin]
-                        done = end
-                    kept = kept + words[done:] if spans else words
-                    rows.append(
-                        {
-                            "n_words": len(words),
-                            "spans": [{"begin": begin, "end": end} for begin, end in spans],
-                            "kept": b" ".join(kept).decode(),
-                        }
-                    )
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(rows, RESULT)], names=["row", "found"])
-
-    return remove
+def remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in W.slices(batch, "text"):
+            rows = []
+            texts = part.column("text").cast(pa.large_binary())
+            for text, spans in zip(texts, part.column("spans").to_pylist(), strict=True):
+                words = (text.as_py() or b"").split()
+                kept, done = [], 0
+                for span in spans or ():
+                    kept += words[done : span["begin"]]
+                    done = span["end"]
+                kept = kept + words[done:] if spans else words
+                rows.append({"n_words": len(words), "spans": spans or [], "kept": b" ".join(kept).decode()})
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(rows, RESULT)], names=["row", "found"])
 
 
 def remove_repeats(
@@ -352,6 +347,6 @@ def remove_repeats(
     places = packed.select(body_key("body").alias("body_key"), "doc_id", "text_key", "start")
     spans = written(removed_spans(places, least, window), "spans")
     both = (frame["doc_id"] == spans["doc_id"]) & (frame["text_key"] == spans["text_key"])
-    wanted = joined(frame, spans, both, "left", BROADCAST_ROWS).select("row", "text", "starts")
+    wanted = joined(frame, spans, both, "left", BROADCAST_ROWS, F.size("spans")).select("row", "text", "spans")
     schema = wanted.select("row", F.lit(None).cast(SQL_RESULT).alias("found")).schema
-    return wanted.mapInArrow(remover(window), schema)
+    return wanted.mapInArrow(remover, schema)
