@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, line_dedup, near_dedup, packing, quality_rules, substring_dedup, token_files, warc
+from tallyline.llm import decontamination, line_dedup, near_dedup, neighbours, packing, quality_rules, substring_dedup, token_files, warc
 from tallyline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -98,6 +98,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of documents by the votes of labelled neighbours; a third of the labels is held out."""
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    labels = load(spark, sf_dir, "labels").where(part != 1)
+    scored = neighbours.score(documents, labels).select("row.doc_id", "score")
+    return scored.select(
+        "doc_id",
+        F.coalesce(part == 1, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of documents written to files and read back."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -112,5 +126,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_neighbours": op9_quality_neighbours,
     "op10_token_files": op10_token_files,
 }
