@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyline.llm.pipeline import decontaminate
-from tallyline.llm.pipeline import run_stages
+from tallyline.llm import pipeline
 
-STAGES = [("decontamination", decontaminate)]
-ORACLE_SQL = None
+STAGES = [
+    ("quality rules", pipeline.keep_good),
+    ("line dedup", pipeline.cut_lines),
+    ("near dedup", pipeline.keep_first),
+    ("decontamination", pipeline.decontaminate),
+    ("packing", pipeline.pack),
+]
+ORACLE_SQL = None  # tokenizing and similarity fingerprints are beyond SQL; tests compare run() with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return run_stages(spark, sf_dir, STAGES)
+    return pipeline.run_stages(spark, sf_dir, STAGES)

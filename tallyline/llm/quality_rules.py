@@ -88,8 +88,8 @@ def with_words(frame: DataFrame) -> DataFrame:
 def class_counts(text: Column) -> Column:
     """Characters by class: lower-case and other letters, upper case, digits, white space, punctuation, symbols, others."""
     letters, upper = left_over(text, r"\P{L}+"), left_over(text, r"\P{Lu}+")
-    digits, spaces = left_over(text, "[^0-9]+"), left_over(text, r"[^\x20\x09-\x0D]+")
-    marks, symbols = left_over(text, r"[^.,;:!?'\"()\-]+"), left_over(text, NO_SYMBOL)
+    digits, spaces = left_over(text, "[^0-9]+"), F.length(text) - F.col("word_chars")
+    marks, symbols = left_over(text, r"[^.,;:!?'\"()\-]+"), F.col("n_symbols")
     known = F.array(letters - upper, upper, digits, spaces, marks, symbols)
     return F.concat(known, F.array(F.length(text) - letters - digits - spaces - marks - symbols))
 

@@ -63,29 +63,40 @@ def mean(rows):
     return [sum(col) / len(col) for col in zip(*rows, strict=True)] if rows else None
 
 
+def distances(rows):
+    """Both distances of each (text, lang)."""
+    groups, shapes = defaultdict(lambda: ([], [])), [described(*row) for row in rows]
+    for (_, lang), both in zip(rows, shapes, strict=True):
+        for place in (0, 1):
+            if both[place]:
+                groups[lang][place].append(both[place])
+    known = {lang: tuple(map(mean, both)) for lang, both in groups.items()}
+    return [
+        tuple(js(both[k], known.get(lang, (None, None))[k]) for k in (0, 1))
+        for (_, lang), both in zip(rows, shapes, strict=True)
+    ]
+
+
+def verdicts(rows):
+    limits = (rules.MOST_CLASS_DISTANCE, rules.MOST_WORD_DISTANCE)
+    return [
+        not base(text)[-1] and all((d or 0) <= most for d, most in zip(both, limits, strict=True))
+        for (text, _), both in zip(rows, distances(rows), strict=True)
+    ]
+
+
 def test_query_agrees_with_plain_python(spark):
     rows = load(spark, "documents").select("doc_id", "text", "lang").collect()
     found = {row.doc_id: row for row in QUERIES["op6_quality_rules"](spark, SF_DIR).collect()}
-    groups = defaultdict(lambda: ([], []))
-    shapes = {}
-    for row in rows:
-        shapes[row.doc_id] = described(row.text, row.lang)
-        for place in (0, 1):
-            if shapes[row.doc_id][place]:
-                groups[row.lang][place].append(shapes[row.doc_id][place])
-    known = {lang: tuple(map(mean, both)) for lang, both in groups.items()}
     judged = rules.judge(load(spark, "documents"))
-    distances = {r.doc_id: r for r in judged.select("row.doc_id", "class_distance", "word_distance").collect()}
-    for row in rows:
-        *counts, failed = base(row.text)
-        one = found[row.doc_id]
-        assert [one.n_words, one.word_chars, one.n_symbols, one.n_dup_lines, one.n_repeat_words, one.base_failed] == [*counts, failed]
-        expected = [js(shapes[row.doc_id][k], known.get(row.lang, (None, None))[k]) for k in (0, 1)]
-        got = [distances[row.doc_id].class_distance, distances[row.doc_id].word_distance]
-        for mine, theirs in zip(expected, got, strict=True):
+    measured = {r.doc_id: r for r in judged.select("row.doc_id", "class_distance", "word_distance").collect()}
+    plain = [(row.text, row.lang) for row in rows]
+    for row, expected, kept in zip(rows, distances(plain), verdicts(plain), strict=True):
+        one, got = found[row.doc_id], measured[row.doc_id]
+        counts = (one.n_words, one.word_chars, one.n_symbols, one.n_dup_lines, one.n_repeat_words, one.base_failed)
+        assert counts == base(row.text) and one.kept == kept
+        for mine, theirs in zip(expected, (got.class_distance, got.word_distance), strict=True):
             assert (mine is None) == (theirs is None) and (mine is None or abs(mine - theirs) < 1e-6)
-        far = (expected[0] or 0) > rules.MOST_CLASS_DISTANCE or (expected[1] or 0) > rules.MOST_WORD_DISTANCE
-        assert one.kept == (not failed and not far)
 
 
 def test_edges_of_the_input(spark):
