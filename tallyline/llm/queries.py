@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, line_dedup, near_dedup, neighbours, packing, quality_rules, substring_dedup, token_files, warc
+from tallyline.llm import decontamination, kneser_ney, line_dedup, near_dedup, neighbours, packing, quality_rules, substring_dedup, token_files, warc
 from tallyline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -67,6 +67,22 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(load(spark, sf_dir, "pages"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored by a model of word pairs that is learnt from nine tenths of them."""
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
+    model = kneser_ney.train(documents.where(rest != 0).select("text"))
+    return kneser_ney.score(documents, model).select(
+        "row.doc_id",
+        (F.crc32(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.vocabulary.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdicts of the quality rules."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -123,6 +139,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op4_warc": op4_warc,
+    "op5_kneser_ney": op5_kneser_ney,
     "op6_quality_rules": op6_quality_rules,
     "op7_line_dedup": op7_line_dedup,
     "op8_substring_dedup": op8_substring_dedup,
