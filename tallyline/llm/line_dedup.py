@@ -12,8 +12,8 @@ joined is verified on the words.
 
 Neighbourhoods are large, so only lines that can have a partner emit theirs. One edit leaves the first or the second half
 of a line as it was. The halves of all lines, cut as for the line's own length and as for one word less, and the whole
-lines are counted first; the keys that two different lines share are handed to the tasks as a bit map of a fixed size. A
-false hit there costs work and changes nothing.
+lines are counted first; the keys that two lines at different places, or two different lines' halves, share are handed to
+the tasks as a bit map of a fixed size. A false hit there costs work and changes nothing.
 
 Null texts have no lines. Documents without a doc_id keep all lines and remove none elsewhere. Rows that repeat a doc_id
 and a text are the same document; lines at the same place of different texts with one doc_id don't remove each other.
@@ -37,7 +37,7 @@ MIN_WORDS = 5
 FILTER_BITS = 1 << 27
 BROADCAST_ROWS = 500_000
 KEYS = "mini bigint, value bigint"
-LINES = "id binary, line binary, doc_id bigint, text_key bigint, place int"
+LINES = "id binary, line binary, near boolean, doc_id bigint, text_key bigint, place int"
 VARIANTS = "key binary, nth int, id binary, doc_id bigint, place int"
 RESULT = pa.struct([("n_lines", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept", pa.string())])
 SQL_RESULT = "struct<n_lines:bigint,removed:array<int>,kept:string>"
@@ -99,13 +99,14 @@ def possible_lines(min_words: int, bits: int, shared):
                 for ident, key, text in texts(part):
                     for place, words in lines_of(text, min_words):
                         whole = b" ".join(words)
-                        if hit(xxhash.xxh3_64_intdigest(whole)) or any(map(hit, half_keys(words))):
-                            rows.append((xxhash.xxh3_128_digest(whole), whole, ident, key, place))
-                columns = zip(*rows, strict=True) if rows else ((), (), (), (), ())
-                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int32())
+                        near = any(map(hit, half_keys(words)))
+                        if near or hit(xxhash.xxh3_64_intdigest(whole)):
+                            rows.append((xxhash.xxh3_128_digest(whole), whole, near, ident, key, place))
+                columns = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
+                kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)],
-                    names=["id", "line", "doc_id", "text_key", "place"],
+                    names=["id", "line", "near", "doc_id", "text_key", "place"],
                 )
 
     return find
@@ -203,8 +204,8 @@ def remove_lines(
     shared = keys.groupBy("mini").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high")
     known = spark.sparkContext.broadcast(bit_map(shared, filter_bits))
     occurring = written(owned.mapInArrow(possible_lines(min_words, filter_bits, known), LINES), "lines")
-    lines = written(occurring.groupBy("id", "line").agg(F.min(F.struct("doc_id", "place")).alias("at")), "distinct-lines")
-    near = written(earliest(lines), "near")
+    lines = written(occurring.groupBy("id", "line", "near").agg(F.min(F.struct("doc_id", "place")).alias("at")), "distinct-lines")
+    near = written(earliest(lines.where("near")), "near")
     least = lines.join(near, "id", "left").select("id", F.least("at", F.coalesce("first", "at")).alias("first"))
     removed = (
         occurring.select("id", "doc_id", "text_key", "place")
