@@ -77,13 +77,9 @@ ORACLE["profile_nulls"] = f"WITH {GAPS}\n" + union(
 )
 
 
-def _distinct(table: str, name: str) -> str:
-    return f"CASE WHEN count(*) <= 250000 THEN count(DISTINCT {name}) END"
-
-
 ORACLE["profile_distinct"] = union(
     [
-        f"""SELECT '{name}' AS "column", {_distinct(table, name)} AS distinct_count, '{table}' AS table_name FROM {table}"""
+        f"""SELECT '{name}' AS "column", count(DISTINCT {name}) AS distinct_count, '{table}' AS table_name FROM {table}"""
         for table in PROFILED
         for _, name, _ in columns(table)
     ]
@@ -96,7 +92,7 @@ def _top_values(table: str, name: str) -> str:
          CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({name} AS VARCHAR)) AS INTEGER) AS place,
          '{table}' AS table_name
   FROM {table} WHERE {name} IS NOT NULL GROUP BY 2)
-WHERE place <= 5 AND (SELECT count(DISTINCT {name}) <= 100 AND count(*) <= 250000 FROM {table})"""
+WHERE place <= 5"""
 
 
 ORACLE["profile_top_values"] = union(
@@ -127,7 +123,7 @@ def _role(table: str, name: str, kind: str) -> str:
     if name == "id" or name.endswith("_id"):
         return "CASE WHEN count(*) >= 0 THEN 'id' END"
     rest = "'measure'" if kind == "n" else "'dimension'"
-    unique = f"count(*) > 20 AND count(*) <= 250000 AND count(DISTINCT {name}) / count(*) > 0.98"
+    unique = f"count(*) > 20 AND count(DISTINCT {name}) / count(*) > 0.98"
     return f"CASE WHEN {unique} THEN 'id' ELSE {rest} END"
 
 
@@ -171,7 +167,7 @@ def _profile_row(i: int, name: str, kind: str) -> str:
         dates = "CAST(NULL AS VARCHAR) AS date_min, CAST(NULL AS VARCHAR) AS date_max"
     return f"""SELECT {i} AS ordinal, '{name}' AS "column", {_role("orders", name, kind)} AS role,
   count(*) AS row_count, round((count(*) - count({name})) / count(*), 6) AS null_rate,
-  {_distinct("orders", name)} AS distinct_count, {numbers},
+  count(DISTINCT {name}) AS distinct_count, {numbers},
   (SELECT string_agg("value" || ':' || "count", '|' ORDER BY place) FROM ({_top_values("orders", name)})) AS top_values,
   {dates} FROM orders"""
 
@@ -186,11 +182,11 @@ PLACED = f"""WITH {ROLES}, placed AS (SELECT *, CAST(row_number() OVER (
 ORACLE["semantic_metrics"] = f"""{PLACED}
 SELECT place, 'total_' || "column" AS name, 'SUM(' || "column" || ')' AS sql, 'Total ' || "column" AS description,
        CAST(0.8 AS DOUBLE) AS confidence, table_name
-FROM placed WHERE role = 'measure' AND place <= 5"""
+FROM placed WHERE role = 'measure'"""
 ORACLE["semantic_dimensions"] = f"""{PLACED}
 SELECT "column" AS name, "column", CAST(NULL AS VARCHAR) AS grain, 'Dimension based on ' || "column" AS description,
        CAST(0.85 AS DOUBLE) AS confidence, table_name
-FROM placed WHERE role = 'dimension' AND place <= 8
+FROM placed WHERE role = 'dimension'
 UNION ALL
 SELECT "column", "column", 'day', 'Time dimension on ' || "column", CAST(0.9 AS DOUBLE), table_name
 FROM placed WHERE role = 'time' AND place = 1"""
@@ -216,28 +212,28 @@ ORACLE["metric_count"] = "SELECT CAST(count(*) AS DOUBLE) AS metric_value FROM l
 ORACLE["explain_metric"] = f"""{PLACED}
 SELECT 'total_' || "column" AS metric_name, 'Total ' || "column" AS description, 'SUM(' || "column" || ')' AS sql,
        (SELECT string_agg("column", ',' ORDER BY ordinal) FROM placed
-        WHERE table_name = 'lineitem' AND role = 'dimension' AND place <= 5) AS dimensions_commonly_used
-FROM placed WHERE table_name = 'lineitem' AND role = 'measure' AND place <= 5"""
+        WHERE table_name = 'lineitem' AND role = 'dimension') AS dimensions_commonly_used
+FROM placed WHERE table_name = 'lineitem' AND role = 'measure'"""
 
 # Overview
 
 ORACLE["overview_headline"] = """
 WITH v AS (SELECT 'total_l_quantity' AS metric, sum(l_quantity) AS v FROM lineitem
            UNION ALL SELECT 'mean_l_discount', avg(l_discount) FROM lineitem
-           UNION ALL SELECT 'rows', CAST(count(*) AS DOUBLE) FROM lineitem)
+           UNION ALL SELECT 'rows', CAST(count(*) AS DOUBLE) FROM lineitem
+           UNION ALL SELECT 'top_l_tax', max(l_tax) FROM lineitem)
 SELECT metric, round(v, 6) AS "value", round(least(1.0, abs(v) / 1000), 6) AS impact FROM v"""
 ORACLE["overview_date_coverage"] = """
 SELECT CAST(min(l_shipdate) AS VARCHAR) AS min_date, CAST(max(l_shipdate) AS VARCHAR) AS max_date FROM lineitem"""
 
 SUPPLIERS = """t AS (SELECT l_suppkey AS segment, sum(l_quantity) AS v FROM lineitem GROUP BY 1),
-r AS (SELECT *, CAST(row_number() OVER (ORDER BY v DESC, segment) AS INTEGER) AS place FROM t
-      QUALIFY place <= 200)"""
+r AS (SELECT *, row_number() OVER (ORDER BY v DESC, segment) AS place FROM t)"""
 
 ORACLE["overview_top_segments"] = f"""
 WITH {SUPPLIERS} SELECT place, segment, round(v, 6) AS "value" FROM r WHERE place <= 10"""
 ORACLE["overview_concentration"] = f"""
-WITH {SUPPLIERS}, s AS (SELECT max(v) AS top, sum(v) AS total FROM r WHERE place <= 10)
-SELECT round(top, 6) AS top_value, round(total, 6) AS visible_total, round(top / total, 6) AS top_share,
+WITH {SUPPLIERS}, s AS (SELECT max(v) AS top, sum(v) AS total FROM r)
+SELECT round(top, 6) AS top_value, round(total, 6) AS total, round(top / total, 6) AS top_share,
        CASE WHEN top / total >= 0.5 THEN 'high' ELSE 'medium' END AS severity FROM s"""
 
 # Series, trends, anomalies
@@ -249,7 +245,7 @@ def period_series(grain: str, by: str = "", table: str = "lineitem", value: str
     return f"""s AS (SELECT {keys}date_trunc('{grain}', {time}) AS p, sum({value}) AS v FROM {table} GROUP BY ALL),
 o AS (SELECT *, row_number() OVER ({over}ORDER BY p) AS place, lag(v) OVER ({over}ORDER BY p) AS pv,
       count(*) OVER ({over}) AS n, avg(v) OVER ({over}) AS mu, stddev_pop(v) OVER ({over}) AS sd,
-      median(v) OVER ({over}) AS md FROM s QUALIFY place <= 5000),
+      median(v) OVER ({over}) AS md FROM s),
 k AS (SELECT *, median(abs(v - md)) OVER ({over}) AS mad, v - pv AS d, CASE WHEN pv <> 0 THEN (v - pv) / pv END AS rd,
       CASE WHEN sd = 0 THEN 0 ELSE (v - mu) / sd END AS z FROM o),
 a AS (SELECT *, CASE WHEN mad = 0 THEN 0 ELSE 0.6745 * (v - md) / mad END AS ms FROM k)"""
@@ -333,8 +329,7 @@ SELECT count(*) AS segments, round(max(total), 6) AS total,
   round(max(v) - min(v) FILTER (place <= 10), 6) AS spread FROM r"""
 ORACLE["segment_by_flag"] = """
 WITH t AS (SELECT l_returnflag, l_suppkey AS segment, sum(l_quantity) AS v FROM lineitem GROUP BY ALL),
-p AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY v DESC, segment) AS place FROM t
-      QUALIFY place <= 200),
+p AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY v DESC, segment) AS place FROM t),
 r AS (SELECT *, sum(v) OVER (PARTITION BY l_returnflag) AS total FROM p)
 SELECT l_returnflag, count(*) AS segments, round(max(total), 6) AS total,
   CAST(arg_min(segment, place) AS VARCHAR) AS winner,
@@ -370,11 +365,11 @@ ORACLE["diag_instability"] = "WITH c AS (" + union(
   FROM lineitem GROUP BY 2"""
         for name in ("l_returnflag", "l_linestatus", "l_suppkey", "l_partkey", "l_shipdate")
     ]
-) + """), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY dimension ORDER BY p) <= 200)
+) + """)
 SELECT dimension, max(n) AS max_count, min(n) AS min_count,
   round(CASE WHEN min(n) > 0 THEN max(n) / min(n) ELSE max(n) END, 6) AS explosion_ratio,
   CAST(CASE WHEN min(n) > 0 THEN max(n) / min(n) ELSE max(n) END >= 3.0 AS INTEGER) AS unstable
-FROM f GROUP BY 1"""
+FROM c GROUP BY 1"""
 ORACLE["diag_duplicate_keys"] = """
 WITH d AS (SELECT doc_id FROM documents UNION ALL SELECT doc_id FROM documents WHERE lang = 'en')
 SELECT 'doc_id' AS "key", count(*) - count(DISTINCT doc_id) AS duplicate_count, count(*) AS row_count FROM d"""
@@ -539,7 +534,6 @@ WITH users AS (SELECT * FROM conversations WHERE role = 'user'), {modes("users",
 SELECT conv_id, turn, mode FROM found"""
 ORACLE["conv_previous_query"] = f"""
 WITH {FOUND} SELECT session, seq, mode, pq AS previous_query, {PREVIOUS_SQL} AS previous_sql, {REPLY} AS reply FROM found"""
-ORACLE["conv_batches"] = ORACLE["conv_previous_query"]
 ORACLE["conv_follow_up"] = f"""
 WITH {FOUND}, p AS (SELECT *, {PREVIOUS_SQL} AS ps FROM found)
 SELECT session, seq, CASE WHEN mode = 'query' AND fu AND pq IS NOT NULL THEN
@@ -573,7 +567,7 @@ SELECT name AS session, 'team_' || id || '_review.md' AS file_name,
 
 # Reports over the line items: every finding with its scores. Metrics are the sums of the first measures.
 
-REPORT_METRICS = ("l_orderkey", "l_partkey", "l_suppkey")
+REPORT_METRICS = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
 REPORT_DIMENSIONS = ("l_returnflag", "l_linestatus", "l_shipdate")
 
 
@@ -594,13 +588,13 @@ def _overview(task: int) -> list[str]:
         for i, name in enumerate(REPORT_METRICS)
     ]
     parts.append(
-        _finding(task, "3", "'Dataset date coverage'", "", "'l_shipdate'", "overview_date_coverage", "0.45", "0.9 0.7")
+        _finding(task, "7", "'Dataset date coverage'", "", "'l_shipdate'", "overview_date_coverage", "0.45", "0.9 0.7")
     )
     name, dimension = REPORT_METRICS[0], REPORT_DIMENSIONS[0]
-    top = f"(SELECT CAST(sum({name}) AS DOUBLE) AS v FROM lineitem GROUP BY {dimension} ORDER BY v DESC LIMIT 10)"
+    top = f"(SELECT CAST(sum({name}) AS DOUBLE) AS v FROM lineitem GROUP BY {dimension})"
     parts.append(
         _finding(
-            task, "4", f"'Top segment concentration on total_{name}'", name, f"'{dimension}'",
+            task, "8", f"'Top segment concentration on total_{name}'", name, f"'{dimension}'",
             f"overview_top_segments_total_{name}_{dimension}", "max(v) / sum(v)", "0.75 0.78",
         ) + f" FROM {top}"
     )
@@ -640,8 +634,7 @@ def _segments(task: int, dimension: str) -> list[str]:
     name = REPORT_METRICS[0]
     source = f""" FROM (SELECT sum(v) AS total, sum(v) FILTER (place <= 10) AS top, sum(v * v) AS sq, max(v) AS wv,
     min(v) FILTER (place <= 10) AS lv FROM (SELECT CAST(sum({name}) AS DOUBLE) AS v,
-    row_number() OVER (ORDER BY sum({name}) DESC, {dimension}) AS place FROM lineitem GROUP BY {dimension}
-    QUALIFY place <= 200))"""
+    row_number() OVER (ORDER BY sum({name}) DESC, {dimension}) AS place FROM lineitem GROUP BY {dimension}))"""
     tail = "CASE WHEN total - top > 0 THEN (total - top) / total ELSE 0.1 END"  # the text then names 10, of 100
     entries = (
         ("0", f"Top segment for total_{name}", "least(1.0, wv / (total + 1))", "0.82 0.85"),
@@ -668,7 +661,7 @@ def _diagnostics(task: int) -> list[str]:
     return [
         _finding(
             task, "2", "'Category explosion risk'", "", "string_agg(name, ',' ORDER BY o)",
-            "diagnostics_category_explosion", "least(1.0, max(ratio)) / 5", "0.68 0.73",
+            "diagnostics_category_explosion", "least(1.0, max(ratio) / 5)", "0.68 0.73",
         ) + f"{unstable} HAVING count(*) > 0",
         _finding(
             task, "4", "'No critical diagnostics alerts'", "", "''", "diagnostics_summary", "0.2", "0.7 0.55"
@@ -685,25 +678,26 @@ SELECT row_number() OVER (ORDER BY combined DESC, task_no, finding_no) AS "rank"
   CASE WHEN combined >= 0.7 THEN 'high' WHEN combined >= 0.4 THEN 'medium' ELSE 'low' END AS severity FROM s"""
 
 
-_m1, _m2, _m3 = REPORT_METRICS
-_d1, _d2, _ = REPORT_DIMENSIONS
+def _each(make, names, first: int, *rest: str) -> list[list[str]]:
+    return [make(task, name, *rest) for task, name in enumerate(names, first)]
+
+
 ORACLE["run_analysis"] = _report(
     [
-        _overview(1), _trends(2, _m1, "month"), _trends(3, _m2, "month"), _segments(4, _d1), _segments(5, _d2),
-        _diagnostics(6),
+        _overview(1), *_each(_trends, REPORT_METRICS, 2, "month"), *_each(_segments, REPORT_DIMENSIONS, 9), _diagnostics(12)
     ]
 )
 ORACLE["saved_evidence"] = ORACLE["run_analysis"]
 ORACLE["run_analysis_overview"] = _report([_overview(1), _diagnostics(2)])
 ORACLE["run_analysis_diagnostic"] = _report(
     [
-        _trends(1, _m1, "week"), _trends(2, _m2, "week"), _diagnostics(3), _anomalies(4, _m1, "week"),
-        _anomalies(5, _m2, "week"),
+        *_each(_trends, REPORT_METRICS, 1, "week"), _diagnostics(8), *_each(_anomalies, REPORT_METRICS, 9, "week")
     ]
 )
+_both = [
+    part for task, name in enumerate(REPORT_METRICS)
+    for part in (_trends(2 + 2 * task, name, "month"), _anomalies(3 + 2 * task, name, "week"))
+]
 ORACLE["run_analysis_deep_dive"] = _report(
-    [
-        _overview(1), _trends(2, _m1, "month"), _anomalies(3, _m1, "week"), _trends(4, _m2, "month"),
-        _anomalies(5, _m2, "week"), _trends(6, _m3, "month"), _anomalies(7, _m3, "week"), _segments(8, _d1),
-    ]
+    [_overview(1), *_both, *_each(_segments, REPORT_DIMENSIONS, 16), _diagnostics(19)]
 )

@@ -24,7 +24,6 @@ from tallyline.plans.guarded import guarded_query
 from tallyline.plans.report import AnalysisReport, run_analysis
 from tallyline.session import scratch_path
 from tallyline.sources import catalog, describe, ingest, store
-from tallyline.streaming.conversations import ConversationStream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -306,7 +305,7 @@ def overview_headline(spark: SparkSession, sf_dir: str) -> DataFrame:
             Metric("total_l_quantity", QUANTITY),
             Metric("mean_l_discount", "AVG(l_discount)"),
             Metric("rows", "COUNT(*)"),
-            Metric("not_shown", "MAX(l_tax)"),
+            Metric("top_l_tax", "MAX(l_tax)"),
         ),
     )
     shown = overview.overview_headline(load(spark, sf_dir, "lineitem"), model)
@@ -327,7 +326,7 @@ def overview_top_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def overview_concentration(spark: SparkSession, sf_dir: str) -> DataFrame:
     summary = segments.top_concentration(load(spark, sf_dir, "lineitem"), QUANTITY, SUPPLIER)
-    return summary.select(r("top_value"), r("visible_total"), r("top_share"), "severity")
+    return summary.select(r("top_value"), r("total"), r("top_share"), "severity")
 
 
 # Series, trends, anomalies
@@ -461,7 +460,7 @@ def segment_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def segment_all_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary over every part, without the limit on segments."""
-    summary = segments.segment_summary(load(spark, sf_dir, "lineitem"), QUANTITY, "l_partkey", max_segments=None)
+    summary = segments.segment_summary(load(spark, sf_dir, "lineitem"), QUANTITY, "l_partkey")
     return summary.select(
         "segments", r("total"), r("long_tail_share"), r("concentration", 9), "winner", "loser", r("spread")
     )
@@ -716,16 +715,3 @@ def conv_notes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     users = load(spark, sf_dir, "events").select(F.col("user_id").alias("session"))
     return conversation.conversation_notes(turns, sql="sql", count_in=users)
-
-
-@query
-def conv_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event messages as three micro-batches of ten days each, the last with all the rest."""
-    events = load(spark, sf_dir, "events")
-    stream = ConversationStream(scratch_path(spark, "conversations"))
-    first, second = F.lit("2024-01-11").cast("date"), F.lit("2024-01-21").cast("date")
-    day = F.col("ts").cast("date")
-    spans = (day < first, (day >= first) & (day < second), F.coalesce(day >= second, F.lit(True)))
-    for batch_id, span in enumerate(spans):
-        stream.process(as_messages(events.filter(span)), batch_id)
-    return stream.turns(spark).select("session", "seq", "mode", "previous_query", "previous_sql", "reply")

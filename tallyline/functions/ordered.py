@@ -88,7 +88,7 @@ class OrderedRows:
 
     def number(self, name: str) -> OrderedRows:
         """Add the place of the row in its group, from 1."""
-        place = F.row_number().over(self._in_block())
+        place = F.row_number().over(self._in_block()).cast("bigint")
         if not self.split:
             return replace(self, rows=self.rows.withColumn(name, place))
         before = self._across_blocks().rowsBetween(Window.unboundedPreceding, -1)
@@ -97,7 +97,7 @@ class OrderedRows:
             .agg(F.count(F.lit(1)).alias("_rows"))
             .withColumn("_carry", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         )
-        rows = self._with_carry(carry).withColumn(name, (place + F.col("_carry")).cast("bigint"))
+        rows = self._with_carry(carry).withColumn(name, place + F.col("_carry"))
         return replace(self, rows=rows.drop("_carry"))
 
     def done(self) -> DataFrame:

@@ -1,7 +1,6 @@
 """Exact medians of large columns without a shuffle of the data.
 
-``median`` keeps every distinct value of a group in one task, which fits a small table only. For larger ones each
-rank is narrowed down: an approximate quantile sketch proposes two values around it, the next pass counts exactly
+``median`` keeps every distinct value of a group in one task, which fits a small table only. Here each rank is narrowed down: an approximate quantile sketch proposes two values around it, the next pass counts exactly
 how many values lie below, on and between them, and the sketch of the values between proposes the next pair. Each
 pass is one aggregation over the needed columns with a one-row result. Sketch errors cost passes, never exactness,
 since only exact counts move the bounds. The last pass fetches the few values that are left.
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 GRID = 400
 SKETCH_SIZE = 1600
 FETCH_ROWS = 100_000
+FETCHED_AT_ONCE = 1_000_000
 
 
 @dataclass
@@ -84,6 +84,19 @@ def _grid(value: Column, keep: Column) -> Column:
     return F.struct(F.coalesce(count, F.lit(0)).alias("count"), quantiles.alias("quantiles"))
 
 
+def _batches(sizes: dict[tuple, int]) -> list[list[tuple]]:
+    """The lists in groups of at most ``FETCHED_AT_ONCE`` values, so that many columns need more passes, not more memory."""
+    groups: list[list[tuple]] = []
+    held = 0
+    for name, size in sizes.items():
+        if not groups or held + size > FETCHED_AT_ONCE:
+            groups.append([])
+            held = 0
+        groups[-1].append(name)
+        held += size
+    return groups
+
+
 def exact_medians(
     df: DataFrame,
     values: dict[str, Column],
@@ -147,10 +160,13 @@ def exact_medians(
             (i, search.low, search.high): F.sort_array(F.collect_list(F.when(search.within(cols[i]), cols[i])))
             for i, search in open_ranks
         }
-        row = data.agg(*[values_left.alias(f"a{n}") for n, values_left in enumerate(lists.values())]).first()
-        left = dict(zip(lists, row, strict=True))
-        for i, search in open_ranks:
-            search.value = left[i, search.low, search.high][search.rank - search.below]
+        sizes = {(i, search.low, search.high): search.inside for i, search in open_ranks}
+        for group in _batches(sizes):
+            row = data.agg(*[lists[name].alias(f"a{n}") for n, name in enumerate(group)]).first()
+            left = dict(zip(group, row, strict=True))
+            for i, search in open_ranks:
+                if (i, search.low, search.high) in left:
+                    search.value = left[i, search.low, search.high][search.rank - search.below]
 
     return {
         name: (found[0].value + found[-1].value) / 2.0 if found else None

@@ -20,10 +20,7 @@ from tallyline.functions.periods import as_timestamp, period_start
 WORST_COLUMNS = 3
 MISSING_RATE = 0.2
 MISSING_HIGH_RATE = 0.4
-CARDINALITY_DIMENSIONS = 10
 CARDINALITY_RATIO = 0.8
-INSTABILITY_DIMENSIONS = 5
-INSTABILITY_MONTHS = 200
 INSTABILITY_RATIO = 3.0
 INSTABILITY_SCALE = 5.0
 
@@ -97,7 +94,7 @@ def cardinality_table(counts: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def cardinality(df: DataFrame, dimensions: Sequence[str], approx: bool = False) -> DataFrame:
     """Distinct values of each dimension relative to the rows."""
-    names = list(dimensions)[:CARDINALITY_DIMENSIONS]
+    names = list(dimensions)
     return cardinality_table(count_row(df, distinct=names, approx=approx), names)
 
 
@@ -105,15 +102,12 @@ def instability(df: DataFrame, time_column: str, dimensions: Sequence[str], appr
     """How much the number of distinct values of each dimension varies from month to month.
 
     The ratio is that of the largest to the smallest month, or the largest itself when the smallest has none. All
-    dimensions share one scan, over the oldest months.
+    dimensions share one scan, over all months.
     """
-    names = list(dimensions)[:INSTABILITY_DIMENSIONS]
+    names = list(dimensions)
     month = period_start(as_timestamp(time_column, df.schema[time_column].dataType), "month")
-    months = (
-        df.groupBy(month.alias("period"))
-        .agg(*[_distinct(name, approx).alias(f"distinct{i}") for i, name in enumerate(names)])
-        .orderBy(F.col("period").asc_nulls_last())
-        .limit(INSTABILITY_MONTHS)
+    months = df.groupBy(month.alias("period")).agg(
+        *[_distinct(name, approx).alias(f"distinct{i}") for i, name in enumerate(names)]
     )
     entries = [
         F.struct(

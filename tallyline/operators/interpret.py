@@ -14,7 +14,6 @@ from tallyline.functions.text import fill, number_text
 from tallyline.operators.profile import type_class
 
 # Fixed values.
-PREVIEW_ROWS = 8
 METRIC_WORDS = ("revenue", "sales", "amount", "count", "total", "sum", "avg", "mean", "units")
 TIME_WORDS = ("date", "time")
 LEAD = "Answer to '{question}': returned {rows} rows in {ms} ms."
@@ -53,15 +52,15 @@ def top_insight(
     question: str,
     metric_names: Sequence[str] = (),
     dimension_names: Sequence[str] = (),
-    preview_rows: int | None = PREVIEW_ROWS,
+    preview_rows: int | None = None,
     row_count: int | None = None,
     duration_ms: int = 0,
     truncated: bool = False,
 ) -> DataFrame:
     """One row: the first metric with values, its largest value, the label of that row and the sentence.
 
-    Only the first ``preview_rows`` rows are looked at; None looks at all, in one aggregation. The first of equal
-    rows leads.
+    All rows are looked at, in one aggregation, or only the first ``preview_rows`` on request. The first of equal rows
+    leads.
     """
     total = result.count() if row_count is None else row_count
     preview = result if preview_rows is None else result.limit(preview_rows)

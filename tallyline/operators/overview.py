@@ -12,15 +12,14 @@ from tallyline.functions.text import number_text
 from tallyline.models import SemanticModel
 
 # Fixed values.
-HEADLINE_METRICS = 3
 HEADLINE_SCALE = 1000.0
 
 
 def headline_row(df: DataFrame, model: SemanticModel) -> DataFrame:
-    """One row with the first metrics in ``m0, m1, ...`` and the date coverage in ``min_date, max_date``."""
+    """One row with the metrics in ``m0, m1, ...`` and the date coverage in ``min_date, max_date``."""
     aggregates = [
         metric_column(metric.sql, df.columns).alias(f"m{i}")
-        for i, metric in enumerate(model.metrics[:HEADLINE_METRICS])
+        for i, metric in enumerate(model.metrics)
     ]
     if model.preferred_time_dimension:
         name = model.preferred_time_dimension
@@ -32,7 +31,7 @@ def headline_row(df: DataFrame, model: SemanticModel) -> DataFrame:
 def headlines(row: DataFrame, model: SemanticModel) -> DataFrame:
     """One row per headline metric: its value as a double and as text, and its impact."""
     entries = []
-    for i, metric in enumerate(model.metrics[:HEADLINE_METRICS]):
+    for i, metric in enumerate(model.metrics):
         raw = column(f"m{i}")
         entries.append(
             F.struct(

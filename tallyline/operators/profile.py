@@ -1,6 +1,7 @@
 """Column profiles: nulls, distinct values, numeric statistics, roles.
 
-Every table-wide statistic is one aggregation with a one-row result, turned into one row per column afterwards.
+Every table-wide statistic is one aggregation with a one-row result, turned into one row per column afterwards; distinct
+and frequent values come from one count of all values by column.
 """
 
 from __future__ import annotations
@@ -17,9 +18,7 @@ from tallyline.functions.periods import as_timestamp, is_time
 from tallyline.functions.quantiles import exact_medians
 
 # Fixed values.
-EXACT_DISTINCT_ROWS = 250_000
 TOP_VALUES = 5
-TOP_VALUES_MAX_DISTINCT = 100
 RATE_DIGITS = 6
 TIME_WORDS = ("date", "time", "_at")
 UNIQUE_RATIO = 0.98
@@ -48,24 +47,46 @@ def _per_column(one_row: DataFrame, fields: list[T.StructField], entries: list[C
     return one_row.select(F.inline(F.array(*entries)))
 
 
-def column_profile(df: DataFrame, row_count: int | None = None, approx: bool = False) -> DataFrame:
+def _text(field: T.StructField) -> Column:
+    """A value as text, different for different values."""
+    value = column(field.name)
+    if isinstance(field.dataType, T.BinaryType):
+        return F.base64(value)
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        value = F.when(value == 0, F.lit(0).cast(field.dataType)).otherwise(value)
+    return value.cast("string")
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """``ordinal``, ``column``, ``value`` (text) and ``count`` of all values that aren't null, in one scan.
+
+    Counts are combined in every task and spread by (column, value); nested columns are left out.
+    """
+    fields = [(i, f) for i, f in enumerate(df.schema.fields) if type_class(f.dataType) != "nested"]
+    if not fields:
+        return small_table(df.sparkSession, [], "ordinal int, column string, value string, count bigint")
+    values = [F.struct(F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), _text(f).alias("value")) for i, f in fields]
+    return (
+        df.select(F.inline(F.array(*values)))
+        .filter(F.col("value").isNotNull())
+        .groupBy("ordinal", "column", "value")
+        .agg(F.count(F.lit(1)).alias("count"))
+    )
+
+
+def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """One row per column: type, nulls, null rate, distinct count and inferred role.
 
-    The distinct count is exact up to ``EXACT_DISTINCT_ROWS`` rows. Above, it is null, or approximate on request.
+    The distinct count is exact at every size, or from a sketch, without a shuffle of the values, on request; nested
+    columns have none.
     """
-    rows = df.count() if row_count is None else row_count
-    exact = rows <= EXACT_DISTINCT_ROWS
     aggregates: list[Column] = [F.count(F.lit(1)).alias("row_count")]
     for i, field in enumerate(df.schema.fields):
         col = column(field.name)
         aggregates.append(F.count_if(col.isNull()).alias(f"nulls{i}"))
-        if type_class(field.dataType) == "nested":
-            distinct = F.max(F.lit(None).cast("bigint"))
-        elif exact:
-            distinct = F.count_distinct(col)
-        else:
-            distinct = F.approx_count_distinct(col) if approx else F.max(F.lit(None).cast("bigint"))
-        aggregates.append(distinct.alias(f"distinct{i}"))
+        if approx and type_class(field.dataType) != "nested":
+            aggregates.append(F.approx_count_distinct(col).alias(f"distinct{i}"))
+    known = {i for i, field in enumerate(df.schema.fields) if type_class(field.dataType) != "nested"}
     entries = [
         F.struct(
             F.lit(i).alias("ordinal"),
@@ -74,11 +95,17 @@ def column_profile(df: DataFrame, row_count: int | None = None, approx: bool = F
             F.lit(type_class(field.dataType)).alias("type_class"),
             F.col("row_count"),
             F.col(f"nulls{i}").alias("null_count"),
-            F.col(f"distinct{i}").alias("distinct_count"),
+            (F.col(f"distinct{i}") if approx and i in known else F.lit(None).cast("bigint")).alias("distinct_count"),
         )
         for i, field in enumerate(df.schema.fields)
     ]
     profile = df.agg(*aggregates).select(F.inline(F.array(*entries)))
+    if not approx:
+        counted = value_counts(df).groupBy("ordinal").agg(F.count(F.lit(1)).alias("found"))
+        nested = F.col("type_class") == "nested"
+        profile = profile.join(counted, "ordinal", "left").withColumn(
+            "distinct_count", F.when(~nested, F.coalesce("found", F.lit(0)))
+        ).drop("found")
     rate = F.when(F.col("row_count") > 0, F.col("null_count") / F.col("row_count")).otherwise(F.lit(0.0))
     return profile.withColumn("null_rate", F.round(rate, RATE_DIGITS)).withColumn("role", role())
 
@@ -102,13 +129,11 @@ def role() -> Column:
 NUMERIC_SCHEMA = "ordinal int, column string, min double, max double, mean double, median double, stddev double"
 
 
-def numeric_profile(df: DataFrame, row_count: int | None = None, approx: bool = False) -> DataFrame:
+def numeric_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """Min, max, mean, median and sample deviation of each numeric column, as doubles.
 
-    The median is exact. Above ``EXACT_DISTINCT_ROWS`` rows it is searched for in a few passes, unless ``approx``
-    allows an approximate one.
+    The median is exact and searched for in a few passes, unless ``approx`` allows an approximate one.
     """
-    rows = df.count() if row_count is None else row_count
     values = {
         field.name: column(field.name).cast("double")
         for field in df.schema.fields
@@ -118,8 +143,6 @@ def numeric_profile(df: DataFrame, row_count: int | None = None, approx: bool =
         return small_table(df.sparkSession, [], NUMERIC_SCHEMA)
     if approx:
         medians = {name: F.percentile_approx(value, 0.5) for name, value in values.items()}
-    elif rows <= EXACT_DISTINCT_ROWS:
-        medians = {name: F.median(value) for name, value in values.items()}
     else:
         medians = {name: F.max(F.lit(found).cast("double")) for name, found in exact_medians(df, values).items()}
     entries = [
@@ -137,30 +160,17 @@ def numeric_profile(df: DataFrame, row_count: int | None = None, approx: bool =
     return df.agg(F.array(*entries).alias("statistics")).select(F.inline("statistics"))
 
 
-def top_values(df: DataFrame, row_count: int | None = None) -> DataFrame:
-    """The most frequent values, as text, of each column with few distinct values.
+def top_values(df: DataFrame) -> DataFrame:
+    """The most frequent values, as text, of each column; equal counts are ordered by value.
 
-    Defined only where distinct counts are: up to ``EXACT_DISTINCT_ROWS`` rows. Equal counts are ordered by value.
+    The limit on the place is applied in each task before rows are shuffled by column.
     """
-    fields = [f for f in df.schema.fields if type_class(f.dataType) != "nested"]
-    rows = df.count() if row_count is None else row_count
-    if rows > EXACT_DISTINCT_ROWS or not fields:
-        return small_table(df.sparkSession, [], "column string, value string, count bigint, place int")
-    pairs = [
-        F.struct(F.lit(f.name).alias("column"), column(f.name).cast("string").alias("value")) for f in fields
-    ]
-    counted = (
-        df.select(F.inline(F.array(*pairs)))
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
-    ranked = Window.partitionBy("column").orderBy(F.desc("count"), "value")
+    ranked = Window.partitionBy("ordinal", "column").orderBy(F.desc("count"), "value")
     return (
-        counted.withColumn("distinct_count", F.count(F.lit(1)).over(Window.partitionBy("column")))
+        value_counts(df)
         .withColumn("place", F.row_number().over(ranked))
-        .filter((F.col("distinct_count") <= TOP_VALUES_MAX_DISTINCT) & (F.col("place") <= TOP_VALUES))
-        .drop("distinct_count")
+        .filter(F.col("place") <= TOP_VALUES)
+        .select("column", "value", "count", "place")
     )
 
 
@@ -240,17 +250,16 @@ class DatasetProfile:
 
 def profile_dataset(dataset_name: str, df: DataFrame, approx: bool = False) -> DatasetProfile:
     """Profile a whole table. The roles decide which columns have a date range, so they are read first."""
-    rows = df.count()
-    profile = column_profile(df, rows, approx)
+    profile = column_profile(df, approx)
     found = sorted(profile.collect(), key=lambda row: row["ordinal"])
     columns = small_table(df.sparkSession, found, profile.schema)
     time_columns = [row["column"] for row in found if row["role"] == "time"]
     return DatasetProfile(
         dataset_name=dataset_name,
-        row_count=rows,
+        row_count=found[0]["row_count"],
         columns=columns,
-        numeric=numeric_profile(df, rows, approx),
-        top_values=top_values(df, rows),
+        numeric=numeric_profile(df, approx),
+        top_values=top_values(df),
         date_ranges=date_ranges(df, time_columns),
         date_range=dataset_date_range(df, time_columns),
         candidates=candidates(columns),

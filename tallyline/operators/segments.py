@@ -1,22 +1,22 @@
 """A metric by segment: ranking, contribution, concentration.
 
-Rankings keep the top rows of each key. Without keys this is a top-k sort; with keys the row-number limit is applied
-in each task before the shuffle, so a key with very many segments does not gather in one task.
+Statistics cover every segment. Top rows without keys are a top-k sort; with keys the row-number limit is applied in
+each task before the shuffle. A ranking of all segments goes through ``functions.ordered``, which splits what is large.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyline.functions.metrics import column, metric_column
+from tallyline.functions.ordered import MAX_GROUP_ROWS, ordered_rows
 from tallyline.functions.text import number_text
 from tallyline.operators.series import as_value
 
 # Fixed values.
-MAX_SEGMENTS = 200
 TOP_SEGMENTS = 10
 HIGH_TOP_SHARE = 0.5
 LOW_TAIL_SHARE = 0.2
@@ -35,48 +35,48 @@ def segment_totals(df: DataFrame, sql: str, dimension: str, by: Sequence[str] =
 
 def top_segments(totals: DataFrame, limit: int, by: Sequence[str] = ()) -> DataFrame:
     """The first ``limit`` segments by metric, null metrics last, equal ones by segment; ``place`` counts from 1."""
-    order = [F.col("metric_value").desc_nulls_last(), F.col("segment").asc_nulls_last()]
-    place = F.row_number().over(Window.partitionBy(*map(column, by)).orderBy(*order))
+    order = _order()
+    place = F.row_number().over(Window.partitionBy(*map(column, by)).orderBy(*order)).cast("bigint")
     if by:
         return totals.withColumn("place", place).filter(F.col("place") <= limit)
     return totals.orderBy(*order).limit(limit).withColumn("place", place)
 
 
-def segment_ranking(
-    df: DataFrame, sql: str, dimension: str, by: Sequence[str] = (), max_segments: int = MAX_SEGMENTS
-) -> DataFrame:
-    return top_segments(segment_totals(df, sql, dimension, by), max_segments, by)
+def _order() -> list[Column]:
+    return [F.col("metric_value").desc_nulls_last(), F.col("segment").asc_nulls_last()]
 
 
-def segment_summary(
+def segment_ranking(
     df: DataFrame,
     sql: str,
     dimension: str,
     by: Sequence[str] = (),
-    max_segments: int | None = MAX_SEGMENTS,
+    max_segments: int | None = None,
+    max_group_rows: int | None = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Leader, long tail, concentration and spread: one row per key, one row in all without keys.
+    """All segments in the order of the metric, or the first ``max_segments``; equal ones by segment."""
+    totals = segment_totals(df, sql, dimension, by)
+    if max_segments is not None:
+        return top_segments(totals, max_segments, by)
+    return ordered_rows(totals, list(by), _order(), max_group_rows).number("place").done()
 
-    The statistics cover the first ``max_segments`` segments, or every segment when it is None.
-    """
+
+def segment_summary(df: DataFrame, sql: str, dimension: str, by: Sequence[str] = ()) -> DataFrame:
+    """Leader, long tail, concentration and spread over every segment: one row per key, one row in all without keys."""
     totals = segment_totals(df, sql, dimension, by)
     keys = list(map(column, by))
-    if max_segments is None:
-        # Sums over every segment and the few leaders meet in one more aggregation, without a window over them all.
-        sums = totals.groupBy(*keys).agg(
-            F.sum("value").alias("total"),
-            F.sum(F.col("value") * F.col("value")).alias("squares"),
-            F.count(F.lit(1)).alias("segments"),
-        )
-        leaders = _leaders(top_segments(totals, TOP_SEGMENTS, by), by)
-        both = sums.unionByName(leaders, allowMissingColumns=True).groupBy(*keys)
-        merged = both.agg(
-            *[F.max(name).alias(name) for name in ("total", "squares", "segments", "top_total")],
-            *[F.max(name).alias(name) for name in ("winner", "winner_value", "winner_text", "loser", "loser_value")],
-        )
-    else:
-        ranked = top_segments(totals, max_segments, by)
-        merged = _leaders(ranked, by, with_sums=True)
+    # Sums over every segment and the few leaders meet in one more aggregation, without a window over them all.
+    sums = totals.groupBy(*keys).agg(
+        F.sum("value").alias("total"),
+        F.sum(F.col("value") * F.col("value")).alias("squares"),
+        F.count(F.lit(1)).alias("segments"),
+    )
+    leaders = _leaders(top_segments(totals, TOP_SEGMENTS, by), by)
+    both = sums.unionByName(leaders, allowMissingColumns=True).groupBy(*keys)
+    merged = both.agg(
+        *[F.max(name).alias(name) for name in ("total", "squares", "segments", "top_total")],
+        *[F.max(name).alias(name) for name in ("winner", "winner_value", "winner_text", "loser", "loser_value")],
+    )
     total = F.col("total")
     return (
         merged.filter(F.col("segments") > 0)
@@ -88,19 +88,13 @@ def segment_summary(
     )
 
 
-def _leaders(ranked: DataFrame, by: Sequence[str], with_sums: bool = False) -> DataFrame:
+def _leaders(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
     """The best and the last of the top segments, with their total."""
     top = F.col("place") <= TOP_SEGMENTS
     place = F.when(top, F.col("place"))
     segment = F.coalesce(F.col("segment").cast("string"), F.lit("None"))
     shown = F.coalesce(number_text(ranked, "metric_value"), F.lit("None"))
-    sums = [
-        F.sum("value").alias("total"),
-        F.sum(F.col("value") * F.col("value")).alias("squares"),
-        F.count(F.lit(1)).alias("segments"),
-    ]
     return ranked.groupBy(*map(column, by)).agg(
-        *(sums if with_sums else []),
         F.sum(F.when(top, F.col("value"))).alias("top_total"),
         F.min_by(segment, place).alias("winner"),
         F.min_by("value", place).alias("winner_value"),
@@ -111,16 +105,18 @@ def _leaders(ranked: DataFrame, by: Sequence[str], with_sums: bool = False) -> D
 
 
 def top_concentration(df: DataFrame, sql: str, dimension: str, by: Sequence[str] = ()) -> DataFrame:
-    """The share of the first segment in the sum of the top ten."""
-    top = segment_ranking(df, sql, dimension, by, TOP_SEGMENTS)
-    summary = top.groupBy(*map(column, by)).agg(
+    """The share of the first segment, equal ones by segment, in the sum of all."""
+    first = F.struct(
+        F.col("metric_value").isNull(), -F.col("value"), F.col("segment").isNull(), F.col("segment").cast("string")
+    )
+    summary = segment_totals(df, sql, dimension, by).groupBy(*map(column, by)).agg(
         F.count(F.lit(1)).alias("segments"),
-        F.min_by("value", "place").alias("top_value"),
-        F.sum("value").alias("visible_total"),
+        F.min_by("value", first).alias("top_value"),
+        F.sum("value").alias("total"),
     )
-    visible = F.col("visible_total")
+    total = F.col("total")
     return (
         summary.filter(F.col("segments") > 0)
-        .withColumn("top_share", F.when(visible != 0, F.col("top_value") / visible).otherwise(0.0))
+        .withColumn("top_share", F.when(total != 0, F.col("top_value") / total).otherwise(0.0))
         .withColumn("severity", F.when(F.col("top_share") >= HIGH_TOP_SHARE, "high").otherwise("medium"))
     )

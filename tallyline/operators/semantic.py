@@ -16,29 +16,21 @@ from tallyline.functions.small import small_table
 from tallyline.models import Dimension, Metric, SemanticConfig, SemanticModel
 
 # Fixed values.
-MAX_METRICS = 5
-MAX_DIMENSIONS = 8
 METRIC_CONFIDENCE = 0.8
 DIMENSION_CONFIDENCE = 0.85
 TIME_CONFIDENCE = 0.9
 TIME_GRAIN = "day"
 DEFAULT_RULES = ("Use only known columns", "Prefer additive metrics first")
 BUSINESS_CONTEXT_RULE = "Business context: {context}"
-EXPLAIN_DIMENSIONS = 5
 
 METRICS_SCHEMA = "place int, name string, sql string, description string, confidence double, caveats array<string>"
 DIMENSIONS_SCHEMA = "place int, name string, column string, grain string, description string, confidence double"
 
 
-def _first_of_role(profile: DataFrame, wanted: str, limit: int) -> DataFrame:
-    """The first columns of a role in schema order. A profile has one row per column, so one task is enough."""
-    place = F.row_number().over(Window.orderBy("ordinal"))
-    return profile.filter(F.col("role") == wanted).withColumn("place", place).filter(F.col("place") <= limit)
-
-
 def metrics_from_profile(profile: DataFrame) -> DataFrame:
-    """A total for each of the first measures."""
-    return _first_of_role(profile, "measure", MAX_METRICS).select(
+    """A total for each measure, in schema order. A profile has one row per column, so one task is enough."""
+    place = F.row_number().over(Window.orderBy("ordinal"))
+    return profile.filter(F.col("role") == "measure").withColumn("place", place).select(
         "place",
         F.concat(F.lit("total_"), F.col("column")).alias("name"),
         F.concat(F.lit("SUM("), F.col("column"), F.lit(")")).alias("sql"),
@@ -49,15 +41,18 @@ def metrics_from_profile(profile: DataFrame) -> DataFrame:
 
 
 def dimensions_from_profile(profile: DataFrame) -> DataFrame:
-    """The first dimension columns, then the first time column with a daily grain."""
-    place = F.row_number().over(Window.partitionBy("role").orderBy("ordinal"))
+    """The dimension columns, then the first time column with a daily grain."""
     is_time = F.col("role") == "time"
-    kept = profile.withColumn("place", place).filter(
-        ((F.col("role") == "dimension") & (F.col("place") <= MAX_DIMENSIONS)) | (is_time & (F.col("place") == 1))
+    in_role = F.row_number().over(Window.partitionBy("role").orderBy("ordinal"))
+    kept = (
+        profile.filter(F.col("role").isin("dimension", "time"))
+        .withColumn("place", in_role)
+        .filter(~is_time | (F.col("place") == 1))
+        .withColumn("place", F.row_number().over(Window.orderBy(is_time, "ordinal")))
     )
     described = F.when(is_time, "Time dimension on ").otherwise("Dimension based on ")
     return kept.select(
-        F.when(is_time, F.lit(MAX_DIMENSIONS + 1)).otherwise(F.col("place")).alias("place"),
+        "place",
         F.col("column").alias("name"),
         F.col("column"),
         F.when(is_time, F.lit(TIME_GRAIN)).alias("grain"),
@@ -193,7 +188,7 @@ def evaluate_metrics(df: DataFrame, metrics: tuple[Metric, ...]) -> DataFrame:
 
 
 def explain_metrics(metrics: DataFrame, dimensions: DataFrame, time_column: str | None) -> DataFrame:
-    """Each metric with its definition and the dimensions commonly used with it.
+    """Each metric with its definition and the dimensions used with it.
 
     Both tables are small, and meet in one row that is then unfolded by metric.
     """
@@ -204,7 +199,7 @@ def explain_metrics(metrics: DataFrame, dimensions: DataFrame, time_column: str
     )
     listed = both.agg(
         F.array_sort(F.collect_list("metric")).alias("metrics"),
-        F.slice(F.array_sort(F.collect_list("dimension"))["name"], 1, EXPLAIN_DIMENSIONS).alias("dimensions"),
+        F.array_sort(F.collect_list("dimension"))["name"].alias("dimensions"),
     )
     return listed.select(F.inline("metrics"), "dimensions").select(
         F.col("name").alias("metric_name"),

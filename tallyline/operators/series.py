@@ -1,7 +1,7 @@
 """A metric by calendar period: movements, volatility, spikes and anomalies.
 
-The data is aggregated to periods first. Everything after works on at most ``max_periods`` rows for each ``by`` key,
-so its windows are small; with ``by`` columns they also run distributed.
+The data is aggregated to periods first. Everything after works on one row for each period and ``by`` key; a calendar
+has few periods however many rows there are, so windows are small, and with ``by`` columns they also run distributed.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from tallyline.functions.metrics import column, metric_column
 from tallyline.functions.periods import ANOMALY_GRAINS, TREND_GRAINS, as_timestamp, period_start
 
 # Fixed values.
-MAX_PERIODS = 5000
 SPIKE_Z = 2.0
 ANOMALY_Z = 2.5
 ANOMALY_MAD = 3.5
@@ -30,26 +29,17 @@ def metric_series(
     time_column: str,
     grain: str,
     by: Sequence[str] = (),
-    max_periods: int | None = MAX_PERIODS,
     grains: tuple[str, ...] = TREND_GRAINS,
 ) -> DataFrame:
-    """One row per period, oldest first, the null period last, with one column per metric.
+    """One row per period, the null period included, with one column per metric.
 
     ``metrics`` maps result columns to metric texts; all of them share one scan. Periods without rows are absent.
-    ``max_periods`` keeps the oldest periods of each key.
     """
     stamp = as_timestamp(time_column, df.schema[time_column].dataType)
     keys = list(map(column, by))
-    series = df.groupBy(*keys, period_start(stamp, grain, grains).alias("period")).agg(
+    return df.groupBy(*keys, period_start(stamp, grain, grains).alias("period")).agg(
         *[metric_column(sql, df.columns).alias(name) for name, sql in metrics.items()]
     )
-    oldest = F.col("period").asc_nulls_last()
-    if max_periods is None:
-        return series
-    if not keys:
-        return series.orderBy(oldest).limit(max_periods)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(oldest))
-    return series.withColumn("_place", place).filter(F.col("_place") <= max_periods).drop("_place")
 
 
 def period_values(
@@ -58,11 +48,10 @@ def period_values(
     time_column: str,
     grain: str,
     by: Sequence[str] = (),
-    max_periods: int | None = MAX_PERIODS,
     grains: tuple[str, ...] = TREND_GRAINS,
 ) -> DataFrame:
     """The series of one metric as ``(by..., period, value)``; a null value counts as 0."""
-    series = metric_series(df, {"value": sql}, time_column, grain, by, max_periods, grains)
+    series = metric_series(df, {"value": sql}, time_column, grain, by, grains)
     return series.withColumn("value", as_value("value"))
 
 

@@ -37,7 +37,7 @@ def answer(
     """Run the text under the guard and read its capped result."""
     query = guarded_query(spark, text, row_limit, max_row_limit, allowed_tables, forbidden_tables)
     result = query.run()
-    kept = spark.createDataFrame(result.rows, query.data.schema).coalesce(1)
+    kept = spark.createDataFrame(result.rows, query.probe.schema).coalesce(1)
     insight = top_insight(
         kept,
         question,

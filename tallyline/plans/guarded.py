@@ -35,14 +35,21 @@ class GuardedResult:
 
 @dataclass(frozen=True)
 class GuardedQuery:
-    """A checked query: ``sql`` is the text under its limit, ``data`` its result of at most ``cap`` rows."""
+    """A checked query: ``sql`` is the text that runs, as it is; ``probe`` its first ``cap`` rows and one more."""
 
     sql: str
     cap: int
     warnings: list[str]
-    data: DataFrame
     probe: DataFrame
 
+    @property
+    def data(self) -> DataFrame:
+        """The rows under the cap; ``truncated`` and ``run`` tell whether there are more."""
+        return self.probe.limit(self.cap)
+
+    def truncated(self) -> bool:
+        return self.probe.count() > self.cap
+
     def run(self) -> GuardedResult:
         """Fetch the rows. One row beyond the cap is read, to tell whether the result was cut."""
         start = time.perf_counter()
@@ -50,16 +57,47 @@ class GuardedQuery:
         duration_ms = int((time.perf_counter() - start) * 1000)
         kept = rows[: self.cap]
         return GuardedResult(
-            self.sql, self.data.columns, kept, len(kept), duration_ms, len(rows) > self.cap, self.warnings
+            self.sql, self.probe.columns, kept, len(kept), duration_ms, len(rows) > self.cap, self.warnings
         )
 
 
-def _hidden_tables(spark: SparkSession, sql: str, allowed_tables: Sequence[str]) -> list[str]:
-    """Catalog tables named anywhere in the text, quoted or after a comma, that are not allowed."""
-    allowed = {name.lower() for name in allowed_tables}
-    words = set(re.findall(r"\w+", sql.lower()))
-    known = {table.name.lower() for table in spark.catalog.listTables()}
-    return sorted((known - allowed) & words)
+def relations(spark: SparkSession, sql: str) -> set[tuple[str, ...]]:
+    """The names of all tables and views in the parsed plan of a query, in lower case, without those the query defines.
+
+    The plan is explained and nothing is run. A text that could pass for a part of a plan is an error.
+    """
+    if re.search(r"\b(cte|unresolvedrelation)\s*\[", sql, re.IGNORECASE):
+        raise UnsafeQuery("The text looks like a part of a plan")
+    explained = spark.sql(f"EXPLAIN EXTENDED {sql}").first()[0]
+    parsed = explained.split("== Analyzed Logical Plan ==")[0]
+
+    def names(pattern: str) -> list[tuple[str, ...]]:
+        return [tuple(part.strip().lower() for part in found.split(",")) for found in re.findall(pattern, parsed)]
+
+    defined = {(name,) for group in names(r"CTE \[([^\]]*)\]") for name in group}
+    return set(names(r"UnresolvedRelation \[([^\]]*)\]")) - defined
+
+
+def _matches(relation: tuple[str, ...], name: str, here: tuple[str, ...]) -> bool:
+    """Whether a relation is the table of this name, both taken from the current catalog and database."""
+    parts = tuple(part.strip("` ").lower() for part in name.split("."))
+    full = lambda one: (*here[: max(0, len(here) + 1 - len(one))], *one)
+    return full(relation) == full(parts)
+
+
+def refused_relations(
+    spark: SparkSession, found: set[tuple[str, ...]], forbidden_tables: Sequence[str], allowed_tables: Sequence[str]
+) -> list[str]:
+    """Relations that are forbidden, wherever they are, or not allowed where an allow-list is given."""
+    here = (spark.catalog.currentCatalog().lower(), spark.catalog.currentDatabase().lower())
+    last = {name.lower() for name in forbidden_tables if "." not in name}
+    return sorted(
+        ".".join(one)
+        for one in found
+        if one[-1] in last
+        or any(_matches(one, name, here) for name in forbidden_tables)
+        or (allowed_tables and not any(_matches(one, name, here) for name in allowed_tables))
+    )
 
 
 def guarded_query(
@@ -70,31 +108,27 @@ def guarded_query(
     allowed_tables: Sequence[str] = (),
     forbidden_tables: Sequence[str] = (),
 ) -> GuardedQuery:
-    """Check a text and prepare its result, or raise ``UnsafeQuery``."""
+    """Check a text and prepare its result, or raise ``UnsafeQuery``.
+
+    The text is checked by the rules for texts, and its tables by the parsed plan. It runs as it stands, under a limit
+    of rows around it: ``row_limit``, or ``max_row_limit`` if the text has a limit of its own.
+    """
     text_row = small_table(spark, [(text,)], "text string").select(sqltext.normalize(F.col("text")).alias("sql"))
     checked = text_row.select(
         "sql",
-        sqltext.limited(F.col("sql"), row_limit, max_row_limit).alias("limited"),
-        sqltext.limited(F.col("sql"), row_limit, max_row_limit + 1)["sql"].alias("probe_sql"),
+        sqltext.limited(F.col("sql"), row_limit, max_row_limit)["warning"].alias("warning"),
         sqltext.stated_limit(F.col("sql")).alias("stated"),
     ).first()
-    errors = check_text(spark, checked["limited"]["sql"], forbidden_tables, allowed_tables)
-    sql, limited = checked["sql"], checked["limited"]
+    sql = checked["sql"].rstrip(";")
+    errors = check_text(spark, sql)
     if re.search(r"\b\w+\s*\.\s*`", sql):
         errors.append("Paths are not allowed as tables")
-    if allowed_tables:
-        hidden = _hidden_tables(spark, sql, allowed_tables)
+    if not errors:
+        hidden = refused_relations(spark, relations(spark, sql), forbidden_tables, allowed_tables)
         if hidden:
             errors.append(sqltext.DISALLOWED_TABLES.format(tables=", ".join(hidden)))
     if errors:
         raise UnsafeQuery("; ".join(errors))
-
-    # The probe keeps one row more than the cap.
-    if checked["stated"] is None:
-        cap, probe = sqltext.safe_limit(row_limit, max_row_limit), sql.rstrip(";")
-    else:
-        cap, probe = max_row_limit, checked["probe_sql"]
-    warnings = [limited["warning"]] if limited["warning"] else []
-    return GuardedQuery(
-        limited["sql"], cap, warnings, spark.sql(limited["sql"].rstrip(";")).limit(cap), spark.sql(probe).limit(cap + 1)
-    )
+    cap = sqltext.safe_limit(row_limit, max_row_limit) if checked["stated"] is None else max_row_limit
+    warnings = [checked["warning"]] if checked["warning"] else []
+    return GuardedQuery(sql, cap, warnings, spark.sql(sql).limit(cap + 1))

@@ -49,7 +49,7 @@ def overview_module(df: DataFrame, model: SemanticModel, task_no: int) -> Output
     row = overview.headline_row(df, model)
     raw: RawOutputs = {"headline_metrics": lambda: overview.headlines(row, model)}
     # Headlines and date coverage come from the same row, so they share a scan.
-    names = [metric.name for metric in model.metrics[: overview.HEADLINE_METRICS]]
+    names = [metric.name for metric in model.metrics]
     shown = _named(row, None, []).withColumns(
         {
             **({"metric_names": F.lit(names)} if names else {}),
@@ -77,7 +77,7 @@ def overview_module(df: DataFrame, model: SemanticModel, task_no: int) -> Output
                 impact=str(DATE_COVERAGE_IMPACT),
                 severity="'low'",
                 dimensions="array(time_column)",
-                number=str(overview.HEADLINE_METRICS),
+                number=str(len(names)),
                 values={"min_date": "min_date", "max_date": "max_date"},
             )
         )
@@ -93,7 +93,7 @@ def overview_module(df: DataFrame, model: SemanticModel, task_no: int) -> Output
             "top_concentration",
             impact="top_share",
             severity="severity",
-            number=str(overview.HEADLINE_METRICS + 1),
+            number=str(len(names) + 1),
             values={"dimension": "dimensions[0]", "column": "column", "share": percent_sql("top_share")},
         )
         facts = facts.unionByName(collect_facts(top, number, [concentration]))
@@ -244,7 +244,7 @@ def _counts(
     df: DataFrame, model: SemanticModel, profile: list[Row] | None, key: str | None, approx: bool
 ) -> DataFrame:
     """Null, distinct and duplicate counts; what the profile has counted already is not counted again."""
-    dimensions = [item.column for item in model.dimensions[: checks.CARDINALITY_DIMENSIONS]]
+    dimensions = [item.column for item in model.dimensions]
     if profile is None:
         return checks.count_row(df, df.columns, dimensions, key, approx)
     known = {row["column"]: row for row in profile}
@@ -282,7 +282,7 @@ def diagnostics_module(
     approx: bool = False,
 ) -> Output:
     key = checks.key_candidate(df.columns)
-    dimensions = list(model.dimensions[: checks.CARDINALITY_DIMENSIONS])
+    dimensions = list(model.dimensions)
     names = [item.name for item in dimensions]
     counts = _counts(df, model, profile, key, approx)
 
@@ -345,10 +345,9 @@ def diagnostics_module(
         )
 
     if model.preferred_time_dimension and names:
-        few = dimensions[: checks.INSTABILITY_DIMENSIONS]
-        ranges = checks.instability(df, model.preferred_time_dimension, [item.column for item in few], approx)
+        ranges = checks.instability(df, model.preferred_time_dimension, [item.column for item in dimensions], approx)
         raw["category_instability"] = lambda: ranges
-        listed = ranges.withColumn("column_names", F.lit([item.name for item in few]))
+        listed = ranges.withColumn("column_names", F.lit(names))
         unstable = listed.filter("unstable").agg(
             F.expr(
                 "array_sort(collect_list(named_struct("
@@ -359,7 +358,7 @@ def diagnostics_module(
         explosion = Fact(
             "instability",
             when="size(unstable) > 0",
-            impact=f"least(1.0D, array_max(unstable.value)) / {checks.INSTABILITY_SCALE}",
+            impact=f"array_max(unstable.value) / {checks.INSTABILITY_SCALE}",
             severity="'medium'",
             dimensions=f"{some}.name",
             number="2",

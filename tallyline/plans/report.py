@@ -15,7 +15,7 @@ from tallyline.operators.findings import rank_findings, summary_or_default, writ
 from tallyline.operators.profile import column_profile
 from tallyline.operators.semantic import build_semantic_model, validate_model
 from tallyline.plans import modules
-from tallyline.plans.tasks import MAX_TASKS, check_tasks, plan_tasks
+from tallyline.plans.tasks import check_tasks, plan_tasks
 
 REASON = "Plan built from analysis mode and validated against semantic model constraints."
 TOP_FINDINGS = 3
@@ -47,7 +47,7 @@ class AnalysisReport:
 
     @property
     def ranked(self) -> DataFrame:
-        # A report has at most MAX_TASKS tasks with a handful of findings each.
+        # A report has a handful of findings for each metric and dimension.
         return rank_findings(self.findings, max_group_rows=None)
 
     @property
@@ -113,7 +113,6 @@ def run_analysis(
     mode: str = "executive_summary",
     model: SemanticModel | None = None,
     table_name: str | None = None,
-    max_tasks: int = MAX_TASKS,
     approx: bool = False,
 ) -> AnalysisReport:
     """Plan a report over one table.
@@ -129,7 +128,7 @@ def run_analysis(
         model = build_semantic_model(dataset_name, table_name or dataset_name, collected)
     else:
         validate_model(df, model)
-    tasks = plan_tasks(mode, model, max_tasks)
+    tasks = plan_tasks(mode, model)
     check_tasks(tasks, model)
     findings, raw = run_tasks(df, model, tasks, rows, approx)
     return AnalysisReport(dataset_name, question, mode, model, tasks, findings, raw)

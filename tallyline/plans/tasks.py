@@ -7,7 +7,6 @@ from dataclasses import replace
 from tallyline.models import AnalysisTask, SemanticModel
 
 # Fixed values.
-MAX_TASKS = 8
 MODES = ("overview", "diagnostic", "deep_dive", "executive_summary")
 ANOMALY_PRIORITY_OFFSET = 10
 
@@ -16,36 +15,34 @@ def _in_sequence(tasks: list[AnalysisTask]) -> list[AnalysisTask]:
     return [replace(task, priority=place) for place, task in enumerate(tasks, 1)]
 
 
-def plan_tasks(mode: str, model: SemanticModel, max_tasks: int = MAX_TASKS) -> list[AnalysisTask]:
-    """The tasks of a mode in running order, cut to ``max_tasks``."""
+def plan_tasks(mode: str, model: SemanticModel) -> list[AnalysisTask]:
+    """The tasks of a mode, for all metrics and dimensions, in running order."""
     if mode not in MODES:
         raise ValueError(f"Unsupported analysis mode: {mode}")
     metrics = [metric.name for metric in model.metrics]
     dimensions = [dimension.name for dimension in model.dimensions]
     overview, diagnostics = AnalysisTask("overview"), AnalysisTask("diagnostics")
 
-    def segments(count: int) -> list[AnalysisTask]:
-        return [AnalysisTask("segments", metrics[0], name) for name in dimensions[:count]] if metrics else []
+    segments = [AnalysisTask("segments", metrics[0], name) for name in dimensions] if metrics else []
 
     if mode == "overview":
         tasks = _in_sequence([overview, diagnostics])
     elif mode == "executive_summary":
-        trends = [AnalysisTask("trends", name, grain="month") for name in metrics[:2]]
-        tasks = _in_sequence([overview, *trends, *segments(2), diagnostics])
+        trends = [AnalysisTask("trends", name, grain="month") for name in metrics]
+        tasks = _in_sequence([overview, *trends, *segments, diagnostics])
     elif mode == "deep_dive":
         pairs = [
             AnalysisTask(module, name, grain=grain)
-            for name in metrics[:3]
+            for name in metrics
             for module, grain in (("trends", "month"), ("anomalies", "week"))
         ]
-        tasks = _in_sequence([overview, *pairs, *segments(3), diagnostics])
+        tasks = _in_sequence([overview, *pairs, *segments, diagnostics])
     else:
-        trends = _in_sequence([AnalysisTask("trends", name, grain="week") for name in metrics[:2]])
-        anomalies = [
-            replace(task, module="anomalies", priority=task.priority + ANOMALY_PRIORITY_OFFSET) for task in trends
-        ]
+        trends = _in_sequence([AnalysisTask("trends", name, grain="week") for name in metrics])
+        offset = max(ANOMALY_PRIORITY_OFFSET, 2 * len(trends) + 1)
+        anomalies = [replace(task, module="anomalies", priority=task.priority + offset) for task in trends]
         tasks = [*trends, *anomalies, replace(diagnostics, priority=len(trends) + len(anomalies) + 1)]
-    return sorted(tasks, key=lambda task: task.priority)[:max_tasks]
+    return sorted(tasks, key=lambda task: task.priority)
 
 
 def check_tasks(tasks: list[AnalysisTask], model: SemanticModel) -> None:

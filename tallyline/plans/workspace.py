@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tallyline.functions.text import clean_name
-from tallyline.models import SemanticModel
+from tallyline.models import SemanticConfig, SemanticModel
 from tallyline.operators.profile import DatasetProfile, column_profile, profile_dataset
 from tallyline.operators.semantic import build_semantic_model, explain_metric, validate_model
 from tallyline.plans.answer import Answer, answer
@@ -113,8 +113,11 @@ class Workspace:
         )
         return store.write_evidence(report, self.root)
 
-    def ask(self, dataset: str, question: str, sql: str) -> Answer:
-        """Answer a question by a SQL text over the data set, which it names by its dataset or table name."""
+    def ask(self, dataset: str, question: str, sql: str, config: SemanticConfig | None = None) -> Answer:
+        """Answer a question by a SQL text over the data set, which it names by its dataset or table name.
+
+        Tables that the settings forbid are refused, whatever they are called from.
+        """
         entry = self.catalog.get(dataset)
         self.table(dataset).createOrReplaceTempView(entry.table_name)
         model = self.model(dataset)
@@ -123,6 +126,7 @@ class Workspace:
             question,
             sql,
             allowed_tables=[entry.dataset_name, entry.table_name],
+            forbidden_tables=config.forbidden_tables if config else (),
             metric_names=[metric.name for metric in model.metrics] if model else (),
             dimension_names=[item.name for item in model.dimensions] if model else (),
         )

@@ -8,8 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyline.functions.text import fixed_sql, percent_sql, plain_number
-from tallyline.operators import diagnostics, profile, segments, series
+from tallyline.models import Dimension, SemanticModel
+from tallyline.operators import diagnostics, profile, segments, semantic, series
+from tallyline.plans import modules
 from tallyline.plans.report import run_analysis
+from tallyline.plans.tasks import plan_tasks
+
 
 def table(spark, rows):
     return spark.createDataFrame(rows, "day string, kind string, amount int, note string").withColumn(
@@ -34,7 +38,7 @@ def test_empty_table(spark):
     assert headline["observation"] == "Current aggregate value for total_amount is None"
     assert headline["caveats"] == ["Metric returned null"]
     assert segments.segment_summary(frame, "SUM(amount)", "kind").count() == 0
-    assert segments.segment_summary(frame, "SUM(amount)", "kind", max_segments=None).count() == 0
+    assert segments.segment_summary(frame, "SUM(amount)", "kind").count() == 0
 
 
 def test_one_row(spark):
@@ -82,9 +86,8 @@ def test_first_of_equal_moves(spark):
 
 def test_null_period_is_last(spark):
     frame = table(spark, [("2024-01-01", "a", 1, None), (None, "a", 7, None), ("2024-02-01", "a", 2, None)])
-    found = series.metric_series(frame, {"v": "SUM(amount)"}, "day", "month").collect()
-    assert [row["v"] for row in found] == [1, 2, 7]
-    assert series.metric_series(frame, {"v": "SUM(amount)"}, "day", "month", max_periods=1).collect()[0]["v"] == 1
+    found = series.metric_series(frame, {"v": "SUM(amount)"}, "day", "month").orderBy(F.col("period").asc_nulls_last())
+    assert [row["v"] for row in found.collect()] == [1, 2, 7]
     values = series.period_values(frame, "SUM(amount)", "day", "month")
     assert series.trend_summary(values).first()["last_value"] == 7
 
@@ -121,11 +124,51 @@ def test_null_metric_ranks_last(spark):
 
 def test_more_segments_than_shown(spark):
     frame = spark.range(300).select(F.col("id").cast("string").alias("kind"), F.lit(1).alias("amount"))
-    limited = segments.segment_summary(frame, "SUM(amount)", "kind").first()
-    whole = segments.segment_summary(frame, "SUM(amount)", "kind", max_segments=None).first()
-    assert (limited["segments"], limited["total"]) == (200, 200)
+    whole = segments.segment_summary(frame, "SUM(amount)", "kind").first()
     assert (whole["segments"], whole["total"]) == (300, 300)
     assert whole["long_tail_share"] == pytest.approx(290 / 300)
+    assert segments.top_concentration(frame, "SUM(amount)", "kind").first()["top_share"] == pytest.approx(1 / 300)
+    for split in (None, 50):
+        ranked = segments.segment_ranking(frame, "SUM(amount)", "kind", max_group_rows=split)
+        assert sorted(row["place"] for row in ranked.collect()) == list(range(1, 301))
+        assert dict(ranked.dtypes)["place"] == "bigint"
+    assert segments.segment_ranking(frame, "SUM(amount)", "kind", max_segments=3).count() == 3
+
+
+def test_the_newest_of_many_periods_is_last(spark):
+    days = spark.range(7300).select(
+        F.date_add(F.lit("2005-01-01").cast("date"), F.col("id").cast("int")).alias("day"), F.col("id").alias("amount")
+    )
+    values = series.period_values(days, "SUM(amount)", "day", "day")
+    summary = series.trend_summary(values).first()
+    assert (summary["periods"], summary["last_value"]) == (7300, 7299)
+    assert series.anomaly_scores(values).count() == 7300
+
+
+def test_many_measures_and_dimensions_are_all_analysed(spark):
+    wide = spark.range(50).select(
+        *[(F.col("id") % (n + 2)).alias(f"m{n}") for n in range(20)],
+        *[(F.col("id") % (n + 2)).cast("string").alias(f"d{n}") for n in range(12)],
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("day"),
+    )
+    columns = profile.column_profile(wide)
+    assert semantic.metrics_from_profile(columns).count() == 20
+    model = semantic.build_semantic_model("wide", "wide", columns)
+    assert [item.column for item in model.dimensions] == [f"d{n}" for n in range(12)] + ["day"]
+    assert len(plan_tasks("executive_summary", model)) == 1 + 20 + 13 + 1
+    assert len(plan_tasks("deep_dive", model)) == 1 + 40 + 13 + 1
+    order = [task.module for task in plan_tasks("diagnostic", model)]
+    assert order == ["trends"] * 20 + ["diagnostics"] + ["anomalies"] * 20
+    assert diagnostics.instability(wide, "day", [f"d{n}" for n in range(12)]).count() == 12
+
+
+def test_impact_of_unstable_categories(spark):
+    rows = [(f"2024-01-{day:02d}", str(day)) for day in range(1, 5)] + [("2024-02-01", "1")]
+    frame = spark.createDataFrame(rows, "day string, kind string").withColumn("day", F.col("day").cast("date"))
+    model = SemanticModel("t", "t", (), (Dimension("kind", "kind"),), (), "day")
+    facts, _ = modules.diagnostics_module(frame, model, 1)
+    found = {row["kind"]: row["impact_score"] for row in facts.collect()}
+    assert found["instability"] == pytest.approx(0.8)
 
 
 def test_nested_columns(spark):

@@ -87,7 +87,7 @@ def run(spark, text, row_limit=3, cap=5):
 
 def test_guarded_run(spark, views):
     result = run(spark, "```sql\nSELECT o_orderkey FROM guard_orders ORDER BY 1;\n```").run()
-    assert result.sql == "SELECT o_orderkey FROM guard_orders ORDER BY 1 LIMIT 3"
+    assert result.sql == "SELECT o_orderkey FROM guard_orders ORDER BY 1"
     assert ([row[0] for row in result.rows], result.row_count, result.truncated) == ([0, 1, 2], 3, True)
     capped = run(spark, "SELECT o_orderkey FROM guard_orders ORDER BY 1 LIMIT 100").run()
     assert (capped.row_count, capped.truncated) == (5, True)
@@ -113,3 +113,33 @@ def test_guarded_run(spark, views):
 def test_refused(spark, views, text):
     with pytest.raises(UnsafeQuery):
         run(spark, text)
+
+
+def test_the_text_runs_as_it_stands(spark):
+    spark.range(3000).createOrReplaceTempView("guard_numbers")
+    ask = lambda text: guarded_query(spark, text, 100, 1000, ["guard_numbers"])
+    counted = ask("SELECT count(*) FROM (SELECT id FROM guard_numbers LIMIT 5000)").run()
+    assert (counted.rows[0][0], counted.truncated) == (3000, False)
+    assert ask("SELECT 'limit 5000' AS t FROM guard_numbers WHERE id = 1").run().rows[0].t == "limit 5000"
+    cut = ask("SELECT id FROM guard_numbers LIMIT 5000")
+    assert cut.data.count() == 1000 and cut.truncated() and cut.run().truncated
+    named = "WITH picked AS (SELECT id FROM guard_numbers) SELECT max(id) FROM picked"
+    assert ask(named).run().rows[0][0] == 2999
+
+
+@pytest.mark.parametrize(
+    ("text", "allowed", "forbidden"),
+    [
+        ("SELECT * FROM guard_orders, guard_customer", [], ["guard_customer"]),
+        ("SELECT * FROM `guard_customer`", [], ["guard_customer"]),
+        ("SELECT * FROM guard_orders, other.hidden", ["guard_orders"], []),
+        ("SELECT * FROM other.guard_orders", ["guard_orders"], []),
+        ("SELECT * FROM guard_orders WHERE o_custkey IN (SELECT c_custkey FROM `guard_customer`)", ["guard_orders"], []),
+        ("SELECT 'CTE [guard_customer]' FROM guard_orders, guard_customer", ["guard_orders"], []),
+        ("WITH x AS (SELECT * FROM guard_orders) SELECT * FROM x, `guard_customer`", ["guard_orders"], []),
+        ("SELECT * FROM spark_catalog.other.t", [], ["other.t"]),
+    ],
+)
+def test_tables_are_taken_from_the_plan(spark, views, text, allowed, forbidden):
+    with pytest.raises(UnsafeQuery):
+        guarded_query(spark, text, 3, 5, allowed, forbidden)

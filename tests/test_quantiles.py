@@ -45,15 +45,32 @@ def test_any_values(spark, values):
 
 
 def test_profile_of_a_large_table(spark, monkeypatch):
-    """Above the row limit the profile leaves distinct counts out and still has exact medians."""
-    monkeypatch.setattr(profile, "EXACT_DISTINCT_ROWS", 100)
+    """What is fetched for a median is bounded, in all and for one column."""
     monkeypatch.setattr(quantiles, "FETCH_ROWS", 10)
+    monkeypatch.setattr(quantiles, "FETCHED_AT_ONCE", 12)
     frame = spark.range(1001).select("id", (F.col("id") * 2.5).alias("amount"))
     rows = profile.numeric_profile(frame).collect()
     assert [row["median"] for row in rows] == [500.0, 1250.0]
     columns = profile.column_profile(frame).collect()
-    assert [row["distinct_count"] for row in columns] == [None, None]
-    assert [row["role"] for row in columns] == ["id", "measure"]
+    assert [row["distinct_count"] for row in columns] == [1001, 1001]
+    assert [row["role"] for row in columns] == ["id", "id"]
     approx = profile.column_profile(frame, approx=True).collect()
     assert all(abs(row["distinct_count"] - 1001) < 100 for row in approx)
-    assert profile.top_values(frame).count() == 0
+    assert profile.top_values(frame).count() == 10
+
+
+def test_rules_hold_beyond_a_quarter_million_rows(spark):
+    frame = spark.range(260_000).select(
+        (F.col("id") % 130_000).alias("half"), (F.col("id") * 1.5).alias("amount"), (F.col("id") % 7).cast("string").alias("kind")
+    )
+    rows = {row["column"]: row for row in profile.column_profile(frame).collect()}
+    assert {name: (row["distinct_count"], row["role"]) for name, row in rows.items()} == {
+        "half": (130_000, "measure"), "amount": (260_000, "id"), "kind": (7, "dimension")
+    }
+    tops = [tuple(row) for row in profile.top_values(frame).where("column = 'kind'").orderBy("place").collect()]
+    assert tops[0] == ("kind", "0", 37143, 1) and len(tops) == 5
+
+
+def test_values_are_counted_once_whatever_their_type(spark):
+    frame = spark.sql("SELECT * FROM VALUES (0.0D, X'00', 'a'), (-0.0D, X'00', 'A'), (double('NaN'), X'FF', null) AS t(d, b, s)")
+    assert [row["distinct_count"] for row in profile.column_profile(frame).orderBy("ordinal").collect()] == [2, 2, 2]

@@ -128,7 +128,7 @@ def test_saved_results(spark, sales, tmp_path):
 
     report = run_analysis("sales", sales, model=model)
     kept = store.write_evidence(report, root)
-    assert kept.findings.count() == report.findings.count() == 19
+    assert kept.findings.count() == report.findings.count() == 27
     assert kept.summary.first() == report.summary.first()
     assert spark.read.parquet(store.ranked_path(root, "sales")).filter("rank = 1").count() == 1
     store.write_evidence(kept, str(tmp_path / "copy"))
