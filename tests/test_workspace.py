@@ -18,7 +18,7 @@ def workspace(spark, sales_csv, tmp_path_factory):
 
 def test_load(workspace, sales_csv):
     entry = workspace.catalog.get("sales")
-    assert (entry.table_name, entry.row_count) == ("raw_sales", 12)
+    assert (entry.table_name, entry.row_count) == ("raw_sales", 14)
     with pytest.raises(ValueError, match="exists"):
         workspace.load_csv(sales_csv, "sales")
     workspace.load_parquet(f"{SF_DIR}/nation.parquet", "nation")
@@ -30,13 +30,13 @@ def test_load(workspace, sales_csv):
 
 def test_preview(workspace):
     seen = workspace.preview("sales", 3)
-    assert (seen.rows.count(), seen.row_count, len(seen.columns)) == (3, 12, 7)
+    assert (seen.rows.count(), seen.row_count, len(seen.columns)) == (3, 14, 7)
 
 
 def test_analysis(workspace, spark):
     with pytest.raises(ValueError, match="no semantic model"):
         workspace.explain_metric("sales", "total_revenue")
-    assert workspace.profile("sales").row_count == 12
+    assert workspace.profile("sales").row_count == 14
     model = workspace.build_model("sales", "retail")
     assert workspace.model("sales") == model
     assert workspace.explain_metric("sales", "total_revenue").first()["sql"] == "SUM(revenue)"
@@ -53,8 +53,8 @@ def test_ask(workspace):
     sql = "SELECT customer_name, SUM(revenue) AS total_revenue FROM raw_sales GROUP BY 1 ORDER BY 2 DESC"
     found = workspace.ask("sales", "Who buys most?", sql)
     assert found.result.sql == sql
-    assert "Top insight: customer_name=Acme leads on total_revenue with 4700." in found.summary
-    assert (found.chart, len(found.rows)) == ("bar", 4)
+    assert "Top insight: customer_name=Quill leads on total_revenue with 1465." in found.summary
+    assert (found.chart, len(found.rows)) == ("bar", 5)
     dated = workspace.ask("sales", "When?", "SELECT order_date, region, units FROM sales WHERE units > 100")
     assert (dated.summary, dated.chart) == ("No rows returned for question: When?", None)
     with pytest.raises(UnsafeQuery):
