@@ -534,6 +534,13 @@ WITH users AS (SELECT * FROM conversations WHERE role = 'user'), {modes("users",
 SELECT conv_id, turn, mode FROM found"""
 ORACLE["conv_previous_query"] = f"""
 WITH {FOUND} SELECT session, seq, mode, pq AS previous_query, {PREVIOUS_SQL} AS previous_sql, {REPLY} AS reply FROM found"""
+ORACLE["conv_query_replies"] = """
+SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'I ran the query successfully, but it returned no rows.'
+  ELSE 'Found ' || event_id || '.'
+    || CASE event_type WHEN 'view' THEN ' First row preview: {view}' WHEN 'click' THEN ' First row preview: {click}' ELSE '' END
+    || ' Suggested follow-ups: '
+    || CASE event_type WHEN 'view' THEN 'break down units by region; compare units vs previous period'
+       ELSE 'break down revenue by category; compare revenue vs previous period' END END AS reply FROM events"""
 ORACLE["conv_follow_up"] = f"""
 WITH {FOUND}, p AS (SELECT *, {PREVIOUS_SQL} AS ps FROM found)
 SELECT session, seq, CASE WHEN mode = 'query' AND fu AND pq IS NOT NULL THEN

@@ -715,3 +715,23 @@ def conv_notes_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     users = load(spark, sf_dir, "events").select(F.col("user_id").alias("session"))
     return conversation.conversation_notes(turns, sql="sql", count_in=users)
+
+
+@query
+def conv_query_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replies to queries whose results have the columns that the kind of event has."""
+    kind = F.col("event_type")
+    columns = (
+        F.when(kind == "view", F.array(F.lit("region"), F.lit("units")))
+        .when(kind == "click", F.array(F.lit("category")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    results = load(spark, sf_dir, "events").select(
+        "event_id",
+        F.concat(F.lit("Found "), "event_id", F.lit(".")).alias("summary"),
+        (F.col("event_id") % 3).alias("row_count"),
+        columns.alias("columns"),
+        F.concat(F.lit("{"), kind, F.lit("}")).alias("first_row"),
+    )
+    replies = conversation.query_replies(results, ["revenue", "units"], ["category", "region"])
+    return replies.select("event_id", "reply")

@@ -2,7 +2,7 @@
 
 A plain window puts each group into one task. ``ordered_rows`` counts the groups first. When all are small the
 plain window is used as is. When one is larger than ``max_group_rows``, the rows are range partitioned on
-(keys, order), which cuts a large group into consecutive blocks, and the block number is fixed by a checkpoint.
+(keys, order), which cuts a large group into consecutive blocks of about that many rows at most, and the block number is fixed by a checkpoint.
 Windows then run per (keys, block). What a block needs from earlier ones is a table of one row per (keys, block),
 whose size depends on the number of groups and partitions and not on the rows of a group.
 """
@@ -19,7 +19,6 @@ from tallyline.functions.metrics import column
 from tallyline.session import shared_folder
 
 MAX_GROUP_ROWS = 1_000_000
-BLOCK_GROUPS = 10  # a block holds about this many times the rows of the largest group that is left whole
 BLOCK = "_block"
 
 
@@ -128,6 +127,6 @@ def ordered_rows(
         return OrderedRows(df.withColumn(BLOCK, F.lit(0)), tuple(keys), tuple(order), split=False)
     spark = df.sparkSession
     shared_folder(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (BLOCK_GROUPS * max_group_rows))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // max_group_rows))
     blocks = df.repartitionByRange(parts, *map(column, keys), *order).withColumn(BLOCK, F.spark_partition_id())
     return OrderedRows(blocks.checkpoint(), tuple(keys), tuple(order), split=True)

@@ -43,10 +43,16 @@ FOLLOW_UP_WORDS = ("that", "those", "them", "same", "again", "previous", "above"
 # Replies and note formats.
 NO_PREVIOUS_SQL = "No previous SQL in this session yet."
 PREVIOUS_SQL = "Here is the SQL from your previous query."
-FIRST_CHAT = (
-    "I can help you analyze your data. Ask a question like "
-    "'Top customers by revenue in the last 30 days'. No semantic metadata loaded."
-)
+FIRST_CHAT = "I can help you analyze your data. Ask a question like 'Top customers by revenue in the last 30 days'. {hint}"
+NO_HINT = "No semantic metadata loaded."
+HINTS = ("Preferred views: {names}.", "Metrics: {names}.", "Dimensions: {names}.")
+HINTED_NAMES = 4
+NO_RESULT_ROWS = "I ran the query successfully, but it returned no rows."
+FIRST_ROW = " First row preview: {row}"
+SUGGESTED = " Suggested follow-ups: {suggestions}"
+BREAK_DOWN = "break down {metric} by {dimension}"
+COMPARE = "compare {metric} vs previous period"
+NO_SUGGESTION = "ask for a trend over time"
 NEXT_CHAT = (
     "I can continue from the last result. Ask for filters, breakdowns, comparisons, or ask for the previous SQL."
 )
@@ -126,6 +132,39 @@ def conversation_modes(
     return _with_modes(_rows(messages, session, seq, max_group_rows, count_in), text).done().drop("_refers")
 
 
+def semantic_hint(metrics: Sequence[str] = (), dimensions: Sequence[str] = (), views: Sequence[str] = ()) -> str:
+    """What a first reply says about the data: all preferred views and the first metrics and dimensions."""
+    named = zip(HINTS, (views, metrics[:HINTED_NAMES], dimensions[:HINTED_NAMES]), strict=True)
+    return " ".join(text.format(names=", ".join(names)) for text, names in named if names) or NO_HINT
+
+
+def suggestions(columns: Column, metrics: Sequence[str] = (), dimensions: Sequence[str] = ()) -> Column:
+    """What to ask after a result with these columns; the first names of a model stand in for what it lacks."""
+
+    def chosen(names: Sequence[str]) -> Column:
+        if not names:
+            return F.lit(None).cast("string")
+        present = F.filter(F.array(*map(F.lit, names)), lambda name: F.array_contains(columns, name))
+        return F.coalesce(F.get(present, F.lit(0)), F.lit(names[0]))
+
+    metric, dimension = chosen(metrics), chosen(dimensions)
+    broken_down = F.when(metric.isNotNull() & dimension.isNotNull(), fill(BREAK_DOWN, metric=metric, dimension=dimension))
+    compared = F.when(metric.isNotNull(), fill(COMPARE, metric=metric))
+    return F.coalesce(F.nullif(F.concat_ws("; ", broken_down, compared), F.lit("")), F.lit(NO_SUGGESTION))
+
+
+def query_replies(results: DataFrame, metrics: Sequence[str] = (), dimensions: Sequence[str] = ()) -> DataFrame:
+    """Add the ``reply`` to answered queries with ``summary``, ``row_count``, ``columns`` and ``first_row`` (text).
+
+    A null row count counts as rows; null columns or a null first row have no preview.
+    """
+    columns = F.coalesce("columns", F.array().cast("array<string>"))
+    preview = F.when((F.size(columns) > 0) & F.col("first_row").isNotNull(), fill(FIRST_ROW, row=F.col("first_row")))
+    follow = fill(SUGGESTED, suggestions=suggestions(columns, metrics, dimensions))
+    found = F.concat(F.coalesce("summary", F.lit("")), F.coalesce(preview, F.lit("")), follow)
+    return results.withColumn("reply", F.when(F.col("row_count") == 0, NO_RESULT_ROWS).otherwise(found))
+
+
 def previous_queries(
     messages: DataFrame,
     session: Sequence[str] = ("session",),
@@ -135,12 +174,14 @@ def previous_queries(
     known: str | None = None,
     max_group_rows: int | None = MAX_GROUP_ROWS,
     count_in: DataFrame | None = None,
+    hint: str = NO_HINT,
 ) -> DataFrame:
     """Add ``mode``, ``previous_query`` and ``reply``, and ``previous_sql`` when the log has a SQL column.
 
-    ``reply`` is the fixed answer to meta and chat messages; the answer to a query is its result.
+    ``reply`` is the fixed answer to meta and chat messages, the first one with a ``semantic_hint``; ``query_replies``
+    answers queries.
     """
-    found = _previous_queries(messages, session, seq, text, sql, known, max_group_rows, count_in)
+    found = _previous_queries(messages, session, seq, text, sql, known, max_group_rows, count_in, hint)
     return found.drop("_refers")
 
 
@@ -153,6 +194,7 @@ def _previous_queries(
     known: str | None,
     max_group_rows: int | None,
     count_in: DataFrame | None = None,
+    hint: str = NO_HINT,
 ) -> DataFrame:
     rows = _with_modes(_rows(messages, session, seq, max_group_rows, count_in), text, known)
     asked = {"previous_query": column(text), **({"previous_sql": column(sql)} if sql is not None else {})}
@@ -162,7 +204,7 @@ def _previous_queries(
     fresh = F.col("previous_query").isNull()
     reply = (
         F.when(F.col("mode") == "meta", F.when(fresh, NO_PREVIOUS_SQL).otherwise(PREVIOUS_SQL))
-        .when(F.col("mode") == "chat", F.when(fresh, FIRST_CHAT).otherwise(NEXT_CHAT))
+        .when(F.col("mode") == "chat", F.when(fresh, FIRST_CHAT.format(hint=hint)).otherwise(NEXT_CHAT))
         .otherwise(F.lit(None).cast("string"))
     )
     return found.withColumn("reply", reply)

@@ -62,7 +62,9 @@ def top_insight(
     All rows are looked at, in one aggregation, or only the first ``preview_rows`` on request. The first of equal rows
     leads.
     """
-    total = result.count() if row_count is None else row_count
+    if row_count is None and preview_rows is not None:
+        row_count = result.count()
+    total = F.count(F.lit(1)) if row_count is None else F.max(F.lit(row_count))
     preview = result if preview_rows is None else result.limit(preview_rows)
     types = {field.name: type_class(field.dataType) for field in result.schema.fields}
     metrics = [name for name in metric_order(result.columns, metric_names) if types[name] == "numeric"]
@@ -88,11 +90,14 @@ def top_insight(
     numbered = preview.withColumn("_row", F.monotonically_increasing_id())
     if aggregates:
         best = F.coalesce(*[F.col(f"best{i}") for i in range(len(metrics))])
-        row = numbered.agg(*aggregates).select(best.alias("best")).select("best.*")
+        row = numbered.agg(total.alias("total"), *aggregates).select("total", best.alias("best")).select("total", "best.*")
     else:
-        schema = "metric string, value double, value_text string, label string"
-        row = small_table(result.sparkSession, [(None, None, None, None)], schema)
-    lead = F.lit(LEAD.format(question=question, rows=total, ms=duration_ms))
+        none = F.lit(None).cast("string")
+        row = preview.agg(total.alias("total")).withColumns({"metric": none, "value_text": none, "label": none})
+        row = row.withColumn("value", F.lit(None).cast("double"))
+    lead = fill(
+        LEAD, question=F.lit(question), rows=F.coalesce("total", F.lit(row_count)).cast("string"), ms=F.lit(str(duration_ms))
+    )
     insight = fill(
         INSIGHT,
         lead=lead,
@@ -102,12 +107,12 @@ def top_insight(
         caveat=F.lit(MAY_BE_CUT if truncated else COMPLETE),
     )
     text = (
-        F.when(F.lit(total == 0), F.lit(NO_ROWS.format(question=question)))
+        F.when(F.col("total") == 0, F.lit(NO_ROWS.format(question=question)))
         .when(F.col("metric").isNull(), fill(NON_NUMERIC, lead=lead))
         .otherwise(insight)
     )
     return row.select(
-        F.lit(total).cast("bigint").alias("row_count"),
+        F.coalesce("total", F.lit(row_count)).cast("bigint").alias("row_count"),
         F.col("metric").alias("top_metric"),
         F.col("value").alias("metric_value"),
         F.col("label").alias("dimension_label"),

@@ -23,11 +23,12 @@ def upsert(entries: DataFrame, changes: DataFrame, keys: Sequence[str], order: s
 def latest(entries: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """The last entry of every key.
 
-    It is kept by an aggregate and not by a window, so a key with very many entries is reduced in every
-    task before the shuffle.
+    Of entries with equal order the one with the larger other columns counts, whoever reads. It is kept by an
+    aggregate and not by a window, so a key with very many entries is reduced in every task before the shuffle.
     """
     rest = [name for name in entries.columns if name not in keys]
-    last = F.max_by(F.struct(*map(column, rest)), column(order)).alias("last")
+    place = F.struct(column(order), *[column(name) for name in rest if name != order])
+    last = F.max_by(F.struct(*map(column, rest)), place).alias("last")
     return entries.groupBy(*map(column, keys)).agg(last).select(*map(column, keys), "last.*")
 
 
@@ -53,7 +54,8 @@ class DatasetCatalog:
     def register(self, dataset: RegisteredDataset) -> None:
         values = asdict(dataset)
         values["created_at"] = values["created_at"] or datetime.now(tz=timezone.utc)
-        values["seq"] = time.time_ns()
+        before = self.table().filter(F.col("dataset_name") == dataset.dataset_name).select("seq").first()
+        values["seq"] = max(time.time_ns(), before["seq"] + 1 if before else 0)  # a slow clock loses no update
         row = [tuple(values[name] for name in DATASET_SCHEMA.names)]
         self.spark.createDataFrame(row, DATASET_SCHEMA).write.mode("append").parquet(self.path)
 

@@ -40,16 +40,39 @@ def jdbc_options(
     return options
 
 
-def read_jdbc(spark: SparkSession, url: str, query: str | None = None, **settings) -> DataFrame:
-    """Read one table or one read-only query; a query goes through the same checks as guarded SQL."""
+def read_jdbc(
+    spark: SparkSession,
+    url: str,
+    table: str | None = None,
+    query: str | None = None,
+    partition_column: str | None = None,
+    bounds: tuple[object, object] | None = None,
+    num_partitions: int | None = None,
+    single_task: bool = False,
+    **settings,
+) -> DataFrame:
+    """Read one table or one read-only query; a query goes through the same checks as guarded SQL.
+
+    With a partition column the bounds are asked from the database and the ranges are as many as shuffle partitions,
+    unless they are given. Without one, one task reads everything, which must be asked for.
+    """
     if query is not None:
         errors = check_text(spark, query)
         if errors:
             raise ValueError(f"Query is not read-only: {'; '.join(errors)}")
-    return spark.read.format("jdbc").options(**jdbc_options(url, query=query, **settings)).load()
+    if partition_column is None and not single_task:
+        raise ValueError("Name a numeric or time partition column, or pass single_task=True to read in one task")
+    if partition_column is not None:
+        if bounds is None:
+            source = table if table is not None else f"({query.strip().rstrip(';')}) bounded"
+            bounds = column_bounds(spark, url, source, partition_column, **settings)
+        num_partitions = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    options = jdbc_options(url, table, query, partition_column, bounds, num_partitions, **settings)
+    return spark.read.format("jdbc").options(**options).load()
 
 
 def column_bounds(spark: SparkSession, url: str, table: str, name: str, **settings) -> tuple[object, object]:
     """The smallest and largest value of a column, computed by the database."""
-    row = read_jdbc(spark, url, query=f"SELECT MIN({name}) AS lo, MAX({name}) AS hi FROM {table}", **settings).first()
+    bounds = f"SELECT MIN({name}) AS lo, MAX({name}) AS hi FROM {table}"
+    row = read_jdbc(spark, url, query=bounds, single_task=True, **settings).first()
     return row[0], row[1]

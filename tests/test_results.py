@@ -84,7 +84,7 @@ def test_replies(spark):
     frame = spark.createDataFrame(rows, "session string, seq int, text string")
     replies = [row["reply"] for row in conversation.previous_queries(frame).orderBy("seq").collect()]
     assert replies == [
-        conversation.FIRST_CHAT,
+        conversation.FIRST_CHAT.format(hint=conversation.NO_HINT),
         conversation.NO_PREVIOUS_SQL,
         None,
         conversation.PREVIOUS_SQL,
@@ -92,6 +92,21 @@ def test_replies(spark):
     ]
 
 
+def test_hints_and_suggestions(spark):
+    assert conversation.semantic_hint() == "No semantic metadata loaded."
+    hint = conversation.semantic_hint(["m1", "m2", "m3", "m4", "m5"], ["d"], ["v"])
+    assert hint == "Preferred views: v. Metrics: m1, m2, m3, m4. Dimensions: d."
+    log = spark.createDataFrame([("s", 1, "hello")], "session string, seq int, text string")
+    assert conversation.previous_queries(log, hint=hint).first()["reply"].endswith(hint)
+    rows = [("a.", 2, ["m2", "x"], "{1}"), ("b.", 0, ["m2"], "{1}"), (None, None, None, None)]
+    results = spark.createDataFrame(rows, "summary string, row_count int, columns array<string>, first_row string").coalesce(1)
+    reply = lambda *names: [row["reply"] for row in conversation.query_replies(results, *names).collect()]
+    assert reply(["m1", "m2"], ["d"])[0].endswith("{1} Suggested follow-ups: break down m2 by d; compare m2 vs previous period")
+    assert reply(["m1"])[2] == " Suggested follow-ups: compare m1 vs previous period"
+    assert reply()[0] == "a. First row preview: {1} Suggested follow-ups: ask for a trend over time"
+    assert reply()[1] == conversation.NO_RESULT_ROWS
+
+
 def plan(frame) -> str:
     text = io.StringIO()
     with contextlib.redirect_stdout(text):

@@ -160,6 +160,8 @@ def test_jdbc_options(spark):
         jdbc.jdbc_options("jdbc:x", table="t", partition_column="id")
     with pytest.raises(ValueError, match="not read-only"):
         jdbc.read_jdbc(spark, "jdbc:x", query="DROP TABLE t")
+    with pytest.raises(ValueError, match="single_task"):
+        jdbc.read_jdbc(spark, "jdbc:x", table="t")
 
 
 def test_small_table(spark):
