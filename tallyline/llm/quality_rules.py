@@ -85,13 +85,23 @@ def with_words(frame: DataFrame) -> DataFrame:
     )
 
 
-def class_counts(text: Column) -> Column:
-    """Characters by class: lower-case and other letters, upper case, digits, white space, punctuation, symbols, others."""
-    letters, upper = left_over(text, r"\P{L}+"), left_over(text, r"\P{Lu}+")
-    digits, spaces = left_over(text, "[^0-9]+"), F.length(text) - F.col("word_chars")
-    marks, symbols = left_over(text, r"[^.,;:!?'\"()\-]+"), F.col("n_symbols")
-    known = F.array(letters - upper, upper, digits, spaces, marks, symbols)
-    return F.concat(known, F.array(F.length(text) - letters - digits - spaces - marks - symbols))
+def with_class_counts(frame: DataFrame) -> DataFrame:
+    """Adds ``classes``: characters by class, which are lower-case and other letters, upper case, digits, white space,
+    punctuation, symbols and others. Each pattern is a column of its own, so that it is sought once."""
+    text = F.col("text")
+    frame = frame.withColumns(
+        {
+            "letters": left_over(text, r"\P{L}+"),
+            "upper": left_over(text, r"\P{Lu}+"),
+            "digits": left_over(text, "[^0-9]+"),
+            "marks": left_over(text, r"[^.,;:!?'\"()\-]+"),
+        }
+    )
+    letters, upper, digits, marks = (F.col(name) for name in ("letters", "upper", "digits", "marks"))
+    others = F.col("word_chars") - letters - digits - marks - F.col("n_symbols")
+    spaces = F.length("text") - F.col("word_chars")
+    counts = F.array(letters - upper, upper, digits, spaces, marks, F.col("n_symbols"), others)
+    return frame.withColumn("classes", counts).drop("letters", "upper", "digits", "marks")
 
 
 def word_counts(text: Column, common: Column) -> Column:
@@ -121,9 +131,9 @@ def described(documents: DataFrame, keep: list[str] | None, lang: str, text: str
     apart = F.replace(F.translate(F.lower("text"), MARKS, " " * len(MARKS)), F.lit(" "), F.lit("  "))
     listed = F.col("lang").isin(list(COMMON_WORDS))
     frame = (
-        with_words(frame)
+        with_class_counts(with_words(frame))
         .withColumn("key", F.when(listed, F.col("lang")).otherwise(F.lit("")))
-        .withColumn("chars", F.when(F.length("text") >= min_chars, class_counts(F.col("text"))))
+        .withColumn("chars", F.when(F.length("text") >= min_chars, F.col("classes")))
         .withColumn("apart", F.when(listed & (F.col("n_words") >= min_words), F.concat(F.lit(" "), apart, F.lit(" "))))
         .withColumn("common", F.when(F.col("apart").isNotNull(), word_counts(F.col("apart"), common)))
     )
