@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tallyline.llm.quality_rules import COMMON_WORDS
+
 WINDOWS = """
 split AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -20,6 +22,8 @@ hits AS (SELECT doc_id, p.size, i, item_id FROM places p JOIN windows USING (siz
 covered AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS place FROM hits)
 """
 
+LISTS = ", ".join(f"('{lang}', {words!r})" for lang, words in COMMON_WORDS.items())
+
 ORACLE: dict[str, str] = {
     "op2_decontamination": f"""
 WITH {WINDOWS}
@@ -39,6 +43,51 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN leader <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN leader <> page_id THEN leader END AS refers_to
 FROM led
+""",
+    "op6_quality_rules": rf"""
+WITH list(lang, common) AS (VALUES {LISTS}),
+doc AS (
+  SELECT doc_id, coalesce(l.lang, '') AS key, common, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines,
+    string_split(translate(lower(coalesce(text, '')), '.,;:!?()"' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13),
+      repeat(' ', 14)), ' ') AS tokens
+  FROM documents d LEFT JOIN list l ON d.lang = l.lang),
+base AS (
+  SELECT *, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    len(regexp_extract_all(t, '\p{{L}}')) AS letters, len(regexp_extract_all(t, '\p{{Lu}}')) AS upper,
+    len(regexp_extract_all(t, '[0-9]')) AS digits, len(regexp_extract_all(t, '[.,;:!?''"()-]')) AS marks
+  FROM doc),
+win AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS run
+  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM doc WHERE len(w) > 2)),
+twice AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, run) > 1),
+again AS (
+  SELECT doc_id, count(DISTINCT place) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM twice) GROUP BY 1),
+counts AS (
+  SELECT doc_id, key, 'classes' AS kind, unnest([letters - upper, upper, digits, length(t) - word_chars, marks, n_symbols,
+    word_chars - letters - digits - marks - n_symbols]) AS c, unnest(generate_series(1, 7)) AS i
+  FROM base WHERE length(t) >= 600
+  UNION ALL
+  SELECT doc_id, key, 'words', unnest(list_append(found, greatest(n_words - list_sum(found), 0))),
+    unnest(generate_series(1, len(found) + 1))
+  FROM (SELECT *, list_transform(common, lambda x: len(list_filter(tokens, lambda y: y = x))) AS found
+    FROM base WHERE common IS NOT NULL AND n_words >= 120)),
+shares AS (SELECT doc_id, key, kind, i, c / sum(c) OVER (PARTITION BY doc_id, kind) AS p FROM counts),
+means AS (SELECT key, kind, i, avg(p) AS q FROM shares GROUP BY ALL),
+distances AS (
+  SELECT doc_id, kind, sqrt(greatest(0, sum((CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END
+    + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2))) AS distance
+  FROM shares JOIN means USING (key, kind, i) GROUP BY ALL),
+far AS (SELECT DISTINCT doc_id FROM distances WHERE distance > CASE kind WHEN 'classes' THEN 0.23 ELSE 0.3 END),
+judged AS (
+  SELECT *, coalesce(n, 0) AS n_repeat_words, n_words < 50 OR 100 * coalesce(n, 0) > 50 * n_words AS base_failed
+  FROM base LEFT JOIN again USING (doc_id))
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
+  n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM far) AS kept
+FROM judged
 """,
     "op7_line_dedup": """
 WITH line AS (
