@@ -10,12 +10,12 @@ from tallyline.session import scratch_path
 ROW = "row"
 
 
-def whole_rows(frame: DataFrame, **columns: str) -> DataFrame:
-    """All columns of the frame in one struct ``row``, beside the named ones.
+def whole_rows(frame: DataFrame, keep: list[str] | None = None, **columns: str) -> DataFrame:
+    """All columns of the frame, or the kept ones, in one struct ``row``, beside the named ones.
 
     Results can then never clash with a column of the input.
     """
-    return frame.select(F.struct(*[F.col(f"`{name}`") for name in frame.columns]).alias(ROW), *named(columns))
+    return frame.select(F.struct(*[F.col(f"`{name}`") for name in keep or frame.columns]).alias(ROW), *named(columns))
 
 
 def named(columns: dict[str, str]) -> list:

@@ -10,10 +10,12 @@ the same place, are near by an exchange; a line whose own hash equals such a has
 earliest line of equal keys is joined to the others, so no pairs within a group are made, and the distance of what is
 joined is verified on the words.
 
-Neighbourhoods are large, so only lines that can have a partner emit theirs. One edit leaves the first or the second half
-of a line as it was. The halves of all lines, cut as for the line's own length and as for one word less, and the whole
-lines are counted first; the keys that two lines at different places, or two different lines' halves, share are handed to
-the tasks as a bit map of a fixed size. A false hit there costs work and changes nothing.
+Neighbourhoods are large, so only what can have a partner is emitted. One edit leaves the first or the second half of a
+line as it was. The halves of all lines, cut as for the line's own length and as for one word less, and the whole lines
+are counted first; the keys that two lines at different places, or two different lines' halves, share are handed to the
+tasks as a bit map of a fixed size. A line whose first half is shared leaves out words of its second half only, and the
+other way round. The hashes of what is left are counted in the same way, before those that two lines share are emitted with
+what belongs to them. A false hit in a bit map costs work and changes nothing.
 
 Null texts have no lines. Documents without a doc_id keep all lines and remove none elsewhere. Rows that repeat a doc_id
 and a text are the same document; lines at the same place of different texts with one doc_id don't remove each other.
@@ -37,7 +39,7 @@ MIN_WORDS = 5
 FILTER_BITS = 1 << 27
 BROADCAST_ROWS = 500_000
 KEYS = "mini bigint, value bigint"
-LINES = "id binary, line binary, near boolean, doc_id bigint, text_key bigint, place int"
+LINES = "id binary, line binary, halves int, doc_id bigint, text_key bigint, place int"
 VARIANTS = "key binary, nth int, id binary, doc_id bigint, place int"
 RESULT = pa.struct([("n_lines", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept", pa.string())])
 SQL_RESULT = "struct<n_lines:bigint,removed:array<int>,kept:string>"
@@ -60,6 +62,28 @@ def half_keys(words: list[bytes]) -> Iterator[int]:
         yield xxhash.xxh3_64_intdigest(tag + b"> " + b" ".join(words[len(words) - (size - half) :]))
 
 
+def left_out(size: int, halves: int) -> Iterator[int]:
+    """Places of words to leave out of a line, by which of its four half keys are shared."""
+    places: set[int] = set()
+    for number, length in enumerate((size, size - 1)):
+        half = length // 2
+        if halves >> 2 * number & 1:
+            places.update(range(half, size))
+        if halves >> 2 * number & 2:
+            places.update(range(half + number))
+    yield from sorted(places)
+
+
+def tester(known: np.ndarray, bits: int):
+    """Whether a 64-bit key is in a bit map."""
+
+    def hit(key: int) -> bool:
+        place = (key if key < 1 << 63 else key - (1 << 64)) % bits
+        return bool(int(known[place >> 6]) >> (place & 63) & 1)
+
+    return hit
+
+
 def signed(values: list[int]) -> pa.Array:
     return pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
@@ -87,55 +111,65 @@ def counted_keys(min_words: int):
 
 def possible_lines(min_words: int, bits: int, shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-
-        def hit(key: int) -> bool:
-            place = (key if key < 1 << 63 else key - (1 << 64)) % bits
-            return bool(int(known[place >> 6]) >> (place & 63) & 1)
-
+        hit = tester(shared.value, bits)
         for batch in batches:
             for part in W.slices(batch, "text"):
                 rows = []
                 for ident, key, text in texts(part):
                     for place, words in lines_of(text, min_words):
                         whole = b" ".join(words)
-                        near = any(map(hit, half_keys(words)))
-                        if near or hit(xxhash.xxh3_64_intdigest(whole)):
-                            rows.append((xxhash.xxh3_128_digest(whole), whole, near, ident, key, place))
+                        halves = sum(hit(half) << n for n, half in enumerate(half_keys(words)))
+                        if halves or hit(xxhash.xxh3_64_intdigest(whole)):
+                            rows.append((xxhash.xxh3_128_digest(whole), whole, halves, ident, key, place))
                 columns = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
-                kinds = (pa.binary(), pa.binary(), pa.bool_(), pa.int64(), pa.int64(), pa.int32())
+                kinds = (pa.binary(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(column, kind) for column, kind in zip(columns, kinds, strict=True)],
-                    names=["id", "line", "near", "doc_id", "text_key", "place"],
+                    names=["id", "line", "halves", "doc_id", "text_key", "place"],
                 )
 
     return find
 
 
-def neighbourhoods(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The key of each line (``nth`` -1) and of the line without its ``nth`` word."""
-    digest = xxhash.xxh3_128_digest
+def variants(line: bytes, halves: int) -> Iterator[tuple[int, bytes]]:
+    """The line, as place -1, and the line without each word that is to be left out."""
+    words = line.split(b" ")
+    yield -1, line
+    for n in left_out(len(words), halves):
+        yield n, b" ".join(words[:n] + words[n + 1 :])
+
+
+def variant_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 2000):
-            part = batch.slice(start, 2000)
-            keys, places, owners = [], [], []
-            for row, line in enumerate(part.column("line").to_pylist()):
-                words = line.split(b" ")
-                keys.append(part.column("id")[row].as_py())
-                keys += [digest(b" ".join(words[:n] + words[n + 1 :])) for n in range(len(words))]
-                places += range(-1, len(words))
-                owners += [row] * (len(words) + 1)
-            own = pa.array(owners, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(keys, pa.binary()),
-                    pa.array(places, pa.int32()),
-                    part.column("id").take(own),
-                    part.column("doc_id").take(own),
-                    part.column("place").take(own),
-                ],
-                names=["key", "nth", "id", "doc_id", "place"],
-            )
+            keys, values = [], []
+            for row in batch.slice(start, 2000).to_pylist():
+                found = [xxhash.xxh3_64_intdigest(left) for _, left in variants(row["line"], row["halves"])]
+                keys += found
+                values += [int.from_bytes(row["id"][:8], "little")] * len(found)
+            yield pa.RecordBatch.from_arrays([signed(keys), signed(values)], names=["mini", "value"])
+
+
+def neighbourhoods(shared, bits: int):
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The keys of a line (``nth`` -1) and of the line without its ``nth`` word that another line may share."""
+        hit = tester(shared.value, bits)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                keys, places, owners = [], [], []
+                for row, line in enumerate(part.select(["line", "halves"]).to_pylist()):
+                    for nth, left in variants(line["line"], line["halves"]):
+                        if hit(xxhash.xxh3_64_intdigest(left)):
+                            keys.append(xxhash.xxh3_128_digest(left))
+                            places.append(nth)
+                            owners.append(row)
+                own = pa.array(owners, pa.int64())
+                taken = [part.column(name).take(own) for name in ("id", "doc_id", "place")]
+                columns = [pa.array(keys, pa.binary()), pa.array(places, pa.int32()), *taken]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "nth", "id", "doc_id", "place"])
+
+    return emit
 
 
 def one_edit(a: F.Column, b: F.Column) -> F.Column:
@@ -149,9 +183,13 @@ def one_edit(a: F.Column, b: F.Column) -> F.Column:
     return F.greatest(F.size(a), F.size(b)) - 1 <= ahead + behind
 
 
-def earliest(lines: DataFrame) -> DataFrame:
+def earliest(lines: DataFrame, filter_bits: int) -> DataFrame:
     """``id`` of each line that has an equal or near line before it, and the ``first`` of their places."""
-    rows = written(lines.select("id", "line", "at.*").mapInArrow(neighbourhoods, VARIANTS), "neighbourhoods")
+    keys = lines.select("id", "line", "halves").mapInArrow(variant_keys, KEYS)
+    shared = keys.groupBy("mini").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high")
+    known = lines.sparkSession.sparkContext.broadcast(bit_map(shared, filter_bits))
+    emitted = lines.select("id", "line", "halves", "at.*").mapInArrow(neighbourhoods(known, filter_bits), VARIANTS)
+    rows = written(emitted, "neighbourhoods")
     place = F.struct("doc_id", "place", "id")
     least = written(rows.groupBy("key", "nth").agg(F.min(place).alias("least"), F.count(F.lit(1)).alias("n")), "least")
     around = least.groupBy("key").agg(
@@ -204,8 +242,8 @@ def remove_lines(
     shared = keys.groupBy("mini").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high")
     known = spark.sparkContext.broadcast(bit_map(shared, filter_bits))
     occurring = written(owned.mapInArrow(possible_lines(min_words, filter_bits, known), LINES), "lines")
-    lines = written(occurring.groupBy("id", "line", "near").agg(F.min(F.struct("doc_id", "place")).alias("at")), "distinct-lines")
-    near = written(earliest(lines.where("near")), "near")
+    lines = written(occurring.groupBy("id", "line", "halves").agg(F.min(F.struct("doc_id", "place")).alias("at")), "distinct-lines")
+    near = written(earliest(lines.where("halves > 0"), filter_bits), "near")
     least = lines.join(near, "id", "left").select("id", F.least("at", F.coalesce("first", "at")).alias("first"))
     removed = (
         occurring.select("id", "doc_id", "text_key", "place")

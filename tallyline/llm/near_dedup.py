@@ -82,8 +82,8 @@ def fingerprints(split: W.Words, size: int) -> np.ndarray:
     return np.packbits(set_bits, axis=1, bitorder="little").reshape(-1, 8).view("<u8")[:, 0]
 
 
-def fingerprint(documents: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """Each document as ``row`` beside its ``fingerprint``, the 64 bits as a long."""
+def fingerprint(documents: DataFrame, text: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """Each document as ``row``, of all or of the kept columns, beside its ``fingerprint``, the 64 bits as a long."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,7 +92,7 @@ def fingerprint(documents: DataFrame, text: str = "text", shingle: int = SHINGLE
                 found = pa.array(fingerprints(split, shingle).view(np.int64))
                 yield pa.RecordBatch.from_arrays([part.column("row"), found], names=["row", "fingerprint"])
 
-    frame = whole_rows(documents, text=text)
+    frame = whole_rows(documents, keep, text=text)
     schema = frame.select("row", F.lit(0).cast("long").alias("fingerprint")).schema
     return frame.mapInArrow(add, schema)
 
@@ -148,13 +148,21 @@ def meetings(visits: DataFrame) -> DataFrame:
     return rows.join(anchors, ["key", "point"]).where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
-def group(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, heavy: int = HEAVY) -> DataFrame:
+def group(
+    documents: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    shingle: int = SHINGLE,
+    heavy: int = HEAVY,
+    keep: list[str] | None = None,
+) -> DataFrame:
     """Each document as ``row`` beside ``fingerprint``, ``component_id`` and ``first``.
 
+    ``keep`` names the columns of ``row``, which are written to the shared folder; doc_id must be among them.
     ``first`` marks exactly one row of each component: that with the smallest doc_id, and one of those if it is repeated.
     """
     ident = F.col("row").getField(doc_id)
-    marked = written(fingerprint(documents, text, shingle).withColumn("place", F.monotonically_increasing_id()), "fingerprints")
+    marked = written(fingerprint(documents, text, shingle, keep).withColumn("place", F.monotonically_increasing_id()), "fingerprints")
     order = F.struct(ident.isNull().alias("none"), ident.alias("id"), F.col("place").alias("place"))
     distinct = written(marked.groupBy(F.col("fingerprint").alias("fp")).agg(F.min(order).alias("least")), "distinct")
     linked = components(links(distinct.select("fp"), heavy)).withColumnRenamed("node", "fp")

@@ -57,7 +57,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of documents."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dedup.group(documents).select(
+    return near_dedup.group(documents, keep=["doc_id"]).select(
         "row.doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
 
