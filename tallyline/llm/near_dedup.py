@@ -171,7 +171,7 @@ def group(
     )
     least = labelled.groupBy("component").agg(F.min("least").alias("head"))
     heads = written(labelled.join(least, "component").select("fp", "head"), "heads")
-    return marked.join(heads, marked["fingerprint"] == heads["fp"]).select(
+    return joined(marked, heads, marked["fingerprint"] == heads["fp"], "inner", BROADCAST_ROWS).select(
         "row",
         "fingerprint",
         F.col("head")["id"].alias("component_id"),
