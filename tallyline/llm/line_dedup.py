@@ -3,7 +3,8 @@
 A line's words are what stands between white space, with A-Z in lower case. Lines of ``min_words`` words or more are
 judged; with 5, one word is at most a fifth of a line. Two lines are near if at most one word was put in, left out or
 exchanged. A line is removed if an earlier line (smaller doc_id, or same document and smaller line number) is equal or near,
-whether or not that one is removed itself.
+whether or not that one is removed itself. Shorter lines of ``equal_words`` words or more are removed if an earlier line is
+equal; near ones aren't sought for them. ``equal_words`` is ``min_words`` unless given, and 1 judges all lines with a word.
 
 Each line emits the hashes of its words without each one of them. Lines with equal hashes, and with the word left out at
 the same place, are near by an exchange; a line whose own hash equals such a hash is near by a word put in. Only the
@@ -93,15 +94,15 @@ def texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
         yield ident.as_py(), key.as_py(), text.as_py() or b""
 
 
-def counted_keys(min_words: int):
+def counted_keys(min_words: int, equal_words: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in W.slices(batch, "text"):
                 keys, values = [], []
                 for ident, _, text in texts(part):
-                    for place, words in lines_of(text, min_words):
+                    for place, words in lines_of(text, equal_words):
                         whole = xxhash.xxh3_64_intdigest(b" ".join(words))
-                        halves = list(half_keys(words))
+                        halves = list(half_keys(words)) if len(words) >= min_words else []
                         keys += [whole, *halves]
                         values += [xxhash.xxh3_64_intdigest(b"%d %d" % (ident, place)), *[whole] * len(halves)]
                 yield pa.RecordBatch.from_arrays([signed(keys), signed(values)], names=["mini", "value"])
@@ -109,16 +110,16 @@ def counted_keys(min_words: int):
     return emit
 
 
-def possible_lines(min_words: int, bits: int, shared):
+def possible_lines(min_words: int, equal_words: int, bits: int, shared):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hit = tester(shared.value, bits)
         for batch in batches:
             for part in W.slices(batch, "text"):
                 rows = []
                 for ident, key, text in texts(part):
-                    for place, words in lines_of(text, min_words):
+                    for place, words in lines_of(text, equal_words):
                         whole = b" ".join(words)
-                        halves = sum(hit(half) << n for n, half in enumerate(half_keys(words)))
+                        halves = sum(hit(half) << n for n, half in enumerate(half_keys(words))) if len(words) >= min_words else 0
                         if halves or hit(xxhash.xxh3_64_intdigest(whole)):
                             rows.append((xxhash.xxh3_128_digest(whole), whole, halves, ident, key, place))
                 columns = zip(*rows, strict=True) if rows else ((), (), (), (), (), ())
@@ -228,20 +229,28 @@ def remover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove_lines(
-    documents: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, filter_bits: int = FILTER_BITS
+    documents: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_words: int = MIN_WORDS,
+    filter_bits: int = FILTER_BITS,
+    equal_words: int | None = None,
 ) -> DataFrame:
     """Each document as ``row`` beside ``found``: ``n_lines``, the numbers of ``removed`` lines and the ``kept`` text."""
     if min_words < 3:
         raise ValueError("lines of fewer than three words are all near each other")
+    equal_words = min_words if equal_words is None else equal_words
+    if not 1 <= equal_words <= min_words:
+        raise ValueError("equal_words must be from 1 to min_words")
     spark = documents.sparkSession
     frame = whole_rows(documents, doc_id=doc_id, text=text).withColumns(
         {"doc_id": F.col("doc_id").cast("long"), "text_key": F.xxhash64("text")}
     )
     owned = frame.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text")
-    keys = owned.mapInArrow(counted_keys(min_words), KEYS)
+    keys = owned.mapInArrow(counted_keys(min_words, equal_words), KEYS)
     shared = keys.groupBy("mini").agg(F.min("value").alias("low"), F.max("value").alias("high")).where("low <> high")
     known = spark.sparkContext.broadcast(bit_map(shared, filter_bits))
-    occurring = written(owned.mapInArrow(possible_lines(min_words, filter_bits, known), LINES), "lines")
+    occurring = written(owned.mapInArrow(possible_lines(min_words, equal_words, filter_bits, known), LINES), "lines")
     lines = written(occurring.groupBy("id", "line", "halves").agg(F.min(F.struct("doc_id", "place")).alias("at")), "distinct-lines")
     near = written(earliest(lines.where("halves > 0"), filter_bits), "near")
     least = lines.join(near, "id", "left").select("id", F.least("at", F.coalesce("first", "at")).alias("first"))
