@@ -1,4 +1,4 @@
-"""An interpolated modified Kneser-Ney model of word pairs, counted in Spark and read from sorted arrays in mapped files.
+"""An interpolated modified Kneser-Ney model of word pairs, or of longer runs of words, counted in Spark and read from sorted arrays in mapped files.
 
 Words are what stands between white space, with A-Z in lower case; each text ends with an end token, and its first word
 follows a start mark. All counts go over all training texts:
@@ -13,7 +13,16 @@ follows a start mark. All counts go over all training texts:
 
 The probability of a word after a context is its discounted count, plus the context's left-over mass times the word's
 discounted number of contexts, plus that level's left-over mass times an equal share for all words and one unknown. After an
-unknown context only the lower levels count. Discounts are 0.5, 1 and 1.5 where the counts of counts give none.
+unknown context only the lower levels count.
+
+With ``order`` 3 or more, runs of that many tokens are counted as well. A run is its context's number, which is its place in
+all shards of the runs one token shorter, and its last word; its shard gets its count and the number of the run without the
+first token. Then, from the longest runs down, each shard hands to the shards of the runs one token shorter what smoothing
+needs after a context, and how many distinct tokens stand before a run: for runs shorter than ``order`` this number takes the
+place of the count, but for runs with the start mark, before which nothing stands. The probability after the shorter context
+is what a level's left-over mass is dealt by. No run goes beyond the start mark.
+
+Discounts are 0.5, 1 and 1.5 where the counts of counts give none.
 
 Scoring maps the arrays and looks up the sorted distinct pairs of each slice of text, so that only pages in use are held
 and nothing of the documents is shuffled. For this the shared folder (``spark.checkpoint.dir``) must be mounted as a
@@ -48,6 +57,7 @@ SHARD_TOKENS = 1_500_000
 RANGE_WORDS = 200_000
 UNKNOWN_COUNT = 0.1
 FALLBACK = (0.5, 1.0, 1.5)
+ORDER = 2
 STATISTICS = ("total", "ones", "twos", "more", "before")
 RESULT = "n_tokens bigint, n_known bigint, base_score double, score double"
 
@@ -195,10 +205,10 @@ def numbered(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.n
     return tokens, known, first
 
 
-def contexts(tokens: np.ndarray, first: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+def contexts(tokens: np.ndarray, first: np.ndarray, start: int) -> np.ndarray:
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
-    before[first[:-1]] = vocabulary.start
+    before[first[:-1]] = start
     return before
 
 
@@ -215,12 +225,151 @@ def count_pairs(vocabulary: Vocabulary, shards: int):
         for batch in batches:
             for part in W.slices(batch, "text", SLICE_BYTES):
                 tokens, _, first = numbered(part.column("text"), vocabulary)
-                keys, counts = np.unique(pair_keys(contexts(tokens, first, vocabulary), tokens), return_counts=True)
+                keys, counts = np.unique(pair_keys(contexts(tokens, first, vocabulary.start), tokens), return_counts=True)
                 yield from packed_rows(shard_of(keys, shards), keys.astype("<u8"), counts.astype("<u4"))
 
     return count
 
 
+@dataclass(frozen=True)
+class Runs:
+    """Sorted keys and counts of all runs of ``order`` tokens, in shards; ``bounds`` are the numbers of their first runs."""
+
+    folder: str
+    order: int
+    bounds: tuple[int, ...]
+    counts: str
+
+    @property
+    def number(self) -> int:
+        return self.bounds[-1]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, or -1, and counts of runs with these distinct keys, which must be sorted."""
+        numbers, counts = np.full(len(keys), -1, dtype=np.int64), np.zeros(len(keys), dtype=np.int64)
+        shards = len(self.bounds) - 1
+        target = shard_of(keys, shards)
+        order = np.argsort(target, kind="stable")
+        ends = np.cumsum(np.bincount(target, minlength=shards))
+        for number, (known, often) in enumerate(run_parts(self.folder, self.order, self.counts, shards)):
+            own = order[(ends[number - 1] if number else 0) : ends[number]]
+            if len(known) and len(own):
+                place = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
+                hit = known[place] == keys[own]
+                numbers[own] = np.where(hit, place + self.bounds[number], -1)
+                counts[own] = np.where(hit, often[place], 0)
+        return numbers, counts
+
+
+def written_runs(folder: str, order: int, shards: int) -> Runs:
+    """The runs that tasks have written, with raw counts."""
+    paths = [f"{folder}/runs-{order}-{n}" for n in range(shards)]
+    sizes = [os.path.getsize(path) // 8 if os.path.exists(path) else 0 for path in paths]
+    if sum(sizes) > 1 << 32:
+        raise ValueError(f"more than {1 << 32:,} runs of {order} tokens: their numbers don't fit into the keys of longer runs")
+    return Runs(folder, order, (0, *np.cumsum(sizes).tolist()), "raw")
+
+
+def chain(tokens: np.ndarray, first: np.ndarray, vocabulary: Vocabulary, levels: list[Runs]) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each level numbers of the contexts of tokens, numbers and counts of the runs that end with them; -1 if unknown."""
+    numbers = tokens
+    for level in levels:
+        before = contexts(numbers, first, vocabulary.start if level.order == 2 else -1)
+        known = (before >= 0) & (tokens >= 0)
+        keys, place = np.unique(pair_keys(before[known], tokens[known]), return_inverse=True)
+        found, often = level.find(keys)
+        numbers, counts = np.full(len(tokens), -1, dtype=np.int64), np.zeros(len(tokens), dtype=np.int64)
+        numbers[known], counts[known] = found[place], often[place]
+        yield before, numbers, counts
+
+
+def count_runs(vocabulary: Vocabulary, levels: list[Runs], shards: int):
+    """Counts runs one token longer than those of the last level."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in W.slices(batch, "text", SLICE_BYTES):
+                tokens, _, first = numbered(part.column("text"), vocabulary)
+                numbers = tokens
+                for _, own, _ in chain(tokens, first, vocabulary, levels):
+                    numbers = own
+                before = contexts(numbers, first, vocabulary.start if not levels else -1)
+                known = before >= 0
+                keys, at, counts = np.unique(pair_keys(before[known], tokens[known]), return_index=True, return_counts=True)
+                shorter = numbers[known][at]
+                yield from packed_rows(shard_of(keys, shards), keys.astype("<u8"), counts.astype("<u4"), shorter.astype("<u4"))
+
+    return count
+
+
+def write_runs(folder: str, order: int):
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        """Writes a shard's runs, their raw counts and the numbers of the runs without the first token."""
+        shard = key[0].as_py()
+        pieces = [unpack(piece.as_py(), "<u8", "<u4", "<u4") for piece in rows.column("piece")]
+        keys, counts, shorter = (np.concatenate(columns) for columns in zip(*pieces, strict=True))
+        del pieces
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
+        heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        write_array(f"{folder}/raw-{order}-{shard}", np.add.reduceat(counts[by], heads, dtype=np.int64).astype("<u4"))
+        write_array(f"{folder}/shorter-{order}-{shard}", shorter[by][heads])
+        write_array(f"{folder}/runs-{order}-{shard}", keys[heads])
+        return pa.table({"target": pa.array([shard], pa.int64()), "piece": pa.array([b""], pa.binary())})
+
+    return merge
+
+
+def settle_runs(level: Runs, longest: bool, below: tuple[int, ...]):
+    """``below`` are the bounds of the runs one token shorter, or of the ranges of word numbers."""
+
+    def settle(key: tuple, rows: pa.Table) -> pa.Table:
+        """Writes a shard's statistics after its runs and the counts that hold for its level, returns what is handed down."""
+        shard = key[0].as_py()
+        path = f"{level.folder}/{{}}-{level.order}-{shard}"
+        keys, counts = mapped(path.format("runs"), "<u8"), mapped(path.format("raw"), "<u4").astype(np.int64)
+        if not longest:
+            pieces = [unpack(piece.as_py(), *["<i8"] * 6) for piece in rows.column("piece") if piece.as_py()]
+            if pieces:
+                numbers, *values = summed(*[np.concatenate(columns) for columns in zip(*pieces, strict=True)])
+                dense = np.zeros((5, len(keys)), dtype="<u4")
+                dense[:, numbers - level.bounds[shard]] = values
+                for name, own in zip(STATISTICS[:4], dense, strict=False):
+                    write_array(path.format(name), own)
+                counts = np.where(dense[4] > 0, dense[4], counts).astype(np.int64)
+        write_array(path.format("settled"), counts.astype("<u4"))
+        context = (keys >> np.uint64(32)).astype(np.int64)
+        number, *values = summed(context, counts, *[(counts == n).astype(np.int64) for n in (1, 2)], (counts > 2).astype(np.int64))
+        shorter = mapped(path.format("shorter"), "<u4").astype(np.int64)
+        shorter, times = np.unique(shorter, return_counts=True)
+        none = [np.zeros(len(shorter), dtype=np.int64)] * 4
+        values = [np.concatenate([own, other]) for own, other in zip(values, none, strict=True)]
+        values.append(np.concatenate([np.zeros(len(number), dtype=np.int64), times]))
+        number, *values = summed(np.concatenate([number, shorter]), *values)
+        target = np.searchsorted(np.array(below), number, side="right") - 1
+        batches = list(packed_rows(target, number.astype("<i8"), *[value.astype("<i8") for value in values]))
+        counted = pa.RecordBatch.from_arrays(
+            [pa.array([-1], pa.int64()), pa.array([np.array([len(keys), *counts_of_counts(counts)], "<i8").tobytes()], pa.binary())],
+            names=["target", "piece"],
+        )
+        return pa.Table.from_batches([*batches, counted])
+
+    return settle
+
+
+@lru_cache(maxsize=16)
+def run_parts(folder: str, order: int, counts: str, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    none = np.zeros(0, dtype="<u8")
+    paths = [(f"{folder}/runs-{order}-{n}", f"{folder}/{counts}-{order}-{n}") for n in range(shards)]
+    return [(mapped(runs, "<u8"), mapped(often, "<u4")) if os.path.exists(runs) else (none, none) for runs, often in paths]
+
+
+@lru_cache(maxsize=4096)
+def run_statistics(folder: str, order: int, shard: int) -> list[np.ndarray]:
+    paths = [f"{folder}/{name}-{order}-{shard}" for name in STATISTICS[:4]]
+    return [mapped(path, "<u4") if os.path.exists(path) else np.zeros(0, dtype="<u4") for path in paths]
+
+
 def packed_rows(target: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
     """A row for each target with its share of the arrays, which are in the order of the first."""
     order = np.argsort(target, kind="stable")
@@ -301,6 +450,8 @@ class Model:
     pair_discounts: tuple[float, float, float]
     word_discounts: tuple[float, float, float]
     word_rest: float
+    levels: tuple[Runs, ...] = ()
+    level_discounts: tuple[tuple[float, float, float], ...] = ()
 
     def pair_counts(self, keys: np.ndarray) -> np.ndarray:
         """Counts of sorted distinct pairs, 0 for unknown ones."""
@@ -331,6 +482,32 @@ class Model:
                     values[own] = known[numbers[own] - number * width]
         return out
 
+    def after(self, level: Runs, numbers: np.ndarray) -> list[np.ndarray]:
+        """Total and numbers of counts 1, 2 and more after contexts that are runs of a level; 0 for -1."""
+        out = [np.zeros(len(numbers), dtype=np.int64) for _ in range(4)]
+        target = np.searchsorted(np.array(level.bounds), numbers, side="right") - 1
+        for shard in np.unique(target[numbers >= 0]).tolist():
+            own = np.flatnonzero((target == shard) & (numbers >= 0))
+            for values, known in zip(out, run_statistics(level.folder, level.order, shard), strict=True):
+                if len(known):
+                    values[own] = known[numbers[own] - level.bounds[shard]]
+        return out
+
+    def long_log_probabilities(self, tokens: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The same as ``log_probabilities`` by all levels, for the tokens of texts with these bounds."""
+        words, word = np.unique(tokens, return_inverse=True)
+        found = self.statistics(words)[-1]
+        lower = self.word_rest / (self.vocabulary.distinct + 1) + discounted(found, self.word_discounts) / max(self.pairs, 1)
+        likely = lower[word]
+        for number, (before, _, counts) in enumerate(chain(tokens, first, self.vocabulary, list(self.levels))):
+            given, place = np.unique(before, return_inverse=True)
+            total, *often = self.after(self.levels[number - 1], given) if number else self.statistics(given)[:4]
+            by = self.level_discounts[number]
+            rest = sum(own * share for own, share in zip(often, by, strict=True))
+            total, rest = total[place], rest[place]
+            likely = np.where(total > 0, (discounted(counts, by) + rest * likely) / np.maximum(total, 1), likely)
+        return np.log10(likely)
+
     def log_probabilities(self, before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
         """Base-10 logarithms of the probabilities of tokens after contexts; -1 is unknown."""
         numbers, where = np.unique(np.concatenate([before, tokens]), return_inverse=True)
@@ -367,8 +544,10 @@ def statistic_parts(folder: str, number: int) -> list[np.ndarray]:
     return [mapped(f"{folder}/{name}-{number}", "<i8") for name in STATISTICS]
 
 
-def train(texts: DataFrame, text: str = "text") -> Model:
+def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     """Counts all texts and writes the model's arrays to a new folder under the shared one."""
+    if order < 2:
+        raise ValueError("the order must be 2 or more")
     spark = texts.sparkSession
     folder = mounted_folder(spark, "language-model")
     rows = texts.select(F.col(f"`{text}`").alias("text"))
@@ -377,6 +556,8 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     shards = max(2 * shuffle_partitions(spark), vocabulary.tokens // SHARD_TOKENS)
     ranges = min(numbers, max(shuffle_partitions(spark), numbers // RANGE_WORDS))
     packed = "target bigint, piece binary"
+    if order > 2:
+        return train_runs(rows, vocabulary, order, shards, ranges)
     pairs = rows.mapInArrow(count_pairs(vocabulary, shards), packed)
     merged = written(pairs.groupBy("target").applyInArrow(write_pairs(folder, ranges, numbers), packed), "statistics")
     counted = added(merged.where("target < 0"), 5)
@@ -389,6 +570,35 @@ def train(texts: DataFrame, text: str = "text") -> Model:
     return Model(vocabulary, shards, ranges, total, discounts(counted[1:]), word_discounts, rest)
 
 
+def train_runs(rows: DataFrame, vocabulary: Vocabulary, order: int, shards: int, ranges: int) -> Model:
+    """The model of runs of up to ``order`` tokens: counted from the shortest runs up, settled from the longest down."""
+    spark, folder, numbers = rows.sparkSession, vocabulary.folder, vocabulary.words + 2
+    packed, levels = "target bigint, piece binary", []
+    for size in range(2, order + 1):
+        counted = rows.mapInArrow(count_runs(vocabulary, list(levels), shards), packed)
+        counted.groupBy("target").applyInArrow(write_runs(folder, size), packed).count()
+        levels.append(written_runs(folder, size, shards))
+    handed, found = None, []
+    for place in reversed(range(len(levels))):
+        level = levels[place]
+        own = [(n, b"") for n in range(shards) if level.bounds[n] < level.bounds[n + 1]]
+        given = spark.createDataFrame(own, packed)
+        given = given if handed is None else given.union(handed)
+        width = -(-numbers // ranges)
+        below = levels[place - 1].bounds if place else tuple(width * n for n in range(ranges + 1))
+        settle = settle_runs(level, handed is None, below)
+        settled = written(given.groupBy("target").applyInArrow(settle, packed), f"settled-{level.order}")
+        found.append(added(settled.where("target < 0"), 5))
+        handed = settled.where("target >= 0")
+    before = added(handed.groupBy("target").applyInArrow(write_statistics(folder, ranges, numbers), "piece binary"), 6)[1:]
+    by, word_discounts = [discounts(counts[1:]) for counts in reversed(found)], discounts(before[1:])
+    often = np.array([before[1], before[2], before[0] - before[1] - before[2]])
+    total = levels[0].number
+    rest = float(often @ np.array(word_discounts) / total) if total else 1.0
+    settled = tuple(Runs(folder, level.order, level.bounds, "settled") for level in levels)
+    return Model(vocabulary, shards, ranges, total, by[0], word_discounts, rest, settled, tuple(by))
+
+
 def added(rows: DataFrame, width: int) -> np.ndarray:
     """The sum of rows of ``width`` packed numbers: one row for each task, added up in tasks."""
 
@@ -414,7 +624,10 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
             for part in W.slices(batch, "text", SLICE_BYTES):
                 tokens, counts, first = numbered(part.column("text"), vocabulary)
                 heads = first[:-1]
-                found = model.log_probabilities(contexts(tokens, first, vocabulary), tokens)
+                if model.levels:
+                    found = model.long_log_probabilities(tokens, first)
+                else:
+                    found = model.log_probabilities(contexts(tokens, first, vocabulary.start), tokens)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("row"),

@@ -112,3 +112,60 @@ def test_packing_is_exact():
     keys, counts = np.array([3, 3, 9, 1 << 63], "<u8"), np.array([1, 2, 3, 4], "<u4")
     for own, back in zip((keys, counts), kneser_ney.unpack(kneser_ney.pack(keys, counts), "<u8", "<u4"), strict=True):
         assert (own == back).all()
+
+
+class LongBrute:
+    """The model of longer runs from dictionaries. Nothing stands before the start mark, so runs with it keep their counts."""
+
+    def __init__(self, texts, order):
+        self.order, split = order, [[b"<s> ", *tokens_of(text)] for text in texts]
+        self.counts = Counter(token for tokens in split for token in tokens[1:])
+        runs = {k: Counter(tuple(t[i : i + k]) for t in split for i in range(len(t) - k + 1)) for k in range(2, order + 1)}
+        self.levels = {order: runs[order]}
+        for k in range(order - 1, 1, -1):
+            left = Counter(run[1:] for run in runs[k + 1])
+            self.levels[k] = {run: n if run[0] == b"<s> " else left[run] for run, n in runs[k].items()}
+        self.levels[1] = Counter(run[1:] for run in runs[2])
+        self.by = {k: Brute.discount(level.values()) for k, level in self.levels.items()}
+        self.after, self.rest = Counter(), Counter()
+        for k, level in self.levels.items():
+            for run, n in level.items():
+                self.after[run[:-1]] += n
+                self.rest[run[:-1]] += self.by[k][min(n, 3) - 1]
+
+    def probability(self, context, word):
+        if context and context not in self.after:
+            return self.probability(context[1:], word)
+        by, after = self.by[len(context) + 1], self.after[context]
+        n = self.levels[len(context) + 1].get((*context, word), 0)
+        own = max(n - by[min(n, 3) - 1], 0) if n else 0
+        lower = self.probability(context[1:], word) if context else 1 / (len(self.counts) + 1)
+        return (own + self.rest[context] * lower) / after if after else lower
+
+    def score(self, text):
+        tokens = [b"<s> ", *tokens_of(text)]
+        return sum(math.log10(self.probability(tuple(tokens[max(0, i - self.order + 1) : i]), tokens[i])) for i in range(1, len(tokens)))
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_longer_runs_agree_with_dictionaries(spark, order):
+    rows = load(spark, "documents").select("doc_id", "text").limit(120).collect()
+    texts = [row.text for row in rows[:90]] + ["a b c a b", "a b c", "", None, "C c c a\tb"]
+    asked = [row.text for row in rows[80:]] + ["", None, "z z a b c", "a b c a " * 1000]
+    brute = LongBrute(texts, order)
+    seen = [*brute.counts, b"unseen"]
+    for context in [(b"<s> ",), (b"<s> ", b"a"), (b"a", b"b"), (b"c", b"a", b"b"), (b"z", b"b")]:
+        assert sum(brute.probability(context[-order + 1 :], word) for word in seen) == pytest.approx(1)
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4), order=order)
+    frame = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+    for row in kneser_ney.score(frame, model).collect():
+        assert row.score == pytest.approx(brute.score(asked[row.row.doc_id]), rel=1e-9)
+
+
+@pytest.mark.parametrize("texts", [[], [None], ["", " "]])
+def test_longer_runs_of_little_or_nothing(spark, texts):
+    model = kneser_ney.train(spark.createDataFrame([(t,) for t in texts], "text string"), order=3)
+    (row,) = kneser_ney.score(spark.createDataFrame([("a b",)], "text string"), model).collect()
+    assert row.n_tokens == 3 and row.score == pytest.approx(LongBrute(texts, 3).score("a b"))
+    with pytest.raises(ValueError, match="order"):
+        kneser_ney.train(spark.createDataFrame([], "text string"), order=1)
