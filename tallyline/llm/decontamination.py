@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyline.llm import words as W
-from tallyline.llm.frames import whole_rows
+from tallyline.llm.frames import whole_rows, written
 
 GRAM = 5
 SPAN = 10
@@ -195,11 +195,12 @@ def marker(items, gram: int, span: int):
 
 
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[str, str]]]:
-    """The items in blocks of bounded size, each fetched on its own."""
+    """The distinct items in blocks of bounded size, each fetched on its own."""
     items = benchmark.select(
         F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("name"),
         F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"),
     )
+    items = written(items.distinct(), "items")
     total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
     count = 1 + total // block_bytes
     block = F.pmod(F.xxhash64("name", "text"), F.lit(count))

@@ -73,3 +73,9 @@ def test_empty_tables(spark):
     assert ours(spark, docs, []) == brute(docs, [])
     with pytest.raises(ValueError, match="gram"):
         ours(spark, docs, items, gram=11)
+
+
+def test_repeated_items_are_fetched_once(spark):
+    items = [(1, "a b c d e f g h i j k")] * 500 + [(2, "a b"), (None, None), (None, None)]
+    found = list(decontamination.blocks(spark.createDataFrame(items, ITEMS).repartition(3), "item_id", "text", 1000))
+    assert [sorted(rows) for rows in found] == [[("", ""), ("1", items[0][1]), ("2", "a b")]]
