@@ -1,10 +1,10 @@
 """Removal of lines that repeat, or nearly repeat, an earlier line, by a join of deletion neighbourhoods.
 
-A line's words are what stands between white space, with A-Z in lower case. Lines of ``min_words`` words or more are
-judged; with 5, one word is at most a fifth of a line. Two lines are near if at most one word was put in, left out or
-exchanged. A line is removed if an earlier line (smaller doc_id, or same document and smaller line number) is equal or near,
-whether or not that one is removed itself. Shorter lines of ``equal_words`` words or more are removed if an earlier line is
-equal; near ones aren't sought for them. ``equal_words`` is ``min_words`` unless given, and 1 judges all lines with a word.
+A line's words are what stands between white space, with A-Z in lower case. Every line with a word is judged. A line is
+removed if an earlier line (smaller doc_id, or same document and smaller line number) is equal or near, whether or not that
+one is removed itself. Two lines are near if both have ``min_words`` words or more and at most one word was put in, left out
+or exchanged; with 5, one word is at most a fifth of a line. Shorter lines are removed if an earlier line is equal.
+``equal_words`` leaves out lines of fewer words altogether; it is 1 unless given.
 
 Each line emits the hashes of its words without each one of them. Lines with equal hashes, and with the word left out at
 the same place, are near by an exchange; a line whose own hash equals such a hash is near by a word put in. Only the
@@ -234,12 +234,11 @@ def remove_lines(
     text: str = "text",
     min_words: int = MIN_WORDS,
     filter_bits: int = FILTER_BITS,
-    equal_words: int | None = None,
+    equal_words: int = 1,
 ) -> DataFrame:
     """Each document as ``row`` beside ``found``: ``n_lines``, the numbers of ``removed`` lines and the ``kept`` text."""
     if min_words < 3:
         raise ValueError("lines of fewer than three words are all near each other")
-    equal_words = min_words if equal_words is None else equal_words
     if not 1 <= equal_words <= min_words:
         raise ValueError("equal_words must be from 1 to min_words")
     spark = documents.sparkSession

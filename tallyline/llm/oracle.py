@@ -96,16 +96,16 @@ WITH line AS (
 judged AS (
   SELECT * FROM (
     SELECT doc_id, place, regexp_extract_all(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-      '[^\\x20\\x09-\\x0D]+') AS w FROM line) WHERE len(w) >= 5),
+      '[^\\x20\\x09-\\x0D]+') AS w FROM line) WHERE len(w) >= 1),
 firsts AS (SELECT w, min({'doc': doc_id, 'place': place}) AS spot FROM judged GROUP BY w),
 variant AS (
   SELECT w, spot, i, list_concat(w[:i - 1], w[i + 1:]) AS v
-  FROM (SELECT w, spot, unnest(generate_series(1, len(w))) AS i FROM firsts)),
+  FROM (SELECT w, spot, unnest(generate_series(1, len(w))) AS i FROM firsts WHERE len(w) >= 5)),
 near AS (
   SELECT w, spot FROM firsts
   UNION ALL SELECT a.w, b.spot FROM variant a JOIN variant b ON a.v = b.v AND a.i = b.i
-  UNION ALL SELECT a.w, b.spot FROM variant a JOIN firsts b ON a.v = b.w
-  UNION ALL SELECT b.w, a.spot FROM variant a JOIN firsts b ON a.v = b.w),
+  UNION ALL SELECT a.w, b.spot FROM variant a JOIN firsts b ON a.v = b.w WHERE len(b.w) >= 5
+  UNION ALL SELECT b.w, a.spot FROM variant a JOIN firsts b ON a.v = b.w WHERE len(b.w) >= 5),
 least AS (SELECT w, min(spot) AS spot FROM near GROUP BY w),
 gone AS (
   SELECT DISTINCT doc_id, place FROM judged JOIN least USING (w) WHERE {'doc': doc_id, 'place': place} > spot),
