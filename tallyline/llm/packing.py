@@ -34,18 +34,31 @@ POPULATION = 6
 GENERATIONS = 30
 ROUNDS = 3
 WELL_FILLED = 0.995
+BATCH_IDS = 1 << 20
 PIECES = "piece int, start bigint, length bigint, ids binary"
 STATE = "shard bigint, island int, guest boolean, places binary, lengths binary, solutions array<binary>"
 
 
-def pieces(documents: DataFrame, tokenizer: str, text: str = "text", limit: int = LIMIT, end: int = END) -> DataFrame:
+def pieces(
+    documents: DataFrame,
+    tokenizer: str,
+    text: str = "text",
+    limit: int = LIMIT,
+    end: int = END,
+    keep: list[str] | None = None,
+) -> DataFrame:
     """The token ids of each document and ``end``, in pieces of at most ``limit`` ids.
 
     Columns: the document as ``row``, ``piece`` from 0, ``start`` (the document's ids before it), ``length`` and ``ids``
     (little-endian unsigned 32-bit). Only longer documents are cut, and then only the first piece may be shorter than
     ``limit``. A null text is empty, so it has one piece that holds only ``end``.
+
+    ``row`` goes with every piece, so it has the ``keep`` columns, or all but the text, which would make a document's
+    pieces as large as its square. A table without other columns gets a ``row_id`` in it. Pieces leave a task in batches
+    of about ``BATCH_IDS`` ids, however long a text is.
     """
     last = int(end).to_bytes(4, "little")
+    most = max(1, BATCH_IDS // limit)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,19 +71,24 @@ def pieces(documents: DataFrame, tokenizer: str, text: str = "text", limit: int
                 start = np.where(number > 0, first[owner] + (number - 1) * limit, 0)
                 length = np.where(number > 0, limit, first[owner])
                 whole = [ids + last for ids in found]
-                spans = zip(owner.tolist(), (4 * start).tolist(), (4 * (start + length)).tolist(), strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(ROW).take(pa.array(owner)),
-                        pa.array(number, pa.int32()),
-                        pa.array(start),
-                        pa.array(length),
-                        pa.array([whole[n][a:b] for n, a, b in spans], pa.binary()),
-                    ],
-                    names=[ROW, "piece", "start", "length", "ids"],
-                )
-
-    frame = whole_rows(documents, text=text)
+                for low in range(0, len(owner), most):
+                    own = slice(low, low + most)
+                    spans = zip(owner[own].tolist(), (4 * start[own]).tolist(), (4 * (start[own] + length[own])).tolist(), strict=True)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            part.column(ROW).take(pa.array(owner[own])),
+                            pa.array(number[own], pa.int32()),
+                            pa.array(start[own]),
+                            pa.array(length[own]),
+                            pa.array([whole[n][a:b] for n, a, b in spans], pa.binary()),
+                        ],
+                        names=[ROW, "piece", "start", "length", "ids"],
+                    )
+
+    keep = [name for name in documents.columns if name != text] if keep is None else keep
+    if not keep:
+        documents, keep = documents.withColumn("row_id", F.monotonically_increasing_id()), ["row_id"]
+    frame = whole_rows(documents, keep, text=text)
     schema = frame.select(ROW, *[F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in PIECES.split(", "))])
     return frame.mapInArrow(cut, schema.schema)
 

@@ -27,7 +27,7 @@ def tokenizer_path() -> str:
 
 def packed_documents(documents: DataFrame) -> DataFrame:
     """The pieces of documents with their places in sequences; their ids as a checksum."""
-    pieces = packing.pieces(documents.select("doc_id", "text"), tokenizer_path()).select(
+    pieces = packing.pieces(documents, tokenizer_path(), keep=["doc_id"]).select(
         "row.doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )
     return packing.pack(pieces).select("row.*", "sequence_id", "offset")
@@ -91,7 +91,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents without lines that repeat an earlier line but for one word."""
+    """Documents without lines that repeat an earlier line, but for one word where they have five or more."""
     found = F.col("found")
     return line_dedup.remove_lines(load(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "row.doc_id",

@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 from conftest import SF_DIR, load
+from pyspark.sql import functions as F
 
 from tallyline.llm import grouping, packing
 from tallyline.llm.queries import QUERIES, tokenizer_path
@@ -75,6 +76,28 @@ def test_edges_of_the_input(spark, plain):
         assert found[ident] == np.array([*plain.encode(text or "", add_special_tokens=False).ids, 2], dtype="<u4").tobytes()
 
 
+def test_a_very_long_text_is_packed(spark, plain):
+    text = " ".join(f"word{n % 977} tail" for n in range(1_600_000))
+    frame = spark.createDataFrame([(1, "x")], "doc_id long, text string").select("doc_id", F.lit(text).alias("text"), F.lit(7).alias("n"))
+    assert len(text) > 20_000_000
+    cut = packing.pieces(frame, tokenizer_path())
+    assert cut.select("row.*").columns == ["doc_id", "n"]
+    packed = packing.pack(cut.select("row.doc_id", "piece", "start", "length", F.crc32("ids").alias("sum")))
+    rows = sorted(packed.select("row.*", "sequence_id", "offset").collect(), key=lambda row: row.piece)
+    half = len(text) // 2
+    cut_at = text.index(" ", half)
+    ids = np.array([*plain.encode(text[:cut_at], add_special_tokens=False).ids, *plain.encode(text[cut_at:], add_special_tokens=False).ids, 2], dtype="<u4")
+    assert [row.start for row in rows] == np.cumsum([0] + [row.length for row in rows[:-1]]).tolist()
+    assert sum(row.length for row in rows) == len(ids) and len(rows) == -(-len(ids) // 1024)
+    assert all(row.sum == zlib.crc32(ids[row.start : row.start + row.length].tobytes()) for row in rows)
+    check_places(rows, 1024)
+
+
+def test_a_table_of_texts_alone(spark):
+    frame = spark.createDataFrame([("a b",), (None,), ("a b",)], "text string")
+    assert packing.pack(packing.pieces(frame, tokenizer_path())).count() == 3
+
+
 def test_lengths_that_fit_nowhere_get_no_sequence(spark):
     frame = spark.createDataFrame([(None,), (0,), (-3,), (11,), (10,), (4,)], "length long")
     rows = packing.pack(frame, limit=10).collect()
