@@ -3,8 +3,8 @@
 Byte-level tokenizers split a text before a single space between two other characters, whatever stands around it, so a
 text's ids are those of its words, each with the space before it, one after the other. Texts with other white space next
 to a space are cut only at such places. Words of ASCII characters and Latin letters are cut into pieces here, and the
-pieces go to the tokenizer's model. A worker keeps the ids of recent words in two generations of bounded size. Texts for tokenizers of
-another kind are encoded whole.
+pieces go to the tokenizer's model. A worker keeps the ids of recent words in two generations, each bounded by its bytes.
+Texts for tokenizers of another kind are encoded whole.
 
 Ids are little-endian unsigned 32-bit integers in bytes.
 """
@@ -23,7 +23,8 @@ from tallyline.llm import words as W
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-REMEMBERED = 500_000
+REMEMBERED_BYTES = 96 << 20
+ENTRY_BYTES = 160  # of the objects and places of one remembered word, beside its letters and ids
 TEXT_BYTES = 2 << 20
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
@@ -46,24 +47,21 @@ LETTERS = byte_letters()
 class Encoder:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
-        from tokenizers.models import BPE
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as file:
-            parts = json.load(file)
-        splitter, model = parts["pre_tokenizer"] or {}, parts["model"]
+        splitter = self.tokenizer.pre_tokenizer
+        settings = json.loads(splitter.__getstate__()) if splitter is not None else {}
+        self.model = self.tokenizer.model
         self.by_words = (
-            {name: splitter.get(name) for name in BYTE_LEVEL} == BYTE_LEVEL
-            and parts["normalizer"] is None
-            and model["type"] == "BPE"
-            and not model.get("dropout")
+            {name: settings.get(name) for name in BYTE_LEVEL} == BYTE_LEVEL
+            and self.tokenizer.normalizer is None
+            and type(self.model).__name__ == "BPE"
+            and not self.model.dropout
         )
-        if self.by_words:
-            merges = [tuple(merge.split(" ")) if isinstance(merge, str) else tuple(merge) for merge in model["merges"]]
-            self.model = BPE(model["vocab"], merges, cache_capacity=0, ignore_merges=bool(model.get("ignore_merges")))
         self.pieces: dict[str, bytes] = {"\n": self.direct(["\n"])[0]}
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.young_bytes = self.piece_bytes = 0
 
     def direct(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -79,35 +77,49 @@ class Encoder:
                 letters = text.replace(" ", SPACE) if text.isascii() else text.encode().decode("latin-1").translate(LETTERS)
                 found = pack([token.id for token in self.model.tokenize(letters)])
             known[name] = found
+            if known is self.young:
+                self.young_bytes += ENTRY_BYTES + len(name) + len(found)
+            else:
+                self.piece_bytes += ENTRY_BYTES + len(name) + len(found)
         return found
 
     def learn(self, parts: set[str]) -> set[str]:
         """Remembers the ids of the parts that stand after a space; returns the parts that mustn't be cut off."""
-        young, old = self.young, self.old
+        young, old, tokenize = self.young, self.old, self.model.tokenize
         unsafe, whole = set(), []
+        held = 0
         for part in parts:
-            if part in old:
-                young[part] = old[part]
-            elif LATIN.fullmatch(part):
-                self.piece(f" {part}")
-            elif not part or part[0].isspace() or part[-1].isspace():
-                unsafe.add(part)
-            else:
-                pieces = PIECES.findall(f" {part}")
-                if sum(map(len, pieces)) == len(part) + 1 and "<|" not in part:
-                    young[part] = b"".join(map(self.piece, pieces))
+            found = old.get(part)
+            if found is None:
+                if part.isascii() and part.isalpha():
+                    found = pack([token.id for token in tokenize(SPACE + part)])
+                elif LATIN.fullmatch(part):
+                    self.piece(f" {part}")
+                    continue
+                elif not part or part[0].isspace() or part[-1].isspace():
+                    unsafe.add(part)
+                    continue
                 else:
-                    whole.append(part)
-        young.update(zip(whole, self.direct([f" {part}" for part in whole]), strict=True))
+                    pieces = PIECES.findall(f" {part}")
+                    if sum(map(len, pieces)) != len(part) + 1 or "<|" in part:
+                        whole.append(part)
+                        continue
+                    found = b"".join(map(self.piece, pieces))
+            young[part] = found
+            held += ENTRY_BYTES + len(part) + len(found)
+        for part, found in zip(whole, self.direct([f" {part}" for part in whole]), strict=True):
+            young[part] = found
+            held += ENTRY_BYTES + len(part) + len(found)
+        self.young_bytes += held
         return unsafe
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_words:
             return self.direct(texts)
-        if len(self.young) > REMEMBERED:
-            self.old, self.young = self.young, {}
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {"\n": self.direct(["\n"])[0]}
+        if self.young_bytes > REMEMBERED_BYTES:
+            self.old, self.young, self.young_bytes = self.young, {}, 0
+        if self.piece_bytes > REMEMBERED_BYTES // 4:
+            self.pieces, self.piece_bytes = {"\n": self.direct(["\n"])[0]}, 0
         cut = [text.split(" ") for text in texts]
         unsafe = self.learn(set().union(*cut).difference(self.young))
         if unsafe:
