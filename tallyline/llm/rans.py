@@ -10,8 +10,8 @@ from __future__ import annotations
 import numpy as np
 
 SCALE = 20
-LANES = 64
-HEIGHT = 1024
+LANES = 256
+HEIGHT = 256
 BLOCK = LANES * HEIGHT
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
