@@ -24,6 +24,40 @@ covered AS (SELECT DISTINCT doc_id, unnest(generate_series(i, i + size - 1)) AS
 
 LISTS = ", ".join(f"('{lang}', {words!r})" for lang, words in COMMON_WORDS.items())
 
+
+
+def clustering(rounds: int = 3, clusters: int = 16) -> str:
+    """Rounds of assigning vectors to centroids and moving these, one after the other."""
+    nearest = """
+a{n} AS (
+  SELECT row, v, arg_min({{'c': c, 'd': d}}, {{'d': d, 'c': c}}) AS best
+  FROM (SELECT row, v, c, list_sum(list_transform(list_zip(v, w), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM kept, c{n})
+  GROUP BY row, v)"""
+    moved = """
+s{n} AS (
+  SELECT best.c AS c, i, sum(x) AS s, count(*) AS k
+  FROM (SELECT best, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM a{n}) GROUP BY ALL),
+m{n} AS (SELECT c, list(((s - ((s % k) + k) % k) // k)::BIGINT ORDER BY i) AS w FROM s{n} GROUP BY c),
+c{next} AS (SELECT c, coalesce(m.w, o.w) AS w FROM c{n} o LEFT JOIN m{n} m USING (c))"""
+    parts = [
+        """WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+        f"""c0 AS (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS w
+  FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept ORDER BY h, v LIMIT {clusters}))""",
+    ]
+    for n in range(rounds):
+        parts += [nearest.format(n=n), moved.format(n=n, next=n + 1)]
+    parts.append(nearest.format(n=rounds))
+    parts.append("inertias AS (SELECT best.c AS c, sum(best.d) AS s FROM a3 GROUP BY ALL)".replace("a3", f"a{rounds}"))
+    return ",".join(parts) + f"""
+SELECT vec_id, best.c::INTEGER AS cluster, best.d AS distance, s::BIGINT AS cluster_inertia,
+  (SELECT sum(s) FROM inertias)::BIGINT AS inertia, sha256(array_to_string(w, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (row) JOIN inertias ON best.c = inertias.c JOIN c{rounds} ON best.c = c{rounds}.c
+"""
+
+
 ORACLE: dict[str, str] = {
     "op2_decontamination": f"""
 WITH {WINDOWS}
@@ -133,4 +167,5 @@ kept AS (
 SELECT s.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM split s LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
+    "op13_centroid_clustering": clustering(),
 }

@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyline.llm import decontamination, kneser_ney, line_dedup, near_dedup, neighbours, packing, quality_rules, substring_dedup, token_files, warc
+from tallyline.llm import (
+    centroids,
+    decontamination,
+    kneser_ney,
+    line_dedup,
+    near_dedup,
+    neighbours,
+    packing,
+    quality_rules,
+    substring_dedup,
+    token_files,
+    warc,
+    whitening,
+)
 from tallyline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES"]
@@ -134,6 +147,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents, tokenizer_path())
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings whitened along their leading 32 components."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit(vectors)
+    found = whitening.by_component(whitening.transform(vectors, model, keep=["vec_id"]), model)
+    return found.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with the nearest of 16 integer centroids after three rounds."""
+    vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found, _ = centroids.cluster(vectors, keep=["vec_id"])
+    return found.select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_decontamination": op2_decontamination,
@@ -145,4 +173,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_neighbours": op9_quality_neighbours,
     "op10_token_files": op10_token_files,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
