@@ -18,6 +18,7 @@ from tallyline.llm import (
     quality_rules,
     substring_dedup,
     token_files,
+    toxicity,
     warc,
     whitening,
 )
@@ -155,6 +156,20 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error")
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of documents by their words as written and as restored; a fifth of the labels is held out."""
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    labels = load(spark, sf_dir, "labels").where(part != 0)
+    scored = toxicity.score(documents, labels, keep=["doc_id"]).select("row.doc_id", "score")
+    return scored.select(
+        "doc_id",
+        F.coalesce(part == 0, F.lit(False)).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings with the nearest of 16 integer centroids after three rounds."""
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -174,5 +189,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_neighbours": op9_quality_neighbours,
     "op10_token_files": op10_token_files,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_toxicity": op12_toxicity,
     "op13_centroid_clustering": op13_centroid_clustering,
 }

@@ -18,5 +18,5 @@ def test_query_agrees_with_sql(spark, name):
 
 def test_one_query_for_each_operator():
     names = entry_points.queries()
-    assert [sum(name.startswith(f"op{n}_") for name in names) for n in range(1, 11)] == [1] * 10
+    assert [sum(name.startswith(f"op{n}_") for name in names) for n in range(1, 14)] == [1] * 13
     assert "pipeline" in names and set(ORACLE) <= set(entry_points.oracle_sql())
