@@ -95,9 +95,9 @@ def top_insight(
         none = F.lit(None).cast("string")
         row = preview.agg(total.alias("total")).withColumns({"metric": none, "value_text": none, "label": none})
         row = row.withColumn("value", F.lit(None).cast("double"))
-    lead = fill(
-        LEAD, question=F.lit(question), rows=F.coalesce("total", F.lit(row_count)).cast("string"), ms=F.lit(str(duration_ms))
-    )
+    # Without rows the largest of a given count is null.
+    rows = F.coalesce("total", F.lit(row_count))
+    lead = fill(LEAD, question=F.lit(question), rows=rows.cast("string"), ms=F.lit(str(duration_ms)))
     insight = fill(
         INSIGHT,
         lead=lead,
@@ -107,12 +107,12 @@ def top_insight(
         caveat=F.lit(MAY_BE_CUT if truncated else COMPLETE),
     )
     text = (
-        F.when(F.col("total") == 0, F.lit(NO_ROWS.format(question=question)))
+        F.when(rows == 0, F.lit(NO_ROWS.format(question=question)))
         .when(F.col("metric").isNull(), fill(NON_NUMERIC, lead=lead))
         .otherwise(insight)
     )
     return row.select(
-        F.coalesce("total", F.lit(row_count)).cast("bigint").alias("row_count"),
+        rows.cast("bigint").alias("row_count"),
         F.col("metric").alias("top_metric"),
         F.col("value").alias("metric_value"),
         F.col("label").alias("dimension_label"),

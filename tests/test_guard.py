@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import pytest
-from conftest import load
+from conftest import SF_DIR, load
 from pyspark.sql import functions as F
 
 from tallyline.functions import sqltext
 from tallyline.operators.sql_audit import audit_log, check_text, limit_log, normalize_log
-from tallyline.plans.guarded import UnsafeQuery, guarded_query
+from tallyline.plans.guarded import UnsafeQuery, guarded_query, refused_relations, relations
 
 
 @pytest.mark.parametrize(
@@ -117,14 +117,16 @@ def test_refused(spark, views, text):
 
 def test_the_text_runs_as_it_stands(spark):
     spark.range(3000).createOrReplaceTempView("guard_numbers")
-    ask = lambda text: guarded_query(spark, text, 100, 1000, ["guard_numbers"])
+    ask = lambda text, *own: guarded_query(spark, text, 100, 1000, ["guard_numbers", *own])
     counted = ask("SELECT count(*) FROM (SELECT id FROM guard_numbers LIMIT 5000)").run()
     assert (counted.rows[0][0], counted.truncated) == (3000, False)
     assert ask("SELECT 'limit 5000' AS t FROM guard_numbers WHERE id = 1").run().rows[0].t == "limit 5000"
     cut = ask("SELECT id FROM guard_numbers LIMIT 5000")
     assert cut.data.count() == 1000 and cut.truncated() and cut.run().truncated
     named = "WITH picked AS (SELECT id FROM guard_numbers) SELECT max(id) FROM picked"
-    assert ask(named).run().rows[0][0] == 2999
+    assert ask(named, "picked").run().rows[0][0] == 2999
+    with pytest.raises(UnsafeQuery, match="picked"):
+        ask(named)
 
 
 @pytest.mark.parametrize(
@@ -143,3 +145,72 @@ def test_the_text_runs_as_it_stands(spark):
 def test_tables_are_taken_from_the_plan(spark, views, text, allowed, forbidden):
     with pytest.raises(UnsafeQuery):
         guarded_query(spark, text, 3, 5, allowed, forbidden)
+
+
+@pytest.fixture(scope="module")
+def secrets(spark):
+    spark.range(3).createOrReplaceTempView("secret_table")
+    spark.range(5).createOrReplaceTempView("ok")
+    spark.range(3).createOrReplaceGlobalTempView("guard_global")
+    spark.sql("CREATE OR REPLACE TEMP VIEW over_secret AS SELECT * FROM secret_table")
+    spark.sql("CREATE OR REPLACE TEMP VIEW over_over AS SELECT * FROM over_secret")
+    spark.sql("CREATE TABLE IF NOT EXISTS guard_kept USING parquet AS SELECT id FROM range(4)")
+    yield
+    spark.sql("DROP TABLE guard_kept")
+
+
+HIDING = [
+    "WITH secret_table AS (SELECT * FROM secret_table) SELECT * FROM secret_table",
+    "SELECT * FROM secret_table UNION ALL (WITH secret_table AS (SELECT 1L AS id) SELECT * FROM secret_table)",
+    "SELECT * FROM IDENTIFIER('secret' || '_table')",
+    "WITH a AS (WITH b AS (SELECT * FROM (`secret_table`)) SELECT * FROM b) SELECT * FROM a",
+    "WITH ok AS (SELECT * FROM IDENTIFIER('secret_table')) SELECT * FROM ok",
+    "SELECT (SELECT max(id) FROM (SELECT * FROM `secret_table`)) AS m",
+    "SELECT id FROM ok WHERE EXISTS (SELECT 1 FROM `secret_table` s WHERE s.id = ok.id)",
+]
+
+
+@pytest.mark.parametrize("text", HIDING)
+def test_hidden_tables_are_refused_by_the_plan(spark, secrets, text):
+    """The plan alone sees them, without the rules for texts."""
+    found = relations(spark.sql(text))
+    assert any(one.name == ("secret_table",) for one in found)
+    assert "secret_table" in refused_relations(spark, found, ["secret_table"], [])
+    assert "secret_table" in refused_relations(spark, found, [], ["ok"])
+    for forbidden, allowed in ((["secret_table"], []), ([], ["ok", "a", "b"])):
+        with pytest.raises(UnsafeQuery):
+            guarded_query(spark, text, 3, 5, allowed, forbidden)
+
+
+def test_names_of_the_query_are_no_tables(spark, secrets):
+    shadow = "WITH secret_table AS (SELECT id FROM ok) SELECT count(*) FROM secret_table"
+    assert refused_relations(spark, relations(spark.sql(shadow)), ["secret_table"], ["ok"]) == []
+    nested = "WITH a AS (WITH b AS (SELECT id FROM ok) SELECT id FROM b) SELECT count(*) AS n FROM a"
+    assert guarded_query(spark, nested, 3, 5, ["ok", "a", "b"]).run().rows[0].n == 5
+
+
+@pytest.mark.parametrize(
+    ("text", "forbidden", "allowed", "refused"),
+    [
+        ("SELECT * FROM over_over", ["secret_table"], [], ["secret_table"]),
+        ("SELECT * FROM over_over", ["secret_table"], ["over_over"], []),
+        ("SELECT * FROM over_over", ["secret_table"], ["over_secret"], ["over_over"]),
+        ("SELECT * FROM over_over", [], ["secret_table"], ["over_over"]),
+        ("SELECT * FROM over_secret", ["over_secret"], ["over_secret"], ["over_secret"]),
+        ("SELECT * FROM guard_kept", [], ["guard_kept"], []),
+        ("SELECT * FROM default.guard_kept", [], ["spark_catalog.default.guard_kept"], []),
+        ("SELECT * FROM guard_kept, ok", ["default.guard_kept"], [], ["spark_catalog.default.guard_kept"]),
+        ("SELECT * FROM global_temp.guard_global", [], ["ok"], ["global_temp.guard_global"]),
+        ("SELECT * FROM global_temp.guard_global", ["guard_global"], [], ["global_temp.guard_global"]),
+        ("SELECT * FROM range(3)", [], ["ok"], []),
+        ("SELECT * FROM VALUES (1), (2)", [], ["ok"], []),
+    ],
+)
+def test_relations_of_the_plan(spark, secrets, text, forbidden, allowed, refused):
+    assert refused_relations(spark, relations(spark.sql(text)), forbidden, allowed) == refused
+
+
+def test_paths_have_no_names(spark):
+    found = relations(spark.sql(f"SELECT * FROM parquet.`{SF_DIR}/nation.parquet`"))
+    assert [one.name for one in found] == [()]
+    assert refused_relations(spark, found, [], []) == ["a path"]
