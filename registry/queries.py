@@ -167,7 +167,7 @@ def profile_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def profile_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_table(
-        PROFILED, lambda name: profiles.column_profile(load(spark, sf_dir, name)).select("ordinal", "column", "role")
+        PROFILED, lambda name: profiles.role_profile(load(spark, sf_dir, name)).select("ordinal", "column", "role")
     )
 
 
@@ -189,7 +189,7 @@ def profile_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_table(
         PROFILED,
-        lambda name: profiles.candidates(profiles.column_profile(load(spark, sf_dir, name))).select(
+        lambda name: profiles.candidates(profiles.role_profile(load(spark, sf_dir, name))).select(
             joined("time_columns"), joined("dimension_columns"), joined("measure_columns")
         ),
     )
@@ -221,14 +221,14 @@ def profile_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lineitem_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profiles.column_profile(load(spark, sf_dir, "lineitem"))
+    return profiles.role_profile(load(spark, sf_dir, "lineitem"))
 
 
 @query
 def semantic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_table(
         PROFILED,
-        lambda name: semantic.metrics_from_profile(profiles.column_profile(load(spark, sf_dir, name))).select(
+        lambda name: semantic.metrics_from_profile(profiles.role_profile(load(spark, sf_dir, name))).select(
             "place", "name", "sql", "description", "confidence"
         ),
     )
@@ -238,7 +238,7 @@ def semantic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _per_table(
         PROFILED,
-        lambda name: semantic.dimensions_from_profile(profiles.column_profile(load(spark, sf_dir, name))).select(
+        lambda name: semantic.dimensions_from_profile(profiles.role_profile(load(spark, sf_dir, name))).select(
             "name", "column", "grain", "description", "confidence"
         ),
     )

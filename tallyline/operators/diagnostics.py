@@ -1,7 +1,8 @@
 """Data-quality checks: missing values, near-unique dimensions, unstable categories, duplicate keys.
 
-All table-wide counts come from one aggregation. Its distinct counts are combined in every task before the shuffle,
-and rows are spread by (column, value), so a frequent value costs one row per task.
+All table-wide counts come from one scan. Distinct values are deduplicated in every task, as hashes beside their column's
+number, and spread by both (``functions.distinct``), so a frequent value costs one row per task and the number of
+dimensions is not limited.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyline.functions.distinct import column_counts
 from tallyline.functions.metrics import column
 from tallyline.functions.small import small_table
 from tallyline.functions.periods import as_timestamp, period_start
@@ -48,6 +50,9 @@ def count_row(
 
     Distinct counts of dimensions are exact unless ``approx`` allows a sketch; that of the key is always exact.
     """
+    counted = list(dict.fromkeys([*([] if approx else distinct), *([key] if key is not None else [])]))
+    if counted and not approx:
+        return _exact_row(df, list(missing), list(distinct), key, counted)
     aggregates = [F.count(F.lit(1)).alias("row_count")]
     aggregates += [F.count_if(column(name).isNull()).alias(f"nulls{i}") for i, name in enumerate(missing)]
     aggregates += [_distinct(name, approx).alias(f"distinct{i}") for i, name in enumerate(distinct)]
@@ -56,6 +61,22 @@ def count_row(
     return df.agg(*aggregates)
 
 
+def _exact_row(df: DataFrame, missing: list[str], distinct: list[str], key: str | None, counted: list[str]) -> DataFrame:
+    """The counts of ``count_row``, exactly, from one scan; all are 0 without rows."""
+    others = [name for name in dict.fromkeys(missing) if name not in counted]
+    places = {name: i for i, name in enumerate([*counted, *others])}
+
+    def of(value: str, name: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("ordinal") == places[name], F.col(value))), F.lit(0))
+
+    aggregates = [F.coalesce(F.max("row_count"), F.lit(0)).alias("row_count")]
+    aggregates += [of("null_count", name).alias(f"nulls{i}") for i, name in enumerate(missing)]
+    aggregates += [of("distinct_count", name).alias(f"distinct{i}") for i, name in enumerate(distinct)]
+    if key is not None:
+        aggregates.append((of("row_count", key) - of("distinct_count", key)).alias("duplicates"))
+    return column_counts(df, counted, others).agg(*aggregates)
+
+
 def _share(part: str):
     return F.when(F.col("row_count") > 0, F.col(part) / F.col("row_count")).otherwise(F.lit(0.0))
 
@@ -106,24 +127,23 @@ def instability(df: DataFrame, time_column: str, dimensions: Sequence[str], appr
     """
     names = list(dimensions)
     month = period_start(as_timestamp(time_column, df.schema[time_column].dataType), "month")
-    months = df.groupBy(month.alias("period")).agg(
-        *[_distinct(name, approx).alias(f"distinct{i}") for i, name in enumerate(names)]
-    )
-    entries = [
-        F.struct(
-            F.lit(i).alias("ordinal"),
-            F.lit(name).alias("dimension"),
-            F.col(f"distinct{i}").alias("distinct_count"),
-        )
-        for i, name in enumerate(names)
-    ]
-    if not entries:
+    if not names:
         return small_table(df.sparkSession, [],
             "ordinal int, dimension string, max_count bigint, min_count bigint, "
             "explosion_ratio double, unstable boolean",
         )
+    if approx:
+        months = df.groupBy(month.alias("period")).agg(
+            *[_distinct(name, approx).alias(f"distinct{i}") for i, name in enumerate(names)]
+        )
+        entries = [
+            F.struct(F.lit(i).alias("ordinal"), F.col(f"distinct{i}").alias("distinct_count")) for i in range(len(names))
+        ]
+        by_month = months.select(F.inline(F.array(*entries)))
+    else:
+        by_month = column_counts(df, names, by={"period": month})
     ranges = (
-        months.select(F.inline(F.array(*entries)))
+        by_month.withColumn("dimension", F.get(F.lit(names), F.col("ordinal")))
         .groupBy("ordinal", "dimension")
         .agg(F.max("distinct_count").alias("max_count"), F.min("distinct_count").alias("min_count"))
     )

@@ -1,7 +1,7 @@
 """Column profiles: nulls, distinct values, numeric statistics, roles.
 
-Every table-wide statistic is one aggregation with a one-row result, turned into one row per column afterwards; distinct
-and frequent values come from one count of all values by column.
+Every table-wide statistic is one aggregation with a one-row result, turned into one row per column afterwards. Distinct
+values are counted by their hashes; roles alone need sketches and few exact counts.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyline.functions.distinct import SKETCH_MARGIN, column_counts, distinct_estimate
 from tallyline.functions.metrics import column
 from tallyline.functions.small import small_table
 from tallyline.functions.periods import as_timestamp, is_time
@@ -75,41 +76,100 @@ def value_counts(df: DataFrame) -> DataFrame:
 
 
 def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
-    """One row per column: type, nulls, null rate, distinct count and inferred role.
+    """One row per column: type, nulls, null rate, distinct count and inferred role, in one scan.
 
     The distinct count is exact at every size, or from a sketch, without a shuffle of the values, on request; nested
-    columns have none.
+    columns have none. Where only the roles are asked for, ``role_profile`` costs less.
     """
+    fields = list(df.schema.fields)
+    known = [field.name for field in fields if type_class(field.dataType) != "nested"]
+    if approx:
+        return _described(df, _sketched(df, known))
+    nested = [field.name for field in fields if field.name not in known]
+    places = {name: i for i, name in enumerate(df.columns)}
+    order = F.array(*[F.lit(places[name]) for name in (*known, *nested)])
+    counted = column_counts(df, known, nested).withColumn("ordinal", F.get(order, F.col("ordinal")))
+    return _described(df, counted)
+
+
+def _sketched(df: DataFrame, names: list[str]) -> DataFrame:
+    """``row_count``, ``null_count`` and, for the named columns, an estimated ``distinct_count``, by ``ordinal``."""
     aggregates: list[Column] = [F.count(F.lit(1)).alias("row_count")]
     for i, field in enumerate(df.schema.fields):
-        col = column(field.name)
-        aggregates.append(F.count_if(col.isNull()).alias(f"nulls{i}"))
-        if approx and type_class(field.dataType) != "nested":
-            aggregates.append(F.approx_count_distinct(col).alias(f"distinct{i}"))
-    known = {i for i, field in enumerate(df.schema.fields) if type_class(field.dataType) != "nested"}
+        aggregates.append(F.count_if(column(field.name).isNull()).alias(f"nulls{i}"))
+        if field.name in names:
+            aggregates.append(F.coalesce(distinct_estimate(field), F.lit(0)).alias(f"distinct{i}"))
     entries = [
         F.struct(
             F.lit(i).alias("ordinal"),
-            F.lit(field.name).alias("column"),
-            F.lit(field.dataType.simpleString()).alias("data_type"),
-            F.lit(type_class(field.dataType)).alias("type_class"),
             F.col("row_count"),
             F.col(f"nulls{i}").alias("null_count"),
-            (F.col(f"distinct{i}") if approx and i in known else F.lit(None).cast("bigint")).alias("distinct_count"),
+            (F.col(f"distinct{i}") if name in names else F.lit(None).cast("bigint")).alias("distinct_count"),
         )
-        for i, field in enumerate(df.schema.fields)
+        for i, name in enumerate(df.columns)
     ]
-    profile = df.agg(*aggregates).select(F.inline(F.array(*entries)))
-    if not approx:
-        counted = value_counts(df).groupBy("ordinal").agg(F.count(F.lit(1)).alias("found"))
-        nested = F.col("type_class") == "nested"
-        profile = profile.join(counted, "ordinal", "left").withColumn(
-            "distinct_count", F.when(~nested, F.coalesce("found", F.lit(0)))
-        ).drop("found")
+    return df.agg(*aggregates).select(F.inline(F.array(*entries)))
+
+
+def _described(df: DataFrame, counted: DataFrame) -> DataFrame:
+    """The counts with each column's name and type, its null rate and its role; without rows all counts are 0."""
+    columns = [
+        (i, field.name, field.dataType.simpleString(), type_class(field.dataType)) for i, field in enumerate(df.schema.fields)
+    ]
+    named = small_table(df.sparkSession, columns, "ordinal int, column string, data_type string, type_class string")
+    none = F.when(F.col("type_class") == "nested", F.lit(None)).when(F.col("row_count").isNull(), 0)
+    profile = named.join(counted, "ordinal", "left").select(
+        *named.columns,
+        F.coalesce("row_count", F.lit(0)).alias("row_count"),
+        F.coalesce("null_count", F.lit(0)).alias("null_count"),
+        F.coalesce("distinct_count", none).cast("bigint").alias("distinct_count"),
+    )
     rate = F.when(F.col("row_count") > 0, F.col("null_count") / F.col("row_count")).otherwise(F.lit(0.0))
     return profile.withColumn("null_rate", F.round(rate, RATE_DIGITS)).withColumn("role", role())
 
 
+def role_profile(df: DataFrame) -> DataFrame:
+    """The rows of ``column_profile`` with the same roles, but with distinct counts only where a role hangs on them.
+
+    One scan counts rows and nulls and sketches the columns whose type and name don't decide. A column with enough nulls
+    can't be unique; else a sketch settles its role unless a limit lies within ``SKETCH_MARGIN`` of the estimate. Only the
+    columns that are still open are counted exactly, in a second scan. Runs at once; the result has one row per column.
+    """
+    open_ = [field.name for field in df.schema.fields if not _role_is_given(field)]
+    rows = {row["ordinal"]: row.asDict() for row in _sketched(df, open_).collect()}
+    near: list[str] = []
+    for i, field in enumerate(df.schema.fields):
+        if field.name in open_:
+            low, high = _bounds(rows[i])
+            total, present = rows[i]["row_count"], rows[i]["row_count"] - rows[i]["null_count"]
+            limits = [UNIQUE_RATIO * total] if total > UNIQUE_MIN_ROWS and present > UNIQUE_RATIO * total else []
+            if type_class(field.dataType) == "other":
+                limits.append(max(DIMENSION_MIN_DISTINCT, total * DIMENSION_RATIO // 1))
+            if any(low <= limit < high for limit in limits):
+                near.append(field.name)
+    exact = {near[row["ordinal"]]: row["distinct_count"] for row in column_counts(df, near).collect()} if near else {}
+    entries = [
+        (i, row["row_count"], row["null_count"], exact.get(df.columns[i], row["distinct_count"])) for i, row in sorted(rows.items())
+    ]
+    counted = small_table(df.sparkSession, entries, "ordinal int, row_count bigint, null_count bigint, distinct_count bigint")
+    settled = F.col("column").isin(near) if near else F.lit(False)
+    return _described(df, counted).withColumn("distinct_count", F.when(settled, F.col("distinct_count")))
+
+
+def _role_is_given(field: T.StructField) -> bool:
+    """Whether a column's type or name decides its role, or nothing can be counted."""
+    name = field.name.lower()
+    kind = type_class(field.dataType)
+    return kind in ("time", "nested") or any(word in name for word in TIME_WORDS) or name == "id" or name.endswith("_id")
+
+
+def _bounds(row: dict) -> tuple[float, float]:
+    """Between which numbers the distinct count lies: the sketch's margin, and no more than there are values."""
+    present = row["row_count"] - row["null_count"]
+    estimate = row["distinct_count"]
+    return estimate / (1 + SKETCH_MARGIN) - 1, min(present, estimate / (1 - SKETCH_MARGIN) + 1) + 1
+
+
 def role() -> Column:
     """The role rules, in order, over the columns of ``column_profile``."""
     name = F.lower("column")

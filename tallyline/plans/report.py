@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyline.functions.small import small_table
 from tallyline.models import AnalysisTask, SemanticModel
 from tallyline.operators.findings import rank_findings, summary_or_default, write_out
-from tallyline.operators.profile import column_profile
+from tallyline.operators.profile import role_profile
 from tallyline.operators.semantic import build_semantic_model, validate_model
 from tallyline.plans import modules
 from tallyline.plans.tasks import check_tasks, plan_tasks
@@ -117,11 +117,10 @@ def run_analysis(
 ) -> AnalysisReport:
     """Plan a report over one table.
 
-    The column profile is read at once, since it decides the metrics and dimensions; it has one row per column. All
-    else is lazy. ``approx`` lets the diagnostics count the distinct values of dimensions by a sketch. Write the
+    The roles of the columns are settled at once, since they decide the metrics and dimensions. All else is lazy. ``approx`` lets the diagnostics count the distinct values of dimensions by a sketch. Write the
     findings with ``sources.store.write_evidence`` to use them more than once.
     """
-    profile = column_profile(df)
+    profile = role_profile(df)
     rows = sorted(profile.collect(), key=lambda row: row["ordinal"])
     if model is None:
         collected = small_table(df.sparkSession, rows, profile.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tallyline.functions.text import clean_name
 from tallyline.models import SemanticConfig, SemanticModel
-from tallyline.operators.profile import DatasetProfile, column_profile, profile_dataset
+from tallyline.operators.profile import DatasetProfile, profile_dataset, role_profile
 from tallyline.operators.semantic import build_semantic_model, explain_metric, validate_model
 from tallyline.plans.answer import Answer, answer
 from tallyline.plans.report import AnalysisReport, run_analysis
@@ -87,7 +87,7 @@ class Workspace:
         """Derive the metrics and dimensions of a data set and save them."""
         entry = self.catalog.get(dataset)
         frame = self.table(dataset)
-        model = build_semantic_model(dataset, entry.table_name, column_profile(frame), business_context)
+        model = build_semantic_model(dataset, entry.table_name, role_profile(frame), business_context)
         return self.save_model(validate_model(frame, model))
 
     def save_model(self, model: SemanticModel) -> SemanticModel:
