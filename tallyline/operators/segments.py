@@ -33,17 +33,47 @@ def segment_totals(df: DataFrame, sql: str, dimension: str, by: Sequence[str] =
     return totals.withColumn("value", as_value("metric_value"))
 
 
-def top_segments(totals: DataFrame, limit: int, by: Sequence[str] = ()) -> DataFrame:
+def many_totals(df: DataFrame, sql: str, dimensions: Sequence[str]) -> tuple[DataFrame, list[str]]:
+    """The metric of every segment of every dimension, in one scan, and the names of the columns that hold segments.
+
+    ``ordinal`` counts through the dimensions. Each row becomes one a dimension, which partial aggregation folds before
+    anything is shuffled. Dimensions of one data type share a segment column, so that segments keep their own order.
+    """
+    types = {field.name: field.dataType for field in df.schema.fields}
+    kinds = list(dict.fromkeys(types[name].simpleString() for name in dimensions))
+    prefix = "key"
+    while any(name.lower().startswith(prefix) for name in df.columns):
+        prefix = f"_{prefix}"
+    keys = [f"{prefix}{n}" for n in range(len(kinds))]
+    entries = [
+        F.struct(
+            F.lit(number).alias("ordinal"),
+            *[
+                (column(name) if types[name].simpleString() == kind else F.lit(None).cast(kind)).alias(key)
+                for kind, key in zip(kinds, keys, strict=True)
+            ],
+        )
+        for number, name in enumerate(dimensions)
+    ]
+    place = f"{prefix}_of"
+    rows = df.select("*", F.inline(F.array(*entries)).alias(place, *keys))
+    totals = rows.groupBy(F.col(place).alias("ordinal"), *keys).agg(metric_column(sql, df.columns).alias("metric_value"))
+    return totals.withColumn("value", as_value("metric_value")), keys
+
+
+def top_segments(
+    totals: DataFrame, limit: int, by: Sequence[str] = (), segment: Sequence[str] = ("segment",)
+) -> DataFrame:
     """The first ``limit`` segments by metric, null metrics last, equal ones by segment; ``place`` counts from 1."""
-    order = _order()
+    order = _order(segment)
     place = F.row_number().over(Window.partitionBy(*map(column, by)).orderBy(*order)).cast("bigint")
     if by:
         return totals.withColumn("place", place).filter(F.col("place") <= limit)
     return totals.orderBy(*order).limit(limit).withColumn("place", place)
 
 
-def _order() -> list[Column]:
-    return [F.col("metric_value").desc_nulls_last(), F.col("segment").asc_nulls_last()]
+def _order(segment: Sequence[str] = ("segment",)) -> list[Column]:
+    return [F.col("metric_value").desc_nulls_last(), *[F.col(name).asc_nulls_last() for name in segment]]
 
 
 def segment_ranking(
@@ -63,7 +93,16 @@ def segment_ranking(
 
 def segment_summary(df: DataFrame, sql: str, dimension: str, by: Sequence[str] = ()) -> DataFrame:
     """Leader, long tail, concentration and spread over every segment: one row per key, one row in all without keys."""
-    totals = segment_totals(df, sql, dimension, by)
+    return _summary(segment_totals(df, sql, dimension, by), by)
+
+
+def segment_summaries(df: DataFrame, sql: str, dimensions: Sequence[str]) -> DataFrame:
+    """The summary of every dimension, by its ``ordinal``, from one scan."""
+    totals, keys = many_totals(df, sql, dimensions)
+    return _summary(totals, ["ordinal"], keys)
+
+
+def _summary(totals: DataFrame, by: Sequence[str], segment: Sequence[str] = ("segment",)) -> DataFrame:
     keys = list(map(column, by))
     # Sums over every segment and the few leaders meet in one more aggregation, without a window over them all.
     sums = totals.groupBy(*keys).agg(
@@ -71,7 +110,7 @@ def segment_summary(df: DataFrame, sql: str, dimension: str, by: Sequence[str] =
         F.sum(F.col("value") * F.col("value")).alias("squares"),
         F.count(F.lit(1)).alias("segments"),
     )
-    leaders = _leaders(top_segments(totals, TOP_SEGMENTS, by), by)
+    leaders = _leaders(top_segments(totals, TOP_SEGMENTS, by, segment), by, segment)
     both = sums.unionByName(leaders, allowMissingColumns=True).groupBy(*keys)
     merged = both.agg(
         *[F.max(name).alias(name) for name in ("total", "squares", "segments", "top_total")],
@@ -82,24 +121,30 @@ def segment_summary(df: DataFrame, sql: str, dimension: str, by: Sequence[str] =
         merged.filter(F.col("segments") > 0)
         .withColumn("long_tail_share", F.when(total != 0, (total - F.col("top_total")) / total).otherwise(0.0))
         .withColumn("concentration", F.when(total > 0, F.col("squares") / (total * total)).otherwise(0.0))
+        .withColumn("top_share", F.when(total != 0, F.col("winner_value") / total).otherwise(0.0))
+        .withColumn("top_severity", _top_severity())
         .withColumn("spread", F.col("winner_value") - F.col("loser_value"))
         .withColumn("leader_impact", F.least(F.lit(1.0), F.col("winner_value") / (total + 1.0)))
         .withColumn("spread_impact", F.least(F.lit(1.0), F.abs("spread") / (F.abs("winner_value") + 1.0)))
     )
 
 
-def _leaders(ranked: DataFrame, by: Sequence[str]) -> DataFrame:
+def _top_severity() -> Column:
+    return F.when(F.col("top_share") >= HIGH_TOP_SHARE, "high").otherwise("medium")
+
+
+def _leaders(ranked: DataFrame, by: Sequence[str], segment: Sequence[str]) -> DataFrame:
     """The best and the last of the top segments, with their total."""
     top = F.col("place") <= TOP_SEGMENTS
     place = F.when(top, F.col("place"))
-    segment = F.coalesce(F.col("segment").cast("string"), F.lit("None"))
+    name = F.coalesce(*[F.col(own).cast("string") for own in segment], F.lit("None"))
     shown = F.coalesce(number_text(ranked, "metric_value"), F.lit("None"))
     return ranked.groupBy(*map(column, by)).agg(
         F.sum(F.when(top, F.col("value"))).alias("top_total"),
-        F.min_by(segment, place).alias("winner"),
+        F.min_by(name, place).alias("winner"),
         F.min_by("value", place).alias("winner_value"),
         F.min_by(shown, place).alias("winner_text"),
-        F.max_by(segment, place).alias("loser"),
+        F.max_by(name, place).alias("loser"),
         F.max_by("value", place).alias("loser_value"),
     )
 
@@ -118,5 +163,5 @@ def top_concentration(df: DataFrame, sql: str, dimension: str, by: Sequence[str]
     return (
         summary.filter(F.col("segments") > 0)
         .withColumn("top_share", F.when(total != 0, F.col("top_value") / total).otherwise(0.0))
-        .withColumn("severity", F.when(F.col("top_share") >= HIGH_TOP_SHARE, "high").otherwise("medium"))
+        .withColumn("severity", _top_severity())
     )

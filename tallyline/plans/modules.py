@@ -45,6 +45,7 @@ def _named(rows: DataFrame, metric: str | None, dimensions: list[str]) -> DataFr
 
 
 def overview_module(df: DataFrame, model: SemanticModel, task_no: int) -> Output:
+    """Headlines and coverage. The share of the top segment comes with the segments, see ``segments_module``."""
     number = F.lit(task_no)
     row = overview.headline_row(df, model)
     raw: RawOutputs = {"headline_metrics": lambda: overview.headlines(row, model)}
@@ -87,16 +88,6 @@ def overview_module(df: DataFrame, model: SemanticModel, task_no: int) -> Output
         raw["segment_contribution"] = lambda: segments.segment_ranking(
             df, metric.sql, dimension.column, max_segments=segments.TOP_SEGMENTS
         )
-        top = segments.top_concentration(df, metric.sql, dimension.column)
-        top = _named(top, metric.name, [dimension.name]).withColumn("column", F.lit(dimension.column))
-        concentration = Fact(
-            "top_concentration",
-            impact="top_share",
-            severity="severity",
-            number=str(len(names) + 1),
-            values={"dimension": "dimensions[0]", "column": "column", "share": percent_sql("top_share")},
-        )
-        facts = facts.unionByName(collect_facts(top, number, [concentration]))
     return facts, raw
 
 
@@ -195,14 +186,40 @@ def anomalies_module(df: DataFrame, model: SemanticModel, tasks: list[NumberedTa
     return collect_facts(rows, F.col("task_no"), facts), raw
 
 
-def segments_module(df: DataFrame, model: SemanticModel, task_no: int, task: AnalysisTask) -> Output:
-    metric, dimension = model.metric(task.metric), model.dimension(task.dimension)
-    summary = segments.segment_summary(df, metric.sql, dimension.column)
-    rows = _named(summary, metric.name, [dimension.name]).withColumn("column", F.lit(dimension.column))
+def segments_module(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask], overview_no: int | None = None) -> Output:
+    """The segments of all dimensions by one metric, in one scan however many there are.
+
+    With ``overview_no`` the overview's share of the top segment of the first dimension is taken from the same rows.
+    """
+    names = [task.dimension for _, task in tasks]
+    metric = (model.metric(tasks[0][1].metric) if tasks else None) or model.metrics[0]
+    if overview_no is not None:
+        names.append(model.dimensions[0].name)
+    listed = list(dict.fromkeys(names))
+    found = segments.segment_summaries(df, metric.sql, [model.dimension(name).column for name in listed])
+    numbers = [(task_no, False) for task_no, _ in tasks] + ([(overview_no, True)] if overview_no is not None else [])
+    known = small_table(
+        df.sparkSession,
+        [
+            (listed.index(name), task_no, share, metric.name, [name], model.dimension(name).column)
+            for name, (task_no, share) in zip(names, numbers, strict=True)
+        ],
+        "ordinal int, task_no int, share boolean, metric string, dimensions array<string>, column string",
+    )
+    rows = known.join(found, "ordinal")
     common = {"dimension": "dimensions[0]", "column": "column"}
     facts = [
+        Fact(
+            "top_concentration",
+            when="share",
+            impact="top_share",
+            severity="top_severity",
+            number=str(len(model.metrics) + 1),
+            values={**common, "share": percent_sql("top_share")},
+        ),
         Fact(
             "leader",
+            when="not share",
             impact="leader_impact",
             severity="'medium'",
             number="0",
@@ -210,6 +227,7 @@ def segments_module(df: DataFrame, model: SemanticModel, task_no: int, task: Ana
         ),
         Fact(
             "long_tail",
+            when="not share",
             impact="long_tail_share",
             severity=f"if(long_tail_share < {segments.LOW_TAIL_SHARE}, 'high', 'low')",
             number="1",
@@ -217,6 +235,7 @@ def segments_module(df: DataFrame, model: SemanticModel, task_no: int, task: Ana
         ),
         Fact(
             "concentration",
+            when="not share",
             impact=f"concentration * {segments.CONCENTRATION_IMPACT}",
             severity=f"if(concentration >= {segments.HIGH_CONCENTRATION}, 'high', 'medium')",
             number="2",
@@ -224,20 +243,24 @@ def segments_module(df: DataFrame, model: SemanticModel, task_no: int, task: Ana
         ),
         Fact(
             "spread",
+            when="not share",
             impact="spread_impact",
             severity="'medium'",
             number="3",
             values={**common, "winner": "winner", "loser": "loser", "spread": fixed_sql("spread", 2)},
         ),
     ]
-    raw = {
-        "segment_rows": lambda: segments.segment_ranking(df, metric.sql, dimension.column),
-        "top_segments": lambda: segments.segment_ranking(
-            df, metric.sql, dimension.column, max_segments=segments.TOP_SEGMENTS
-        ),
-        "summary": lambda: summary.select("long_tail_share", "concentration"),
+    return collect_facts(rows, F.col("task_no"), facts), {}
+
+
+def segment_tables(df: DataFrame, model: SemanticModel, task: AnalysisTask) -> RawOutputs:
+    """The tables behind the findings of one task."""
+    sql, dimension = model.metric(task.metric).sql, model.dimension(task.dimension).column
+    return {
+        "segment_rows": lambda: segments.segment_ranking(df, sql, dimension),
+        "top_segments": lambda: segments.segment_ranking(df, sql, dimension, max_segments=segments.TOP_SEGMENTS),
+        "summary": lambda: segments.segment_summary(df, sql, dimension).select("long_tail_share", "concentration"),
     }
-    return collect_facts(rows, F.lit(task_no), facts), raw
 
 
 def _counts(

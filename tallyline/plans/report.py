@@ -69,7 +69,7 @@ def run_tasks(
     """The findings of all tasks, and the raw outputs by ``module:priority``.
 
     Trend and anomaly tasks of one grain are analysed together, because they aggregate the same rows to the same
-    periods.
+    periods, and so are all segment tasks of one metric, because their dimensions go through one scan.
     """
     numbered = list(enumerate(tasks, 1))
     facts: list[DataFrame] = []
@@ -91,7 +91,8 @@ def run_tasks(
         elif task.module == "segments":
             if not task.metric or not task.dimension:
                 raise ValueError("segments task requires a metric and a dimension")
-            found, raw[name] = modules.segments_module(df, model, task_no, task)
+            raw[name] = modules.segment_tables(df, model, task)
+            continue
         elif task.module == "overview":
             found, raw[name] = modules.overview_module(df, model, task_no)
         elif task.module == "diagnostics":
@@ -99,9 +100,26 @@ def run_tasks(
         else:
             raise ValueError(f"Unsupported module: {task.module}")
         facts.append(found)
+    facts += _segment_facts(df, model, numbered)
     return write_out(reduce(DataFrame.unionByName, facts), model.dataset_name, model.table_name), raw
 
 
+def _segment_facts(df: DataFrame, model: SemanticModel, numbered: list[tuple[int, AnalysisTask]]) -> list[DataFrame]:
+    """The facts of all segment tasks, one scan a metric, and of the overview's top segment in that of the first metric."""
+    by_metric: dict[str, list[tuple[int, AnalysisTask]]] = {}
+    shares = [task_no for task_no, task in numbered if task.module == "overview" and model.metrics and model.dimensions]
+    if shares:
+        by_metric[model.metrics[0].name] = []
+    for task_no, task in numbered:
+        if task.module == "segments":
+            by_metric.setdefault(task.metric, []).append((task_no, task))
+    first = model.metrics[0].name if model.metrics else None
+    return [
+        modules.segments_module(df, model, tasks, shares[0] if shares and name == first else None)[0]
+        for name, tasks in by_metric.items()
+    ]
+
+
 def _of_metric(table: Callable[[], DataFrame], metric: str) -> DataFrame:
     return table().filter(F.col("metric") == metric)
 

@@ -321,3 +321,41 @@ def test_default_summary(spark, sales):
     assert row["headline"] == "No material findings"
     assert row["caveats"] == ["Summary is constrained to deterministic evidence only."]
     assert row["follow_up_questions"] == ["Collect more data to produce actionable findings."]
+
+
+def scans(frame) -> int:
+    """Scans of the plan that ran, those of reused stages left out."""
+    frame.collect()
+    text = frame._jdf.queryExecution().executedPlan().toString()
+    final = text[text.index("== Final Plan ==") : text.index("== Initial Plan ==")] if "== Initial Plan ==" in text else text
+    return final.count("FileScan")
+
+
+def test_scans_do_not_follow_the_number_of_dimensions(spark, tmp_path):
+    counts = []
+    for width in (1, 3, 12):
+        wide = spark.range(200).select(
+            (F.col("id") % 5 * 1.5).alias("revenue"),
+            F.expr("date_add(DATE '2024-01-01', int(id % 90))").alias("day"),
+            *[(F.col("id") % (n + 2)).cast("string").alias(f"kind{n}") for n in range(width)],
+            (F.col("id") % 2 == 0).alias("flag"),
+        )
+        path = str(tmp_path / f"wide{width}")
+        wide.write.parquet(path)
+        report = run_analysis("wide", spark.read.parquet(path), mode="executive_summary")
+        assert sum(task.module == "segments" for task in report.tasks) == width + 2
+        counts.append(scans(report.findings))
+    assert counts[0] == counts[1] == counts[2] <= 5
+
+
+def test_summaries_of_many_dimensions_are_those_of_each(spark):
+    rows = [("b", 9, True, 2.0, None), ("b", 10, None, 2.0, 5), (None, 9, True, None, 7), ("a", 10, False, 4.0, 5), ("key", 11, False, -1.0, 5)]
+    frame = spark.createDataFrame(rows, "key string, size int, flag boolean, revenue double, key0 int")
+    names = ["key", "size", "flag", "key0"]
+    found = {row["ordinal"]: row.asDict() for row in segments.segment_summaries(frame, "SUM(revenue)", names).collect()}
+    for number, name in enumerate(names):
+        single = segments.segment_summary(frame, "SUM(revenue)", name).first().asDict()
+        assert {k: v for k, v in found[number].items() if k != "ordinal"} == single
+        top = segments.top_concentration(frame, "SUM(revenue)", name).first()
+        assert (single["top_share"], single["top_severity"]) == (top["top_share"], top["severity"])
+    assert segments.segment_summaries(frame.limit(0), "SUM(revenue)", names).count() == 0
