@@ -42,22 +42,13 @@ def integers(vector: Column, scale: int) -> Column:
     return F.transform(vector, lambda x: whole(x).cast("long"))
 
 
-def literal(values: list[int]) -> Column:
-    return F.array(*[F.lit(value).cast("long") for value in values])
-
-
-def squared_distance(vector: Column, centroid: list[int]) -> Column:
-    squares = F.zip_with(vector, literal(centroid), lambda a, b: (a - b) * (a - b))
-    return F.aggregate(squares, F.lit(0).cast("long"), lambda total, square: total + square)
-
-
-def nearest(vector: Column, centroids: list[list[int]]) -> Column:
-    """``distance`` and ``cluster`` of the nearest centroid."""
-    found = [
-        F.struct(squared_distance(vector, centroid).alias("distance"), F.lit(number).alias("cluster"))
-        for number, centroid in enumerate(centroids)
-    ]
-    return F.array_min(F.array(*found))
+def nearest(vector: str, centroids: list[list[int]]) -> Column:
+    """``distance`` and ``cluster`` of the nearest centroid. One text makes the expression, since each call that builds a part
+    of it on the driver would cost more than many rows do."""
+    literal = ", ".join(f"array({', '.join(f'{value}L' for value in centroid)})" for centroid in centroids)
+    squares = f"zip_with({vector}, centroid, (a, b) -> (a - b) * (a - b))"
+    distance = f"aggregate({squares}, 0L, (total, square) -> total + square)"
+    return F.expr(f"array_min(transform(array({literal}), (centroid, n) -> named_struct('distance', {distance}, 'cluster', n)))")
 
 
 def starts(kept: DataFrame, clusters: int, seed: str) -> list[list[int]]:
@@ -70,8 +61,8 @@ def starts(kept: DataFrame, clusters: int, seed: str) -> list[list[int]]:
 def moved(kept: DataFrame, centroids: list[list[int]]) -> list[list[int]]:
     """The floors of the clusters' means."""
     dimensions = len(centroids[0])
-    sums = [F.sum(F.col("vector")[place]).alias(f"s{place}") for place in range(dimensions)]
-    assigned = kept.select("vector", nearest(F.col("vector"), centroids)["cluster"].alias("cluster"))
+    sums = [F.expr(f"sum(vector[{place}]) AS s{place}") for place in range(dimensions)]
+    assigned = kept.select("vector", nearest("vector", centroids)["cluster"].alias("cluster"))
     new = list(centroids)
     for row in assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), *sums).collect():
         new[row["cluster"]] = [row[f"s{place}"] // row["n"] for place in range(dimensions)]
@@ -100,7 +91,7 @@ def cluster(
     centroids = starts(kept, clusters, seed)
     for _ in range(rounds if centroids else 0):
         centroids = moved(kept, centroids)
-    best = nearest(F.col("vector"), centroids or [[0] * dimensions])
+    best = nearest("vector", centroids or [[0] * dimensions])
     assigned = written(kept.select(ROW, best.alias("best")).select(ROW, "best.*"), "assigned")
     inertia = {row["cluster"]: row["s"] for row in assigned.groupBy("cluster").agg(F.sum("distance").alias("s")).collect()}
     of_cluster = F.array(*[F.lit(inertia.get(number, 0)).cast("long") for number in range(max(1, len(centroids)))])
