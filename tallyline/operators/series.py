@@ -7,11 +7,13 @@ has few periods however many rows there are, so windows are small, and with ``by
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallyline.functions.metrics import column, metric_column
+from tallyline.functions.metrics import column, metric_column, metric_parts
 from tallyline.functions.periods import ANOMALY_GRAINS, TREND_GRAINS, as_timestamp, period_start
 
 # Fixed values.
@@ -42,6 +44,66 @@ def metric_series(
     )
 
 
+@dataclass(frozen=True)
+class DailyStates:
+    """What every metric needs of each day, from which all calendar grains follow without the rows.
+
+    ``days`` has one row per ``by`` keys and day, the null day included. Every grain is a whole number of days, so sums,
+    counts, minima and maxima of its days are those of its rows; an average is kept as a sum and a count.
+    """
+
+    days: DataFrame
+    by: tuple[str, ...]
+    merges: dict[str, Column]
+    values: dict[str, Column]
+
+    def roll_up(self, grain: str, grains: tuple[str, ...] = TREND_GRAINS) -> DataFrame:
+        """The rows of ``metric_series`` at one grain. Plans of several grains share the shuffle of the days."""
+        period = period_start(F.col("_day").cast("timestamp_ntz"), grain, grains).alias("period")
+        keys = list(map(column, self.by))
+        merged = self.days.groupBy(*keys, period).agg(*[value.alias(name) for name, value in self.merges.items()])
+        return merged.select(*keys, "period", *[value.alias(name) for name, value in self.values.items()])
+
+
+def daily_states(df: DataFrame, metrics: dict[str, str], time_column: str, by: Sequence[str] = ()) -> DailyStates:
+    """Aggregate the rows to days once, for any number of metrics and grains.
+
+    Metrics that need the same sum or count share it.
+    """
+    types = {field.name: field.dataType for field in df.schema.fields}
+    stamp = as_timestamp(time_column, types[time_column])
+    partial: dict[str, Column] = {}
+    merges: dict[str, Column] = {}
+    values: dict[str, Column] = {}
+    known: dict[tuple[str, str], str] = {}
+
+    def state(kind: str, name: str, value: Column, merge=F.sum) -> Column:
+        place = known.setdefault((kind, name), f"_state{len(known)}")
+        partial[place] = value
+        merges[place] = merge(F.col(place))
+        return F.col(place)
+
+    for result, sql in metrics.items():
+        whole = metric_column(sql, df.columns)
+        function, name = metric_parts(sql)
+        if function == "avg":
+            exact = isinstance(types[name], T.DecimalType)
+            total = state("total", name, F.sum(column(name) if exact else column(name).cast("double")))
+            count = state("count", name, F.count(column(name)))
+            mean = total / (count.cast("decimal(20,0)") if exact else count)
+            if exact:
+                digits, scale = types[name].precision + 4, types[name].scale + 4
+                mean = mean.cast(T.DecimalType(min(digits, 38), min(scale, 38)))
+            values[result] = F.when(count > 0, mean)
+        else:
+            merge = {"min": F.min, "max": F.max}.get(function, F.sum)
+            values[result] = state(function, name, whole, merge)
+    day = stamp.cast("date").alias("_day")
+    keys = list(map(column, by))
+    days = df.groupBy(*keys, day).agg(*[value.alias(name) for name, value in partial.items()])
+    return DailyStates(days, tuple(by), merges, values)
+
+
 def period_values(
     df: DataFrame,
     sql: str,
@@ -208,6 +270,7 @@ __all__ = ["ANOMALY_GRAINS", "TREND_GRAINS"] + [
     "anomaly_flags",
     "anomaly_scores",
     "anomaly_summary",
+    "daily_states",
     "long_series",
     "metric_series",
     "period_values",

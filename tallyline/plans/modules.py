@@ -1,7 +1,7 @@
 """The five analyses of a report.
 
-Every function returns the facts it found and its raw outputs; the latter are made only when asked for. Tasks that
-differ only in the metric share one scan.
+Every function returns the facts it found and its raw outputs; the latter are made only when asked for. All series
+share one scan, whatever their metric and grain.
 """
 
 from __future__ import annotations
@@ -91,29 +91,30 @@ def overview_module(df: DataFrame, model: SemanticModel, task_no: int) -> Output
     return facts, raw
 
 
-def _task_series(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask], grains: tuple[str, ...]) -> DataFrame:
+def task_states(df: DataFrame, model: SemanticModel, tasks: list[AnalysisTask]) -> series.DailyStates:
+    """The daily states of all metrics with a trend or anomaly task, which all their grains share."""
+    names = dict.fromkeys(task.metric for task in tasks if task.module in ("trends", "anomalies"))
+    return series.daily_states(df, {name: model.metric(name).sql for name in names}, model.time_column())
+
+
+def _task_series(states: series.DailyStates, tasks: list[NumberedTask], grains: tuple[str, ...]) -> DataFrame:
+    # All metrics are rolled up, also those without a task at this grain, so that the plans of all grains share the days.
+    wide = states.roll_up(tasks[0][1].grain, grains)
     names = list(dict.fromkeys(task.metric for _, task in tasks))
-    wide = series.metric_series(
-        df,
-        {name: model.metric(name).sql for name in names},
-        model.time_column(),
-        tasks[0][1].grain,
-        grains=grains,
-    )
-    return series.long_series(wide, names)
+    return series.long_series(wide, list(states.values)).filter(F.col("metric").isin(names))
 
 
-def _per_task(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask], summary: DataFrame) -> DataFrame:
+def _per_task(model: SemanticModel, tasks: list[NumberedTask], summary: DataFrame) -> DataFrame:
     """The summary of each task's metric, one row per task, so that a metric without data keeps its findings."""
     rows = [(task.metric, task_no, task.grain, [model.time_column()]) for task_no, task in tasks]
-    known = small_table(df.sparkSession, rows, "metric string, task_no int, grain string, dimensions array<string>")
+    known = small_table(summary.sparkSession, rows, "metric string, task_no int, grain string, dimensions array<string>")
     return known.join(summary, "metric", "left")
 
 
-def trends_module(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask]) -> Output:
+def trends_module(states: series.DailyStates, model: SemanticModel, tasks: list[NumberedTask]) -> Output:
     """Trends of several metrics at one grain."""
-    long = _task_series(df, model, tasks, TREND_GRAINS)
-    rows = _per_task(df, model, tasks, series.trend_summary(long, by=["metric"]))
+    long = _task_series(states, tasks, TREND_GRAINS)
+    rows = _per_task(model, tasks, series.trend_summary(long, by=["metric"]))
     ratio = "coalesce(volatility_ratio, 0.0D)"
     facts = [
         Fact(
@@ -157,10 +158,10 @@ def trends_module(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask]
     return collect_facts(rows, F.col("task_no"), facts), raw
 
 
-def anomalies_module(df: DataFrame, model: SemanticModel, tasks: list[NumberedTask]) -> Output:
+def anomalies_module(states: series.DailyStates, model: SemanticModel, tasks: list[NumberedTask]) -> Output:
     """Anomalies of several metrics at one grain."""
-    long = _task_series(df, model, tasks, ANOMALY_GRAINS)
-    rows = _per_task(df, model, tasks, series.anomaly_summary(long, by=["metric"]))
+    long = _task_series(states, tasks, ANOMALY_GRAINS)
+    rows = _per_task(model, tasks, series.anomaly_summary(long, by=["metric"]))
     persistent, once = ANOMALY_PATTERNS["persistent"], ANOMALY_PATTERNS["one-off"]
     facts = [
         Fact(

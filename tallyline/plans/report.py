@@ -68,10 +68,11 @@ def run_tasks(
 ) -> tuple[DataFrame, dict[str, modules.RawOutputs]]:
     """The findings of all tasks, and the raw outputs by ``module:priority``.
 
-    Trend and anomaly tasks of one grain are analysed together, because they aggregate the same rows to the same
-    periods, and so are all segment tasks of one metric, because their dimensions go through one scan.
+    All trend and anomaly tasks share daily states of all metrics, from which their grains are rolled up; those of one
+    grain are analysed together. So are all segment tasks of one metric, because their dimensions go through one scan.
     """
     numbered = list(enumerate(tasks, 1))
+    states = None
     facts: list[DataFrame] = []
     raw: dict[str, modules.RawOutputs] = {}
     for task_no, task in numbered:
@@ -83,7 +84,8 @@ def run_tasks(
                 raise ValueError(f"{task.module} task requires a metric")
             make = modules.trends_module if task.module == "trends" else modules.anomalies_module
             together = [item for item in numbered if (item[1].module, item[1].grain) == (task.module, task.grain)]
-            found, tables = make(df, model, together)
+            states = states or modules.task_states(df, model, tasks)
+            found, tables = make(states, model, together)
             for _, member in together:
                 raw[f"{member.module}:{member.priority}"] = {
                     output: partial(_of_metric, table, member.metric) for output, table in tables.items()

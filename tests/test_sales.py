@@ -359,3 +359,43 @@ def test_summaries_of_many_dimensions_are_those_of_each(spark):
         top = segments.top_concentration(frame, "SUM(revenue)", name).first()
         assert (single["top_share"], single["top_severity"]) == (top["top_share"], top["severity"])
     assert segments.segment_summaries(frame.limit(0), "SUM(revenue)", names).count() == 0
+
+
+def test_grains_rolled_up_from_days_are_those_of_the_rows(spark):
+    rows = spark.range(900).select(
+        F.expr("IF(id % 50 = 0, NULL, date_add(DATE '2023-11-20', int(id * 7 % 450)))").alias("day"),
+        F.expr("IF(id % 11 = 0, NULL, int(id % 37) - 9)").alias("units"),
+        F.expr("IF(id % 13 = 0, NULL, CAST(id % 101 / 7 AS DECIMAL(12,3)))").alias("price"),
+        F.expr("IF(id % 450 < 100, NULL, id % 8 * 0.5D)").alias("weight"),
+        F.expr("CAST(id % 3 AS STRING)").alias("kind"),
+    )
+    names = ["units", "price", "weight"]
+    metrics = {f"{f}_{n}": f"{f}({n})" for f in ("SUM", "AVG", "MIN", "MAX", "COUNT") for n in names} | {"n": "COUNT(*)"}
+    for by in ((), ("kind",)):
+        states = series.daily_states(rows, metrics, "day", by)
+        assert len(states.days.columns) < len(metrics) + 4
+        for grain in series.TREND_GRAINS:
+            wanted = series.metric_series(rows, metrics, "day", grain, by)
+            found = states.roll_up(grain)
+            assert found.columns == wanted.columns
+            key = [*by, "period"]
+            left = {tuple(row[k] for k in key): row.asDict() for row in found.collect()}
+            right = {tuple(row[k] for k in key): row.asDict() for row in wanted.collect()}
+            assert left == right
+    assert series.daily_states(rows.limit(0), metrics, "day").roll_up("week").count() == 0
+    with pytest.raises(ValueError, match="Unsupported grain"):
+        states.roll_up("quarter", series.ANOMALY_GRAINS)
+
+
+def test_all_series_of_a_report_share_one_scan(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(400).select(
+        F.expr("id % 9 * 1.5D").alias("revenue"),
+        F.expr("int(id % 5)").alias("units"),
+        F.expr("date_add(DATE '2024-01-01', int(id % 200))").alias("day"),
+        F.expr("CAST(id % 4 AS STRING)").alias("kind"),
+    ).write.parquet(path)
+    one = run_analysis("rows", spark.read.parquet(path), mode="executive_summary")
+    deep = run_analysis("rows", spark.read.parquet(path), mode="deep_dive")
+    assert {task.grain for task in deep.tasks if task.grain} == {"week", "month"}
+    assert scans(deep.findings) == scans(one.findings)
