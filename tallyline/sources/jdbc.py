@@ -22,7 +22,8 @@ def jdbc_options(
     """Reader options for one table or one query.
 
     Parallel ranges need a table or query as ``dbtable``, a numeric or time column and its bounds. Rows outside the
-    bounds are still read, by the first and the last range.
+    bounds are still read, by the first and the last range. Bounds of an empty table, or of a column without values, are
+    nulls; then there is nothing to split and one task reads.
     """
     if (table is None) == (query is None):
         raise ValueError("Give either a table or a query")
@@ -31,6 +32,8 @@ def jdbc_options(
     if partition_column is not None:
         if bounds is None or num_partitions is None:
             raise ValueError("Parallel reads need bounds and a number of partitions")
+        if None in bounds:
+            return options
         options |= {
             "partitionColumn": partition_column,
             "lowerBound": str(bounds[0]),

@@ -7,12 +7,14 @@ from dataclasses import replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyline.models import FINDINGS_SCHEMA, SemanticConfig, SemanticModel
 from tallyline.operators.profile import DatasetProfile
 from tallyline.plans.report import AnalysisReport
 
+NOTE_FILE_ROWS = 1_000_000
 PROFILE_SCHEMA = (
     "dataset_name string, ordinal int, column string, data_type string, type_class string, row_count bigint, "
     "null_count bigint, distinct_count bigint, null_rate double, role string, min double, max double, mean double, "
@@ -99,6 +101,33 @@ def read_evidence(spark: SparkSession, root: str, dataset_name: str) -> DataFram
     return _load(path, lambda: spark.read.schema(FINDINGS_SCHEMA).parquet(path))
 
 
+def write_note_table(notes: DataFrame, path: str, session: str = "session", file_rows: int = NOTE_FILE_ROWS) -> None:
+    """Save notes for very many sessions: sorted Parquet files of at most ``file_rows`` turns, and an index of them.
+
+    The files hold many sessions each, or a part of a large one, so that their number follows the turns and not the
+    sessions. The index has each file's first and last session; ``read_note_table`` opens only files that can hold the one
+    it wants.
+    """
+    order = ["file_name", session, "turn_no"]
+    notes.repartitionByRange(*order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", file_rows).mode(
+        "overwrite"
+    ).parquet(f"{path}/notes")
+    saved = notes.sparkSession.read.schema(notes.schema).parquet(f"{path}/notes")
+    saved.groupBy(F.col("_metadata.file_name").alias("part")).agg(
+        F.min("file_name").alias("first"), F.max("file_name").alias("last"), F.count(F.lit(1)).alias("turns")
+    ).sort("first").write.mode("overwrite").parquet(f"{path}/index")
+
+
+def read_note_table(spark: SparkSession, path: str, file_name: str) -> DataFrame:
+    """The turns of one notes file, in order; none when there is no such file."""
+    index = _load(path, lambda: spark.read.parquet(f"{path}/index"))
+    parts = index.filter((F.col("first") <= file_name) & (F.col("last") >= file_name)).select("part").collect()
+    if not parts:
+        return spark.read.parquet(f"{path}/notes").limit(0)
+    rows = spark.read.parquet(*[f"{path}/notes/{row['part']}" for row in parts])
+    return rows.filter(F.col("file_name") == file_name).orderBy("turn_no")
+
+
 def write_result(result: DataFrame, path: str) -> None:
     """Save a query result as JSON lines."""
     result.write.mode("overwrite").json(path)

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 
 from tallyline.functions.small import small_table
 from tallyline.functions.text import clean_name, clean_name_column
+from tallyline.models import DATASET_SCHEMA
+from tallyline.operators import conversation
 from tallyline.operators.profile import column_profile, profile_dataset
 from tallyline.operators.semantic import build_semantic_model
 from tallyline.plans.report import run_analysis
@@ -108,6 +110,55 @@ def test_catalog(spark, tmp_path):
         catalog.update("c", profile_path="x")
 
 
+def test_crossing_updates_of_the_catalog_both_count(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "catalog")
+    catalog, other = DatasetCatalog(spark, path), DatasetCatalog(spark, path)
+    catalog.register(RegisteredDataset("a", "t_a", "/a", 1, "/first"))
+
+    def update_in_between(change, inner):
+        """``inner`` runs after the update of ``change`` has read the catalog and before it writes."""
+        read = DatasetCatalog._row
+
+        def row(self, name):
+            found = read(self, name)
+            monkeypatch.setattr(DatasetCatalog, "_row", read)
+            inner()
+            return found
+
+        monkeypatch.setattr(DatasetCatalog, "_row", row)
+        catalog.update("a", **change)
+
+    update_in_between({"profile_path": "/p"}, lambda: other.update("a", semantic_path="/s"))
+    found = catalog.get("a")
+    assert (found.profile_path, found.semantic_path, found.location) == ("/p", "/s", "/first")
+    update_in_between({"profile_path": "/of the first"}, lambda: other.register(RegisteredDataset("a", "t_a", "/a", 2, "/second")))
+    found = catalog.get("a")
+    assert (found.location, found.profile_path, found.semantic_path) == ("/second", None, None)
+    update_in_between({"profile_path": "/new"}, lambda: other.compact())
+    assert catalog.get("a").profile_path == "/new"
+
+
+def test_a_compacted_catalog_reads_few_files(spark, tmp_path):
+    path = str(tmp_path / "catalog")
+    old = spark.createDataFrame([("old", "t", "/o", None, 3, None, "/s", None, 5)], DATASET_SCHEMA)
+    old.write.parquet(path)
+    catalog = DatasetCatalog(spark, path, most_files=4)
+    for n in range(7):
+        catalog.register(RegisteredDataset(f"d{n % 3}", f"t{n}", "/x", n))
+        catalog.update(f"d{n % 3}", profile_path=f"/p{n}")
+        assert len(catalog.table().inputFiles()) <= 4
+    rows = {row["dataset_name"]: row for row in catalog.list().collect()}
+    assert {name: (row["table_name"], row["profile_path"]) for name, row in rows.items()} == {
+        "old": ("t", None), "d0": ("t6", "/p6"), "d1": ("t4", "/p4"), "d2": ("t5", "/p5")
+    }
+    assert rows["old"]["semantic_path"] == "/s"
+    before = sorted(map(str, rows.values()))
+    assert catalog.compact() > 1
+    assert catalog.compact() == 1
+    assert sorted(map(str, catalog.list().collect())) == before
+    assert DatasetCatalog(spark, str(tmp_path / "none")).compact() == 0
+
+
 def test_saved_results(spark, sales, tmp_path):
     root = str(tmp_path / "state")
     for reader in (store.read_profile, store.read_model, store.read_evidence):
@@ -154,6 +205,8 @@ def test_jdbc_options(spark):
     options = jdbc.jdbc_options("jdbc:x", table="t", partition_column="id", bounds=(1, 9), num_partitions=4)
     assert (options["dbtable"], options["lowerBound"], options["numPartitions"]) == ("t", "1", "4")
     assert jdbc.jdbc_options("jdbc:x", query="SELECT 1;")["dbtable"] == "(SELECT 1) source"
+    empty = jdbc.jdbc_options("jdbc:x", table="t", partition_column="id", bounds=(None, None), num_partitions=4)
+    assert empty == jdbc.jdbc_options("jdbc:x", table="t")
     with pytest.raises(ValueError, match="either"):
         jdbc.jdbc_options("jdbc:x")
     with pytest.raises(ValueError, match="bounds"):
@@ -175,3 +228,27 @@ def test_shared_folder(spark):
     assert shared_folder(spark) == shared_folder(spark)
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
     assert load(spark, "region").count() == 5
+
+
+def test_notes_of_many_sessions_share_files(spark, tmp_path):
+    turns = spark.range(60_000).select(
+        F.expr("IF(id < 20000, 'hot', CONCAT('s', id % 20000))").alias("session"),
+        F.col("id").alias("seq"),
+        F.concat(F.lit("ask "), "id").alias("user"),
+        F.lit("reply").alias("assistant"),
+        F.lit("chat").alias("mode"),
+    )
+    notes = conversation.conversation_notes(turns)
+    path = str(tmp_path / "notes")
+    store.write_note_table(notes, path, file_rows=5_000)
+    saved = spark.read.parquet(f"{path}/notes")
+    assert saved.count() == 60_000
+    assert len(saved.inputFiles()) <= 60_000 // 5_000 + 8 + 1
+    found = store.read_note_table(spark, path, "s77.md")
+    assert len(found.inputFiles()) == 1
+    assert [(row["turn_no"], "ask 20077" in row["note"]) for row in found.collect()] == [(1, True), (2, False)]
+    hot = store.read_note_table(spark, path, "hot.md").collect()
+    assert [row["turn_no"] for row in hot] == list(range(1, 20_001))
+    assert store.read_note_table(spark, path, "absent.md").count() == 0
+    store.write_note_table(notes.limit(0), path)
+    assert store.read_note_table(spark, path, "s77.md").count() == 0
