@@ -1,4 +1,4 @@
-"""The answer to a question for which there is a SQL text: rows, insight and chart."""
+"""The answer to a question for which there is a SQL text: rows, insight, chart and what to ask next."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Row, SparkSession
 
+from tallyline.functions.small import small_table
+from tallyline.operators.conversation import query_replies
 from tallyline.operators.interpret import chart_hint, top_insight
 from tallyline.plans.guarded import QUESTION_LIMITS, GuardedResult, guarded_query
 
@@ -17,6 +19,7 @@ class Answer:
     result: GuardedResult
     summary: str
     chart: str | None
+    reply: str
 
     @property
     def rows(self) -> list[Row]:
@@ -47,4 +50,21 @@ def answer(
         duration_ms=result.duration_ms,
         truncated=result.truncated,
     )
-    return Answer(question, result, insight.first()["insight"], chart_hint(result.columns, result.row_count > 0))
+    summary = insight.first()["insight"]
+    return Answer(
+        question,
+        result,
+        summary,
+        chart_hint(result.columns, result.row_count > 0),
+        _reply(spark, result, summary, metric_names, dimension_names),
+    )
+
+
+def _reply(
+    spark: SparkSession, result: GuardedResult, summary: str, metrics: Sequence[str], dimensions: Sequence[str]
+) -> str:
+    """What a conversation says to the result: the insight, the first row and follow-up questions."""
+    first = str(dict(zip(result.columns, result.rows[0], strict=True))) if result.rows else None
+    schema = "summary string, row_count bigint, columns array<string>, first_row string"
+    row = small_table(spark, [(summary, result.row_count, result.columns, first)], schema)
+    return query_replies(row, metrics, dimensions).first()["reply"]

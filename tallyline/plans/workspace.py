@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tallyline.functions.text import clean_name
 from tallyline.models import SemanticConfig, SemanticModel
+from tallyline.operators.conversation import previous_queries, semantic_hint
 from tallyline.operators.profile import DatasetProfile, profile_dataset, role_profile
 from tallyline.operators.semantic import build_semantic_model, explain_metric, validate_model
 from tallyline.plans.answer import Answer, answer
@@ -113,6 +114,19 @@ class Workspace:
         )
         return store.write_evidence(report, self.root)
 
+    def hint(self, dataset: str, config: SemanticConfig | None = None) -> str:
+        """What the first reply of a conversation says about a data set: preferred views, metrics, dimensions."""
+        model = self.model(dataset)
+        return semantic_hint(
+            [metric.name for metric in model.metrics] if model else (),
+            [item.name for item in model.dimensions] if model else (),
+            config.preferred_views if config else (),
+        )
+
+    def converse(self, dataset: str, messages: DataFrame, config: SemanticConfig | None = None, **columns) -> DataFrame:
+        """Classify messages about a data set and give the fixed replies; ``columns`` as in ``previous_queries``."""
+        return previous_queries(messages, hint=self.hint(dataset, config), **columns)
+
     def ask(self, dataset: str, question: str, sql: str, config: SemanticConfig | None = None) -> Answer:
         """Answer a question by a SQL text over the data set, which it names by its dataset or table name.
 

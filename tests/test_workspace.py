@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from conftest import SF_DIR
 
+from tallyline.models import SemanticConfig
 from tallyline.plans.guarded import UnsafeQuery
 from tallyline.plans.workspace import Workspace
 
@@ -55,7 +56,23 @@ def test_ask(workspace):
     assert found.result.sql == sql
     assert "Top insight: customer_name=Quill leads on total_revenue with 1465." in found.summary
     assert (found.chart, len(found.rows)) == ("bar", 5)
+    assert found.reply == (
+        f"{found.summary} First row preview: {{'customer_name': 'Quill', 'total_revenue': 1465}}"
+        " Suggested follow-ups: break down total_revenue by customer_name; compare total_revenue vs previous period"
+    )
     dated = workspace.ask("sales", "When?", "SELECT order_date, region, units FROM sales WHERE units > 100")
     assert (dated.summary, dated.chart) == ("No rows returned for question: When?", None)
+    assert dated.reply == "I ran the query successfully, but it returned no rows."
     with pytest.raises(UnsafeQuery):
         workspace.ask("sales", "?", "SELECT * FROM nation")
+
+
+def test_converse(workspace, spark):
+    log = spark.createDataFrame([("a", 1, "hello"), ("a", 2, "top regions"), ("a", 3, "thanks")], "session string, seq int, text string")
+    config = SemanticConfig(preferred_views=("v_orders", "v_items"))
+    replies = {row["seq"]: row["reply"] for row in workspace.converse("sales", log, config).collect()}
+    names = [metric.name for metric in workspace.model("sales").metrics][:4]
+    assert f"Preferred views: v_orders, v_items. Metrics: {', '.join(names)}. Dimensions: " in replies[1]
+    assert replies[2] is None and replies[3].startswith("I can continue")
+    workspace.load_parquet(f"{SF_DIR}/region.parquet", "region")
+    assert workspace.hint("region") == "No semantic metadata loaded."
