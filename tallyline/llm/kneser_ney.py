@@ -58,6 +58,9 @@ RANGE_WORDS = 200_000
 UNKNOWN_COUNT = 0.1
 FALLBACK = (0.5, 1.0, 1.5)
 ORDER = 2
+# How many shards a worker keeps mapped; the kernel bounds the maps of a process.
+MAPPED_SHARDS = 4096
+NO_PART = (np.zeros(0, dtype="<u8"), np.zeros(0, dtype="<i8"))
 STATISTICS = ("total", "ones", "twos", "more", "before")
 RESULT = "n_tokens bigint, n_known bigint, base_score double, score double"
 
@@ -251,9 +254,10 @@ class Runs:
         target = shard_of(keys, shards)
         order = np.argsort(target, kind="stable")
         ends = np.cumsum(np.bincount(target, minlength=shards))
-        for number, (known, often) in enumerate(run_parts(self.folder, self.order, self.counts, shards)):
+        for number in np.unique(target).tolist():
             own = order[(ends[number - 1] if number else 0) : ends[number]]
-            if len(known) and len(own):
+            known, often = run_part(self.folder, self.order, self.counts, number)
+            if len(known):
                 place = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
                 hit = known[place] == keys[own]
                 numbers[own] = np.where(hit, place + self.bounds[number], -1)
@@ -312,7 +316,7 @@ def write_runs(folder: str, order: int):
         by = np.argsort(keys, kind="stable")
         keys = keys[by]
         heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        write_array(f"{folder}/raw-{order}-{shard}", np.add.reduceat(counts[by], heads, dtype=np.int64).astype("<u4"))
+        write_array(f"{folder}/raw-{order}-{shard}", np.add.reduceat(counts[by], heads, dtype=np.int64))
         write_array(f"{folder}/shorter-{order}-{shard}", shorter[by][heads])
         write_array(f"{folder}/runs-{order}-{shard}", keys[heads])
         return pa.table({"target": pa.array([shard], pa.int64()), "piece": pa.array([b""], pa.binary())})
@@ -327,17 +331,17 @@ def settle_runs(level: Runs, longest: bool, below: tuple[int, ...]):
         """Writes a shard's statistics after its runs and the counts that hold for its level, returns what is handed down."""
         shard = key[0].as_py()
         path = f"{level.folder}/{{}}-{level.order}-{shard}"
-        keys, counts = mapped(path.format("runs"), "<u8"), mapped(path.format("raw"), "<u4").astype(np.int64)
+        keys, counts = mapped(path.format("runs"), "<u8"), mapped(path.format("raw"), "<i8")
         if not longest:
             pieces = [unpack(piece.as_py(), *["<i8"] * 6) for piece in rows.column("piece") if piece.as_py()]
             if pieces:
                 numbers, *values = summed(*[np.concatenate(columns) for columns in zip(*pieces, strict=True)])
-                dense = np.zeros((5, len(keys)), dtype="<u4")
+                dense = np.zeros((5, len(keys)), dtype="<i8")
                 dense[:, numbers - level.bounds[shard]] = values
                 for name, own in zip(STATISTICS[:4], dense, strict=False):
                     write_array(path.format(name), own)
-                counts = np.where(dense[4] > 0, dense[4], counts).astype(np.int64)
-        write_array(path.format("settled"), counts.astype("<u4"))
+                counts = np.where(dense[4] > 0, dense[4], counts)
+        write_array(path.format("settled"), counts.astype("<i8"))
         context = (keys >> np.uint64(32)).astype(np.int64)
         number, *values = summed(context, counts, *[(counts == n).astype(np.int64) for n in (1, 2)], (counts > 2).astype(np.int64))
         shorter = mapped(path.format("shorter"), "<u4").astype(np.int64)
@@ -357,17 +361,16 @@ def settle_runs(level: Runs, longest: bool, below: tuple[int, ...]):
     return settle
 
 
-@lru_cache(maxsize=16)
-def run_parts(folder: str, order: int, counts: str, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    none = np.zeros(0, dtype="<u8")
-    paths = [(f"{folder}/runs-{order}-{n}", f"{folder}/{counts}-{order}-{n}") for n in range(shards)]
-    return [(mapped(runs, "<u8"), mapped(often, "<u4")) if os.path.exists(runs) else (none, none) for runs, often in paths]
+@lru_cache(maxsize=MAPPED_SHARDS)
+def run_part(folder: str, order: int, counts: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    runs, often = f"{folder}/runs-{order}-{shard}", f"{folder}/{counts}-{order}-{shard}"
+    return (mapped(runs, "<u8"), mapped(often, "<i8")) if os.path.exists(runs) else NO_PART
 
 
 @lru_cache(maxsize=4096)
 def run_statistics(folder: str, order: int, shard: int) -> list[np.ndarray]:
     paths = [f"{folder}/{name}-{order}-{shard}" for name in STATISTICS[:4]]
-    return [mapped(path, "<u4") if os.path.exists(path) else np.zeros(0, dtype="<u4") for path in paths]
+    return [mapped(path, "<i8") if os.path.exists(path) else np.zeros(0, dtype="<i8") for path in paths]
 
 
 def packed_rows(target: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -390,7 +393,7 @@ def write_pairs(folder: str, ranges: int, numbers: int):
         pieces = [unpack(piece.as_py(), "<u8", "<u4") for piece in rows.column("piece")]
         keys, counts = summed(np.concatenate([own for own, _ in pieces]), np.concatenate([own for _, own in pieces]).astype(np.int64))
         write_array(f"{folder}/pairs-{shard}", keys.astype("<u8"))
-        write_array(f"{folder}/pair-counts-{shard}", counts.astype("<u4"))
+        write_array(f"{folder}/pair-counts-{shard}", counts.astype("<i8"))
         before, after = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         left = summed(before, counts, *[(counts == n).astype(np.int64) for n in (1, 2)], (counts > 2).astype(np.int64))
         words, contexts_before = np.unique(after, return_counts=True)
@@ -461,9 +464,10 @@ class Model:
         target = shard_of(keys, self.shards)
         order = np.argsort(target, kind="stable")
         ends = np.cumsum(np.bincount(target, minlength=self.shards))
-        for number, (known, counts) in enumerate(pair_parts(self.vocabulary.folder, self.shards)):
+        for number in np.unique(target).tolist():
             own = order[(ends[number - 1] if number else 0) : ends[number]]
-            if len(known) and len(own):
+            known, counts = pair_part(self.vocabulary.folder, number)
+            if len(known):
                 place = np.minimum(np.searchsorted(known, keys[own]), len(known) - 1)
                 out[own] = np.where(known[place] == keys[own], counts[place], 0)
         return out
@@ -528,13 +532,10 @@ def discounted(counts: np.ndarray, by: tuple[float, float, float]) -> np.ndarray
     return np.maximum(counts - np.array([0.0, *by])[np.minimum(counts, 3)], 0)
 
 
-@lru_cache(maxsize=2)
-def pair_parts(folder: str, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    none = np.zeros(0, dtype="<u8")
-    return [
-        (mapped(f"{folder}/pairs-{n}", "<u8"), mapped(f"{folder}/pair-counts-{n}", "<u4")) if os.path.exists(f"{folder}/pair-counts-{n}") else (none, none)
-        for n in range(shards)
-    ]
+@lru_cache(maxsize=MAPPED_SHARDS)
+def pair_part(folder: str, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    pairs, counts = f"{folder}/pairs-{shard}", f"{folder}/pair-counts-{shard}"
+    return (mapped(pairs, "<u8"), mapped(counts, "<i8")) if os.path.exists(counts) else NO_PART
 
 
 @lru_cache(maxsize=4096)
@@ -553,13 +554,15 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     rows = texts.select(F.col(f"`{text}`").alias("text"))
     vocabulary = count_words(rows, folder)
     numbers = vocabulary.words + 2
+    if numbers > 1 << 32:
+        raise ValueError(f"more than {1 << 32:,} words: their numbers don't fit into the keys of pairs")
     shards = max(2 * shuffle_partitions(spark), vocabulary.tokens // SHARD_TOKENS)
     ranges = min(numbers, max(shuffle_partitions(spark), numbers // RANGE_WORDS))
     packed = "target bigint, piece binary"
     if order > 2:
         return train_runs(rows, vocabulary, order, shards, ranges)
     pairs = rows.mapInArrow(count_pairs(vocabulary, shards), packed)
-    merged = written(pairs.groupBy("target").applyInArrow(write_pairs(folder, ranges, numbers), packed), "statistics")
+    merged = written(by_shard(pairs, shards).groupBy("target").applyInArrow(write_pairs(folder, ranges, numbers), packed), "statistics")
     counted = added(merged.where("target < 0"), 5)
     ranged = merged.where("target >= 0").groupBy("target").applyInArrow(write_statistics(folder, ranges, numbers), "piece binary")
     before = added(ranged, 6)[1:]
@@ -570,13 +573,18 @@ def train(texts: DataFrame, text: str = "text", order: int = ORDER) -> Model:
     return Model(vocabulary, shards, ranges, total, discounts(counted[1:]), word_discounts, rest)
 
 
+def by_shard(rows: DataFrame, shards: int) -> DataFrame:
+    """The rows by ``target`` in half as many tasks as there are shards, so that a task's rows don't grow with the corpus."""
+    return rows.repartition(max(shuffle_partitions(rows.sparkSession), shards // 2), "target")
+
+
 def train_runs(rows: DataFrame, vocabulary: Vocabulary, order: int, shards: int, ranges: int) -> Model:
     """The model of runs of up to ``order`` tokens: counted from the shortest runs up, settled from the longest down."""
     spark, folder, numbers = rows.sparkSession, vocabulary.folder, vocabulary.words + 2
     packed, levels = "target bigint, piece binary", []
     for size in range(2, order + 1):
         counted = rows.mapInArrow(count_runs(vocabulary, list(levels), shards), packed)
-        counted.groupBy("target").applyInArrow(write_runs(folder, size), packed).count()
+        by_shard(counted, shards).groupBy("target").applyInArrow(write_runs(folder, size), packed).count()
         levels.append(written_runs(folder, size, shards))
     handed, found = None, []
     for place in reversed(range(len(levels))):
@@ -614,8 +622,11 @@ def added(rows: DataFrame, width: int) -> np.ndarray:
     return np.array([value or 0 for value in found], dtype=np.int64)
 
 
-def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Each document as ``row`` beside ``n_tokens``, ``n_known``, ``base_score`` and ``score``, base-10 logarithms."""
+def score(documents: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Each document as ``row`` beside ``n_tokens``, ``n_known``, ``base_score`` and ``score``, base-10 logarithms.
+
+    ``keep`` names the columns of ``row``, all by default.
+    """
     vocabulary = model.vocabulary
     below = vocabulary.tokens + UNKNOWN_COUNT * (vocabulary.distinct + 1)
 
@@ -639,6 +650,6 @@ def score(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
                     names=["row", "n_tokens", "n_known", "base_score", "score"],
                 )
 
-    frame = whole_rows(documents, text=text)
+    frame = whole_rows(documents, keep, text=text)
     kinds = [F.lit(None).cast(kind).alias(name) for name, kind in (column.split() for column in RESULT.split(", "))]
     return frame.mapInArrow(rate, frame.select("row", *kinds).schema)

@@ -5,6 +5,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF_DIR, load
 
@@ -169,3 +171,37 @@ def test_longer_runs_of_little_or_nothing(spark, texts):
     assert row.n_tokens == 3 and row.score == pytest.approx(LongBrute(texts, 3).score("a b"))
     with pytest.raises(ValueError, match="order"):
         kneser_ney.train(spark.createDataFrame([], "text string"), order=1)
+
+
+def test_a_pair_may_be_counted_over_four_billion_times(tmp_path, monkeypatch):
+    class Attempt:
+        def taskAttemptId(self):  # noqa: N802
+            return 1
+
+    monkeypatch.setattr(kneser_ney.TaskContext, "get", lambda: Attempt())
+    keys = np.array([5 << 32 | 7, 5 << 32 | 8], "<u8")
+    piece = kneser_ney.pack(keys, np.array([4_000_000_000, 3], "<u4"))
+    rows = pa.table({"target": pa.array([0, 0], pa.int64()), "piece": pa.array([piece, piece], pa.binary())})
+    found = kneser_ney.write_pairs(str(tmp_path), 1, 20)((pa.scalar(0),), rows)
+    known, counts = kneser_ney.pair_part(str(tmp_path), 0)
+    assert (known.tolist(), counts.tolist()) == (keys.tolist(), [8_000_000_000, 6])
+    total = kneser_ney.unpack(found.column("piece")[0].as_py(), *["<i8"] * 6)[1]
+    assert max(total.tolist()) == 8_000_000_006
+    absent = kneser_ney.pair_part(str(tmp_path), 1)
+    assert [len(part) for part in absent] == [0, 0]
+
+
+def test_too_many_words_are_an_error(spark, monkeypatch):
+    class Many:
+        words, tokens = 1 << 32, 1 << 40
+
+    monkeypatch.setattr(kneser_ney, "count_words", lambda rows, folder: Many())
+    with pytest.raises(ValueError, match="words"):
+        kneser_ney.train(spark.createDataFrame([("a",)], "text string"))
+
+
+def test_score_keeps_named_columns(spark):
+    frame = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id int, text string, row string")
+    model = kneser_ney.train(frame)
+    assert kneser_ney.score(frame, model, keep=["doc_id"]).select("row.*").columns == ["doc_id"]
+    assert kneser_ney.score(frame, model).select("row.*").columns == frame.columns
