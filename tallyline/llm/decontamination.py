@@ -217,12 +217,16 @@ def mark_benchmark(
     gram: int = GRAM,
     span: int = SPAN,
     block_bytes: int = BLOCK_BYTES,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Each document as ``row`` beside ``found``: ``n_words``, the merged hit word ``spans`` and the sorted ``items``."""
+    """Each document as ``row`` beside ``found``: ``n_words``, the merged hit word ``spans`` and the sorted ``items``.
+
+    ``keep`` names the columns of ``row``, all by default.
+    """
     if not 0 < gram <= span:
         raise ValueError("gram must be from 1 to span")
     context = documents.sparkSession.sparkContext
-    frame = whole_rows(documents, text=text).withColumn("found", F.lit(None).cast(SQL_RESULT))
+    frame = whole_rows(documents, keep, text=text).withColumn("found", F.lit(None).cast(SQL_RESULT))
     for rows in blocks(benchmark, item_id, item_text, block_bytes):
         frame = frame.mapInArrow(marker(context.broadcast(index_items(rows, gram, span)), gram, span), frame.schema)
     return frame.select("row", "found")

@@ -235,14 +235,18 @@ def remove_lines(
     min_words: int = MIN_WORDS,
     filter_bits: int = FILTER_BITS,
     equal_words: int = 1,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Each document as ``row`` beside ``found``: ``n_lines``, the numbers of ``removed`` lines and the ``kept`` text."""
+    """Each document as ``row`` beside ``found``: ``n_lines``, the numbers of ``removed`` lines and the ``kept`` text.
+
+    ``keep`` names the columns of ``row``, all by default.
+    """
     if min_words < 3:
         raise ValueError("lines of fewer than three words are all near each other")
     if not 1 <= equal_words <= min_words:
         raise ValueError("equal_words must be from 1 to min_words")
     spark = documents.sparkSession
-    frame = whole_rows(documents, doc_id=doc_id, text=text).withColumns(
+    frame = whole_rows(documents, keep, doc_id=doc_id, text=text).withColumns(
         {"doc_id": F.col("doc_id").cast("long"), "text_key": F.xxhash64("text")}
     )
     owned = frame.where("doc_id is not null and text is not null").select("doc_id", "text_key", "text")

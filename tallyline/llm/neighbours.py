@@ -146,8 +146,12 @@ def score(
     rank: int = RANK,
     k: int = NEIGHBOURS,
     sharpness: int = SHARPNESS,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Each document as ``row`` beside its ``score``, from 0 to 1: higher where label 1 is likelier."""
+    """Each document as ``row`` beside its ``score``, from 0 to 1: higher where label 1 is likelier.
+
+    ``keep`` names the columns of ``row``, all by default.
+    """
     space = learn(*labelled_rows(documents, labels, doc_id, text, label, most_labelled), rank)
     known = documents.sparkSession.sparkContext.broadcast(space)
 
@@ -159,5 +163,5 @@ def score(
                     found = known.value.scores(described(part.column("text")), k, sharpness)
                     yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(found)], names=["row", "score"])
 
-    frame = whole_rows(documents, text=text)
+    frame = whole_rows(documents, keep, text=text)
     return frame.mapInArrow(vote, frame.select("row", F.lit(0.0).alias("score")).schema)

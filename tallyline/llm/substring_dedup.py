@@ -323,12 +323,16 @@ def remove_repeats(
     gram: int = GRAM,
     filter_bits: int = FILTER_BITS,
     crowd: int = CROWD,
+    keep: list[str] | None = None,
 ) -> DataFrame:
-    """Each document as ``row`` beside ``found``: ``n_words``, the removed word ``spans`` and the ``kept`` text."""
+    """Each document as ``row`` beside ``found``: ``n_words``, the removed word ``spans`` and the ``kept`` text.
+
+    ``keep`` names the columns of ``row``, all by default.
+    """
     if not 0 < gram <= window:
         raise ValueError("gram must be from 1 to window")
     spark: SparkSession = documents.sparkSession
-    frame = whole_rows(documents, doc_id=doc_id, text=text).withColumns(
+    frame = whole_rows(documents, keep, doc_id=doc_id, text=text).withColumns(
         {"doc_id": F.col("doc_id").cast("long"), "text_key": F.xxhash64("text")}
     )
     owned = frame.where("doc_id is not null")
