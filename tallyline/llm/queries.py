@@ -86,7 +86,7 @@ def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
     rest = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10
     model = kneser_ney.train(documents.where(rest != 0).select("text"))
-    return kneser_ney.score(documents, model).select(
+    return kneser_ney.score(documents, model, keep=["doc_id"]).select(
         "row.doc_id",
         (F.crc32(F.coalesce(F.col("row.doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0).alias("held_out"),
         "n_tokens",
