@@ -120,7 +120,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
     found = F.col("found")
     spans = F.aggregate(found["spans"], F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["begin"])
-    return substring_dedup.remove_repeats(documents).select(
+    return substring_dedup.remove_repeats(documents, keep=["doc_id"]).select(
         "row.doc_id",
         found["n_words"].alias("n_words"),
         spans.alias("n_removed"),
