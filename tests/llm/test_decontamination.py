@@ -60,7 +60,7 @@ def corpus(seed):
     return docs + [(None, None), (200, ""), (201, "the " * 3000), (None, items[0][1] * 2)], items
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 60}, {"gram": 1}, {"gram": 10}, {"gram": 2, "span": 4}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 60}, {"gram": 1}, {"gram": 10}, {"gram": 2, "span": 4}, {"gram": 2, "span": 4, "block_bytes": 1}])
 def test_small_corpora_agree_with_all_windows(spark, options):
     for seed in (1, 2):
         docs, items = corpus(seed)
@@ -77,5 +77,32 @@ def test_empty_tables(spark):
 
 def test_repeated_items_are_fetched_once(spark):
     items = [(1, "a b c d e f g h i j k")] * 500 + [(2, "a b"), (None, None), (None, None)]
-    found = list(decontamination.blocks(spark.createDataFrame(items, ITEMS).repartition(3), "item_id", "text", 1000))
-    assert [sorted(rows) for rows in found] == [[("", ""), ("1", items[0][1]), ("2", "a b")]]
+    distinct = decontamination.distinct_items(spark.createDataFrame(items, ITEMS).repartition(3), "item_id", "text")
+    assert sorted(tuple(row) for row in distinct.collect()) == [("", ""), ("1", items[0][1]), ("2", "a b")]
+    assert decontamination.small_index(distinct, 5, 10, 30) is None
+    assert sorted(decontamination.small_index(distinct, 5, 10, 1000).names) == [["1"], ["2"]]
+
+
+def test_a_gram_of_many_items_goes_by_the_join(spark, monkeypatch):
+    """Items that share an instruction, in either plan, and a plan with one Python stage however large the benchmark."""
+    told = "answer the question below in one short sentence please and thanks"
+    items = [(n, f"{told} number{n} {' '.join(f'w{n}x{k}' for k in range(n % 7))}") for n in range(40)]
+    docs = [(1, told), (2, items[3][1] + " end"), (3, "below in one short sentence please"), (4, items[3][1].upper())] * 3
+    expected = brute(docs, items)
+    assert ours(spark, docs, items) == expected
+    monkeypatch.setattr(decontamination, "MOST_PLACES", 5)
+    assert ours(spark, docs, items) == expected
+    assert ours(spark, docs, items, filter_bits=64) == expected
+    frame = decontamination.mark_benchmark(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS), block_bytes=100)
+    assert "MapInArrow" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_long_and_odd_texts_go_by_the_join(spark):
+    passage = " ".join(f"é{n}" for n in range(30_000))
+    items = [(1, passage), (1, "𝔘nd so"), (2, "x"), (None, "𝔘nd so"), (3, "")]
+    docs = [(1, passage[50_000:90_000]), (2, "x " * 50_000), (3, "we 𝔘nd so, x"), (4, None), (5, "K\u0130x")]
+    by_join = ours(spark, docs, items, block_bytes=1)
+    assert by_join == ours(spark, docs, items)
+    assert [row[2] > 0 for row in by_join] == [True, True, True, False, False]
+    assert by_join[2] == (3, 4, 3, ["", "1", "2"])
+    assert ours(spark, [], items, block_bytes=1) == []
