@@ -55,7 +55,7 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents that stand in 10-word windows of benchmark items."""
     documents = load(spark, sf_dir, "documents").select("doc_id", "text")
-    marked = decontamination.mark_benchmark(documents, load(spark, sf_dir, "benchmark"))
+    marked = decontamination.mark_benchmark(documents, load(spark, sf_dir, "benchmark"), keep=["doc_id"])
     found = F.col("found")
     n_hit = decontamination.hit_words(found)
     return marked.select(
