@@ -107,7 +107,8 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier line, but for one word where they have five or more."""
     found = F.col("found")
-    return line_dedup.remove_lines(load(spark, sf_dir, "documents").select("doc_id", "text")).select(
+    documents = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.remove_lines(documents, keep=["doc_id"]).select(
         "row.doc_id",
         found["n_lines"].alias("n_lines"),
         F.size(found["removed"]).cast("long").alias("n_removed"),
