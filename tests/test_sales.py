@@ -315,6 +315,21 @@ def test_scored_example(spark):
     assert [row["combined_score"] for row in ranked] == pytest.approx([0.81, 0.485])
 
 
+EQUAL_SCORES = "dataset_name string, task_no int, finding_no int, title string, observation string, metric string, " \
+    "impact_score double, confidence_score double, business_relevance_score double, severity string, " \
+    "caveats array<string>, evidence array<string>"
+
+
+def test_equal_scores_keep_report_order(spark):
+    """0.395, 0.85 and 0.92 each come twice; as sums of doubles the second of a pair is the larger one."""
+    scores = [(0.09, 0.67, 0.6), (0.3, 0.4, 0.6), (1.0, 0.8, 0.6), (1.0, 0.6, 0.95), (1.0, 0.8, 0.95), (1.0, 1.0, 0.6)]
+    rows = [("d", i, 0, f"t{i}", "small", None, *three, "low", [], ["x"]) for i, three in enumerate(scores)]
+    ranked = findings.rank_findings(spark.createDataFrame(rows, EQUAL_SCORES)).orderBy("rank").collect()
+    assert [row["title"] for row in ranked] == ["t4", "t5", "t2", "t3", "t0", "t1"]
+    assert [row["combined_score"] for row in ranked] == [0.92, 0.92, 0.85, 0.85, 0.395, 0.395]
+    assert [row["severity"] for row in ranked] == ["high"] * 4 + ["low"] * 2
+
+
 def test_default_summary(spark, sales):
     none = run_analysis("sales", sales, mode="overview").findings.filter(F.lit(False))
     row = findings.summary_or_default(none, "sales").first()
