@@ -172,26 +172,26 @@ def _derived_impact() -> Column:
 
 
 def _derived_confidence() -> Column:
-    base = F.when(F.size("evidence") > 0, CONFIDENCE_WITH_EVIDENCE).otherwise(CONFIDENCE_WITHOUT_EVIDENCE)
+    base = F.when(F.size("evidence") > 0, _exact(CONFIDENCE_WITH_EVIDENCE)).otherwise(_exact(CONFIDENCE_WITHOUT_EVIDENCE))
     caveats = F.greatest(F.size("caveats"), F.lit(0))
-    penalty = F.least(F.lit(CAVEAT_PENALTY_LIMIT), caveats * CAVEAT_PENALTY)
-    return F.greatest(F.lit(CONFIDENCE_FLOOR), base - penalty)
+    penalty = F.least(_exact(CAVEAT_PENALTY_LIMIT), caveats * _exact(CAVEAT_PENALTY))
+    return F.greatest(_exact(CONFIDENCE_FLOOR), base - penalty).cast("double")
 
 
 def _derived_relevance() -> Column:
     def bonus(condition: Column, amount: float) -> Column:
-        return F.when(condition, F.lit(amount)).otherwise(F.lit(0.0))
+        return F.when(condition, _exact(amount)).otherwise(_exact(0.0))
 
     has_metric = F.coalesce(F.col("metric") != "", F.lit(False))
     risk = contains_any(F.col("title"), RISK_WORDS) | contains_any(F.col("observation"), RISK_WORDS)
     money = contains_any(F.col("observation"), MONEY_WORDS)
     total = (
-        F.lit(RELEVANCE_BASE)
+        _exact(RELEVANCE_BASE)
         + bonus(has_metric, RELEVANCE_METRIC)
         + bonus(risk, RELEVANCE_RISK)
         + bonus(money, RELEVANCE_MONEY)
     )
-    return F.least(F.lit(1.0), total)
+    return F.least(_exact(1.0), total).cast("double")
 
 
 def score_findings(findings: DataFrame) -> DataFrame:

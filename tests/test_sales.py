@@ -330,6 +330,20 @@ def test_equal_scores_keep_report_order(spark):
     assert [row["severity"] for row in ranked] == ["high"] * 4 + ["low"] * 2
 
 
+def test_summary_of_equal_scores(spark):
+    """The second finding derives the confidence that the first is given, 0.24, from two caveats and no evidence."""
+    rows = [
+        ("d", 0, 0, "Given", "small", None, 0.5, 0.24, 0.6, "low", ["a"], []),
+        ("d", 1, 0, "Derived", "small", None, 0.5, 0.0, 0.6, "low", ["b", "c"], []),
+    ]
+    frame = spark.createDataFrame(rows, EQUAL_SCORES)
+    assert [row["confidence_score"] for row in findings.score_findings(frame).collect()] == [0.24, 0.24]
+    row = findings.executive_summary(frame).first()
+    assert (row["headline"], row["top_findings"]) == ("Given", ["Given", "Derived"])
+    assert row["caveats"] == ["a", "b", "c"]
+    assert row["follow_up_questions"][0] == "Validate drivers behind: Given"
+
+
 def test_default_summary(spark, sales):
     none = run_analysis("sales", sales, mode="overview").findings.filter(F.lit(False))
     row = findings.summary_or_default(none, "sales").first()
